@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import matroska, packing, piece_bpe, token_files
+from lodestone.llm import line_rules, matroska, packing, piece_bpe, token_files
 from lodestone.llm.common import load
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,6 +22,10 @@ def op3_zstd_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_roundtrip(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_rules(load(spark, sf_dir, "documents")).drop("text_key")
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoding_digest(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
@@ -31,8 +35,8 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nnls_packing, op3_zstd_token_files, op6_piece_bpe, op10_matroska)}
+    return {f.__name__: f for f in (op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op6_piece_bpe, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_frequency": line_rules.LINE_RULES_SQL}
