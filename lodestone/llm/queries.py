@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import line_rules, matroska, packing, piece_bpe, token_files
+from lodestone.llm import language, line_rules, matroska, packing, piece_bpe, token_files, toxicity
 from lodestone.llm.common import load
 
 WORD_BPE = "word_bpe_49k.json"
@@ -26,16 +26,24 @@ def op4_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_rules(load(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op5_nb_char_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_query(spark, load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoding_digest(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op9_bitmask_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_query(spark, load(spark, sf_dir, "documents"))
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digest(matroska.store_texts(spark, load(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op6_piece_bpe, op10_matroska)}
+    return {f.__name__: f for f in (op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op9_bitmask_language, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
