@@ -5,7 +5,7 @@ hashed to FEATURES slots. Slots are scaled by r = log((p + 1) / |p + 1|) - log((
 numbers of toxic and other learning documents with the feature; logistic regression learns one weight for each.
 
 The classifier is fitted on SAMPLE learning rows at most (those with the smallest hash of doc_id); of their features the
-KEPT with the largest log-likelihood ratio are used. Both bounds are parameters. Scoring covers every row.
+KEPT with the largest log-likelihood ratio are used, if that is above MIN_GAIN. Both bounds are parameters. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from lodestone.llm.textkit import blocks, text_buffer
 
 SIZES, FEATURES = (4, 5, 6), 1 << 22
 SAMPLE, KEPT = 20_000, 20_000
-MIN_DOCS = 4
+MIN_DOCS, MIN_GAIN = 4, 7.0
+L2 = 1.0
 THRESHOLD = 0.7
 
 
@@ -55,23 +56,38 @@ def distinct_features(data: np.ndarray, offs: np.ndarray, table: np.ndarray | No
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression by accelerated gradient descent on x = scale for each feature of a row; (weights, bias)."""
-    n, m = len(y), len(scale)
-    x = scale[cols]
-    norm = float(np.sqrt(np.maximum(np.bincount(rows, x * x, n), 1e-12)).max())
-    rate = 1.0 / (0.25 * max(norm, 1.0) ** 2)
-    w = v = np.zeros(m + 1)
-    momentum = 1.0
+def fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = L2, steps: int = 200) -> tuple[np.ndarray, float]:
+    """Logistic regression on x = scale for each feature of a row, by L-BFGS; (weights, bias)."""
+    n, m, x = len(y), len(scale), scale[cols]
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        z = np.bincount(rows, x * w[cols], n) + w[m]
+        err = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        value = float((np.logaddexp(0, z) - y * z).sum() + l2 / 2 * (w[:m] @ w[:m]))
+        return value, np.append(np.bincount(cols, x * err[rows], m) + l2 * w[:m], err.sum())
+
+    w = np.zeros(m + 1)
+    value, grad = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        z = np.bincount(rows, x * v[cols], n) + v[m]
-        err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        grad = np.append(np.bincount(cols, x * err[rows], m), err.sum()) / n
-        grad[:m] += l2 / n * v[:m]
-        new = v - rate * grad
-        nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        v = new + (momentum - 1) / nxt * (new - w)
-        w, momentum = new, nxt
+        step, kept = grad.copy(), []
+        for s, t in reversed(past):
+            kept.append((s @ step) / (s @ t))
+            step -= kept[-1] * t
+        step *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.linalg.norm(grad)))
+        for (s, t), a in zip(past, reversed(kept), strict=True):
+            step += (a - (t @ step) / (s @ t)) * s
+        size, slope = 1.0, float(grad @ step)
+        while True:
+            new, (got, ahead) = w - size * step, loss(w - size * step)
+            if got <= value - 1e-4 * size * slope or size < 1e-10:
+                break
+            size /= 2
+        if value - got <= 1e-9 * max(1.0, abs(value)):
+            break
+        if (new - w) @ (ahead - grad) > 1e-12:
+            past = [*past[-9:], (new - w, ahead - grad)]
+        w, value, grad = new, got, ahead
     return w[:m], float(w[m])
 
 
@@ -112,6 +128,7 @@ def learn(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, kept:
     share = (p + q) / (all_p + all_q)
     gain = p * np.log(np.maximum(p, 1e-9) / (all_p * share)) + q * np.log(np.maximum(q, 1e-9) / (all_q * share))
     best = np.lexsort((slot, -gain))[:kept]
+    best = best[gain[best] > MIN_GAIN]
     slot, p, q = slot[best], p[best], q[best]
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
     lookup = np.full(FEATURES, -1, np.int32)
