@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, line_rules, matroska, packing, piece_bpe, token_files, toxicity
+from lodestone.llm import language, line_rules, matroska, packing, piece_bpe, site_style, token_files, toxicity
 from lodestone.llm.common import load
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
 
+def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(spark, load(spark, sf_dir, "pages"))
+
+
 def op2_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -43,7 +47,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op9_bitmask_language, op10_matroska)}
+    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op9_bitmask_language, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
