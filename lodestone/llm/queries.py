@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, line_rules, matroska, ngram_join, packing, piece_bpe, site_style, token_files, toxicity
+from lodestone.llm import language, line_rules, matroska, ngram_join, packing, piece_bpe, site_style, substring_dedup, token_files, toxicity
 from lodestone.llm.common import load
 
 WORD_BPE = "word_bpe_49k.json"
@@ -38,6 +38,10 @@ def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoding_digest(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE))
 
 
+def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digest(spark, load(spark, sf_dir, "documents"))
+
+
 def op8_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(spark, load(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op8_vertical_jaccard, op9_bitmask_language, op10_matroska)}
+    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op7_fm_index_dedup, op8_vertical_jaccard, op9_bitmask_language, op10_matroska)}
 
 
 def oracle_sql() -> dict[str, str]:
