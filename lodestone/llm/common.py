@@ -84,3 +84,13 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 def with_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+#: Rows up to which a list of documents to drop is broadcast; beyond, Spark shuffles both sides.
+BROADCAST_DROPS = 1_000_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of `docs` that aren't listed; texts are shuffled only where the list is long."""
+    listed = dropped.select(*keys).distinct()
+    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_DROPS else listed, keys, "left_anti").select(*docs.columns)

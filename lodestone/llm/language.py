@@ -119,7 +119,7 @@ def _quoted(s: str) -> str:
 
 
 def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.ndarray, hashes: int = HASHES) -> DataFrame:
-    """doc_id, lang_pred, score, coverage for every row of `docs` (doc_id, text).
+    """doc_id, text_key (xxhash64 of the text), lang_pred, score, coverage for every row of `docs` (doc_id, text).
 
     score: the winner's share of all languages' corrected counts; coverage: of the text's n-grams. Null texts and texts
     without a letter are `und` with score 0; texts too short for an n-gram, or that no filter knows, get the first
@@ -157,14 +157,14 @@ def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.n
                     best = share.max(0)
                     score = np.where(letters, best / np.maximum(share.sum(0), 1e-9), 0.0)
                     coverage = np.where(letters, cover.max(0), 0.0)
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "lang_pred": [langs[p] if ok and langs else "und" for p, ok in zip(pred.tolist(), letters.tolist(), strict=True)], "score": pa.array(np.clip(score, 0, 1)), "coverage": pa.array(coverage)})
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text_key": b.column(2), "lang_pred": [langs[p] if ok and langs else "und" for p, ok in zip(pred.tolist(), letters.tolist(), strict=True)], "score": pa.array(np.clip(score, 0, 1)), "coverage": pa.array(coverage)})
 
-    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, coverage double")
+    rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, lang_pred string, score double, coverage double")
 
 
 def language_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Learn from documents whose crc32(doc_id) mod 5 isn't 0, predict all."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     langs, table = learn(spark, docs.where(~held_out))
-    return identify(spark, docs, langs, table).withColumn("held_out", held_out)
+    return identify(spark, docs, langs, table).drop("text_key").withColumn("held_out", held_out)

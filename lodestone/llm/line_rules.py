@@ -59,8 +59,8 @@ def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
     as one document of a line, and share their frequent words' sum only where doc_id and text agree; lines without a
     word are never counted; an empty table gives no rows; further columns are ignored.
     """
-    rows = only(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    key = F.xxhash64("text").alias("text_key")
+    rows = only(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    key = F.col("text_key")
     words, text = F.col("words"), F.col("text")
     with_word = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     base = rows.select("doc_id", "source", "text", key, words_of(text).alias("words")).select(

@@ -193,6 +193,8 @@ def join_components(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     shared = is_hot.where("hot").select("gram", "doc_id", "n", "place").unionByName(rare)
     node_of = members.where("node <> doc_id").select("doc_id", "node").distinct()
     bucket = scratch.write(shared.join(node_of, "doc_id", "left").select("gram", F.coalesce("node", "doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").cast("long").alias("px")).distinct(), "buckets")
+    scratch.drop("prefixes")
+    scratch.settle()
     links = comps = None
     for k, pick in enumerate((F.min, F.max)):
         entry = F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))

@@ -178,6 +178,7 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Da
     runs = scratch.write(runs_of(rows), "runs")
     anchors = runs.groupBy("anchor").agg(F.sum("weight").alias("met")).where("met > 1").select("anchor")
     again = scratch.write(runs.join(anchors, "anchor"), "again")
+    scratch.drop("runs")
     scratch.settle()
     one = again.groupBy("anchor", "content").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "mark", "start", "n")).alias("at")).select("anchor", "content", "count", "at.*")
     one = scratch.write(one, "sequences")
@@ -200,7 +201,45 @@ def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> Da
     places = windows.select("key", "anchor", F.col("content").alias("run"), "off").join(said.where("key = content").select("key"), "key", "left_semi")
     spans = said.select(F.col("key").alias("anchor"), "content", "first", "last").unionByName(places.select("anchor", F.col("run").alias("content"), F.col("off").alias("first"), F.col("off").alias("last")))
     hit = again.join(spans, ["anchor", "content"]).select("doc_id", "mark", (F.col("start") + F.col("first")).cast("long").alias("start"), (F.col("start") + F.col("last") + WINDOW).cast("long").alias("end"))
-    return scratch.write(hit.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    spans = scratch.write(hit.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
+    scratch.drop("again", "sequences", "wanted", "texts", "said")
+    return spans
+
+
+def drop_spans(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """`docs` with the words of `spans` gone from text (n_chars follows, if there is such a column); all rows stay.
+
+    Texts without spans are left as they are and aren't shuffled.
+    """
+    ids = spans.select("doc_id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                yield b.append_column("mark", pa.array(marks(*hashed_words(b.column(b.schema.get_field_index("text"))))))
+
+    names = list(docs.columns)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            new = [t if s is None else kept_words(t, s)[0] for t, s in zip(texts, b.column("spans").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in names], names)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    touched = docs.join(ids, "doc_id", "left_semi").select(*docs.columns).mapInArrow(mark, f"{schema}, mark int").join(spans, ["doc_id", "mark"], "left")
+    out = docs.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(touched.select(*docs.columns, "spans").mapInArrow(cut, schema))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def kept_words(text: str | None, spans: list[dict]) -> tuple[str, int]:
+    """The words outside all spans, joined by one space, and how many others there are."""
+    words = (text or "").encode().split()
+    gone = np.zeros(len(words) + 1, np.int64)
+    np.add.at(gone, [s["start"] for s in spans], 1)
+    np.add.at(gone, [s["end"] for s in spans], -1)
+    stay = np.cumsum(gone)[:-1] == 0
+    return b" ".join([words[i] for i in np.flatnonzero(stay).tolist()]).decode(), int(len(words) - stay.sum())
 
 
 def without_spans(found: DataFrame) -> DataFrame:
@@ -210,13 +249,9 @@ def without_spans(found: DataFrame) -> DataFrame:
         for b in batches:
             kept, removed = [], []
             for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                np.add.at(gone, [s["start"] for s in spans], 1)
-                np.add.at(gone, [s["end"] for s in spans], -1)
-                stay = np.cumsum(gone)[:-1] == 0
-                kept.append(b" ".join([words[i] for i in np.flatnonzero(stay).tolist()]).decode())
-                removed.append(int(len(words) - stay.sum()))
+                left, n = kept_words(text, spans)
+                kept.append(left)
+                removed.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "mark", "kept", "n_removed"])
 
     return found.select("doc_id", "mark", "text", "spans").mapInArrow(run, "doc_id long, mark int, kept string, n_removed long")

@@ -91,16 +91,16 @@ def fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2
     return w[:m], float(w[m])
 
 
-def learn(spark: SparkSession, labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
-    """labelled: doc_id, text, toxic (0 or 1). Without rows of both labels the model is the share of toxic rows."""
+def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1; a doc_id with several rows is toxic if one says so).
+
+    The sample is taken from the labels, so it can be broadcast and texts aren't shuffled. Without rows of both labels the
+    model is the share of toxic rows; null texts and null labels aren't learned from.
+    """
     ship(spark)
-    rows = (
-        only(labelled, "doc_id", "text", "toxic")
-        .where("toxic is not null and text is not null")
-        .select("doc_id", F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    )
-    chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    some = rows.join(F.broadcast(chosen), "doc_id")  # `sample` ids at most
+    marks = only(labels, "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` rows at most
+    some = only(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, FEATURES), np.int32)
@@ -174,8 +174,5 @@ def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
 
 def toxicity_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
-    # One label for a document: 1 if any row says so.
-    marks = only(labels, "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labelled = only(docs, "doc_id", "text").where(~held_out).join(marks, "doc_id")
-    model = learn(spark, labelled)
+    model = learn(spark, docs, labels.where(~held_out))
     return score(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
