@@ -1,17 +1,78 @@
-"""Corpus pipeline (stages are added as their operators are)."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes what its predecessor kept, and its decisions take effect: rejected documents go, repeated passages are cut
+out of texts, and the last stage returns packed pieces.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import language, line_rules, ngram_join, packing, substring_dedup
+from lodestone.llm.common import Scratch, load, only, ship, with_text, without
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents of which fewer n-grams than this are known in any language are rejected.
+MIN_COVERAGE = 0.5
+TOKENIZER = "word_bpe_49k.json"
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules, or are depleted of lines their host repeats, go."""
+    docs = only(docs, *COLUMNS)
+    verdict = Scratch(spark, "stage-quality").write(line_rules.line_rules(docs).where("not kept").select("doc_id", F.coalesce("text_key", F.lit(0).cast("long")).alias("text_key")), "rejected")
+    keyed = docs.withColumn("text_key", F.xxhash64("text"))
+    return without(keyed, verdict, ["doc_id", "text_key"]).drop("text_key")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in none of the learned languages, go."""
+    docs = only(docs, *COLUMNS)
+    langs, table = language.learn(spark, docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+    seen = language.identify(spark, docs, langs, table)
+    rejected = Scratch(spark, "stage-language").write(seen.where((F.col("lang_pred") == "und") | (F.col("coverage") < MIN_COVERAGE)).select("doc_id", "text_key"), "rejected")
+    return without(docs.withColumn("text_key", F.xxhash64("text")), rejected, ["doc_id", "text_key"]).drop("text_key")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    docs = only(docs, *COLUMNS)
+    scratch = Scratch(spark, "stage-near")
+    verdict = scratch.write(ngram_join.join_components(spark, docs, scratch), "verdict")
+    kept = without(docs, verdict.where("component_id <> doc_id"), ["doc_id"])
+    repeated = verdict.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept if repeated else kept.dropDuplicates(["doc_id"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of windows that occur more than once are cut out of the texts; all documents stay."""
+    ship(spark)
+    docs = only(docs, *COLUMNS)
+    return substring_dedup.drop_spans(spark, docs, substring_dedup.repeated_spans(spark, with_text(docs), Scratch(spark, "stage-passages")))
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, docs, public_tokenizers.path(TOKENIZER))
 
-from lodestone.llm.common import load
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality_rules),
+    ("language ID", language_id),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("packing", packed_sequences),
+]
+#: Language filters and packing have no SQL form; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    scratch = Scratch(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.write(docs, f"stage-{k}")
     return docs
