@@ -215,8 +215,8 @@ def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:
         F.count(F.when(F.col("kind") == 1, 1)).alias("texts"),
         F.sum(F.when(F.col("kind") == 1, F.ln(n))).alias("text_logs"),
     )
-    m = F.ln(F.col("n_pages").cast("double"))
-    presentation = F.coalesce((F.ln("sequences") - F.col("sequence_logs") / F.col("sequences")) / m, F.lit(0.0))
+    m = F.ln(F.greatest(F.col("n_pages"), F.lit(2)).cast("double"))
+    presentation = F.when(F.col("sequences") > 0, (F.ln("sequences") - F.col("sequence_logs") / F.col("sequences")) / m).otherwise(0.0)
     content = F.when(F.col("texts") > 0, F.greatest(1 - F.col("text_logs") / (F.col("texts") * m), F.lit(0.0)))
     return per.select("host", "path", "n_pages", F.when(F.col("n_pages") < MIN_PAGES, 1.0).otherwise(content).alias("content"), presentation.alias("presentation")).withColumn(
         "importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - DAMPING) * F.col("content") + DAMPING * F.col("presentation"))
