@@ -1,0 +1,44 @@
+"""Roll-ups and report texts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import line_count
+
+
+def breakdown(files: DataFrame, by: Column, content: str = "content") -> DataFrame:
+    """key, files, lines, basis points of all lines (an integer)."""
+    out = files.groupBy(by.alias("key")).agg(F.count("*").alias("files"), F.sum(line_count(F.coalesce(F.col(content), F.lit("")))).cast("long").alias("lines"))
+    total = out.agg(F.sum("lines").alias("all"))
+    return out.join(F.broadcast(total)).select("key", "files", "lines", F.floor(F.col("lines") * 10000 / F.col("all")).cast("long").alias("bp"))
+
+
+def treemap(files: DataFrame, path: str = "path", size: str = "size") -> DataFrame:
+    """prefix, depth, size: sums over every path prefix (folders and files), those of size 0 left out."""
+    parts = F.split(F.col(path), "/")
+    each = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("prefix"), k.alias("depth")))).alias("p"), F.col(size).alias("size"))
+    return each.groupBy("p.prefix", "p.depth").agg(F.sum("size").alias("size")).where("size > 0")
+
+
+def top_with_rest(counts: DataFrame, key: str, n: str, k: int) -> DataFrame:
+    """The k largest, and one row `+N more` for what is left."""
+    top = counts.orderBy(F.desc(n), key).limit(k)
+    rest = counts.join(top.select(key), key, "left_anti").agg(F.count("*").alias("c"), F.sum(n).alias(n)).where("c > 0").select(F.concat(F.lit("+"), F.col("c").cast("string"), F.lit(" more")).alias(key), n)
+    return top.select(key, n).unionByName(rest)
+
+
+def mermaid(edges: DataFrame, limit: int = 200) -> DataFrame:
+    """One row, `text`: a flowchart of the first `limit` edges (src, dst, n)."""
+    ident = lambda c: F.regexp_replace(c.cast("string"), "[^A-Za-z0-9]", "_")
+    rows = edges.orderBy(F.desc("n"), "src", "dst").limit(limit).select(F.struct(-F.col("n"), "src", "dst", F.concat(F.lit("  "), ident(F.col("src")), F.lit(" -->|"), F.col("n").cast("string"), F.lit("| "), ident(F.col("dst"))).alias("line")).alias("r"))
+    return rows.agg(F.concat_ws("\n", F.lit("flowchart LR"), F.transform(F.sort_array(F.collect_list("r")), lambda r: r["line"])).alias("text"))
+
+
+def keep_recent(rows: DataFrame, key: str, order: str, text: str, keep: int, chars: int) -> DataFrame:
+    """The last `keep` rows of a key as they are, older ones cut to `chars` characters."""
+    from pyspark.sql import Window
+
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    return rows.withColumn("rn", rn).withColumn(text, F.when(F.col("rn") > keep, F.substring(F.col(text), 1, chars)).otherwise(F.col(text))).withColumn("compacted", F.col("rn") > keep).drop("rn")
