@@ -136,6 +136,7 @@ def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.nda
 
 def bounded(nx: Column, ny: Column, px: Column, py: Column) -> Column:
     """Sizes, and the most that can be shared from these places on, allow the threshold."""
+    nx, ny = nx.cast("long"), ny.cast("long")
     return (DEN * F.least(nx, ny) >= NUM * F.greatest(nx, ny)) & ((NUM + DEN) * F.least(nx - px, ny - py) >= NUM * (nx + ny))
 
 
@@ -180,57 +181,68 @@ def join_components(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     ship(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     rows = with_text(docs)
+    members, bucket = _buckets(spark, rows, scratch)
+    scratch.drop("prefixes")
+    scratch.settle()
+    links, comps = None, None
+    for k, choose in enumerate((_hub_pairs(F.min), _hub_pairs(F.max), _all_pairs)):
+        links, comps = _grow(spark, rows, choose(bucket), links, scratch, f"round-{k}")
+        scratch.settle()
+        if k < 2:
+            left = scratch.write(_across(bucket, comps), f"buckets-{k}")
+            scratch.drop("buckets" if not k else f"buckets-{k - 1}")
+            bucket = left
+            scratch.settle()
+    return members.join(comps.select("node", "component"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+
+
+def _buckets(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of all rows, and (gram, x, nx, px, component) of prefix n-grams that several nodes share."""
     hot = hot_grams(rows)
     pre = scratch.write(prefixes(spark, rows, hot), "prefixes")
     # Equal sets: one node each, the smallest doc_id.
     nodes = pre.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     members = scratch.write(pre.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
-    placed = pre.select("doc_id", "n", F.posexplode("prefix").alias("place", "gram"))
+    placed = pre.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "gram"))
     # Frequent n-grams are known to be shared; all others are few, and those found once drop out here.
     hot_table = spark.createDataFrame(pa.table({"gram": signed(hot[0])})) if len(hot[0]) else spark.createDataFrame([], "gram long")
     is_hot = placed.join(F.broadcast(hot_table.withColumn("hot", F.lit(True))), "gram", "left")
     rare = is_hot.where("hot is null").withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "doc_id", "n", "place")
     shared = is_hot.where("hot").select("gram", "doc_id", "n", "place").unionByName(rare)
     node_of = members.where("node <> doc_id").select("doc_id", "node").distinct()
-    bucket = scratch.write(shared.join(node_of, "doc_id", "left").select("gram", F.coalesce("node", "doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").cast("long").alias("px")).distinct(), "buckets")
-    scratch.drop("prefixes")
-    scratch.settle()
-    links = comps = None
-    for k, pick in enumerate((F.min, F.max)):
-        entry = F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))
-        own = bucket if comps is None else _across(bucket, comps)
-        hubs = own.groupBy("gram").agg(pick(entry).alias("h")).select("gram", "h.*")
-        pairs = own.join(hubs, "gram").where((F.col("x") != F.col("y")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
-        if comps is not None:
-            pairs = _apart(pairs, comps)
-        links, comps = _grow(spark, rows, pairs, links, scratch, f"star-{k}")
-        scratch.settle()
-    own = _across(bucket, comps)
-    other = own.select("gram", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("component").alias("other"))
-    pairs = own.join(other, "gram").where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
-    links, comps = _grow(spark, rows, pairs, links, scratch, "rest")
-    return members.join(comps.select(F.col("node"), "component"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    entries = shared.join(node_of, "doc_id", "left").select("gram", F.coalesce("node", "doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    return members, scratch.write(entries.groupBy("gram", "x").agg(F.first("nx").alias("nx"), F.min("px").alias("px")).withColumn("component", F.col("x")), "buckets")
 
 
-def _component(bucket: DataFrame, comps: DataFrame) -> DataFrame:
-    return bucket.join(comps.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+def _hub_pairs(pick):
+    """Every entry of a bucket with one entry of it, the hub."""
 
+    def pairs(bucket: DataFrame) -> DataFrame:
+        hubs = bucket.groupBy("gram").agg(pick(F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("component").alias("other"))).alias("h")).select("gram", "h.*")
+        return bucket.join(hubs, "gram").where((F.col("component") != F.col("other")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
+
+    return pairs
 
-def _across(bucket: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries of the buckets that hold more than one component."""
-    own = _component(bucket, comps)
-    mixed = own.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
-    return own.join(mixed, "gram", "left_semi")
 
+def _all_pairs(bucket: DataFrame) -> DataFrame:
+    """All pairs of a bucket's entries that are in different components."""
+    other = bucket.select("gram", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("component").alias("other"))
+    return bucket.join(other, "gram").where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    other = comps.select(F.col("node").alias("y"), F.col("component").alias("other"))
-    return pairs.join(other, "y", "left").where(F.col("component") != F.coalesce("other", "y"))
+
+def _across(bucket: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of the buckets that hold more than one component, with their components."""
+    own = bucket.drop("component").join(comps.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
+    mixed = own.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
+    return own.join(mixed, "gram", "left_semi").select("gram", "x", "nx", "px", "component")
 
 
 def _grow(spark: SparkSession, rows: DataFrame, pairs: DataFrame, links: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    one = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("nx"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("ny"))
+    """All links so far and their components, after the pairs at the threshold are added."""
+    first = F.col("x") < F.col("y")
+    one = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(first, F.col("nx")).otherwise(F.col("ny")).cast("long").alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("nx")).cast("long").alias("ny"))
     one = scratch.write(one.distinct(), f"{name}-pairs")
     new = scratch.write(overlaps(spark, rows, one, scratch, name), f"{name}-links")
+    scratch.drop(f"{name}-pairs", f"{name}-parts", f"{name}-ids")
     links = new if links is None else links.unionByName(new)
     return links, components(scratch, links, f"{name}-components")
