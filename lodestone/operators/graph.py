@@ -29,14 +29,20 @@ def roles(nodes: DataFrame, edges: DataFrame, entries: int = 20, hub_share: floa
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node): each round points every node at its smallest neighbour, follows the pointers, and
-    links what they point at; tables between rounds are written."""
+    """node, component (the smallest node): each round points every node at its smallest neighbour, follows the pointers to
+    their ends, and links those; tables between rounds are written."""
     links = cut(spark, edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     labels = None
     while not links.isEmpty():
         both = links.unionAll(links.select("b", "a"))
         to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        to = cut(spark, to.alias("p").join(to.alias("q"), F.col("p.to") == F.col("q.node"), "left").select("p.node", F.coalesce("q.to", "p.to").alias("to")))
+        to = cut(spark, to)
+        while True:
+            ahead = to.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+            moved = cut(spark, to.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("end"), "to"))
+            to = moved.select("node", F.col("end").alias("to"))
+            if moved.where("end <> to").isEmpty():
+                break
         if labels is None:
             labels = to.select("node", F.col("to").alias("component"))
         else:

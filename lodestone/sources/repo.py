@@ -40,7 +40,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """path, content of all text files below a folder."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
 
 
 def indexable(tree: DataFrame) -> DataFrame:
