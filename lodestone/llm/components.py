@@ -11,8 +11,8 @@ from lodestone.llm.common import Scratch
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
     """links: (x, y) of longs -> (node, component): every linked node with the smallest node it reaches.
 
-    Each round points every node at the smallest of itself and its neighbours, follows the pointers twice, and replaces
-    the links by links between what the nodes point at; a node's pointers are composed. Rounds end when no link is left.
+    Each round points every node at the smallest of itself and its neighbours, follows the pointers to their ends (the
+    ways halve with each step), and replaces the links by links between those ends. Rounds end when no link is left.
     """
     labels = None
     edges = scratch.write(links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{name}-edges-0")
@@ -21,9 +21,15 @@ def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         near = both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("to"))
         near = scratch.write(near, f"{name}-near-{k}")
-        for _ in range(2):
-            near = near.join(near.select(F.col("node").alias("to"), F.col("to").alias("beyond")), "to", "left").select("node", F.coalesce("beyond", "to").alias("to"))
-        near = scratch.write(near, f"{name}-points-{k}")
+        step = 0
+        while True:
+            ahead = near.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
+            moved = near.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"), (F.coalesce("beyond", "to") != F.col("to")).alias("moved"))
+            near = scratch.write(moved, f"{name}-points-{k}-{step}")
+            step += 1
+            if near.where("moved").isEmpty():
+                break
+            near = near.drop("moved")
         to = lambda c: near.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
         k += 1
         edges = scratch.write(
