@@ -181,68 +181,77 @@ def join_components(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     ship(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     rows = with_text(docs)
-    members, bucket = _buckets(spark, rows, scratch)
+    members, shared = _shared_grams(spark, rows, scratch)
     scratch.drop("prefixes")
     scratch.settle()
-    links, comps = None, None
-    for k, choose in enumerate((_hub_pairs(F.min), _hub_pairs(F.max), _all_pairs)):
-        links, comps = _grow(spark, rows, choose(bucket), links, scratch, f"round-{k}")
+    # Equal sets are linked as they are.
+    links = scratch.write(members.where("node <> doc_id").select(F.col("doc_id").alias("x"), F.col("node").alias("y")).distinct(), "equal")
+    comps = components(scratch, links, "equal-components")
+    for k, choose in enumerate((_hub_pairs("low"), _hub_pairs("high"), _all_pairs)):
+        links, comps = _grow(spark, rows, choose(shared, comps), links, scratch, f"round-{k}")
         scratch.settle()
-        if k < 2:
-            left = scratch.write(_across(bucket, comps), f"buckets-{k}")
-            scratch.drop("buckets" if not k else f"buckets-{k - 1}")
-            bucket = left
-            scratch.settle()
-    return members.join(comps.select("node", "component"), "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node").alias("component_id"))
+    return members.join(comps.select("node", "component"), members["doc_id"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _buckets(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of all rows, and (gram, x, nx, px, component) of prefix n-grams that several nodes share."""
+def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of all rows, and entries (gram, x, nx, px, entries, low, high) of prefix n-grams that several documents
+    share: low and high are the entries of the bucket with the smallest and largest doc_id.
+
+    In buckets of two or three entries those two meet all others, so such entries stay only where a pair is in bounds.
+    """
     hot = hot_grams(rows)
     pre = scratch.write(prefixes(spark, rows, hot), "prefixes")
     # Equal sets: one node each, the smallest doc_id.
     nodes = pre.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
     members = scratch.write(pre.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
-    placed = pre.select("doc_id", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "gram"))
-    # Frequent n-grams are known to be shared; all others are few, and those found once drop out here.
+    placed = pre.select(F.col("doc_id").alias("x"), F.col("n").cast("int").alias("nx"), F.posexplode("prefix").alias("px", "gram"))
+    # Frequent n-grams are known to be shared; all others are few, so one window holds a bucket.
     hot_table = spark.createDataFrame(pa.table({"gram": signed(hot[0])})) if len(hot[0]) else spark.createDataFrame([], "gram long")
     is_hot = placed.join(F.broadcast(hot_table.withColumn("hot", F.lit(True))), "gram", "left")
-    rare = is_hot.where("hot is null").withColumn("c", F.count("*").over(Window.partitionBy("gram"))).where("c > 1").select("gram", "doc_id", "n", "place")
-    shared = is_hot.where("hot").select("gram", "doc_id", "n", "place").unionByName(rare)
-    node_of = members.where("node <> doc_id").select("doc_id", "node").distinct()
-    entries = shared.join(node_of, "doc_id", "left").select("gram", F.coalesce("node", "doc_id").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"))
-    return members, scratch.write(entries.groupBy("gram", "x").agg(F.first("nx").alias("nx"), F.min("px").alias("px")).withColumn("component", F.col("x")), "buckets")
+    entry = F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))
+    w = Window.partitionBy("gram")
+    columns = ("gram", "x", "nx", "px", "entries", "low", "high")
+    rare = is_hot.where("hot is null").select("*", F.count("*").over(w).alias("entries"), F.min(entry).over(w).alias("low"), F.max(entry).over(w).alias("high")).where("entries > 1").select(*columns)
+    often = is_hot.where("hot").select("gram", "x", "nx", "px")
+    often = often.join(often.groupBy("gram").agg(F.count("*").alias("entries"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("entries > 1"), "gram").select(*columns)
+    useful = (F.col("entries") > 3) | _meets("low") | _meets("high")
+    return members, scratch.write(rare.unionByName(often).where(useful), "shared")
+
+
+def _meets(hub: str) -> Column:
+    return (F.col("x") != F.col(f"{hub}.y")) & bounded(F.col("nx"), F.col(f"{hub}.ny"), F.col("px"), F.col(f"{hub}.py"))
 
 
-def _hub_pairs(pick):
-    """Every entry of a bucket with one entry of it, the hub."""
+def _hub_pairs(hub: str):
+    """Entries with their bucket's hub, where they aren't connected yet."""
 
-    def pairs(bucket: DataFrame) -> DataFrame:
-        hubs = bucket.groupBy("gram").agg(pick(F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("component").alias("other"))).alias("h")).select("gram", "h.*")
-        return bucket.join(hubs, "gram").where((F.col("component") != F.col("other")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
+    def pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
+        near = shared.where(_meets(hub)).select("x", F.col(f"{hub}.y").alias("y"), "nx", F.col(f"{hub}.ny").alias("ny")).distinct()
+        return _with_component(_with_component(near, comps, "x"), comps, "y").where("x_component <> y_component")
 
     return pairs
 
 
-def _all_pairs(bucket: DataFrame) -> DataFrame:
-    """All pairs of a bucket's entries that are in different components."""
-    other = bucket.select("gram", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("component").alias("other"))
-    return bucket.join(other, "gram").where((F.col("x") < F.col("y")) & (F.col("component") != F.col("other")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
+def _all_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """All pairs in bounds of the larger buckets' entries that aren't connected yet."""
+    large = _with_component(shared.where("entries > 3").select("gram", "x", "nx", "px"), comps, "x")
+    mixed = large.groupBy("gram").agg(F.min("x_component").alias("a"), F.max("x_component").alias("b")).where("a <> b").select("gram")
+    own = large.join(mixed, "gram", "left_semi")
+    other = own.select("gram", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("x_component").alias("y_component"))
+    return own.join(other, "gram").where((F.col("x") < F.col("y")) & (F.col("x_component") != F.col("y_component")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
 
 
-def _across(bucket: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries of the buckets that hold more than one component, with their components."""
-    own = bucket.drop("component").join(comps.select(F.col("node").alias("x"), "component"), "x", "left").withColumn("component", F.coalesce("component", "x"))
-    mixed = own.groupBy("gram").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("gram")
-    return own.join(mixed, "gram", "left_semi").select("gram", "x", "nx", "px", "component")
+def _with_component(rows: DataFrame, comps: DataFrame, node: str) -> DataFrame:
+    of = comps.select(F.col("node").alias(node), F.col("component").alias(f"{node}_component"))
+    return rows.join(of, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
 
 
-def _grow(spark: SparkSession, rows: DataFrame, pairs: DataFrame, links: DataFrame | None, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def _grow(spark: SparkSession, rows: DataFrame, pairs: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components, after the pairs at the threshold are added."""
     first = F.col("x") < F.col("y")
     one = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(first, F.col("nx")).otherwise(F.col("ny")).cast("long").alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("nx")).cast("long").alias("ny"))
     one = scratch.write(one.distinct(), f"{name}-pairs")
     new = scratch.write(overlaps(spark, rows, one, scratch, name), f"{name}-links")
     scratch.drop(f"{name}-pairs", f"{name}-parts", f"{name}-ids")
-    links = new if links is None else links.unionByName(new)
+    links = links.unionByName(new)
     return links, components(scratch, links, f"{name}-components")
