@@ -474,3 +474,8 @@ def json_props(spark, sf):
 @query(f"SELECT DISTINCT CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS parent FROM (SELECT {PAGE_PATH} AS p FROM pages)")
 def folder_list(spark, sf):
     return table(spark, sf, "pages").select(F.regexp_replace(F.regexp_extract("url", "://([^?#]*)", 1), "/+$", "").alias("p")).select(parent_path(F.col("p")).alias("parent")).distinct()
+
+
+@query("SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href=\"(/[^\"<>]*)\"', 1)) AS dst FROM pages")
+def link_edges(spark, sf):
+    return table(spark, sf, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="(/[^"<>]*)"'), 1)).alias("dst")).distinct()
