@@ -1,26 +1,44 @@
 """Token ids of whole texts by a per-worker cache of white-space words.
 
 The word tokenizer lower-cases, drops white space and never merges across it, so a text's ids are the ids of its
-white-space words one after another. Only words that a Python worker hasn't met are given to the tokenizers library.
+white-space words one after another. Only words that a Python worker hasn't met are given to the tokenizers library:
+plain ones run by run to its model, all others whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words kept by one worker; beyond this the cache starts again (results don't depend on it).
 CACHE_WORDS = 700_000
-#: Bytes of text that are split at a time.
-BLOCK_BYTES = 3 << 20
-#: Words that are one run of letters, with or without one run of marks after it. Normalisation keeps these runs apart, so
-#: many can share one call: each run ends with a token that ends a word.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?|#$%&*]+)?").fullmatch
+#: Longer words are encoded each time they occur.
+CACHE_WORD_BYTES = 64
+#: Words that are one run of letters, with or without one run of marks after it. Normalisation only lower-cases them, and
+#: these runs are what the tokenizer's splitter would give its model.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|#$%&*]+)?").fullmatch
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the code points from 256 on, in order.
+KEPT_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in KEPT_BYTES} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in KEPT_BYTES)}
+
+
+class _Words(dict):
+    """Ids of words, learned when they are first asked for."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: bytes) -> bytes:
+        got = self.learn(word)
+        if len(word) <= CACHE_WORD_BYTES:
+            self[word] = got
+        return got
 
 
 class WordIds:
@@ -29,56 +47,39 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        if sys.byteorder != "little":
+            raise RuntimeError("ids are kept in the machine's byte order, which must be little-endian")
+
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids of this vocabulary need more than 16 bits")
-        self.ends = np.zeros(65536, bool)
-        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain: list[bytes] = []
-        runs: list[int] = []
-        cache = self.cache
-        for word in words:
-            text = word.decode()
-            if m := PLAIN(text):
-                plain.append(word)
-                runs.append(1 + (m[1] is not None))
-            else:
-                cache[word] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-        for at in range(0, len(plain), 2000):
-            part = plain[at : at + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u2")
-            run_ends = np.flatnonzero(self.ends[ids]) + 1
-            last = np.cumsum(runs[at : at + 2000])
-            if len(run_ends) != last[-1] or run_ends[-1] != len(ids):
-                raise AssertionError("runs of letters and marks don't end where expected")
-            stops = (run_ends[last - 1] * 2).tolist()
-            raw, start = ids.tobytes(), 0
-            for word, stop in zip(part, stops, strict=True):
-                cache[word] = raw[start:stop]
-                start = stop
+        self.model = self.tokenizer.model
+        self.cache = _Words(self._word)
+        self.runs: dict[str, bytes] = {}
+
+    def _run(self, run: str) -> bytes:
+        """Ids of one run of letters or marks, by the library's model."""
+        got = self.runs.get(run)
+        if got is None:
+            level = run.encode().decode("latin-1").translate(BYTE_LEVEL)
+            got = self.runs[run] = array("H", [t.id for t in self.model.tokenize(level)]).tobytes()
+        return got
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if m := PLAIN(text):
+            return self._run(m[1].lower()) + (self._run(m[2]) if m[2] else b"")
+        return array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text in turn; nulls are empty."""
-        at = 0
-        while at < len(texts):
-            split, size = [], 0
-            while at < len(texts) and (not split or size < BLOCK_BYTES):
-                raw = (texts[at] or "").encode()
-                size += len(raw)
-                split.append(raw.split())
-                at += 1
-            words = set().union(*split)
-            new = words.difference(self.cache)
-            if len(self.cache) + len(new) > CACHE_WORDS:
+        get = self.cache.__getitem__
+        for text in texts:
+            if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
-                new = words
-            self._learn(list(new))
-            get = self.cache.__getitem__
-            for words_of in split:
-                yield b"".join(map(get, words_of))
+            if len(self.runs) > CACHE_WORDS:
+                self.runs.clear()
+            yield b"".join(map(get, (text or "").encode().split()))
 
     def ids(self, text: str | None) -> bytes:
         return next(self.texts([text]))
