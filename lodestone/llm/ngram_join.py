@@ -2,8 +2,9 @@
 
 All n-grams have one global order: those found to be frequent come last, by count; the rest go by hash. A pair at the
 threshold must share an n-gram in the first (1 - threshold) part of both sets, which gives candidates; lengths and the
-places of the shared n-gram bound the overlap of each. The order is then cut into FRAGMENTS, overlaps are counted for
-each fragment of a pair separately, and summed for each pair.
+places of the shared n-gram bound the overlap of each. Sets also have parity bitmaps of BITS bits: two bitmaps differ in
+no more places than the sets do, which rules out most candidates before their n-grams are fetched. The order is then cut into
+FRAGMENTS, overlaps are counted for each fragment of a pair separately, and summed for each pair.
 
 Documents with equal sets are one node. Links are needed for components only, so first every node of an n-gram's bucket is
 compared with one hub of that bucket; components shrink, and what remains are pairs between different components, all of
@@ -24,7 +25,7 @@ from lodestone.llm.components import components
 from lodestone.llm.textkit import blocks, gram_hashes, inside, mix, span_hashes, text_buffer, word_spans
 
 WORDS, NUM, DEN = 5, 75, 100
-FRAGMENTS = 8
+FRAGMENTS, BITS = 8, 1024
 #: The order's tail: n-grams found HOT_LOCAL times or more in a chunk of CHUNK n-grams, the HOT_KEPT most frequent. They
 #: only decide the order, which any value leaves correct.
 HOT_LOCAL, HOT_KEPT, CHUNK = 3, 200_000, 4_000_000
@@ -95,7 +96,8 @@ def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, k1, k2, prefix array<long>: set sizes, 128-bit set hashes, and the prefix in the global order.
+    """doc_id, n, k1, k2, bits, prefix array<long>: set sizes, 128-bit set hashes, parity bitmaps, and the prefix in the
+    global order.
 
     The prefix is given once for equal sets within a task; other rows have an empty one.
     """
@@ -113,6 +115,10 @@ def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.nda
                 k1 = total[first[1:]] - total[first[:-1]]
                 total = np.concatenate(([np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x13198A2E03707344)), dtype=np.uint64)))
                 k2 = total[first[1:]] - total[first[:-1]]
+                parity = np.zeros(b.num_rows * BITS, np.uint8)
+                odd = np.bincount(r * BITS + (h & np.uint64(BITS - 1)).astype(np.int64), minlength=len(parity)) if len(h) else parity
+                raw = np.packbits((odd & 1).astype(np.uint8)).tobytes()
+                bits = pa.array([raw[i : i + BITS // 8] for i in range(0, len(raw), BITS // 8)], pa.binary())
                 if len(grams) and len(h):
                     at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
                     weight = np.where(grams[at] == h, freq[at], 0)
@@ -129,9 +135,9 @@ def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.nda
                 place = np.arange(len(h)) - first[:-1][r]
                 chosen = h[place < size[r]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), signed(chosen))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), signed(k1), signed(k2), lists], ["doc_id", "n", "k1", "k2", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), signed(k1), signed(k2), bits, lists], ["doc_id", "n", "k1", "k2", "bits", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, prefix array<long>")
 
 
 def bounded(nx: Column, ny: Column, px: Column, py: Column) -> Column:
@@ -140,6 +146,20 @@ def bounded(nx: Column, ny: Column, px: Column, py: Column) -> Column:
     return (DEN * F.least(nx, ny) >= NUM * F.greatest(nx, ny)) & ((NUM + DEN) * F.least(nx - px, ny - py) >= NUM * (nx + ny))
 
 
+def near_bitmaps(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """(x, y, nx, ny) of those whose bitmaps, (doc_id, bits), differ in no more places than two sets at the threshold."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x_bits", "y_bits"))
+            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
+            yield b.select(["x", "y", "nx", "ny"]).filter(pa.array((NUM + DEN) * apart <= (DEN - NUM) * total))
+
+    side = lambda c: bits.select(F.col("doc_id").alias(c), F.col("bits").alias(f"{c}_bits"))
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "x_bits", "y_bits").mapInArrow(test, "x long, y long, nx long, ny long")
+
+
 def overlaps(spark: SparkSession, rows: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(x, y, nx, ny) -> (x, y) of those at the threshold, by overlaps counted in each fragment."""
     ids = scratch.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{name}-ids")
@@ -175,27 +195,27 @@ def join_components(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
 
     Null, empty and white-space texts have an empty set and are linked with nothing: their component is their own doc_id.
-    Rows that repeat a doc_id with another text each keep their row and set size; the doc_id has one component. Further
-    columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id with another text each keep their row and set size; the doc_id has one component, found by one of
+    its texts. Further columns are ignored; an empty table gives no rows.
     """
     ship(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     rows = with_text(docs)
-    members, shared = _shared_grams(spark, rows, scratch)
+    members, shared, bits = _shared_grams(spark, rows, scratch)
     scratch.drop("prefixes")
     scratch.settle()
     # Equal sets are linked as they are.
     links = scratch.write(members.where("node <> doc_id").select(F.col("doc_id").alias("x"), F.col("node").alias("y")).distinct(), "equal")
     comps = components(scratch, links, "equal-components")
     for k, choose in enumerate((_hub_pairs("low"), _hub_pairs("high"), _all_pairs)):
-        links, comps = _grow(spark, rows, choose(shared, comps), links, scratch, f"round-{k}")
+        links, comps = _grow(spark, rows, choose(shared, comps), bits, links, scratch, f"round-{k}")
         scratch.settle()
     return members.join(comps.select("node", "component"), members["doc_id"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of all rows, and entries (gram, x, nx, px, entries, low, high) of prefix n-grams that several documents
-    share: low and high are the entries of the bucket with the smallest and largest doc_id.
+def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, n, node) of all rows, entries (gram, x, nx, px, entries, low, high) of prefix n-grams that several documents
+    share (low and high are the entries of the bucket with the smallest and largest doc_id), and the bitmaps (doc_id, bits).
 
     In buckets of two or three entries those two meet all others, so such entries stay only where a pair is in bounds.
     """
@@ -209,13 +229,16 @@ def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tup
     hot_table = spark.createDataFrame(pa.table({"gram": signed(hot[0])})) if len(hot[0]) else spark.createDataFrame([], "gram long")
     is_hot = placed.join(F.broadcast(hot_table.withColumn("hot", F.lit(True))), "gram", "left")
     entry = F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))
-    w = Window.partitionBy("gram")
+    # Ordered by document, so that only the entries are shuffled and not the structs made of them.
+    w = Window.partitionBy("gram").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    end = lambda pick: F.struct(pick("x").over(w).alias("y"), pick("nx").over(w).alias("ny"), pick("px").over(w).alias("py"))
     columns = ("gram", "x", "nx", "px", "entries", "low", "high")
-    rare = is_hot.where("hot is null").select("*", F.count("*").over(w).alias("entries"), F.min(entry).over(w).alias("low"), F.max(entry).over(w).alias("high")).where("entries > 1").select(*columns)
-    often = is_hot.where("hot").select("gram", "x", "nx", "px")
+    rare = is_hot.where("hot is null").select("*", F.count("*").over(w).alias("entries"), end(F.first).alias("low"), end(F.last).alias("high")).where("entries > 1").select(*columns)
+    often = scratch.write(is_hot.where("hot").select("gram", "x", "nx", "px"), "often")
     often = often.join(often.groupBy("gram").agg(F.count("*").alias("entries"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("entries > 1"), "gram").select(*columns)
     useful = (F.col("entries") > 3) | _meets("low") | _meets("high")
-    return members, scratch.write(rare.unionByName(often).where(useful), "shared")
+    bits = scratch.write(pre.where("n > 0").select("doc_id", "bits").dropDuplicates(["doc_id"]), "bits")
+    return members, scratch.write(rare.unionByName(often).where(useful), "shared"), bits
 
 
 def _meets(hub: str) -> Column:
@@ -246,11 +269,11 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str) -> DataFrame:
     return rows.join(of, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
 
 
-def _grow(spark: SparkSession, rows: DataFrame, pairs: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def _grow(spark: SparkSession, rows: DataFrame, pairs: DataFrame, bits: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components, after the pairs at the threshold are added."""
     first = F.col("x") < F.col("y")
     one = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(first, F.col("nx")).otherwise(F.col("ny")).cast("long").alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("nx")).cast("long").alias("ny"))
-    one = scratch.write(one.distinct(), f"{name}-pairs")
+    one = scratch.write(near_bitmaps(one.distinct(), bits), f"{name}-pairs")
     new = scratch.write(overlaps(spark, rows, one, scratch, name), f"{name}-links")
     scratch.drop(f"{name}-pairs", f"{name}-parts", f"{name}-ids")
     links = links.unionByName(new)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import ship, with_text
 
-CACHE_UNITS = 700_000
+CACHE_UNITS = 300_000
 SPACE = "▁"
 #: Longest unit that is cached, in characters; longer ones are encoded each time.
 CACHE_CHARS = 48

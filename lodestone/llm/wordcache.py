@@ -15,8 +15,8 @@ from collections.abc import Iterator
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words kept by one worker; beyond this the cache starts again (results don't depend on it).
-CACHE_WORDS = 700_000
+#: Words of one generation of a worker's cache; there are two, and results don't depend on it.
+CACHE_WORDS, CACHE_RUNS = 150_000, 120_000
 #: Longer words are encoded each time they occur.
 CACHE_WORD_BYTES = 64
 #: Words that are one run of letters, with or without one run of marks after it. Normalisation only lower-cases them, and
@@ -28,14 +28,22 @@ BYTE_LEVEL = {b: b for b in KEPT_BYTES} | {b: 256 + n for n, b in enumerate(b fo
 
 
 class _Words(dict):
-    """Ids of words, learned when they are first asked for."""
+    """Ids of words, learned when they are first asked for. A full generation becomes the old one, from which words that
+    are asked for again move up."""
 
     def __init__(self, learn):
         super().__init__()
-        self.learn = learn
+        self.learn, self.old = learn, {}
+
+    def turn(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
 
     def __missing__(self, word: bytes) -> bytes:
-        got = self.learn(word)
+        got = self.old.pop(word, None)
+        if got is None:
+            got = self.learn(word)
         if len(word) <= CACHE_WORD_BYTES:
             self[word] = got
         return got
@@ -75,9 +83,8 @@ class WordIds:
         """The ids of each text in turn; nulls are empty."""
         get = self.cache.__getitem__
         for text in texts:
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            if len(self.runs) > CACHE_WORDS:
+            self.cache.turn()
+            if len(self.runs) > CACHE_RUNS:
                 self.runs.clear()
             yield b"".join(map(get, (text or "").encode().split()))
 
