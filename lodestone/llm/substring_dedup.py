@@ -176,9 +176,10 @@ def search_shards(shards: DataFrame) -> DataFrame:
 def repeated_spans(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """rows: (doc_id, text) -> doc_id, mark, spans array<struct<start, end>>: words covered by repeated windows."""
     runs = scratch.write(runs_of(rows), "runs")
-    anchors = runs.groupBy("anchor").agg(F.sum("weight").alias("met")).where("met > 1").select("anchor")
+    # Written, so that Spark can split the join of an anchor that very many runs share.
+    anchors = scratch.write(runs.groupBy("anchor").agg(F.sum("weight").alias("met")).where("met > 1").select("anchor"), "anchors")
     again = scratch.write(runs.join(anchors, "anchor"), "again")
-    scratch.drop("runs")
+    scratch.drop("runs", "anchors")
     scratch.settle()
     one = again.groupBy("anchor", "content").agg(F.count("*").alias("count"), F.min(F.struct("doc_id", "mark", "start", "n")).alias("at")).select("anchor", "content", "count", "at.*")
     one = scratch.write(one, "sequences")
