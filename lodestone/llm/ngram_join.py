@@ -235,7 +235,8 @@ def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tup
     columns = ("gram", "x", "nx", "px", "entries", "low", "high")
     rare = is_hot.where("hot is null").select("*", F.count("*").over(w).alias("entries"), end(F.first).alias("low"), end(F.last).alias("high")).where("entries > 1").select(*columns)
     often = scratch.write(is_hot.where("hot").select("gram", "x", "nx", "px"), "often")
-    often = often.join(often.groupBy("gram").agg(F.count("*").alias("entries"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("entries > 1"), "gram").select(*columns)
+    hubs = often.groupBy("gram").agg(F.count("*").alias("entries"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("entries > 1")
+    often = often.join(F.broadcast(hubs), "gram").select(*columns)  # HOT_KEPT rows at most
     useful = (F.col("entries") > 3) | _meets("low") | _meets("high")
     bits = scratch.write(pre.where("n > 0").select("doc_id", "bits").dropDuplicates(["doc_id"]), "bits")
     return members, scratch.write(rare.unionByName(often).where(useful), "shared"), bits
