@@ -2,8 +2,9 @@
 
 All n-grams have one global order: those found to be frequent come last, by count; the rest go by hash. A pair at the
 threshold must share an n-gram in the first (1 - threshold) part of both sets, which gives candidates; lengths and the
-places of the shared n-gram bound the overlap of each. Sets also have parity bitmaps of BITS bits: two bitmaps differ in
-no more places than the sets do, which rules out most candidates before their n-grams are fetched. The order is then cut into
+places of the shared n-gram bound the overlap of each. Sets also have parity bitmaps, of two to four bits for an n-gram: two
+bitmaps differ in no more places than the sets do, which rules out most candidates before their n-grams are fetched; of
+two lengths, the longer one is folded. The order is then cut into
 FRAGMENTS, overlaps are counted for each fragment of a pair separately, and summed for each pair.
 
 Documents with equal sets are one node. Links are needed for components only, so first every node of an n-gram's bucket is
@@ -25,7 +26,9 @@ from lodestone.llm.components import components
 from lodestone.llm.textkit import blocks, gram_hashes, inside, mix, span_hashes, text_buffer, word_spans
 
 WORDS, NUM, DEN = 5, 75, 100
-FRAGMENTS, BITS = 8, 1024
+FRAGMENTS = 8
+#: Bits of the shortest and the longest bitmaps, powers of two. Larger sets have the longest, which bounds a batch.
+BITS = (64, 1 << 17)
 #: The order's tail: n-grams found HOT_LOCAL times or more in a chunk of CHUNK n-grams, the HOT_KEPT most frequent. They
 #: only decide the order, which any value leaves correct.
 HOT_LOCAL, HOT_KEPT, CHUNK = 3, 200_000, 4_000_000
@@ -95,6 +98,28 @@ def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return grams[o], n[o]
 
 
+def bitmaps(r: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.Array:
+    """Parity bitmaps of rows of n n-grams, given as (row, hash): the least power of two of 2 n bits or more, within BITS."""
+    width = np.minimum(np.maximum(2 ** np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64), BITS[0]), BITS[1])
+    first = np.concatenate(([0], np.cumsum(width)))
+    odd = np.bincount(first[r] + (h & (width[r] - 1).astype(np.uint64)).astype(np.int64), minlength=first[-1]) & 1
+    raw = np.packbits(odd.astype(np.uint8)).tobytes()
+    return pa.array([raw[a:z] for a, z in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist(), strict=True)], pa.binary())
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many places each two bitmaps differ, the longer one folded to the length of the other."""
+    lengths = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for pair in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths == pair).all(1))
+        sides = [np.frombuffer(b"".join([side[i] for i in at.tolist()]), np.uint64).reshape(len(at), -1) for side in (x, y)]
+        least = min(s.shape[1] for s in sides)
+        a, b = (np.bitwise_xor.reduce(s.reshape(len(at), -1, least), axis=1) for s in sides)
+        out[at] = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+    return out
+
+
 def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n, k1, k2, bits, prefix array<long>: set sizes, 128-bit set hashes, parity bitmaps, and the prefix in the
     global order.
@@ -115,10 +140,7 @@ def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.nda
                 k1 = total[first[1:]] - total[first[:-1]]
                 total = np.concatenate(([np.uint64(0)], np.cumsum(mix(h ^ np.uint64(0x13198A2E03707344)), dtype=np.uint64)))
                 k2 = total[first[1:]] - total[first[:-1]]
-                parity = np.zeros(b.num_rows * BITS, np.uint8)
-                odd = np.bincount(r * BITS + (h & np.uint64(BITS - 1)).astype(np.int64), minlength=len(parity)) if len(h) else parity
-                raw = np.packbits((odd & 1).astype(np.uint8)).tobytes()
-                bits = pa.array([raw[i : i + BITS // 8] for i in range(0, len(raw), BITS // 8)], pa.binary())
+                bits = bitmaps(r, h, n)
                 if len(grams) and len(h):
                     at = np.minimum(np.searchsorted(grams, h), len(grams) - 1)
                     weight = np.where(grams[at] == h, freq[at], 0)
@@ -151,10 +173,9 @@ def near_bitmaps(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("x_bits", "y_bits"))
-            apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            differ = apart(b.column("x_bits").to_pylist(), b.column("y_bits").to_pylist())
             total = b.column("nx").to_numpy() + b.column("ny").to_numpy()
-            yield b.select(["x", "y", "nx", "ny"]).filter(pa.array((NUM + DEN) * apart <= (DEN - NUM) * total))
+            yield b.select(["x", "y", "nx", "ny"]).filter(pa.array((NUM + DEN) * differ <= (DEN - NUM) * total))
 
     side = lambda c: bits.select(F.col("doc_id").alias(c), F.col("bits").alias(f"{c}_bits"))
     return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "x_bits", "y_bits").mapInArrow(test, "x long, y long, nx long, ny long")
@@ -177,7 +198,7 @@ def overlaps(spark: SparkSession, rows: DataFrame, pairs: DataFrame, scratch: Sc
                 raw = h.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(doc[r[heads]]), pa.array((key[heads] % FRAGMENTS).astype(np.int32)), pa.array([raw[8 * a : 8 * z] for a, z in zip(heads.tolist(), stops.tolist(), strict=True)], pa.binary())], ["doc_id", "fragment", "grams"])
 
-    parts = scratch.write(rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(cut, "doc_id long, fragment int, grams binary"), f"{name}-parts")
+    parts = scratch.write(rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(cut, "doc_id long, fragment int, grams binary"), f"{name}-parts")
     side = lambda c: parts.select(F.col("doc_id").alias(c), "fragment", F.col("grams").alias(f"{c}_grams"))
     wide = pairs.select("x", "y").withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).join(side("x"), ["x", "fragment"]).join(side("y"), ["y", "fragment"])
 
@@ -195,35 +216,38 @@ def join_components(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
 
     Null, empty and white-space texts have an empty set and are linked with nothing: their component is their own doc_id.
-    Rows that repeat a doc_id with another text each keep their row and set size; the doc_id has one component, found by one of
-    its texts. Further columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id with another text each keep their row and set size; the doc_id has one component, found by the
+    smallest of its texts and by texts equal to any of them. Further columns are ignored; an empty table gives no rows.
     """
     ship(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     rows = with_text(docs)
-    members, shared, bits = _shared_grams(spark, rows, scratch)
-    scratch.drop("prefixes")
+    # One text for each doc_id; texts are shuffled for that only where a doc_id is repeated.
+    one = rows if rows.groupBy("doc_id").count().where("count > 1").isEmpty() else scratch.write(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "one")
+    members, shared, bits = _shared_grams(spark, rows, one, scratch)
+    scratch.drop("prefixes", "all-prefixes")
     scratch.settle()
     # Equal sets are linked as they are.
     links = scratch.write(members.where("node <> doc_id").select(F.col("doc_id").alias("x"), F.col("node").alias("y")).distinct(), "equal")
     comps = components(scratch, links, "equal-components")
     for k, choose in enumerate((_hub_pairs("low"), _hub_pairs("high"), _all_pairs)):
-        links, comps = _grow(spark, rows, choose(shared, comps), bits, links, scratch, f"round-{k}")
+        links, comps = _grow(spark, one, choose(shared, comps), bits, links, scratch, f"round-{k}")
         scratch.settle()
     return members.join(comps.select("node", "component"), members["doc_id"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _shared_grams(spark: SparkSession, rows: DataFrame, one: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, node) of all rows, entries (gram, x, nx, px, entries, low, high) of prefix n-grams that several documents
     share (low and high are the entries of the bucket with the smallest and largest doc_id), and the bitmaps (doc_id, bits).
 
     In buckets of two or three entries those two meet all others, so such entries stay only where a pair is in bounds.
     """
     hot = hot_grams(rows)
-    pre = scratch.write(prefixes(spark, rows, hot), "prefixes")
+    pre = scratch.write(prefixes(spark, one, hot), "prefixes")
+    every = pre if one is rows else scratch.write(prefixes(spark, rows, hot), "all-prefixes")
     # Equal sets: one node each, the smallest doc_id.
-    nodes = pre.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
-    members = scratch.write(pre.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
+    nodes = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
+    members = scratch.write(every.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
     placed = pre.select(F.col("doc_id").alias("x"), F.col("n").cast("int").alias("nx"), F.posexplode("prefix").alias("px", "gram"))
     # Frequent n-grams are known to be shared; all others are few, so one window holds a bucket.
     hot_table = spark.createDataFrame(pa.table({"gram": signed(hot[0])})) if len(hot[0]) else spark.createDataFrame([], "gram long")
@@ -238,7 +262,7 @@ def _shared_grams(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> tup
     hubs = often.groupBy("gram").agg(F.count("*").alias("entries"), F.min(entry).alias("low"), F.max(entry).alias("high")).where("entries > 1")
     often = often.join(F.broadcast(hubs), "gram").select(*columns)  # HOT_KEPT rows at most
     useful = (F.col("entries") > 3) | _meets("low") | _meets("high")
-    bits = scratch.write(pre.where("n > 0").select("doc_id", "bits").dropDuplicates(["doc_id"]), "bits")
+    bits = scratch.write(pre.where("n > 0").select("doc_id", "bits"), "bits")
     return members, scratch.write(rare.unionByName(often).where(useful), "shared"), bits
 
 
