@@ -228,6 +228,31 @@ def test_ngram_join(spark, odd, none):
     assert ngram_join.join_components(spark, none).count() == 0
 
 
+def test_bitmaps():
+    """Folded bitmaps differ where an odd number of n-grams of one set or the other falls, whatever the two lengths."""
+    import numpy as np
+
+    sets = [np.unique(np.random.RandomState(k).randint(0, 1 << 62, size)).astype(np.uint64) for k, size in enumerate((0, 1, 30, 40, 5_000, 5_100, 100_000))]
+    sets += [np.sort(np.concatenate((sets[4][:-200], sets[5][:100])))]
+    n = np.array(list(map(len, sets)))
+    bits = ngram_join.bitmaps(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n).to_pylist()
+    assert [8 * len(b) for b in bits] == [64, 64, 64, 128, 16384, 16384, 131072, 16384]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1)]
+    got = ngram_join.apart([bits[i] for i, _ in pairs], [bits[j] for _, j in pairs])
+    for (i, j), value in zip(pairs, got.tolist(), strict=True):
+        width = np.uint64(8 * min(len(bits[i]), len(bits[j])))
+        differ = np.setxor1d(sets[i], sets[j])
+        assert value == (np.unique(differ % width, return_counts=True)[1] % 2).sum() <= len(differ)
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    """A doc_id with two texts keeps both rows; it is linked by the smallest of its texts, and by equal ones of either."""
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    rows = [(1, text("a")), (2, text("b")), (2, text("a")), (3, text("b")), (4, text("a") + " more"), (5, None), (5, text("c"))]
+    got = ngram_join.join_components(spark, spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 56, 1), (2, 56, 1), (2, 56, 1), (3, 56, 1), (4, 57, 1), (5, 0, 5), (5, 56, 5)]
+
+
 def test_components_of_long_chains(spark):
     from lodestone.llm.common import Scratch
     from lodestone.llm.components import components
