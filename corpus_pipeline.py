@@ -20,11 +20,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are depleted of lines their host repeats, go."""
-    docs = only(docs, *COLUMNS)
-    verdict = Scratch(spark, "stage-quality").write(line_rules.line_rules(docs).where("not kept").select("doc_id", F.coalesce("text_key", F.lit(0).cast("long")).alias("text_key")), "rejected")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    return without(keyed, verdict, ["doc_id", "text_key"]).drop("text_key")
+    """Documents that fail the base rules, or are depleted of lines their host repeats, go; such lines go from the others."""
+    return line_rules.clean(only(docs, *COLUMNS), Scratch(spark, "stage-quality"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -86,6 +86,12 @@ def with_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def same(left: DataFrame, right: DataFrame, keys: list[str] | tuple[str, ...], how: str) -> DataFrame:
+    """A join on equal keys where nulls equal each other; the keys are those of `left`."""
+    other = right.select(*(F.col(k).alias(f"_same_{k}") if k in keys else F.col(k) for k in right.columns))
+    return left.join(other, [F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys], how).drop(*(f"_same_{k}" for k in keys))
+
+
 #: Rows up to which a list of documents to drop is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_DROPS = 1_000_000
 

@@ -12,7 +12,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACE_CLASS, only
+from lodestone.llm.common import SPACE_CLASS, Scratch, only, same, without
 
 MIN_WORDS = 50
 #: A line is frequent on a host beyond this many documents and beyond this share of the host's documents.
@@ -51,44 +51,97 @@ def count_words(line: Column) -> Column:
     return F.size(words_of(line))
 
 
-def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """One row per row of `docs` (doc_id, source, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, n_frequent_words, n_frequent_lines.
+#: What a row is known by: doc_id, its host and the hash of its text.
+KEYS = ("doc_id", "host", "text_key")
+#: Places of frequent lines (and rows that have any) up to which they are broadcast; beyond, Spark shuffles both sides.
+BROADCAST_PLACES = 1_000_000
 
-    Null texts have no words and fail the base rules; a null source is a host of its own; rows that repeat a doc_id count
-    as one document of a line, and share their frequent words' sum only where doc_id and text agree; lines without a
-    word are never counted; an empty table gives no rows; further columns are ignored.
-    """
-    rows = only(docs, "doc_id", "source", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\u0000null")).alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    key = F.col("text_key")
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """`docs` with host (a null source is a host of its own) and text_key."""
+    return docs.withColumn("host", F.coalesce(F.col("source").cast("string"), F.lit("\u0000null"))).withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+
+
+def has_word(line: Column) -> Column:
+    return line.rlike("[^\\x20\\x09-\\x0D]")
+
+
+def lines_with_word(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), has_word)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    rows = with_keys(only(docs, "doc_id", "source", "text"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "host", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "text_key")
+
+
+def _per_doc(rows: DataFrame) -> DataFrame:
+    """Every distinct normalised line of a document, with all its words there."""
+    lines = rows.select(*KEYS, F.explode(lines_with_word(F.col("text"))).alias("line")).select(*KEYS, F.xxhash64(normal_line(F.col("line"))).alias("line"), count_words(F.col("line")).alias("words"))
+    return lines.groupBy(*KEYS, "line").agg(F.sum("words").alias("words"))
+
+
+def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+    """host, line (hash): normalised lines above the limits."""
+    rows = _rows(docs)
+    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    seen = _per_doc(rows).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
+    return seen.join(hosts, "host").where(F.col("n_docs") > F.lit(line_share) * F.col("host_docs")).select("host", "line")
+
+
+def judged(docs: DataFrame, frequent: DataFrame, left_share: float = LEFT_SHARE) -> DataFrame:
+    """The columns of line_rules, and host, for every row of `docs`."""
+    rows = _rows(docs)
     words, text = F.col("words"), F.col("text")
-    with_word = lambda t: F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    base = rows.select("doc_id", "source", "text", key, words_of(text).alias("words")).select(
-        "doc_id",
-        "source",
-        "text_key",
+    base = rows.select(*KEYS, "text", words_of(text).alias("words")).select(
+        *KEYS,
         F.size(words).cast("long").alias("n_words"),
         F.length(F.translate(text, " \t\n\u000b\u000c\r", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        let(with_word(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines_with_word(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(words).alias("n_repeat_words"),
     )
-    # Every distinct normalised line of a document, with all its words there.
-    lines = (
-        rows.select("doc_id", "source", key, F.explode(with_word(text)).alias("line"))
-        .select("doc_id", "source", "text_key", F.xxhash64(normal_line(F.col("line"))).alias("line"), count_words(F.col("line")).alias("words"))
-        .select("doc_id", "source", "text_key", "line", "words")
-    )
-    per_doc = lines.groupBy("doc_id", "source", "text_key", "line").agg(F.sum("words").alias("words"), F.count("*").alias("times"))
-    hosts = rows.groupBy("source").agg(F.count("*").alias("host_docs"))
-    frequent = (
-        per_doc.groupBy("source", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs).join(hosts, "source").where(F.col("n_docs") > F.lit(line_share) * F.col("host_docs")).select("source", "line")
-    )
-    hit = per_doc.join(frequent, ["source", "line"]).groupBy("doc_id", "source", "text_key").agg(F.sum("words").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
+    hit = _per_doc(rows).join(frequent, ["host", "line"]).groupBy(*KEYS).agg(F.sum("words").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = base.join(hit, ["doc_id", "source", "text_key"], "left").na.fill(0, ["n_frequent_words", "n_frequent_lines"]).withColumn("base_failed", failed)
+    out = base.join(hit, list(KEYS), "left").na.fill(0, ["n_frequent_words", "n_frequent_lines"]).withColumn("base_failed", failed)
     depleted = (F.col("n_words") - F.col("n_frequent_words")) < F.lit(left_share) * F.col("n_words")
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~depleted).alias("kept"), "n_frequent_words", "n_frequent_lines", "text_key")
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """One row per row of `docs` (doc_id, source, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    base_failed, kept, n_frequent_words, n_frequent_lines.
+
+    Null texts have no words and fail the base rules; a null source is a host of its own; rows that repeat a doc_id count
+    as one document of a line, and share their frequent words' sum only where doc_id and text agree; lines without a
+    word are never counted; an empty table gives no rows; further columns are ignored.
+    """
+    out = judged(docs, frequent_lines(docs, line_docs, line_share), left_share)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_frequent_words", "n_frequent_lines", "text_key")
+
+
+def clean(docs: DataFrame, scratch: Scratch, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """The kept rows of `docs` (doc_id, source, text, n_chars and further columns) without their lines above the limits:
+    n_words less n_frequent_words words are left in each text. All else of a text, and texts without such lines, stay as
+    they are.
+    """
+    frequent = scratch.write(frequent_lines(docs, line_docs, line_share), "frequent")
+    verdict = scratch.write(judged(docs, frequent, left_share).where("not kept or n_frequent_lines > 0").select(*KEYS, "kept"), "verdict")
+    kept = without(with_keys(docs), verdict.where("not kept"), list(KEYS))
+    # Lines are made again only of texts that have frequent ones, and only the places of those are shuffled.
+    listed = verdict.where("kept").select(*KEYS).distinct()
+    few = listed.count() <= BROADCAST_PLACES
+    lines = same(kept, F.broadcast(listed) if few else listed, KEYS, "left_semi").select(*KEYS, F.posexplode(F.split("text", "\n")).alias("place", "line")).where(has_word(F.col("line")))
+    found = lines.select(*KEYS, "place", F.xxhash64(normal_line(F.col("line"))).alias("line")).join(frequent, ["host", "line"], "left_semi")
+    places = scratch.write(found.groupBy(*KEYS).agg(F.sort_array(F.collect_set("place")).alias("places")), "places")
+    few = (places.agg(F.sum(F.size("places") + 1)).first()[0] or 0) <= BROADCAST_PLACES
+    joined = same(kept, F.broadcast(places) if few else places, KEYS, "left")
+    gone = F.col("places")
+    # The runs of lines between removed ones.
+    run = lambda lines: lambda k: let(F.when(k == 0, -1).otherwise(F.get(gone, k - 1)), lambda a: F.slice(lines, a + 2, F.coalesce(F.get(gone, k), F.size(lines)) - a - 1))
+    left = let(F.split("text", "\n"), lambda lines: F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone)), run(lines))), "\n"))
+    out = joined.withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(left))
+    return out.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(*docs.columns)
 
 
 LINE_RULES_SQL = f"""

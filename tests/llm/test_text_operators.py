@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 from lodestone.llm import fm_index, language, line_rules, ngram_join, site_style, substring_dedup, toxicity
-from lodestone.llm.common import load
+from lodestone.llm.common import Scratch, load
 from pyspark.sql import functions as F
 
 
@@ -97,6 +97,27 @@ def test_line_rules_stay_native(spark, odd):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_frequent_lines_go(spark, odd):
+    """Kept texts lose the lines above the limits and nothing else, as many words as line_rules counts."""
+    own = lambda k: " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(60))
+    text = lambda k: f"Share  page {k}\n{own(k)}\n\nSee all news\n tail {own(k)[:4]} \nshare PAGE 7\n" if k % 2 else f"{own(k)}\nSee all news"
+    rows = [(k, text(k), "en", "a", len(text(k)), "more") for k in range(30)] + [(100 + k, text(k), "en", None if k else "b", 1, "more") for k in range(3)]
+    rows += [(200, "See all news\n" * 60 + own(80), "en", "a", 1, "more"), (201, "See all news", "en", "a", 1, "more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, extra string")
+    out = line_rules.clean(df, Scratch(spark, "clean"), 5, 0.1, 0.3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.columns == df.columns and not re.search("Python|Pandas|Arrow", plan)
+    got = {r.doc_id: r for r in out.collect()}
+    assert set(got) == {*range(30), 100, 101, 102}
+    for k in range(30):
+        want = f"{own(k)}\n\n tail {own(k)[:4]} \n" if k % 2 else own(k)
+        assert (got[k].text, got[k].n_chars) == (want, len(want))
+    assert all((got[100 + k].text, got[100 + k].n_chars) == (text(k), 1) for k in range(3))
+    for r in line_rules.line_rules(df, 5, 0.1, 0.3).where("kept").collect():
+        assert len(words(got[r.doc_id].text)) == r.n_words - r.n_frequent_words
+    assert line_rules.clean(odd, Scratch(spark, "clean"), 5, 0.1, 0.3).columns == odd.columns
+
+
 # 5 and 9 ------------------------------------------------------------------------------------------------------------
 
 
