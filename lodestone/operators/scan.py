@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import ordinal, round_half_up
-from lodestone.operators.search import to_lines
+from lodestone.operators.search import to_lines, whole_text
 
 SEVERITIES = ("critical", "warning", "info")
 CONFIDENCES = ("high", "medium", "low")
@@ -45,7 +45,8 @@ def _map(of: Column, values: dict[str, float], other: float) -> Column:
 def scan_lines(files: DataFrame, rules: list[Rule], path: str = "path", content: str = "content") -> DataFrame:
     """path, line_no, text, rule_id, severity, category, confidence, cwe: one row for a rule and line at most."""
     any_ = "|".join(f"(?:{r.pattern})" for r in rules)
-    lines = to_lines(files.where(F.col(content).rlike(any_)), path, content).where(F.col("text").rlike(any_))
+    hit = files.where(F.col(content).rlike(any_)) if all(whole_text(r.pattern) for r in rules) else files
+    lines = to_lines(hit, path, content).where(F.col("text").rlike(any_))
 
     def arm(r: Rule) -> Column:
         ok = F.col("text").rlike(r.pattern)

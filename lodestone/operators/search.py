@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +15,26 @@ def to_lines(files: DataFrame, path: str = "path", content: str = "content") ->
     return files.select(F.col(path).alias("path"), F.posexplode(split_lines(F.col(content))).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
+#: Escaped characters and character classes; what depends on where a line starts or ends, or on how far a part of a match
+#: runs: anchors, lookarounds, atomic groups, possessive quantifiers, comments.
+ATOMS = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.DOTALL)
+LINE_BOUND = re.compile(r"[\^$]|\(\?(?:<?[=!]|>|[A-Za-z]*[xX])|[*+?}]\+")
+BOUND_ESCAPES = re.compile(r"\\(?:[AzZGQRXn]|b\{)")
+
+
+def whole_text(pattern: str) -> bool:
+    """A text that has a line with a match has a match itself, so that texts can be tested before lines are made. (?m) doesn't
+    give that for anchors: `\\r$` and `^$` match lines of texts that they don't match then."""
+    return not BOUND_ESCAPES.search(pattern.replace("\\\\", "")) and not LINE_BOUND.search(ATOMS.sub("_", pattern))
+
+
 def search(files: DataFrame, query: str, path: str = "path", content: str = "content", **how) -> DataFrame:
     """path, line_no, text, n: lines with matches and their counts. Whole texts without a match are skipped before lines
-    are made, so cost follows the matches."""
+    are made where the pattern allows it, so cost follows the matches."""
     pattern = search_pattern(query, **how)
     if pattern is None:
         return to_lines(files.limit(0), path, content).withColumn("n", F.lit(0).cast("long"))
-    hit = files.where(F.col(content).rlike(pattern)) if "\\n" not in pattern and not pattern.startswith(("^", "(?i)^")) else files
+    hit = files.where(F.col(content).rlike(pattern)) if whole_text(pattern) else files
     lines = to_lines(hit, path, content)
     return lines.where(F.col("text").rlike(pattern)).withColumn("n", F.size(F.regexp_extract_all("text", F.lit(pattern), 0)).cast("long"))
 

@@ -31,6 +31,18 @@ def test_lines_and_context(spark):
     assert search.search(f, " ").count() == 0
 
 
+def test_patterns_bound_to_lines(spark):
+    """Anchors and the like hold for lines, whatever the other lines of a text are."""
+    text = "a motion\nbar one\nx\ny\r\n\nlast foo\n"
+    f = spark.createDataFrame([("a", text), ("b", "foo")], "path string, content string")
+    for query, want in (("tion$", [1]), ("(?:^a|zz)", [1]), ("^$", [5, 7]), (r"\r$", [4]), (r"e\Z", [2]), (r"\Ab", [2]), ("x(?!\\s)", [3]), ("x[^y]*+$", [3]), ("[^$^]tion", [1]), (r"\\Z|one", [2])):
+        got = search.search(f.where("path = 'a'"), query, regex=True, case_sensitive=True)
+        assert [r.line_no for r in got.orderBy("line_no").collect()] == want, query
+    rules = [scan.Rule("end", "one$", "info", "style"), scan.Rule("start", "^last", "info", "style")]
+    assert values(scan.scan_lines(f, rules), "path", "line_no", "rule_id") == [("a", 2, "end"), ("a", 6, "start")]
+    assert [search.whole_text(p) for p in ("[#*$%&]{3,}", r"(?i)\bthe\b", r"a\$", "a$", "(?m)a|^b", r"\Aa", "[a]$", "(?<=a)b", r"\\\\A")] == [True, True, True, False, False, False, False, False, True]
+
+
 def test_upsert(spark):
     base = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, content string")
     new = spark.createDataFrame([("a", "9", False), ("b", None, True), ("c", "3", False)], "path string, content string, removed boolean")
