@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +57,12 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def depths(spark: SparkSession, edges: DataFrame, entries: DataFrame, limit: int = 50) -> DataFrame:
+def depths(spark: SparkSession, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """node, depth: shortest hops from each entry (node), the largest of those over all entries; entries at 0 left out."""
     e = edges.select("src", "dst").distinct()
     seen = cut(spark, entries.select(F.col("node").alias("entry"), "node").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for step in range(1, limit + 1):
+    for step in count(1):  # ends, as pairs that were seen don't come again
         new = front.join(e, F.col("node") == F.col("src")).select("entry", F.col("dst").alias("node")).distinct().join(seen.select("entry", "node"), ["entry", "node"], "left_anti")
         front = cut(spark, new.withColumn("depth", F.lit(step)))
         if front.isEmpty():

@@ -86,6 +86,11 @@ def test_graph(spark):
     assert graph.components(spark, e.limit(0)).count() == 0
 
 
+def test_depths_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(60, 55)], "src long, dst long")
+    assert values(graph.depths(spark, chain, spark.createDataFrame([(0,)], "node long")), "node", "depth") == [(k, k) for k in range(1, 61)]
+
+
 def test_sessions(spark):
     t = dt.datetime(2024, 1, 7, 12)
     c = spark.createDataFrame([("a", t), ("a", t + dt.timedelta(minutes=119)), ("a", t + dt.timedelta(minutes=239)), ("b", t)], "author string, ts timestamp_ntz")
