@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,18 +39,19 @@ def rate_limited(events: DataFrame, key: str, limit: int = 60, seconds: int = 60
     """key, ts, allowed: windows start with a key's first event and last `seconds`; the first `limit` events in one are
     allowed. Each key is folded in time order (windows depend on what came before)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us", kind="stable")
-        start, n, ok = None, 0, []
-        for us in pdf["us"]:
-            if start is None or us >= start + seconds * 1_000_000:
-                start, n = us, 0
-            n += 1
-            ok.append(n <= limit)
-        return pd.DataFrame({"key": pdf["key"], "us": pdf["us"], "allowed": ok})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, start, n = (), None, 0  # the key at hand and its window, carried from batch to batch
+        for b in batches:
+            ok = []
+            for k, us in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if (k,) != last or us is not None and us >= start + seconds * 1_000_000:
+                    last, start, n = (k,), us, 0
+                n += 1
+                ok.append(n <= limit)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["key", "us", "allowed"])
 
     rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.groupBy("key").applyInPandas(run, "key string, us long, allowed boolean")
+    return rows.repartition("key").sortWithinPartitions("key", F.col("us").asc_nulls_last()).mapInArrow(run, "key string, us long, allowed boolean")
 
 
 def rate_limited_stream(events: DataFrame, key: str, limit: int = 60, seconds: int = 60) -> DataFrame:

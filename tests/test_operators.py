@@ -149,3 +149,22 @@ def test_streams(spark, tmp_path):
     limited = streams.drained(streams.rate_limited_stream(stream(), "user_id", 2, 3600), "rate_test", str(tmp_path / "c"), "update")
     want = streams.rate_limited(batch, "user_id", 2, 3600).where("allowed").count()
     assert limited.agg(F.sum("allowed")).first()[0] == want
+
+
+def test_rate_limit_carries_windows(spark):
+    """Windows go on over batches; no task holds all events of a key."""
+    t = dt.datetime(2024, 1, 1)
+    rows = [("hot", t + dt.timedelta(seconds=(k * 7) % 1000)) for k in range(1000)] + [(None, t), (None, t), (None, t + dt.timedelta(seconds=90))]
+    events = spark.createDataFrame(rows, "who string, ts timestamp")
+    limited = streams.rate_limited(events, "who", 5, 60)
+    plan = limited._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((r.key or "", r.us, r.allowed) for r in limited.collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    first = min(us for key, us, _ in got if key)
+    assert [(key, us) for key, us, ok in got if key and ok] == [("hot", first + 1_000_000 * (60 * w + j)) for w in range(17) for j in range(5)]
+    assert [ok for key, _, ok in got if not key] == [True] * 3 and len(got) == 1003
