@@ -10,7 +10,9 @@ siblings once. For every node two kinds of importance are taken from entropies o
 
 A node's importance is its content importance, with DAMPING of its presentation importance mixed in. Nodes with text under
 MIN_IMPORTANCE are removed from each page of the host (so a branch goes where all of its texts do), besides branches
-whose element or class says what they are (fixed lists). Nodes that fewer than MIN_PAGES pages have are left alone.
+whose element or class says what they are (fixed lists). The fewer pages have a node, the less is known of it: its content
+importance is shrunk towards 1 as if one more page with a text of its own there had been seen. So texts that all pages share
+go from four pages on. Pages of a host with the same text count once.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import only, ship
 
-MIN_IMPORTANCE, MIN_PAGES, DAMPING = 0.2, 10, 0.1
+MIN_IMPORTANCE, DAMPING = 0.2, 0.1
 #: Rows of removed paths up to which they are broadcast; beyond, Spark joins by host.
 BROADCAST_PATHS = 200_000
 
@@ -165,18 +167,21 @@ def blocks_of(page: str) -> Iterator[tuple[Node, bool, str]]:
     yield from flush()
 
 
-def tree_rows(page: str) -> list[tuple[int, int, int]]:
-    """(path key, kind, feature) of a page, each once: kind 0 child sequences, 1 texts, 2 the node itself."""
+def tree_rows(page: str) -> tuple[int, list[int]]:
+    """Key of a page's text, and path key, kind, feature, path key, ... of the page, each once: kind 0 child sequences, 1
+    texts, 2 the node itself."""
     rows: dict[tuple[int, int, int], None] = {}
     for event, node, _ in walk(page):
         if event == "close" and node.tag in BLOCK and not node.dropped:
             key = path_key(node.path)
             rows[key, 0, path_key("|".join(node.kids))] = None
             rows[key, 2, 0] = None
+    whole = xxhash.xxh64()
     for node, _, text in blocks_of(page):
+        whole.update(text + "\n")
         rows[path_key(node.path), 1, path_key(text)] = None
         rows[path_key(node.path), 2, 0] = None
-    return list(rows)
+    return whole.intdigest() - (1 << 63), [x for r in rows for x in r]
 
 
 def main_text(page: str | None, removed: set[int]) -> str:
@@ -194,18 +199,25 @@ def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """host, path, n_pages, content, presentation, importance of the nodes of each host's tree; pages: (host, html)."""
     ship(spark)
 
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [tree_rows(page or "") for page in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int64()))], ["host", "key", "rows"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple, int] = {}  # a page adds 1 to each of its features; summed here before the shuffle
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for r in tree_rows(page or ""):
-                    key = (host, *r)
+            for host, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for key in zip(r[::3], r[1::3], r[2::3], strict=True):
+                    key = (host, *key)
                     sums[key] = sums.get(key, 0) + 1
             cols = [list(c) for c in zip(*((*k, n) for k, n in sums.items()), strict=True)] or [[] for _ in range(5)]
             kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "path", "kind", "feature", "n"])
 
-    rows = pages.select("host", "html").mapInArrow(run, "host string, path long, kind int, feature long, n long")
+    # One page for each text of a host: copies are no further evidence.
+    once = pages.select("host", "html").mapInArrow(parse, "host string, key long, rows array<long>").groupBy("host", "key").agg(F.min("rows").alias("rows"))
+    rows = once.select("host", "rows").mapInArrow(run, "host string, path long, kind int, feature long, n long")
     counts = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
     n = F.col("n").cast("double")
     per = counts.groupBy("host", "path").agg(
@@ -218,8 +230,9 @@ def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:
     m = F.ln(F.greatest(F.col("n_pages"), F.lit(2)).cast("double"))
     presentation = F.when(F.col("sequences") > 0, (F.ln("sequences") - F.col("sequence_logs") / F.col("sequences")) / m).otherwise(0.0)
     content = F.when(F.col("texts") > 0, F.greatest(1 - F.col("text_logs") / (F.col("texts") * m), F.lit(0.0)))
-    return per.select("host", "path", "n_pages", F.when(F.col("n_pages") < MIN_PAGES, 1.0).otherwise(content).alias("content"), presentation.alias("presentation")).withColumn(
-        "importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - DAMPING) * F.col("content") + DAMPING * F.col("presentation"))
+    shrunk = 1 - (1 - F.col("content")) * F.col("n_pages") / (F.col("n_pages") + 1)
+    return per.select("host", "path", "n_pages", content.alias("content"), presentation.alias("presentation")).withColumn(
+        "importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - DAMPING) * shrunk + DAMPING * F.col("presentation"))
     )
 
 

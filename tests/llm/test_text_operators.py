@@ -46,6 +46,15 @@ def test_template_branches_go(spark):
     assert sorted(round(r.content, 6) for r in tree) == [0.0, 1.0]
 
 
+def test_small_hosts_are_judged(spark):
+    """Shared texts go on hosts of a few pages too; copies of one page are no evidence."""
+    page = lambda h, k, j: (k, f"http://{h}/{k}", f"<body><div class='q7'>Welcome to this site</div><div class='z1'>Story {j} {h} is told</div></body>")
+    rows = [page("four.example", k, k) for k in range(4)] + [page("nine.example", k, k) for k in range(10, 19)] + [page("copies.example", k, k % 3) for k in range(20, 50)]
+    got = {r.page_id: r.text for r in site_style.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == "Story 2 four.example is told" and got[11] == "Story 11 nine.example is told"
+    assert got[21] == "Welcome to this site\n\nStory 0 copies.example is told" and len(got) == 43
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
