@@ -185,14 +185,16 @@ def tree_rows(page: str) -> tuple[int, list[int]]:
 
 
 def main_text(page: str | None, removed: set[int]) -> str:
-    """Blocks outside dropped and removed branches, joined by an empty line; those of <article> or <main> if there are
-    any. A page that would lose every block so keeps them."""
+    """Blocks outside dropped and removed branches, joined by an empty line; those of <article> or <main> only if they
+    hold at least half of the characters. A page that would lose every block so keeps them."""
     if not page:
         return ""
     found = [(node.path, own, text) for node, own, text in blocks_of(page)]
     left = [x for x in found if path_key(x[0]) not in removed] if removed else found
     left = left or found
-    return "\n\n".join([t for _, own, t in left if own] or [t for _, _, t in left])
+    inside = [t for _, own, t in left if own]
+    most = 2 * sum(map(len, inside)) >= sum(len(t) for _, _, t in left)
+    return "\n\n".join(inside if most else [t for _, _, t in left])
 
 
 def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:

@@ -55,6 +55,14 @@ def test_small_hosts_are_judged(spark):
     assert got[21] == "Welcome to this site\n\nStory 0 copies.example is told" and len(got) == 43
 
 
+def test_articles_that_hold_little(spark):
+    """Cards in <article> don't replace a story outside; a story in <article> stands alone."""
+    story = "A long story that is told in a division of its own, with many words."
+    page = f"<body><div class='z1'>{story}</div><article class=card><a href=/x>Other news</a></article></body>"
+    assert site_style.main_text(page, set()) == f"{story}\n\nOther news"
+    assert site_style.main_text(page.replace(story, "Short").replace("Other news", story), set()) == story
+
+
 # 4 ------------------------------------------------------------------------------------------------------------------
 
 
