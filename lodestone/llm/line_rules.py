@@ -101,9 +101,12 @@ def judged(docs: DataFrame, frequent: DataFrame, left_share: float = LEFT_SHARE)
         let(lines_with_word(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(words).alias("n_repeat_words"),
     )
-    hit = _per_doc(rows).join(frequent, ["host", "line"]).groupBy(*KEYS).agg(F.sum("words").alias("n_frequent_words"), F.count("*").alias("n_frequent_lines"))
+    hit = _per_doc(rows).join(frequent, ["host", "line"]).groupBy(*KEYS).agg(F.sum("words").alias("all_words"), F.count("*").alias("n_frequent_lines"))
+    # Equal rows lie together there: each has its share of the words.
+    equal = rows.groupBy(*KEYS).agg(F.count("*").alias("rows"))
+    hit = same(hit, equal, KEYS, "left").select(*KEYS, F.expr("all_words div rows").alias("n_frequent_words"), "n_frequent_lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = base.join(hit, list(KEYS), "left").na.fill(0, ["n_frequent_words", "n_frequent_lines"]).withColumn("base_failed", failed)
+    out = same(base, hit, KEYS, "left").na.fill(0, ["n_frequent_words", "n_frequent_lines"]).withColumn("base_failed", failed)
     depleted = (F.col("n_words") - F.col("n_frequent_words")) < F.lit(left_share) * F.col("n_words")
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
@@ -113,7 +116,7 @@ def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
     base_failed, kept, n_frequent_words, n_frequent_lines.
 
     Null texts have no words and fail the base rules; a null source is a host of its own; rows that repeat a doc_id count
-    as one document of a line, and share their frequent words' sum only where doc_id and text agree; lines without a
+    as one document of a line, and have the frequent words of their own text each; lines without a
     word are never counted; an empty table gives no rows; further columns are ignored.
     """
     out = judged(docs, frequent_lines(docs, line_docs, line_share), left_share)

@@ -135,6 +135,15 @@ def test_frequent_lines_go(spark, odd):
     assert line_rules.clean(odd, Scratch(spark, "clean"), 5, 0.1, 0.3).columns == odd.columns
 
 
+def test_equal_rows_count_their_own_words(spark):
+    """A row that is given twice has the same numbers as if given once."""
+    own = " ".join(f"w{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(60))
+    rows = [(k, "a", "\n".join(["one two three four five six seven eight"] * 4 + [f"{own} x{chr(97 + k)}"])) for k in range(10)]
+    df = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, source string, text string")
+    got = sorted((r.doc_id, r.n_frequent_words, r.n_frequent_lines, r.kept) for r in line_rules.line_rules(df, 5, 0.1, 0.3).collect())
+    assert got == sorted((k, 32, 1, True) for k in [*range(10), 3, 3])
+
+
 # 5 and 9 ------------------------------------------------------------------------------------------------------------
 
 
