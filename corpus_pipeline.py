@@ -34,13 +34,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one with the smallest doc_id."""
+    """One document of each group of near copies stays, the one with the smallest doc_id. Other texts of a doc_id are
+    documents of their own."""
     docs = only(docs, *COLUMNS)
     scratch = Scratch(spark, "stage-near")
-    verdict = scratch.write(ngram_join.join_components(spark, docs, scratch), "verdict")
-    kept = without(docs, verdict.where("component_id <> doc_id"), ["doc_id"])
-    repeated = verdict.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if repeated else kept.dropDuplicates(["doc_id"])
+    rows = with_text(docs)
+    if ngram_join.unique_ids(rows):
+        verdict = scratch.write(ngram_join.join_components(spark, docs, scratch), "verdict")
+        return without(docs, verdict.where("component_id <> doc_id"), ["doc_id"])
+    table = ngram_join.text_components(spark, rows, scratch)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")
+    stays = table.groupBy("component").agg(F.min(order)["node"].alias("stays"))
+    verdict = scratch.write(table.join(stays, "component").where("node <> stays").select("node"), "verdict")
+    return without(docs.withColumn("node", ngram_join.text_node()), verdict, ["node"]).dropDuplicates(["node"]).drop("node")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -97,6 +97,6 @@ BROADCAST_DROPS = 1_000_000
 
 
 def without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of `docs` that aren't listed; texts are shuffled only where the list is long."""
+    """Rows of `docs` that aren't listed, where nulls equal each other; texts are shuffled only where the list is long."""
     listed = dropped.select(*keys).distinct()
-    return docs.join(F.broadcast(listed) if listed.count() <= BROADCAST_DROPS else listed, keys, "left_anti").select(*docs.columns)
+    return same(docs, F.broadcast(listed) if listed.count() <= BROADCAST_DROPS else listed, keys, "left_anti").select(*docs.columns)

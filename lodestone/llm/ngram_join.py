@@ -216,22 +216,52 @@ def join_components(spark: SparkSession, docs: DataFrame, scratch: Scratch | Non
     """doc_id, n_shingles, component_id for every row of `docs` (doc_id, text).
 
     Null, empty and white-space texts have an empty set and are linked with nothing: their component is their own doc_id.
-    Rows that repeat a doc_id with another text each keep their row and set size; the doc_id has one component, found by the
-    smallest of its texts and by texts equal to any of them. Further columns are ignored; an empty table gives no rows.
+    Rows that repeat a doc_id with another text each keep their row and set size; the doc_id has one component, found by all
+    of its texts. Rows with a null doc_id are documents of their own: their component is the smallest doc_id they are linked
+    with, or null. Further columns are ignored; an empty table gives no rows.
     """
     ship(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     rows = with_text(docs)
-    # One text for each doc_id; texts are shuffled for that only where a doc_id is repeated.
-    one = rows if rows.groupBy("doc_id").count().where("count > 1").isEmpty() else scratch.write(rows.groupBy("doc_id").agg(F.min("text").alias("text")), "one")
-    members, shared, bits = _shared_grams(spark, rows, one, scratch)
+    if unique_ids(rows):
+        return _components(spark, rows, scratch)
+    table = text_components(spark, rows, scratch)
+    first = table.groupBy("component").agg(F.min("doc_id").alias("first"))
+    table = scratch.write(table.join(first, "component").withColumn("start", F.coalesce("doc_id", "first")), "by-document")
+    links = scratch.write(table.where("first <> doc_id").select(F.col("doc_id").alias("x"), F.col("first").alias("y")).distinct(), "documents")
+    comps = components(scratch, links, "document-components").select(F.col("node").alias("start"), F.col("component").alias("end"))
+    return table.join(comps, "start", "left").select("doc_id", "n_shingles", F.coalesce("end", "start").alias("component_id"))
+
+
+def unique_ids(rows: DataFrame) -> bool:
+    return rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
+
+
+def text_node() -> Column:
+    """The node of a doc_id with one of its texts."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("text").cast("string"))
+
+
+def text_components(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, node, n_shingles, component (a node) of every row (doc_id, text), where rows of one doc_id with other texts
+    are nodes of their own. Texts are shuffled to take equal rows once."""
+    ship(spark)
+    nodes = rows.select("doc_id", text_node().alias("node"))
+    one = scratch.write(rows.select(text_node().alias("doc_id"), "text").dropDuplicates(["doc_id"]), "nodes")
+    found = _components(spark, one, scratch).select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("component"))
+    return scratch.write(nodes.join(found, "node").select("doc_id", "node", "n_shingles", "component"), "by-text")
+
+
+def _components(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """The columns of join_components for rows whose doc_ids are unique."""
+    members, shared, bits = _shared_grams(spark, rows, rows, scratch)
     scratch.drop("prefixes", "all-prefixes")
     scratch.settle()
     # Equal sets are linked as they are.
     links = scratch.write(members.where("node <> doc_id").select(F.col("doc_id").alias("x"), F.col("node").alias("y")).distinct(), "equal")
     comps = components(scratch, links, "equal-components")
     for k, choose in enumerate((_hub_pairs("low"), _hub_pairs("high"), _all_pairs)):
-        links, comps = _grow(spark, one, choose(shared, comps), bits, links, scratch, f"round-{k}")
+        links, comps = _grow(spark, rows, choose(shared, comps), bits, links, scratch, f"round-{k}")
         scratch.settle()
     return members.join(comps.select("node", "component"), members["doc_id"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from lodestone.llm import queries
+from lodestone.llm import ngram_join, queries
 from lodestone.llm.common import load
 from test_text_operators import brute_components, brute_dedup, brute_rules
 from tokenizers import Tokenizer
@@ -71,3 +71,17 @@ def test_clean_documents_stay(spark, sf):
         out = stage(spark, out, sf)
     kept = {r.doc_id: r.text for r in out.where("doc_id >= 10000000").collect()}
     assert kept == {d: t for d, t, *_ in own}
+
+
+def test_repeated_and_null_ids(spark, sf):
+    """Texts with one id, or none, are documents of their own; rejected rows with a null id go."""
+    text = lambda k: " ".join(f"{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(80))
+    rows = [(1, text(0)), (1, text(1)), (2, text(1) + " end"), (2, text(1) + " end"), (3, text(2)), (None, text(3)), (None, text(4)), (None, text(2) + " end"), (5, text(5))]
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    order = lambda found: sorted(found, key=str)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    assert order((r.doc_id, r.text) for r in got) == order([(1, text(0)), (1, text(1)), (3, text(2)), (None, text(3)), (None, text(4)), (5, text(5))])
+    joined = ngram_join.join_components(spark, docs).collect()
+    assert order((r.doc_id, r.component_id) for r in joined) == order([(1, 1), (1, 1), (2, 1), (2, 1), (3, 3), (None, None), (None, None), (None, 3), (5, 5)])
+    short = spark.createDataFrame([(None, "too short", "en", "a", 9), (None, text(6), "en", "a", 9)], docs.schema)
+    assert [r.text for r in corpus_pipeline.quality_rules(spark, short, sf).collect()] == [text(6)]
