@@ -15,13 +15,20 @@ from pyspark.sql import functions as F
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 
 
+#: Settings of Arrow batches: Spark's default and ours.
+ARROW_BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4m"))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, and keep Arrow batches of long texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    """Send this package to the executors once per application, and keep Arrow batches of long texts small where the session
+    has Spark's defaults for them."""
+    for key, usual, ours in ARROW_BATCHES:
+        if spark.conf.get(key) == usual:
+            spark.conf.set(key, ours)
     sc = spark.sparkContext
     if getattr(sc, "_lodestone_shipped", False):
         return
@@ -38,9 +45,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestone-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"

@@ -9,38 +9,30 @@ from lodestone.llm.common import Scratch
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
-    """links: (x, y) of longs -> (node, component): every linked node with the smallest node it reaches.
+    """links: (x, y) of longs, a written table -> (node, component): every linked node with the smallest node it reaches.
 
     Each round points every node at the smallest of itself and its neighbours, follows the pointers to their ends (the
-    ways halve with each step), and replaces the links by links between those ends. Rounds end when no link is left.
+    ways shrink to a quarter with each step), and replaces the links by links between those ends. Rounds end when no link is left.
     """
-    labels = None
-    edges = scratch.write(links.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{name}-edges-0")
-    k = 0
+    labels, k = None, 0
+    edges = links.where("x <> y").select("x", "y")
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
         near = both.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("node"), F.least("x", "y").alias("to"))
         near = scratch.write(near, f"{name}-near-{k}")
         step = 0
         while True:
-            ahead = near.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
-            moved = near.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"), (F.coalesce("beyond", "to") != F.col("to")).alias("moved"))
-            near = scratch.write(moved, f"{name}-points-{k}-{step}")
+            hop = lambda c: near.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
+            twice = near.join(hop("to"), "to").join(hop("to_to"), "to_to").select("node", F.col("to_to_to").alias("end"), (F.col("to_to_to") != F.col("to")).alias("moved"))
+            near = scratch.write(twice.select("node", F.col("end").alias("to"), "moved"), f"{name}-points-{k}-{step}")
             step += 1
             if near.where("moved").isEmpty():
                 break
             near = near.drop("moved")
         to = lambda c: near.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        ends = edges.join(to("x"), "x").join(to("y"), "y").select(F.col("x_to").alias("x"), F.col("y_to").alias("y")).where("x <> y")
         k += 1
-        edges = scratch.write(
-            edges.join(to("x"), "x", "left")
-            .join(to("y"), "y", "left")
-            .select(F.coalesce("x_to", "x").alias("x"), F.coalesce("y_to", "y").alias("y"))
-            .where("x <> y")
-            .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-            .distinct(),
-            f"{name}-edges-{k}",
-        )
+        edges = scratch.write(ends.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), f"{name}-edges-{k}")
         if labels is None:
             labels = near.select("node", F.col("to").alias("component"))
         else:

@@ -31,13 +31,13 @@ class BitVector:
 
 
 class FMIndex:
-    """text: symbols from 1, with 0 as a separator after each sequence."""
+    """text: symbols from 1, with 0 as a separator after each sequence. weights: how often each place counts (1 if not given)."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, weights: np.ndarray | None = None):
         n = len(text)
         self.n = n
         rank = text.astype(np.int64)
-        step = 1
+        step, ahead = 1, None
         while step < ORDER and n:
             ahead = np.zeros(n, np.int64)
             ahead[: n - step] = rank[step:] + 1 if step < n else 0
@@ -45,8 +45,12 @@ class FMIndex:
             step *= 2
             if len(values) == n:
                 break
+        del ahead
         order = np.argsort(rank, kind="stable")
-        symbols = text[order - 1].astype(np.int64)
+        del rank
+        self.total = np.arange(n + 1) if weights is None else np.concatenate(([0], np.cumsum(weights[order], dtype=np.int64)))
+        symbols = text[order - 1].astype(np.int32)
+        del order
         self.sigma = int(text.max(initial=0)) + 1
         counts = np.bincount(text, minlength=self.sigma)
         self.levels: list[tuple[int, BitVector]] = []
@@ -71,10 +75,10 @@ class FMIndex:
         return both[:k] + off, both[k:] + off
 
     def shared_from(self, text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Backward searches of text[first..last] until fewer than two places are left.
+        """Backward searches of text[first..last] until places of a weight under two are left.
 
         Returns the position at which each search stopped, or first - 1 where the whole pattern is found twice or more:
-        text[result + 1..last] is the longest suffix that occurs at two places.
+        text[result + 1..last] is the longest suffix that occurs twice.
         """
         stop = first - 1
         alive = np.arange(len(first))
@@ -82,25 +86,28 @@ class FMIndex:
         at = last.copy()
         while len(alive):
             low, high = self.extend(text[at].astype(np.int64), low, high)
-            ok = high - low >= 2
+            ok = self.total[high] - self.total[low] >= 2
             stop[alive[~ok]] = at[~ok]
             go = ok & (at > first[alive])
             alive, low, high, at = alive[go], low[go], high[go], at[go] - 1
         return stop
 
 
-def repeated_windows(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of `width` symbols that occur at two places or more in all sequences.
+def repeated_windows(text: np.ndarray, starts: np.ndarray, windows: np.ndarray, width: int, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of `width` symbols that occur twice or more in all sequences.
 
-    Sequence p has `windows[p]` windows from text[starts[p]]. Returns (sequence, window), both ascending. From matching
+    Sequence p has `windows[p]` windows from text[starts[p]], up to the next separator, and stands for `counts[p]` equal ones
+    (1 if not given). Returns (sequence, window), both ascending. From matching
     statistics: a window is tested by one backward search; where it stops at j, all windows that hold [j..end] are
     passed over. Where it is found, twice as many windows are tested by the next search.
     """
-    index = FMIndex(text)
+    counts = np.ones(len(starts), np.int64) if counts is None else counts
+    index = FMIndex(text, np.repeat(counts, np.diff(np.append(starts, len(text)))) if len(starts) and starts[0] == 0 else None)
     longest = ORDER - width + 1
     found_p, found_from, found_to = [], [], []
     p = np.arange(len(starts))
-    at, many = np.zeros(len(starts), np.int64), np.ones(len(starts), np.int64)
+    # Sequences that count twice are likely to be found whole.
+    at, many = np.zeros(len(starts), np.int64), np.where(counts > 1, np.minimum(windows, longest), 1)
     while len(p):
         first = starts[p] + at
         last = first + many + width - 2

@@ -1,11 +1,11 @@
 """Language identification by bit-sliced Bloom filters over n-grams.
 
-One array of slots serves all languages: bit L of a slot belongs to language L's filter. An n-gram's slots, and-ed, give
+Arrays of slots serve all languages, 63 of them each: bit L of a slot belongs to language L's filter. An n-gram's slots, and-ed, give
 all languages that contain it in one lookup. A text's n-grams are counted for each language (a popcount for each bit),
 the counts are corrected by each filter's false-positive rate, and the language that holds the largest share wins.
 
-N-grams are runs of GRAM bytes of the A-Z lower-cased text, so they are 32-bit integers. The filters have SLOTS slots
-whatever the input; the counts that decide which n-grams enter cover every learning document.
+N-grams are runs of GRAM bytes of the A-Z lower-cased text, so they are 32-bit integers. The filters have SLOTS_A_GRAM
+slots for each n-gram in them, within SLOTS; the counts that decide which n-grams enter cover every learning document.
 """
 
 from __future__ import annotations
@@ -17,14 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, ship
-from lodestone.llm.textkit import blocks, mix, text_buffer
+from lodestone.llm.common import Scratch, only, ship
+from lodestone.llm.textkit import blocks, lean, mix, text_buffer
 
-GRAM, SLOTS, HASHES = 4, 1 << 22, 3
+GRAM, HASHES = 4, 3
+#: Slots for each n-gram of the filters, and the fewest and most slots (powers of two; the most bounds what is broadcast).
+SLOTS_A_GRAM, SLOTS = 8, (1 << 16, 1 << 24)
 #: An n-gram enters a language's filter if it is found this often there, and at this share of its highest rate anywhere.
 MIN_COUNT, MIN_RATE = 3, 0.1
-#: Language bits of a slot.
-MAX_LANGS = 63
+#: Language bits of a slot's word.
+WORD = 63
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[9:14] = 32
@@ -80,44 +82,42 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             u, n = held[lang][0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(u)), pa.array(u.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    return docs.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(spark: SparkSession, docs: DataFrame, slots: int = SLOTS, hashes: int = HASHES) -> tuple[list[str], np.ndarray]:
-    """Languages (ascending) and slots, from `docs` (lang, text) without null langs.
+def learn(spark: SparkSession, docs: DataFrame, slots: int | None = None, hashes: int = HASHES) -> tuple[list[str], np.ndarray]:
+    """Languages (ascending) and filters (a row of slots for each WORD languages), from `docs` (lang, text).
 
-    At most `slots` rows come to the driver. No learning rows give no languages.
+    Rows without a lang or text aren't learned from. One row for each filled slot comes to the driver. No learning rows give
+    no languages.
     """
     ship(spark)
     rows = only(docs, "lang", "text").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
     counts = gram_counts(rows)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    bit = F.expr("case " + " ".join(f"when lang = {_quoted(x)} then {1 << k}L" for k, x in enumerate(langs)) + " end") if langs else F.lit(0).cast("long")
-    rated = counts.join(totals, "lang").select("gram", bit.alias("bit"), F.col("n"), (F.col("n") / F.col("total")).alias("rate"))
-    kept = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("bit", "n", "rate")).alias("all")).select(
-        "gram", F.aggregate(F.filter("all", lambda x: (x["n"] >= MIN_COUNT) & (x["rate"] >= F.lit(MIN_RATE) * F.col("best"))), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x["bit"])).alias("mask")
-    ).where("mask <> 0")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())  # one row for a language
+    bits = spark.createDataFrame([(x, k // WORD, 1 << k % WORD) for k, x in enumerate(langs)], "lang string, word int, bit long")
+    totals = counts.groupBy("lang").agg(F.sum("n").alias("total")).join(F.broadcast(bits), "lang")
+    rated = counts.join(F.broadcast(totals), "lang").select("gram", "word", "bit", "n", (F.col("n") / F.col("total")).alias("rate"))
+    each = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.collect_list(F.struct("word", "bit", "n", "rate")).alias("all")).select("gram", F.filter("all", lambda x: (x["n"] >= MIN_COUNT) & (x["rate"] >= F.lit(MIN_RATE) * F.col("best"))).alias("own")).where("size(own) > 0")
+    scratch = Scratch(spark, "language")
+    kept = scratch.write(each.select("gram", F.explode("own").alias("x")).groupBy("gram", F.col("x.word").alias("word")).agg(F.bit_or("x.bit").alias("mask")), "filters")
+    if slots is None:
+        slots = max(SLOTS[0], min(SLOTS[1], 1 << (SLOTS_A_GRAM * kept.count() - 1).bit_length()))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g, m = b.column(0).to_numpy(), b.column(1)
+            g = b.column(0).to_numpy()
             for s in slots_of(g, slots, hashes):
-                yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), m], ["slot", "mask"])
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(s.astype(np.int32)), b.column(2)], ["word", "slot", "mask"])
 
-    filled = kept.mapInArrow(place, "slot int, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(langs) <= n)
-    table = np.zeros(slots, kind)
-    table[filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().astype(kind)
+    filled = kept.select("gram", "word", "mask").mapInArrow(lean(place), "word int, slot int, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    scratch.drop("filters")
+    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if min(len(langs), WORD) <= n)
+    table = np.zeros((-(-len(langs) // WORD), slots), kind)
+    table[filled.column("word").to_numpy(), filled.column("slot").to_numpy()] = filled.column("mask").to_numpy().astype(kind)
     return langs, table
 
 
-def _quoted(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.ndarray, hashes: int = HASHES) -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), lang_pred, score, coverage for every row of `docs` (doc_id, text).
 
@@ -127,8 +127,8 @@ def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.n
     """
     ship(spark)
     shared = spark.sparkContext.broadcast(table)
-    slots = len(table)
-    fill = [float(np.count_nonzero(table & table.dtype.type(1 << k))) / slots for k in range(len(langs))]
+    slots = table.shape[1]
+    fill = [float(np.count_nonzero(table[k // WORD] & table.dtype.type(1 << k % WORD))) / slots for k in range(len(langs))]
     false = np.array([f**hashes for f in fill])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,14 +137,14 @@ def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.n
             for b in blocks(batch, "text"):
                 data, offs = text_buffer(b.column(1))
                 g, first = grams(data, offs)
-                mask = None
-                for s in slots_of(g, slots, hashes):
-                    mask = filters[s] if mask is None else mask & filters[s]
+                places = list(slots_of(g, slots, hashes))
                 total = np.diff(first)
                 share = np.zeros((len(langs), b.num_rows))
                 cover = np.zeros((len(langs), b.num_rows))
                 for k in range(len(langs)):
-                    found = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(k)) & mask.dtype.type(1), dtype=np.int64)))
+                    if k % WORD == 0:
+                        mask = np.bitwise_and.reduce([filters[k // WORD][s] for s in places])
+                    found = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(k % WORD)) & mask.dtype.type(1), dtype=np.int64)))
                     hits = found[first[1:]] - found[first[:-1]]
                     share[k] = np.maximum(hits - false[k] * total, 0) / (1 - min(false[k], 0.999))
                     cover[k] = np.clip(share[k] / np.maximum(total, 1), 0, 1)
@@ -160,11 +160,11 @@ def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.n
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "text_key": b.column(2), "lang_pred": [langs[p] if ok and langs else "und" for p, ok in zip(pred.tolist(), letters.tolist(), strict=True)], "score": pa.array(np.clip(score, 0, 1)), "coverage": pa.array(coverage)})
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, lang_pred string, score double, coverage double")
+    return rows.mapInArrow(lean(run), "doc_id long, text_key long, lang_pred string, score double, coverage double")
 
 
 def language_query(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Learn from documents whose crc32(doc_id) mod 5 isn't 0, predict all."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     langs, table = learn(spark, docs.where(~held_out))
-    return identify(spark, docs, langs, table).drop("text_key").withColumn("held_out", held_out)
+    return identify(spark, docs, langs, table).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "coverage")

@@ -33,9 +33,15 @@ def words_of(text: Column) -> Column:
 
 def repeat_words(words: Column) -> Column:
     """Words that lie in 3-word windows which the text holds twice or more."""
-    windows = F.when(F.size(words) < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")))
+    hashes = F.when(F.size(words) < 3, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
     )
+    # Most texts have no window twice, which is found without sorting.
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_in_repeats(h)))
+
+
+def _in_repeats(hashes: Column) -> Column:
+    windows = F.transform(hashes, lambda h, p: F.struct(h.alias("h"), p.alias("p")))
     twice = let(F.sort_array(windows), lambda s: F.filter(s, lambda x, i: (F.get(s, i - 1)["h"] == x["h"]) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))))
     places = F.sort_array(F.transform(twice, lambda x: x["p"]))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("p"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import ship, with_text
+from lodestone.llm.textkit import blocks, lean
 
 # Element ids of the Matroska specification (RFC 9559) and of EBML (RFC 8794).
 EBML, SEGMENT, SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
@@ -271,11 +272,11 @@ def store_texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in blocks(batch, "text")):
             stored = [payload_of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_bytes": pa.array([n for _, n in stored], pa.int64()), "media": pa.array([mux(p) for p, _ in stored], pa.binary())})
 
-    return with_text(docs).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return with_text(docs).mapInArrow(lean(run), "doc_id long, n_bytes long, media binary")
 
 
 def packet_table(spark: SparkSession, media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -299,22 +300,33 @@ def packet_table(spark: SparkSession, media: DataFrame, key: str = "doc_id", col
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["key", "packet", "track", "timestamp_ns", "offset", "size", "is_key", "cluster", "lacing", "error"])
 
-    return media.selectExpr(f"cast(`{key}` as long) as key", f"`{column}` as media").mapInArrow(run, "key long, packet int, track int, timestamp_ns long, offset long, size long, is_key boolean, cluster int, lacing int, error string")
+    return media.selectExpr(f"cast(`{key}` as long) as key", f"`{column}` as media").mapInArrow(lean(run), "key long, packet int, track int, timestamp_ns long, offset long, size long, is_key boolean, cluster int, lacing int, error string")
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media) -> the query's columns, from the packets read back."""
+    """(doc_id, n_bytes, media) -> the query's columns, from the packets read back.
+
+    Null media have null columns but for doc_id and n_bytes; so have damaged files, with their media_bytes and media_sha256
+    and the error in `feature`. An empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             for raw in b.column("media").to_pylist():
-                m = parse(raw)
-                payload = b"".join(raw[p[2] : p[2] + p[3]] for p in m.packets)
-                for c, v in zip(cols, (len(payload), sha(payload), zlib.crc32(payload[-64:]), len(raw), sha(raw), feature(m, payload)), strict=True):
+                if raw is None:
+                    values = (None,) * 6
+                else:
+                    try:
+                        m = parse(raw)
+                        payload = b"".join(raw[p[2] : p[2] + p[3]] for p in m.packets)
+                        values = (len(payload), sha(payload), zlib.crc32(payload[-64:]), len(raw), sha(raw), feature(m, payload))
+                    except (ValueError, IndexError, ZeroDivisionError) as e:
+                        values = (None, None, None, len(raw), sha(raw), f"error: {e}")
+                for c, v in zip(cols, values, strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return media.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInArrow(lean(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

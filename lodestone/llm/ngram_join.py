@@ -4,12 +4,14 @@ All n-grams have one global order: those found to be frequent come last, by coun
 threshold must share an n-gram in the first (1 - threshold) part of both sets, which gives candidates; lengths and the
 places of the shared n-gram bound the overlap of each. Sets also have parity bitmaps, of two to four bits for an n-gram: two
 bitmaps differ in no more places than the sets do, which rules out most candidates before their n-grams are fetched; of
-two lengths, the longer one is folded. The order is then cut into
-FRAGMENTS, overlaps are counted for each fragment of a pair separately, and summed for each pair.
+two lengths, the longer one is folded. The order itself is then cut into FRAGMENTS (equal parts of its hashed n-grams, and
+the frequent ones at its end), overlaps are counted for each fragment of a pair separately, and summed for each pair.
 
 Documents with equal sets are one node. Links are needed for components only, so first every node of an n-gram's bucket is
 compared with one hub of that bucket; components shrink, and what remains are pairs between different components, all of
-which are compared. Nothing is capped: an n-gram shared by a third of all rows stands last in the order.
+which are compared. There a set meets only sets of the sizes that its place in the bucket allows, so documents of like size
+that share a template, but too little of it, don't meet at all. Nothing is capped: an n-gram shared by a third of all rows
+stands last in the order.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, ship, with_text
 from lodestone.llm.components import components
-from lodestone.llm.textkit import blocks, gram_hashes, inside, mix, span_hashes, text_buffer, word_spans
+from lodestone.llm.textkit import blocks, gram_hashes, inside, lean, mix, span_hashes, text_buffer, word_spans
 
 WORDS, NUM, DEN = 5, 75, 100
 FRAGMENTS = 8
@@ -31,9 +34,11 @@ FRAGMENTS = 8
 BITS = (64, 1 << 17)
 #: The order's tail: n-grams found HOT_LOCAL times or more in a chunk of CHUNK n-grams, the HOT_KEPT most frequent. They
 #: only decide the order, which any value leaves correct.
-HOT_LOCAL, HOT_KEPT, CHUNK = 3, 200_000, 4_000_000
+HOT_LOCAL, HOT_KEPT, CHUNK = 3, 200_000, 1_000_000
 #: Document ids up to which a semi-join is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_IDS = 2_000_000
+#: Classes of sizes in a doubling.
+SIZE_CLASSES = 8
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -92,7 +97,7 @@ def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield emit()
 
-    found = rows.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
+    found = rows.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
     grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     o = np.argsort(grams)
     return grams[o], n[o]
@@ -120,16 +125,15 @@ def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return out
 
 
-def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def prefixes(rows: DataFrame, hot: Broadcast) -> DataFrame:
     """doc_id, n, k1, k2, bits, prefix array<long>: set sizes, 128-bit set hashes, parity bitmaps, and the prefix in the
     global order.
 
     The prefix is given once for equal sets within a task; other rows have an empty one.
     """
-    shared = spark.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, freq = shared.value
+        grams, freq = hot.value
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for b in blocks(batch, "text"):
@@ -159,7 +163,7 @@ def prefixes(spark: SparkSession, rows: DataFrame, hot: tuple[np.ndarray, np.nda
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), signed(chosen))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int64)), signed(k1), signed(k2), bits, lists], ["doc_id", "n", "k1", "k2", "bits", "prefix"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, bits binary, prefix array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, n long, k1 long, k2 long, bits binary, prefix array<long>")
 
 
 def bounded(nx: Column, ny: Column, px: Column, py: Column) -> Column:
@@ -178,27 +182,36 @@ def near_bitmaps(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             yield b.select(["x", "y", "nx", "ny"]).filter(pa.array((NUM + DEN) * differ <= (DEN - NUM) * total))
 
     side = lambda c: bits.select(F.col("doc_id").alias(c), F.col("bits").alias(f"{c}_bits"))
-    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "x_bits", "y_bits").mapInArrow(test, "x long, y long, nx long, ny long")
+    return pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "x_bits", "y_bits").mapInArrow(lean(test), "x long, y long, nx long, ny long")
 
 
-def overlaps(spark: SparkSession, rows: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(x, y, nx, ny) -> (x, y) of those at the threshold, by overlaps counted in each fragment."""
+def fragments(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The fragment of the global order in which each n-gram stands; hot (ascending) are the frequent ones."""
+    part = ((h >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
+    if len(hot):
+        part[hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h] = FRAGMENTS - 1
+    return part
+
+
+def overlaps(rows: DataFrame, pairs: DataFrame, hot: Broadcast, scratch: Scratch, name: str) -> DataFrame:
+    """(x, y, nx, ny) -> (x, y) of those at the threshold, by overlaps counted in each fragment of the order."""
     ids = scratch.write(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{name}-ids")
     few = ids.count() <= BROADCAST_IDS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
         for batch in batches:
             for b in blocks(batch, "text"):
                 r, h = sets(b.column(1))
-                key = r.astype(np.int64) * FRAGMENTS + (h >> shift).astype(np.int64)
+                key = r.astype(np.int64) * FRAGMENTS + fragments(h, hot.value[0])
+                o = np.argsort(key, kind="stable")
+                key, r, h = key[o], r[o], h[o]
                 heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
                 stops = np.append(heads[1:], len(key))
                 doc = b.column(0).to_numpy()
                 raw = h.astype("<u8").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(doc[r[heads]]), pa.array((key[heads] % FRAGMENTS).astype(np.int32)), pa.array([raw[8 * a : 8 * z] for a, z in zip(heads.tolist(), stops.tolist(), strict=True)], pa.binary())], ["doc_id", "fragment", "grams"])
 
-    parts = scratch.write(rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(cut, "doc_id long, fragment int, grams binary"), f"{name}-parts")
+    parts = scratch.write(rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(lean(cut), "doc_id long, fragment int, grams binary"), f"{name}-parts")
     side = lambda c: parts.select(F.col("doc_id").alias(c), "fragment", F.col("grams").alias(f"{c}_grams"))
     wide = pairs.select("x", "y").withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))).join(side("x"), ["x", "fragment"]).join(side("y"), ["y", "fragment"])
 
@@ -207,7 +220,7 @@ def overlaps(spark: SparkSession, rows: DataFrame, pairs: DataFrame, scratch: Sc
             shared = [len(np.intersect1d(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), assume_unique=True)) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared, pa.int64())], ["x", "y", "shared"])
 
-    partial = wide.select("x", "y", "x_grams", "y_grams").mapInArrow(count, "x long, y long, shared long")
+    partial = wide.select("x", "y", "x_grams", "y_grams").mapInArrow(lean(count), "x long, y long, shared long")
     summed = partial.groupBy("x", "y").agg(F.sum("shared").alias("shared"))
     return summed.join(pairs, ["x", "y"]).where((NUM + DEN) * F.col("shared") >= NUM * (F.col("nx") + F.col("ny"))).select("x", "y")
 
@@ -254,33 +267,35 @@ def text_components(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> D
 
 def _components(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The columns of join_components for rows whose doc_ids are unique."""
-    members, shared, bits = _shared_grams(spark, rows, rows, scratch)
-    scratch.drop("prefixes", "all-prefixes")
+    grams = hot_grams(rows)
+    hot = spark.sparkContext.broadcast(grams)  # HOT_KEPT n-grams at most
+    members, shared, bits = _shared_grams(spark, rows, hot, scratch)
+    scratch.drop("prefixes")
     scratch.settle()
-    # Equal sets are linked as they are.
-    links = scratch.write(members.where("node <> doc_id").select(F.col("doc_id").alias("x"), F.col("node").alias("y")).distinct(), "equal")
-    comps = components(scratch, links, "equal-components")
+    # Equal sets are linked as they are, each with the smallest of them.
+    equal = members.where("node <> doc_id").select("doc_id", "node")
+    links = equal.select(F.col("doc_id").alias("x"), F.col("node").alias("y"))
+    comps = equal.select(F.col("doc_id").alias("node"), F.col("node").alias("component"))
     for k, choose in enumerate((_hub_pairs("low"), _hub_pairs("high"), _all_pairs)):
-        links, comps = _grow(spark, rows, choose(shared, comps), bits, links, scratch, f"round-{k}")
+        links, comps = _grow(rows, choose(shared, comps), bits, links, hot, scratch, f"round-{k}")
         scratch.settle()
     return members.join(comps.select("node", "component"), members["doc_id"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _shared_grams(spark: SparkSession, rows: DataFrame, one: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _shared_grams(spark: SparkSession, rows: DataFrame, hot: Broadcast, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, n, node) of all rows, entries (gram, x, nx, px, entries, low, high) of prefix n-grams that several documents
     share (low and high are the entries of the bucket with the smallest and largest doc_id), and the bitmaps (doc_id, bits).
 
     In buckets of two or three entries those two meet all others, so such entries stay only where a pair is in bounds.
     """
-    hot = hot_grams(rows)
-    pre = scratch.write(prefixes(spark, one, hot), "prefixes")
-    every = pre if one is rows else scratch.write(prefixes(spark, rows, hot), "all-prefixes")
+    pre = scratch.write(prefixes(rows, hot), "prefixes")
     # Equal sets: one node each, the smallest doc_id.
-    nodes = every.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
-    members = scratch.write(every.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
+    nodes = pre.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
+    members = scratch.write(pre.select("doc_id", "n", "k1", "k2").join(nodes, ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), "members")
     placed = pre.select(F.col("doc_id").alias("x"), F.col("n").cast("int").alias("nx"), F.posexplode("prefix").alias("px", "gram"))
     # Frequent n-grams are known to be shared; all others are few, so one window holds a bucket.
-    hot_table = spark.createDataFrame(pa.table({"gram": signed(hot[0])})) if len(hot[0]) else spark.createDataFrame([], "gram long")
+    grams = hot.value[0]
+    hot_table = spark.createDataFrame(pa.table({"gram": signed(grams)})) if len(grams) else spark.createDataFrame([], "gram long")
     is_hot = placed.join(F.broadcast(hot_table.withColumn("hot", F.lit(True))), "gram", "left")
     entry = F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"))
     # Ordered by document, so that only the entries are shuffled and not the structs made of them.
@@ -311,12 +326,21 @@ def _hub_pairs(hub: str):
 
 
 def _all_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
-    """All pairs in bounds of the larger buckets' entries that aren't connected yet."""
+    """All pairs in bounds of the larger buckets' entries that aren't connected yet.
+
+    Of a pair, y is the smaller set. Its place in the bucket bounds the size of x, so it goes to the classes of those sizes.
+    """
     large = _with_component(shared.where("entries > 3").select("gram", "x", "nx", "px"), comps, "x")
     mixed = large.groupBy("gram").agg(F.min("x_component").alias("a"), F.max("x_component").alias("b")).where("a <> b").select("gram")
-    own = large.join(mixed, "gram", "left_semi")
-    other = own.select("gram", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("x_component").alias("y_component"))
-    return own.join(other, "gram").where((F.col("x") < F.col("y")) & (F.col("x_component") != F.col("y_component")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
+    own = large.join(mixed, "gram", "left_semi").withColumn("size", _size_class(F.col("nx")))
+    most = F.floor((DEN * F.col("nx").cast("long") - (NUM + DEN) * F.col("px")) / NUM)
+    smaller = own.where(most >= F.col("nx")).select("gram", F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("x_component").alias("y_component"), F.explode(F.sequence("size", _size_class(most))).alias("size"))
+    order = (F.col("nx") > F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") != F.col("y")))
+    return own.join(smaller, ["gram", "size"]).where(order & (F.col("x_component") != F.col("y_component")) & bounded(F.col("nx"), F.col("ny"), F.col("px"), F.col("py")))
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log2(n.cast("double")) * SIZE_CLASSES).cast("int")
 
 
 def _with_component(rows: DataFrame, comps: DataFrame, node: str) -> DataFrame:
@@ -324,12 +348,12 @@ def _with_component(rows: DataFrame, comps: DataFrame, node: str) -> DataFrame:
     return rows.join(of, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
 
 
-def _grow(spark: SparkSession, rows: DataFrame, pairs: DataFrame, bits: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def _grow(rows: DataFrame, pairs: DataFrame, bits: DataFrame, links: DataFrame, hot: Broadcast, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """All links so far and their components, after the pairs at the threshold are added."""
     first = F.col("x") < F.col("y")
     one = pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(first, F.col("nx")).otherwise(F.col("ny")).cast("long").alias("nx"), F.when(first, F.col("ny")).otherwise(F.col("nx")).cast("long").alias("ny"))
     one = scratch.write(near_bitmaps(one.distinct(), bits), f"{name}-pairs")
-    new = scratch.write(overlaps(spark, rows, one, scratch, name), f"{name}-links")
+    new = scratch.write(overlaps(rows, one, hot, scratch, name), f"{name}-links")
     scratch.drop(f"{name}-pairs", f"{name}-parts", f"{name}-ids")
     links = links.unionByName(new)
     return links, components(scratch, links, f"{name}-components")

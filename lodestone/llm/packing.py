@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, ship, with_text
+from lodestone.llm.textkit import blocks, lean
 from lodestone.llm.wordcache import encoder
 
 WINDOW, GRAIN, DEPTH = 2048, 16, 3
@@ -170,18 +171,19 @@ def tokenized(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer_path)
-        for b in batches:
-            raws = [r + end for r in words.texts(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([len(r) // 2 for r in raws], pa.int64()), "ids": pa.array(raws, pa.binary())})
+        for batch in batches:
+            for b in blocks(batch, "text"):
+                raws = [r + end for r in words.texts(b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([len(r) // 2 for r in raws], pa.int64()), "ids": pa.array(raws, pa.binary())})
 
-    return with_text(docs).mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return with_text(docs).mapInArrow(lean(encode, "words"), "doc_id long, n_tokens long, ids binary")
 
 
 def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
     """Pack all documents: one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null or empty texts are one piece with the
-    end id; rows that repeat a doc_id are packed each; an empty table gives no rows. Token ids are written once to the shared folder,
+    end id; rows that repeat a doc_id, or have none (null), are packed each with the doc_id they have; an empty table gives no rows. Token ids are written once to the shared folder,
     where the second pass reads them: nothing is shuffled but the histogram's counts.
     """
     scratch = Scratch(spark, "packing")
@@ -224,4 +226,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int
             k[0] += 1
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    return ids.select("doc_id", "n_tokens", "ids").mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ids.select("doc_id", "n_tokens", "ids").mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.common import ship, with_text
+from lodestone.llm.textkit import blocks, held, lean
 
 CACHE_UNITS = 300_000
 SPACE = "▁"
@@ -106,9 +107,13 @@ class PieceBPE:
         while at:
             i = last[at]
             if i < 0:  # characters without a piece of their own: bytes
-                if n > 1:
-                    return tuple(x for c in self._known_runs(unit) for x in self.unit_ids(c))
-                return self._fallback(unit)
+                if n == 1:
+                    return self._fallback(unit)
+                runs = self._known_runs(unit)
+                if len(runs) > 1:
+                    return tuple(x for c in runs for x in self.unit_ids(c))
+                # No chain of compatible pieces: merge as the vocabulary says.
+                return tuple(x for p in self.merged(unit) for x in ((self.id[p],) if p in self.id else self._fallback(p)))
             out.append(i)
             at = back[at]
         return tuple(reversed(out))
@@ -120,8 +125,6 @@ class PieceBPE:
                 runs[-1] += c
             else:
                 runs.append(c)
-        if len(runs) == 1:
-            raise AssertionError(f"no encoding of {unit!r}")
         return runs
 
     def _fallback(self, char: str) -> tuple[int, ...]:
@@ -158,6 +161,15 @@ class PieceBPE:
 _made: dict[str, PieceBPE] = {}
 
 
+def _forget() -> None:
+    for made in _made.values():
+        made.cache.clear()
+        made.pairs.clear()
+
+
+held["pieces"] = _forget
+
+
 def coder(path: str) -> PieceBPE:
     if path not in _made:
         _made[path] = PieceBPE(path)
@@ -173,11 +185,11 @@ def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model_path)
-        for b in batches:
+        for b in (x for batch in batches for x in blocks(batch, "text")):
             ids = [c.encode(t) + [c.eos] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(c.library.decode(ids) if ids else [], pa.string())})
 
-    return with_text(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return with_text(docs).mapInArrow(lean(run, "pieces"), "doc_id long, ids array<int>, decoded string")
 
 
 def encoding_digest(spark: SparkSession, docs: DataFrame, model_path: str) -> DataFrame:
@@ -187,7 +199,7 @@ def encoding_digest(spark: SparkSession, docs: DataFrame, model_path: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model_path)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in (x for batch in batches for x in blocks(batch, "text")):
             n, ids_sha, text_sha = [], [], []
             for t in b.column(1).to_pylist():
                 ids = c.encode(t) + [c.eos]
@@ -196,4 +208,4 @@ def encoding_digest(spark: SparkSession, docs: DataFrame, model_path: str) -> Da
                 text_sha.append(sha(c.decode(ids)))
             yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": ids_sha, "decoded_sha256": text_sha})
 
-    return with_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return with_text(docs).mapInArrow(lean(run, "pieces"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -1,18 +1,24 @@
 """Main text of web pages by site style trees.
 
-Pages of one host are merged into one tree. A node of the tree is an element path: tag and class from the root, equal
-siblings once. For every node two kinds of importance are taken from entropies over the host's pages:
+Pages of one host are merged into one tree of all their elements, menus and adverts included. A node of the tree is an
+element path: tag and class from the root, equal siblings once. For every node two kinds of importance are taken from
+entropies over the host's pages:
 
 * presentation: how evenly the pages spread over the different child sequences below the node. Varied sequences mean
   content; one sequence everywhere means template;
 * content: for the texts that stand directly in the node, 1 - mean of log(pages with the text) / log(pages with the
-  node). A text on every page (menus, notices) has importance 0, a text on one page 1.
-
-A node's importance is its content importance, with DAMPING of its presentation importance mixed in. Nodes with text under
-MIN_IMPORTANCE are removed from each page of the host (so a branch goes where all of its texts do), besides branches
-whose element or class says what they are (fixed lists). The fewer pages have a node, the less is known of it: its content
-importance is shrunk towards 1 as if one more page with a text of its own there had been seen. So texts that all pages share
-go from four pages on. Pages of a host with the same text count once.
+  node). A text on every page (menus, notices) has importance 0, a text on one page 1. The fewer pages have a node, the less
+  is known of it: its content importance is shrunk towards 1 as if one more page with a text of its own there had been seen.
+
+A node's own importance is its presentation importance, or with texts (1 - DAMPING) of its content importance and DAMPING
+of the other. Its composite importance is the mean of its own and all its descendants' importance, a node d steps below
+counting GAMMA^d times its pages. A branch in which every node has composite importance under MIN_IMPORTANCE is noise and is
+removed from each page of the host; texts that all pages share go from four pages on. Pages of a host with the same text
+count once.
+
+What says that it isn't the article, whatever its entropy (reader comments differ from page to page), goes by fixed lists:
+elements such as nav and footer, and class words. Where a word is only a part of a class name, or a common word, or the
+branch is a form, the branch stays if it holds more than half of the page's text.
 """
 
 from __future__ import annotations
@@ -26,54 +32,69 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import only, ship
+from lodestone.llm.common import Scratch, only, ship
+from lodestone.llm.textkit import blocks, lean
 
-MIN_IMPORTANCE, DAMPING = 0.2, 0.1
-#: Rows of removed paths up to which they are broadcast; beyond, Spark joins by host.
+MIN_IMPORTANCE, DAMPING, GAMMA = 0.2, 0.1, 0.9
+#: Removed branches up to which they are broadcast; beyond, Spark joins by host.
 BROADCAST_PATHS = 200_000
 
 # Fixed lists: HTML elements by their role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template".split())
-DROPPED = set("head script style noscript iframe template svg canvas object nav header footer aside form button select textarea input menu dialog".split())
+RAW = set("script style textarea title noscript iframe template xmp noframes noembed".split())
+SILENT = set("head svg canvas object button select input math audio video datalist".split()) | RAW
+AROUND = set("nav header footer aside menu dialog".split())
 BREAKS = {"hr"}
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCK - {"html", "body"}
-# Fixed list: words of class, id and role attributes that name parts around the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|commentlist|consent|cookie|cookies|disclaimer|discussion|disqus|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|pager|popup|promo|related|reply|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|widget|contentinfo|complementary|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Fixed lists: words of class, id and role attributes that name parts around the article.
+CLEAR = set(
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comments commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter pagination pager popup sidebar signup social sponsor sponsored subscribe toolbar contentinfo complementary".split()
 )
-ASIDES = re.compile(r"(?:^|[\s_-])(?:ad|advert|comment|comments|reply|related|promo|teaser|sponsored)(?:$|[\s_-])", re.IGNORECASE)
+LIKELY = CLEAR | set("comment disclaimer discussion notice notices promo related reply replies respond search share sharing skip tags teaser widget".split())
+# Fixed list: of an article element, these only.
+ASIDES = set("ad advert comment comments reply related promo teaser sponsored".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "path", "dropped", "kids", "text")
+    """silent: in an element without text of its own; around: listed outright; likely: listed branches that go unless they
+    hold most of the page; gone: in a branch that the tree removes."""
+
+    __slots__ = ("tag", "path", "silent", "around", "likely", "gone", "kids")
 
-    def __init__(self, tag: str, path: str, dropped: bool):
-        self.tag, self.path, self.dropped = tag, path, dropped
+    def __init__(self, tag: str, path: str, silent: bool = False, around: bool = False, likely: tuple[Node, ...] = (), gone: bool = False):
+        self.tag, self.path, self.silent, self.around, self.likely, self.gone = tag, path, silent, around, likely, gone
         self.kids: list[str] = []
-        self.text: list[str] = []
 
 
-def walk(page: str) -> Iterator[tuple[str, Node, str]]:
+def listed(name: str, marks: list[str]) -> int:
+    """2: around the article for certain, 1: likely, 0: not listed."""
+    if name in AROUND:
+        return 2
+    if name in ("html", "body", "main"):
+        return 0
+    found = int(name == "form")
+    for token in " ".join(marks).lower().split():
+        if name == "article":
+            found = max(found, 2 if token in ASIDES else int(not ASIDES.isdisjoint(re.split("[-_]", token))))
+        elif token in CLEAR:
+            return 2
+        elif token in LIKELY or not LIKELY.isdisjoint(re.split("[-_]", token)):
+            found = 1
+    return found
+
+
+def walk(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[str, Node, str]]:
     """Events of a page: ("open", node, ""), ("text", node, raw text), ("break", node, "") and ("close", node, "")."""
-    root = Node("", "", False)
-    stack, at, raw_end = [root], 0, None
-    for m in TAG.finditer(page):
-        start = m.start()
-        if start < at:
-            continue
-        if raw_end is not None:
-            if not ((m[1] or m[4]) and (m[2] or m[5] or "").lower() == raw_end):
-                continue
-        if start > at:
-            yield "text", stack[-1], page[at:start]
+    stack, at = [Node("", "")], 0
+    while m := TAG.search(page, at):
+        if m.start() > at:
+            yield "text", stack[-1], page[at : m.start()]
         at = m.end()
         name = (m[2] or m[5] or "").lower()
         if not name:
@@ -81,7 +102,6 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
                 yield "text", stack[-1], html.escape(m[0][9:-3], quote=False)
             continue
         if m[1] or m[4]:
-            raw_end = None
             if any(n.tag == name for n in stack[1:]):
                 while True:
                     node = stack.pop()
@@ -110,17 +130,29 @@ def walk(page: str) -> Iterator[tuple[str, Node, str]]:
                 hidden = True
         parent = stack[-1]
         label = name + ("." + re.sub(r"\d+", "0", " ".join(marks)).lower() if marks else "")
-        dropped = parent.dropped or name in DROPPED or hidden or (name not in ("html", "body", "main") and any((ASIDES if name == "article" else BOILERPLATE).search(x) for x in marks))
-        node = Node(name, f"{parent.path}/{label}", dropped)
+        found = listed(name, marks)
+        node = Node(name, f"{parent.path}/{label}", parent.silent or hidden or name in SILENT, parent.around or found == 2, parent.likely, parent.gone)
+        if found == 1:
+            node.likely = (*parent.likely, node)
+        if removed and not node.gone:
+            node.gone = path_key(node.path) in removed
         if not parent.kids or parent.kids[-1] != label:
             parent.kids.append(label)
         yield "open", node, ""
         if name in VOID or (m[3] or "").endswith("/") and name not in BLOCK:
             continue
-        stack.append(node)
         if name in RAW:
-            raw_end = name
-    if at < len(page) and raw_end is None:
+            # All up to the closing tag is text, whatever it looks like.
+            end = re.compile(f"</{name}(?=[\\s/>]|$)", re.IGNORECASE).search(page, at)
+            stop = end.start() if end else len(page)
+            if stop > at:
+                yield "text", node, page[at:stop]
+            close = page.find(">", stop)
+            at = len(page) if close < 0 else close + 1
+            yield "close", node, ""
+            continue
+        stack.append(node)
+    if at < len(page):
         yield "text", stack[-1], page[at:]
     while len(stack) > 1:
         yield "close", stack.pop(), ""
@@ -130,12 +162,12 @@ def path_key(path: str) -> int:
     return xxhash.xxh64_intdigest(path) - (1 << 63)
 
 
-def blocks_of(page: str) -> Iterator[tuple[Node, bool, str]]:
-    """(block element, inside an article or main element, text) for every block of text outside dropped branches."""
+def blocks_of(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[Node, bool, str]]:
+    """(block element, inside an article or main element, text) for every block of text."""
     stack: list[Node] = []
     parts: list[str] = []
     inside = 0
-    owner = Node("", "", False)
+    root = owner = Node("", "")
 
     def flush() -> Iterator[tuple[Node, bool, str]]:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -143,9 +175,10 @@ def blocks_of(page: str) -> Iterator[tuple[Node, bool, str]]:
         if text:
             yield owner, inside > 0, text
 
-    for event, node, text in walk(page):
+    for event, node, text in walk(page, removed):
         if event == "text":
-            if not node.dropped:
+            # Listed elements inside a block go without splitting it.
+            if not node.silent and (node.around, node.likely) == (owner.around, owner.likely):
                 parts.append(text)
         elif event == "break":
             yield from flush()
@@ -161,69 +194,98 @@ def blocks_of(page: str) -> Iterator[tuple[Node, bool, str]]:
                 stack.append(node)
             elif stack:
                 stack.pop()
-            owner = stack[-1] if stack else Node("", "", False)
-            if node.tag in ("article", "main") and not node.dropped:
+            owner = stack[-1] if stack else root
+            if node.tag in ("article", "main") and not node.around:
                 inside += step
     yield from flush()
 
 
-def tree_rows(page: str) -> tuple[int, list[int]]:
-    """Key of a page's text, and path key, kind, feature, path key, ... of the page, each once: kind 0 child sequences, 1
-    texts, 2 the node itself."""
+def parent_of(path: str) -> str:
+    return path.rpartition("/")[0]
+
+
+def ancestry(path: str) -> list[int]:
+    """Keys of a node and its ancestors, the node first."""
+    keys = []
+    while path:
+        keys.append(path_key(path))
+        path = parent_of(path)
+    return keys
+
+
+def tree_rows(page: str) -> tuple[int, list[int], list[list[int]]]:
+    """Key of a page's text; path key, kind, feature, path key, ... of the page, each once: kind 0 child sequences, 1 texts, 2
+    the node itself; and the ancestry of each node."""
     rows: dict[tuple[int, int, int], None] = {}
-    for event, node, _ in walk(page):
-        if event == "close" and node.tag in BLOCK and not node.dropped:
-            key = path_key(node.path)
-            rows[key, 0, path_key("|".join(node.kids))] = None
+    nodes: dict[int, list[int]] = {}
+
+    def add(path: str, kind: int, feature: int) -> None:
+        key = path_key(path)
+        if key not in nodes:
+            nodes[key] = ancestry(path)
             rows[key, 2, 0] = None
+        rows[key, kind, feature] = None
+
+    for event, node, _ in walk(page):
+        if event == "close" and node.tag in BLOCK and not node.silent:
+            add(node.path, 0, path_key("|".join(node.kids)))
     whole = xxhash.xxh64()
     for node, _, text in blocks_of(page):
         whole.update(text + "\n")
-        rows[path_key(node.path), 1, path_key(text)] = None
-        rows[path_key(node.path), 2, 0] = None
-    return whole.intdigest() - (1 << 63), [x for r in rows for x in r]
+        add(node.path, 1, path_key(text))
+    return whole.intdigest() - (1 << 63), [x for r in rows for x in r], list(nodes.values())
 
 
-def main_text(page: str | None, removed: set[int]) -> str:
-    """Blocks outside dropped and removed branches, joined by an empty line; those of <article> or <main> only if they
-    hold at least half of the characters. A page that would lose every block so keeps them."""
+def main_text(page: str | None, removed: set[int] | frozenset[int] = frozenset()) -> str:
+    """Blocks outside listed and removed branches, joined by an empty line; those of <article> or <main> only if they
+    hold at least half of the characters. A page that would lose every block by the tree keeps them."""
     if not page:
         return ""
-    found = [(node.path, own, text) for node, own, text in blocks_of(page)]
-    left = [x for x in found if path_key(x[0]) not in removed] if removed else found
-    left = left or found
+    found = [x for x in blocks_of(page, removed) if not x[0].around]
+    chars: dict[int, int] = {}
+    for node, _, text in found:
+        for branch in node.likely:
+            chars[id(branch)] = chars.get(id(branch), 0) + len(text)
+    total = sum(len(text) for _, _, text in found)
+    found = [x for x in found if all(2 * chars[id(branch)] > total for branch in x[0].likely)]
+    left = [x for x in found if not x[0].gone] or found
     inside = [t for _, own, t in left if own]
     most = 2 * sum(map(len, inside)) >= sum(len(t) for _, _, t in left)
     return "\n\n".join(inside if most else [t for _, _, t in left])
 
 
-def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """host, path, n_pages, content, presentation, importance of the nodes of each host's tree; pages: (host, html)."""
+def style_tree(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """host, path, parent, n_pages, content, presentation, importance, composite, most (the highest composite importance in
+    the branch) of the nodes of each host's tree; pages: (host, html). Paths are hashes; a root's parent is null."""
     ship(spark)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in blocks(batch, "html")):
             found = [tree_rows(page or "") for page in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int64()))], ["host", "key", "rows"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _, _ in found], pa.int64()), pa.array([r for _, r, _ in found], pa.list_(pa.int64())), pa.array([n for _, _, n in found], pa.list_(pa.list_(pa.int64())))], ["host", "key", "rows", "nodes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple, int] = {}  # a page adds 1 to each of its features; summed here before the shuffle
-            for host, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            up: dict[tuple, list[int]] = {}
+            for host, r, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for key in zip(r[::3], r[1::3], r[2::3], strict=True):
                     key = (host, *key)
                     sums[key] = sums.get(key, 0) + 1
-            cols = [list(c) for c in zip(*((*k, n) for k, n in sums.items()), strict=True)] or [[] for _ in range(5)]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["host", "path", "kind", "feature", "n"])
+                for line in nodes:
+                    up[host, line[0]] = line
+            rows = [(*k, n, up[k[0], k[1]] if k[2] == 2 else None) for k, n in sums.items()]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "path", "kind", "feature", "n", "up"])
 
     # One page for each text of a host: copies are no further evidence.
-    once = pages.select("host", "html").mapInArrow(parse, "host string, key long, rows array<long>").groupBy("host", "key").agg(F.min("rows").alias("rows"))
-    rows = once.select("host", "rows").mapInArrow(run, "host string, path long, kind int, feature long, n long")
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    once = pages.select("host", "html").mapInArrow(lean(parse), "host string, key long, rows array<long>, nodes array<array<long>>").groupBy("host", "key").agg(F.min(F.struct("rows", "nodes")).alias("x"))
+    rows = once.select("host", "x.rows", "x.nodes").mapInArrow(lean(run), "host string, path long, kind int, feature long, n long, up array<long>")
+    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.min("up").alias("up"))
     n = F.col("n").cast("double")
     per = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("n_pages"),
+        F.min("up").alias("up"),
         F.sum(F.when(F.col("kind") == 0, n)).alias("sequences"),
         F.sum(F.when(F.col("kind") == 0, n * F.ln(n))).alias("sequence_logs"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("texts"),
@@ -233,14 +295,24 @@ def style_tree(spark: SparkSession, pages: DataFrame) -> DataFrame:
     presentation = F.when(F.col("sequences") > 0, (F.ln("sequences") - F.col("sequence_logs") / F.col("sequences")) / m).otherwise(0.0)
     content = F.when(F.col("texts") > 0, F.greatest(1 - F.col("text_logs") / (F.col("texts") * m), F.lit(0.0)))
     shrunk = 1 - (1 - F.col("content")) * F.col("n_pages") / (F.col("n_pages") + 1)
-    return per.select("host", "path", "n_pages", content.alias("content"), presentation.alias("presentation")).withColumn(
+    nodes = per.select("host", "path", "up", "n_pages", content.alias("content"), presentation.alias("presentation")).withColumn(
         "importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - DAMPING) * shrunk + DAMPING * F.col("presentation"))
     )
+    nodes = scratch.write(nodes, "nodes")
+    # Every node counts for each of its ancestors: sums over branches without walking the tree.
+    weight = F.col("n_pages") * F.pow(F.lit(GAMMA), F.col("steps"))
+    above = nodes.select("host", F.posexplode("up").alias("steps", "path"), "n_pages", "importance")
+    composite = above.groupBy("host", "path").agg((F.sum(weight * F.col("importance")) / F.sum(weight)).alias("composite"))
+    nodes = scratch.write(nodes.join(composite, ["host", "path"]), "composite")
+    most = nodes.select("host", F.explode("up").alias("path"), "composite").groupBy("host", "path").agg(F.max("composite").alias("most"))
+    return nodes.join(most, ["host", "path"]).select("host", "path", F.get("up", F.lit(1)).alias("parent"), "n_pages", "content", "presentation", "importance", "composite", "most")
 
 
-def removed_paths(tree: DataFrame) -> DataFrame:
-    """host, removed array<long>: nodes with text and low importance. A branch goes where all its nodes with text do."""
-    return tree.where((F.col("importance") < MIN_IMPORTANCE) & F.col("content").isNotNull()).groupBy("host").agg(F.collect_set("path").alias("removed"))
+def removed_branches(tree: DataFrame) -> DataFrame:
+    """host, removed array<long>: the tops of branches in which every node has low composite importance."""
+    noise = tree.where(F.col("most") < MIN_IMPORTANCE)
+    inner = noise.select("host", F.col("path").alias("parent"))
+    return noise.join(inner, ["host", "parent"], "left_anti").groupBy("host").agg(F.collect_set("path").alias("removed"))
 
 
 def host_of(url) -> F.Column:
@@ -250,18 +322,21 @@ def host_of(url) -> F.Column:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of `pages` (page_id, url, html).
 
-    Null or empty html gives an empty text; null urls form one host; rows that repeat a page_id are extracted each; an
-    empty table gives no rows. Texts are whole. The tree is built from all pages of a host, summed within tasks first.
+    Null or empty html gives an empty text; null urls form one host; rows that repeat a page_id are extracted each; further
+    columns are ignored; an empty table gives no rows. Texts are whole. The tree is built from all pages of a host, summed
+    within tasks first.
     """
     ship(spark)
     rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
-    removed = removed_paths(style_tree(spark, rows)).cache()
+    scratch = Scratch(spark, "style-tree")
+    removed = scratch.write(removed_branches(style_tree(spark, rows, scratch)), "removed")
+    scratch.drop("nodes", "composite")
     size = removed.agg(F.sum(F.size("removed"))).first()[0] or 0
     joined = rows.join(F.broadcast(removed) if size <= BROADCAST_PATHS else removed, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for batch in batches for x in blocks(batch, "html")):
             texts = [main_text(page, set(gone or ())) for page, gone in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "removed").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "removed").mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import only, ship
 from lodestone.llm.language import LOWER
-from lodestone.llm.textkit import blocks, text_buffer
+from lodestone.llm.textkit import blocks, lean, text_buffer
 
 SIZES, FEATURES = (4, 5, 6), 1 << 22
 SAMPLE, KEPT = 20_000, 20_000
@@ -118,7 +118,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
             yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(total[0][a].astype(np.int64)), pa.array(total[1][a].astype(np.int64))], ["slot", "q", "p"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([docs[0]], pa.int64()), pa.array([docs[1]], pa.int64())], ["slot", "q", "p"])
 
-    sums = some.mapInArrow(count, "slot int, q long, p long").groupBy("slot").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
+    sums = some.mapInArrow(lean(count), "slot int, q long, p long").groupBy("slot").agg(F.sum("q").alias("q"), F.sum("p").alias("p"))
     table = sums.where(f"slot = -1 or p + q >= {MIN_DOCS}").toArrow()  # FEATURES rows at most
     slot, q, p = (table.column(c).to_numpy() for c in ("slot", "q", "p"))
     all_q, all_p = int(q[slot < 0].sum()), int(p[slot < 0].sum())
@@ -143,7 +143,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
                 own = pa.LargeListArray.from_arrays(pa.array(at), pa.array(col.astype(np.int32))).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(2), own], ["toxic", "features"])
 
-    got = some.mapInArrow(features, "toxic int, features array<int>").toArrow()  # `sample` rows at most
+    got = some.mapInArrow(lean(features), "toxic int, features array<int>").toArrow()  # `sample` rows at most
     y = got.column("toxic").to_numpy().astype(float)
     lists = got.column("features").combine_chunks()
     cols = lists.flatten().to_numpy()
@@ -169,7 +169,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     rows = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def toxicity_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

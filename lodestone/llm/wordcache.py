@@ -13,6 +13,8 @@ import sys
 from array import array
 from collections.abc import Iterator
 
+from lodestone.llm.textkit import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of one generation of a worker's cache; there are two, and results don't depend on it.
@@ -95,6 +97,16 @@ class WordIds:
 _made: dict[str, WordIds] = {}
 
 
+def _forget() -> None:
+    for made in _made.values():
+        made.cache.clear()
+        made.cache.old = {}
+        made.runs.clear()
+
+
+held["words"] = _forget
+
+
 def encoder(path: str) -> WordIds:
     """The worker's own encoder for this vocabulary file, kept between tasks."""
     if path not in _made:

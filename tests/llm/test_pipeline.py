@@ -64,7 +64,7 @@ def test_clean_documents_stay(spark, sf):
     """Distinct prose of a learned language survives every filter, with its words."""
     base = load(spark, sf, "documents").where("lang = 'en' and n_chars between 1500 and 4000").limit(1).first()
     words = base.text.split()
-    own = [(10_000_000 + k, " ".join(words[(k * 7 + j * (k + 1)) % len(words)] for j in range(150)), "en", "fresh", 0) for k in range(3)]
+    own = [(10_000_000 + k, " ".join(np.random.RandomState(k).permutation(words)[:150].tolist()), "en", "fresh", 0) for k in range(3)]
     docs = load(spark, sf, "documents")
     out = docs.unionByName(spark.createDataFrame(own, docs.schema))
     for _, stage in corpus_pipeline.STAGES[:4]:
@@ -73,6 +73,21 @@ def test_clean_documents_stay(spark, sf):
     assert kept == {d: t for d, t, *_ in own}
 
 
+def test_stages_on_odd_rows(spark, sf, odd, none):
+    """Nulls anywhere, empty and long texts, repeated rows and clashing columns, each stage by itself; and empty tables."""
+    rows = odd.collect()
+    out = [[(r.doc_id, r.text) for r in stage(spark, odd, sf).collect()] if k < 4 else stage(spark, odd, sf).collect() for k, (_, stage) in enumerate(corpus_pipeline.STAGES)]
+    assert {d for d, _ in out[0]} == {5, 6, 7}
+    assert {d for d, _ in out[1]} <= {r.doc_id for r in rows if any(map(str.isalpha, r.text or ""))}
+    assert len(out[2]) == 9 and set(out[2]) == {(r.doc_id, r.text) for r in rows if r.doc_id not in (6, 7, 11)}
+    want = {d: (gone, sha) for d, _, gone, sha in brute_dedup([(r.doc_id, r.text) for r in rows])}
+    for d, t in out[3]:
+        assert not want[d][0] or hashlib.sha256((t or "").encode()).hexdigest() == want[d][1]
+    assert len(out[3]) == len(rows) and {r.doc_id for r in out[4]} == {r.doc_id for r in rows}
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).count() == 0
+
+
 def test_repeated_and_null_ids(spark, sf):
     """Texts with one id, or none, are documents of their own; rejected rows with a null id go."""
     text = lambda k: " ".join(f"{chr(97 + k)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(80))

@@ -1,6 +1,7 @@
 """Extraction, rules, classifiers, joins and dedup against brute force, on small fixtures and the smallest tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -42,10 +43,69 @@ def test_template_branches_go(spark):
     got = {r.page_id: r.text for r in site_style.extract(spark, df).collect()}
     assert got[3] == "Story 3 big.example is told"
     assert got[101] == "Welcome to this site\n\nStory 101 small.example is told"
-    tree = site_style.style_tree(spark, df.select(site_style.host_of("url").alias("host"), "html")).where("host = 'big.example' and content is not null").collect()
+    tree = site_style.style_tree(spark, df.select(site_style.host_of("url").alias("host"), "html"), Scratch(spark, "tree")).where("host = 'big.example' and content is not null").collect()
     assert sorted(round(r.content, 6) for r in tree) == [0.0, 1.0]
 
 
+def brute_tree(pages):
+    """Nodes of one host by their names: (own importance, composite, highest composite of the branch), from plain dictionaries."""
+    texts, seqs, seen = defaultdict(list), defaultdict(list), defaultdict(set)
+    for k, page in enumerate(dict.fromkeys(pages)):
+        for path, kids, own in page:
+            seen[path].add(k)
+            seqs[path].append((k, kids))
+            texts[path] += [(k, t) for t in own]
+    out = {}
+    for path, on in seen.items():
+        m = math.log(max(len(on), 2))
+        c = Counter(s for _, s in set(seqs[path]))
+        n = sum(c.values())
+        shown = -sum(v / n * math.log(v / n) for v in c.values()) / m
+        t = Counter(t for _, t in set(texts[path]))
+        if t:
+            content = max(0, 1 - sum(map(math.log, t.values())) / (len(t) * m))
+            out[path] = 0.9 * (1 - (1 - content) * len(on) / (len(on) + 1)) + 0.1 * shown
+        else:
+            out[path] = shown
+    below = {p: [(q, q.count("/") - p.count("/")) for q in out if (q + "/").startswith(p + "/")] for p in out}
+    weigh = lambda q, d: len(seen[q]) * 0.9**d
+    comp = {p: sum(weigh(q, d) * out[q] for q, d in qs) / sum(weigh(q, d) for q, d in qs) for p, qs in below.items()}
+    return {p: (out[p], comp[p], max(comp[q] for q, _ in below[p])) for p in out}
+
+
+def test_tree_against_brute_force(spark):
+    """Entropies, composite importance and the branches that go, on a host with a menu and a share box without telling names."""
+    body = lambda k: f"<body><div class=q><ul><li>One<li>Two</ul></div><div class=z><h1>H{k}</h1><p>Text {k}{'<p>More' if k % 2 else ''}</p></div></body>"
+    plain = lambda k: (
+        ("/body", "div.q|div.z", ()), ("/body/div.q", "ul", ()), ("/body/div.q/ul", "li", ()), ("/body/div.q/ul/li", "", ("One", "Two")),
+        ("/body/div.z", "h1|p", ()), ("/body/div.z/h1", "", (f"H{k}",)), ("/body/div.z/p", "", (f"Text {k}", "More") if k % 2 else (f"Text {k}",)),
+    )
+    df = spark.createDataFrame([(k, f"http://h/{k}", body(k % 9)) for k in range(12)], "page_id long, url string, html string")
+    want = {site_style.path_key(p): v for p, v in brute_tree([plain(k % 9) for k in range(12)]).items()}
+    tree = site_style.style_tree(spark, df.select(site_style.host_of("url").alias("host"), "html"), Scratch(spark, "tree"))
+    got = {r.path: (r.importance, r.composite, r.most) for r in tree.collect()}
+    assert set(got) == set(want)
+    for p, v in want.items():
+        assert got[p] == pytest.approx(v)
+    assert [r.removed for r in site_style.removed_branches(tree).collect()] == [[site_style.path_key("/body/div.q")]]
+    texts = {r.page_id: r.text for r in site_style.extract(spark, df).collect()}
+    assert texts[1] == "H1\n\nText 1\n\nMore" and texts[2] == "H2\n\nText 2"
+
+
+def test_scripts_forms_and_class_names():
+    """Raw elements end at their own closing tag only; a branch with most of the page isn't dropped for a word in its name."""
+    text = site_style.main_text
+    assert text("<article><p>a</p><script>for(i=0;i<n;i++){x()}</script><p>b is the article body</p></article>") == "a\n\nb is the article body"
+    assert text("<body><script>if (i<n) { s = '>'; }</script><p>t</p>") == "t"
+    assert text("<article class='comment-guide'><p>Guide text</p></article>") == "Guide text"
+    assert text("<section class='search'><p>Search theory</p></section>") == "Search theory"
+    assert text("<div id='social-history'>History</div>") == "History"
+    assert text("<form><nav>m</nav><p>Body of the page</p><input></form>") == "Body of the page"
+    assert text("<main><p>A story of some length</p><form>Your mail</form><div class='related-posts'>Other</div></main>") == "A story of some length"
+    assert text("<p>a <span class='ad'>x</span>b</p>") == "a b"
+    assert text("<style>p{}") == text("<title>x</title>") == ""
+
+
 def test_small_hosts_are_judged(spark):
     """Shared texts go on hosts of a few pages too; copies of one page are no evidence."""
     page = lambda h, k, j: (k, f"http://{h}/{k}", f"<body><div class='q7'>Welcome to this site</div><div class='z1'>Story {j} {h} is told</div></body>")
@@ -189,6 +249,16 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity_query(spark, none, labels).count() == 0
 
 
+def test_many_languages(spark):
+    """More languages than a word has bits."""
+    rows = [(k, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{w}" for w in ("alpha", "omega", "delta") * 4), f"l{k:03d}") for k in range(70)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language.learn(spark, docs)
+    assert len(langs) == 70 and table.shape[0] == 2
+    got = {r.doc_id: r.lang_pred for r in language.identify(spark, docs, langs, table).collect()}
+    assert got == {d: x for d, _, x in rows}
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 
@@ -235,6 +305,22 @@ def test_fm_index():
         seq, win = fm_index.repeated_windows(text, np.array(starts), n, width)
         c = Counter(tuple(s[i : i + width]) for s in seqs for i in range(len(s) - width + 1))
         assert list(zip(seq.tolist(), win.tolist(), strict=True)) == [(p, i) for p, s in enumerate(seqs) for i in range(len(s) - width + 1) if c[tuple(s[i : i + width])] > 1]
+        # Sequences that stand for several are repeated by themselves.
+        weights = np.array([1 + (p % 5 == 0) for p in range(len(seqs))])
+        c = Counter()
+        for s, w in zip(seqs, weights.tolist(), strict=True):
+            for i in range(len(s) - width + 1):
+                c[tuple(s[i : i + width])] += w
+        seq, win = fm_index.repeated_windows(text, np.array(starts), n, width, weights)
+        assert list(zip(seq.tolist(), win.tolist(), strict=True)) == [(p, i) for p, s in enumerate(seqs) for i in range(len(s) - width + 1) if c[tuple(s[i : i + width])] > 1]
+
+
+def test_dedup_of_rows_without_ids(spark):
+    """Rows with a null doc_id, and several texts of one doc_id, lose their own windows."""
+    text = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    rows = [(None, text("a", 50) + " tail one"), (None, text("c", 40)), (None, None), (1, "head " + text("a", 50)), (1, text("b", 60)), (2, text("b", 40))]
+    got = substring_dedup.dedup_digest(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=str) == sorted([(None, 52, 50), (None, 40, 0), (None, 0, 0), (1, 51, 50), (1, 60, 40), (2, 40, 40)], key=str)
 
 
 # 8 ------------------------------------------------------------------------------------------------------------------
@@ -275,6 +361,22 @@ def test_ngram_join(spark, odd, none):
     assert ngram_join.join_components(spark, none).count() == 0
 
 
+def test_templates_do_not_meet(spark):
+    """Documents that share a template, but too little of it, make few pairs; those with enough of it are linked."""
+    from lodestone.llm import ngram_join as j
+
+    base = [f"t{k}" for k in range(150)]
+    low = [(k, " ".join(base[:130] + [f"a{k}x{i}" for i in range(40)])) for k in range(300)]
+    high = [(1000 + k, " ".join([f"h{i}" for i in range(150)] + [f"b{k}x{i}" for i in range(12)])) for k in range(20)]
+    df = spark.createDataFrame(low + high, "doc_id long, text string")
+    assert sorted(map(tuple, j.join_components(spark, df).collect())) == brute_components(low + high)
+    scratch = Scratch(spark, "templates")
+    rows = df.select("doc_id", "text")
+    members, shared, _ = j._shared_grams(spark, rows, spark.sparkContext.broadcast(j.hot_grams(rows)), scratch)
+    none = spark.createDataFrame([], "node long, component long")
+    assert j._all_pairs(shared, none).where("x < 1000").count() <= 300
+
+
 def test_bitmaps():
     """Folded bitmaps differ where an odd number of n-grams of one set or the other falls, whatever the two lengths."""
     import numpy as np
