@@ -74,6 +74,100 @@ def normalize_path(path: Column) -> Column:
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
+def resolve_path(folder: Column, relative: Column) -> Column:
+    """A relative path from a folder; null if it leads above the root."""
+    parts = F.filter(F.concat(F.split(folder, "/"), F.split(relative, "/")), lambda p: (p != "") & (p != "."))
+    start = F.struct(F.lit(True).alias("ok"), F.array().cast("array<string>").alias("at"))
+
+    def step(a: Column, p: Column) -> Column:
+        up = F.struct((a["ok"] & (F.size(a["at"]) > 0)).alias("ok"), F.slice(a["at"], 1, F.greatest(F.size(a["at"]) - 1, F.lit(0))).alias("at"))
+        return F.when(p == "..", up).otherwise(F.struct(a["ok"].alias("ok"), F.concat(a["at"], F.array(p)).alias("at")))
+
+    return F.aggregate(parts, start, step, lambda a: F.when(a["ok"], F.array_join(a["at"], "/")))
+
+
+def node_id(path: Column) -> Column:
+    """Letters and digits of a path, with single underscores for the rest."""
+    return F.regexp_replace(F.regexp_replace(path, "[^a-zA-Z0-9]+", "_"), "^_|_$", "")
+
+
+def short_path(path: Column) -> Column:
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) <= 2, path).otherwise(F.concat(F.get(parts, F.lit(0)), F.lit("/.../"), F.element_at(parts, -1)))
+
+
+def top_folder(path: Column) -> Column:
+    return F.get(F.split(path, "/"), F.lit(0))
+
+
+def short_count(n: Column, digits: int = 1) -> Column:
+    """1234 as 1.2K, 3000000 as 3M."""
+    def of(unit: int, mark: str) -> Column:
+        return F.when(n % unit == 0, F.concat((n / unit).cast("long").cast("string"), F.lit(mark))).otherwise(F.concat(F.format_string(f"%.{digits}f", n / unit), F.lit(mark)))
+
+    return F.when(n >= 1_000_000, of(1_000_000, "M")).when(n >= 1000, of(1000, "K")).otherwise(n.cast("string"))
+
+
+def dollars(cost: Column) -> Column:
+    return F.when(cost < 0.01, F.format_string("$%.4f", cost)).otherwise(F.format_string("$%.2f", cost))
+
+
+def model_name(id_: Column) -> Column:
+    """Words of a model's id, capitalised, without its folder."""
+    bare = F.regexp_replace(id_, r"^(?:models/|accounts/[^/]+/models/)", "")
+    return F.array_join(F.transform(F.split(bare, "[-_]"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+
+
+def index_budget(tokens: Column) -> Column:
+    """Characters of an index for a context of so many tokens: 15 % of it, or 10 % beyond 200,000; a million at most."""
+    return F.least(F.floor(tokens * 4 * F.when(tokens <= 200_000, 0.15).otherwise(0.10)).cast("long"), F.lit(1_000_000).cast("long"))
+
+
+def day_label(day: Column, today: Column) -> Column:
+    """Today, Yesterday, or the date in words."""
+    return F.when(day == today, "Today").when(day == F.date_sub(today, 1), "Yesterday").otherwise(F.date_format(day, "MMMM d, yyyy"))
+
+
+def vector(severity: Column, confidence: Column, category: Column, cwe: Column) -> Column:
+    """S:.../C:.../CAT:.../CWE:... of a finding."""
+    number = F.regexp_replace(cwe, "(?i)^CWE-", "")
+    return F.concat_ws("/", F.concat(F.lit("S:"), severity), F.concat(F.lit("C:"), F.coalesce(confidence, F.lit("medium"))), F.concat(F.lit("CAT:"), category), F.when(F.coalesce(cwe, F.lit("")) != "", F.concat(F.lit("CWE:"), number)))
+
+
+REPO_URL = r"^(?:https?://)?(?:www\.)?github\.com/([^/?#]+)/([^/?#]+?)(?:\.git)?(?:/(?:tree|blob)/([^/?#]+)(?:/([^?#]*?))?)?/?(?:[?#].*)?$"
+
+
+def repository(url: Column) -> Column:
+    """struct<owner, repo, branch, path> of an address or of owner/repo; null if it is neither."""
+    u = F.trim(url)
+    part = lambda k: F.nullif(F.regexp_extract(u, REPO_URL, k), F.lit(""))
+    short = u.rlike(r"^[\w.-]+/[\w.-]+$")
+    split = F.split(u, "/")
+    none = F.lit(None).cast("string")
+    return F.when(short, F.struct(F.get(split, F.lit(0)).alias("owner"), F.get(split, F.lit(1)).alias("repo"), none.alias("branch"), none.alias("path"))).when(u.rlike(REPO_URL), F.struct(part(1).alias("owner"), part(2).alias("repo"), part(3).alias("branch"), part(4).alias("path")))
+
+
+def share_link(owner: Column, repo: Column, view: Column) -> Column:
+    """/owner/repo, with ?view= unless it is the first one."""
+    return F.concat(F.lit("/"), owner, F.lit("/"), repo, F.when(view.isNotNull() & (view != "repo"), F.concat(F.lit("?view="), view)).otherwise(""))
+
+
+#: Functions for SQL: arguments, type and body.
+SQL_FUNCTIONS = {
+    "lodestone_line_count": ("text STRING", "INT", "length(text) - length(replace(text, '\n', '')) + 1"),
+    "lodestone_entropy": ("value STRING", "DOUBLE", "aggregate(transform(array_distinct(filter(split(value, ''), c -> c <> '')), c -> (length(value) - length(replace(value, c, ''))) / length(value)), 0D, (a, p) -> a - p * log2(p))"),
+    "lodestone_parent_path": ("path STRING", "STRING", "CASE WHEN instr(path, '/') > 0 THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END"),
+    "lodestone_node_id": ("path STRING", "STRING", "regexp_replace(regexp_replace(path, '[^a-zA-Z0-9]+', '_'), '^_|_$', '')"),
+}
+
+
+def register(spark) -> list[str]:
+    """Make the functions of SQL_FUNCTIONS known to the session's SQL; their names."""
+    for name, (arguments, kind, body) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
+    return list(SQL_FUNCTIONS)
+
+
 def parent_path(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise("")
 

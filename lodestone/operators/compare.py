@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Weights of the parts of a similarity, and its labels.
-WEIGHTS = {"sha": 0.40, "path": 0.10, "structure": 0.25, "language": 0.15, "dependency": 0.10}
-LABELS = ((0.80, "very similar"), (0.50, "similar"), (0.20, "somewhat similar"))
+WEIGHTS = {"sha": 0.40, "containment": 0.10, "path": 0.25, "dependency": 0.15, "language": 0.10}
+LABELS = ((0.80, "likely-clone"), (0.50, "highly-similar"), (0.20, "some-overlap"))
 
 
 def shared_counts(items: DataFrame) -> DataFrame:
@@ -63,3 +63,39 @@ def identical(files: DataFrame, a: str, b: str) -> DataFrame:
     """Files (repo, path, sha) of repo a whose content is in repo b too; of equal contents the last path stays."""
     own = files.where(F.col("repo") == a).groupBy("sha").agg(F.max("path").alias("path"))
     return own.join(files.where(F.col("repo") == b).select("sha"), "sha", "left_semi")
+
+
+# Fixed lists: files that any repository may have, folders and beginnings of names of such files.
+BOILERPLATE = tuple(".gitignore .gitattributes .editorconfig license license.md license.txt .prettierrc .prettierrc.json .prettierrc.js .prettierrc.yaml .eslintrc .eslintrc.json .eslintrc.js .eslintrc.yaml eslint.config.js eslint.config.mjs tsconfig.json package-lock.json yarn.lock pnpm-lock.yaml".split())
+BOILERPLATE_FOLDERS = (".github/", ".vscode/")
+BOILERPLATE_NAMES = ("tsconfig.", "postcss.config.", "tailwind.config.", "next.config.", "vite.config.", "vitest.config.")
+
+
+def boilerplate(path: Column) -> Column:
+    low = F.lower(path)
+    name = F.element_at(F.split(low, "/"), -1)
+    out = name.isin(*BOILERPLATE)
+    for f in BOILERPLATE_FOLDERS:
+        out = out | low.startswith(f)
+    for n in BOILERPLATE_NAMES:
+        out = out | name.startswith(n)
+    return out
+
+
+def fork_relations(repos: DataFrame) -> DataFrame:
+    """(full_name, is_fork, parent_full_name) -> a, b, parent: pairs of which one was forked from the other, or both from one.
+    Equi-joins on the parent, so pairs without a relation never meet. Forks of one parent are kept as pairs with the first of
+    them, and with the parent if it is here; that says all that pairs of siblings would."""
+    forks = repos.where("is_fork and parent_full_name is not null").select("full_name", F.col("parent_full_name").alias("parent"))
+    direct = forks.join(repos.select(F.col("full_name").alias("parent")), "parent", "left_semi").select(F.least("full_name", "parent").alias("a"), F.greatest("full_name", "parent").alias("b"), "parent")
+    first = forks.groupBy("parent").agg(F.min("full_name").alias("first"))
+    siblings = forks.join(first, "parent").where("full_name <> first").select(F.col("first").alias("a"), F.col("full_name").alias("b"), "parent")
+    return direct.unionByName(siblings).distinct()
+
+
+def repository_metrics(tree: DataFrame) -> DataFrame:
+    """(repo, path, size, language) -> repo, files, lines (size / 25, rounded, of each file), languages map."""
+    from lodestone.functions.text import round_half_up
+
+    counts = tree.groupBy("repo", "language").agg(F.count("*").alias("n"), F.sum(round_half_up(F.col("size") / 25, 0)).cast("long").alias("lines"))
+    return counts.groupBy("repo").agg(F.sum("n").alias("files"), F.sum("lines").alias("lines"), F.map_from_entries(F.array_compact(F.sort_array(F.collect_list(F.when(F.col("language").isNotNull(), F.struct("language", "n")))))).alias("languages"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def roles(nodes: DataFrame, edges: DataFrame, entries: int = 20, hub_share: floa
     them. Hubs: at least 2 importers, the first max(2, share of nodes that aren't orphans)."""
     d = nodes.select("node").distinct().join(degrees(edges), "node", "left").na.fill(0, ["in_deg", "out_deg"])
     connected = d.where("in_deg + out_deg > 0").count()
-    k = max(2, -(-connected // round(1 / hub_share)))
+    k = max(2, math.ceil(round(connected * hub_share, 9)))
     top = lambda rows, by, n, flag: rows.orderBy(F.desc(by), "node").limit(n).select("node", F.lit(True).alias(flag))
     entry = top(d.where("in_deg = 0 and out_deg > 0"), "out_deg", entries, "is_entry")
     hub = top(d.where("in_deg >= 2"), "in_deg", k, "is_hub")
@@ -95,3 +96,146 @@ def unreferenced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def rollup_edges(edges: DataFrame, src_group, dst_group) -> DataFrame:
     """Edges between groups, with counts, without those inside a group."""
     return edges.select(src_group.alias("src"), dst_group.alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+def strong_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, component of nodes on directed cycles (the largest node of the cycle's strong component).
+
+    Nodes without a way in or out go first. Then every node takes the largest node that reaches it as its colour; what reaches
+    that node backwards inside the colour is its strong component, and goes. Rounds end when no edge is left.
+    """
+    left = cut(spark, edges.where("src <> dst").select("src", "dst").distinct())
+    found = None
+    while not left.isEmpty():
+        # An edge stays if something leads to its source and something follows its target.
+        kept = cut(spark, left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if kept.count() < left.count():
+            left = kept
+            continue
+        colour = cut(spark, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            reach = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
+            moved = cut(spark, colour.join(reach, "node", "left").select("node", F.greatest("colour", "c").alias("new"), "colour"))
+            colour = moved.select("node", F.col("new").alias("colour"))
+            if moved.where("new <> colour").isEmpty():
+                break
+        inside = cut(spark, left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", "a"))
+        own = cut(spark, colour.where("node = colour").select("node", F.col("colour").alias("component")))
+        front = own
+        while True:
+            front = cut(spark, front.join(inside, (F.col("node") == F.col("dst")) & (F.col("component") == F.col("a"))).select(F.col("src").alias("node"), "component").distinct().join(own, ["node", "component"], "left_anti"))
+            if front.isEmpty():
+                break
+            own = cut(spark, own.unionByName(front))
+        found = own if found is None else found.unionByName(own)
+        gone = own.select("node")
+        left = cut(spark, left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if found is None:
+        return left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    sized = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
+    return found.join(sized.select("component"), "component", "left_semi").select("node", "component")
+
+
+def cycle_edges(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """src, dst: edges that lie on a directed cycle, and self-loops: all of them, whatever order files come in."""
+    strong = strong_components(spark, edges)
+    a, b = strong.select(F.col("node").alias("src"), F.col("component").alias("a")), strong.select(F.col("node").alias("dst"), F.col("component").alias("b"))
+    e = edges.select("src", "dst").distinct()
+    return e.join(a, "src").join(b, "dst").where("a = b").select("src", "dst").unionByName(e.where("src = dst"))
+
+
+def connectors(edges: DataFrame, group: str = "component") -> DataFrame:
+    """group, node: nodes whose removal splits their part of the graph. edges: (src, dst, group), where a group holds whole
+    components of one repository's import graph, whose size the limits of ingestion bound; each is walked once, in a task."""
+    import pandas as pd
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, set[str]] = {}
+        for a, b in zip(frame["src"], frame["dst"], strict=True):
+            if a != b:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        seen: dict[str, int] = {}
+        low: dict[str, int] = {}
+        split: set[str] = set()
+        for root in sorted(near):
+            if root in seen:
+                continue
+            seen[root] = low[root] = len(seen)
+            stack, branches = [(root, "", iter(sorted(near[root])))], 0
+            while stack:
+                node, parent, rest = stack[-1]
+                step = next((x for x in rest if x != parent), None)
+                if step is None:
+                    stack.pop()
+                    if stack:
+                        up = stack[-1][0]
+                        low[up] = min(low[up], low[node])
+                        if up == root:
+                            branches += 1
+                        elif low[node] >= seen[up]:
+                            split.add(up)
+                elif step in seen:
+                    low[node] = min(low[node], seen[step])
+                else:
+                    seen[step] = low[step] = len(seen)
+                    stack.append((step, node, iter(sorted(near[step]))))
+            if branches > 1:
+                split.add(root)
+        return pd.DataFrame({group: frame[group].iloc[0] if len(frame) else None, "node": sorted(split)})
+
+    kind = dict(edges.dtypes)[group]
+    return edges.select("src", "dst", group).groupBy(group).applyInPandas(run, f"{group} {kind}, node string")
+
+
+def entry_tree(edges: DataFrame, entries: DataFrame, width: int = 10) -> DataFrame:
+    """entry, child, grandchild: what entries (node) import and what that imports, `width` of each in order."""
+    from pyspark.sql import Window
+
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    first = lambda rows, by: rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy("dst"))).where(F.col("rn") <= width).drop("rn")
+    one = first(e.join(entries.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "src").toDF("entry", "child")
+    two = first(e.join(one.select(F.col("child").alias("src")).distinct(), "src", "left_semi"), "src").toDF("child", "grandchild")
+    return one.join(two, "child", "left").select("entry", "child", F.when(F.col("grandchild") != F.col("entry"), F.col("grandchild")).alias("grandchild"))
+
+
+def clusters(components_: DataFrame, least: int = 2) -> DataFrame:
+    """component, size, nodes: components of `least` nodes or more, largest first."""
+    return components_.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_list("node")).alias("nodes")).where(F.col("size") >= least).orderBy(F.desc("size"), "component")
+
+
+def common_stats(files: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges, files, avg_deps (one decimal), most_imported, most_dependent (of equals the first by name)."""
+    from lodestone.functions.text import round_half_up
+
+    d = degrees(edges)
+    top = lambda c: F.max_by("node", F.struct(c, F.transform(F.split("node", ""), lambda x: -F.ascii(x)).alias("name")))
+    stats = d.agg(F.sum("out_deg").alias("edges"), F.when(F.max("in_deg") > 0, top("in_deg")).alias("most_imported"), F.when(F.max("out_deg") > 0, top("out_deg")).alias("most_dependent"))
+    return stats.crossJoin(F.broadcast(files.agg(F.countDistinct("path").alias("files")))).select(F.coalesce("edges", F.lit(0)).cast("long").alias("edges"), "files", F.when(F.col("files") > 0, round_half_up(F.coalesce("edges", F.lit(0)) / F.col("files"), 1)).otherwise(0.0).alias("avg_deps"), "most_imported", "most_dependent")
+
+
+#: Roles of a folder: the first that one of its files has.
+ROLE_ORDER = ("entry", "hub", "connector", "regular", "leaf", "orphan")
+
+
+def folder_roles(roles_: DataFrame) -> DataFrame:
+    """(path, role) -> folder, files, role: by the order of ROLE_ORDER."""
+    from lodestone.functions.text import ordinal
+
+    rank = F.min(ordinal(F.col("role"), ROLE_ORDER))
+    return roles_.groupBy(F.element_at(F.split("path", "/"), 1).alias("folder")).agg(F.count("*").alias("files"), F.get(F.array(*map(F.lit, ROLE_ORDER)), rank).alias("role"))
+
+
+def health_issues(stats: DataFrame) -> DataFrame:
+    """(project, files, cycles, orphans, depth, split), (coupled: files with more importers than max(10, 30 %)) -> project, note."""
+    c = F.col
+    s = lambda x: F.when(c(x) > 1, "s").otherwise("")
+    text = lambda x: c(x).cast("string")
+    notes = F.array(
+        F.when(c("cycles") > 0, F.concat(text("cycles"), F.lit(" circular dependency pair"), s("cycles"), F.lit(" detected"))),
+        F.when(c("orphans") > 5, F.concat(text("orphans"), F.lit(" orphan files may be dead code"))),
+        F.when(c("depth") > 8, F.concat(F.lit("deepest dependency chain is "), text("depth"), F.lit(" levels"))),
+        F.when(c("coupled") > 0, F.concat(text("coupled"), F.lit(" file"), s("coupled"), F.lit(" imported by more than 30% of the project"))),
+        F.when(c("split") > 0, F.concat(text("split"), F.lit(" connector file"), s("split"), F.lit(" would split the graph"))),
+    )
+    return stats.select("project", F.explode(F.array_compact(notes)).alias("note"))

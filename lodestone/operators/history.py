@@ -119,3 +119,35 @@ def since(ts: Column, now: Column) -> Column:
     """today, `n`d, `n`mo or `n`y."""
     d = F.datediff(now, ts)
     return F.when(d < 1, "today").when(d < 30, F.concat(d.cast("string"), F.lit("d"))).when(d < 365, F.concat(F.floor(d / 30).cast("string"), F.lit("mo"))).otherwise(F.concat(F.floor(d / 365).cast("string"), F.lit("y")))
+
+
+DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
+
+def author_estimates(commits: DataFrame, gap: int = GAP_MINUTES, cap: int = DAY_CAP_MINUTES) -> DataFrame:
+    """author, commits, sessions, minutes, active_days, per_day (minutes), best_day, streak of each author of (author, ts)."""
+    found = cap_days(sessions(commits, gap), cap)
+    total = found.groupBy("author").agg(F.sum("commits").alias("commits"), F.count("*").alias("sessions"), F.sum("minutes").alias("minutes"), F.countDistinct(F.to_date("start_ts")).alias("active_days"))
+    starts = found.select("author", F.col("start_ts").alias("ts"))
+    best = best_weekday(found).select("author", F.get(F.array(*map(F.lit, DAYS)), F.col("best_dow")).alias("best_day"))
+    return total.withColumn("per_day", F.col("minutes") / F.col("active_days")).join(best, "author").join(streaks(starts).select("author", "streak"), "author")
+
+
+def pulse(estimates: DataFrame) -> DataFrame:
+    """One row: minutes, contributors, the most active days of one of them, minutes of a session."""
+    return estimates.agg(F.coalesce(F.sum("minutes"), F.lit(0.0)).alias("minutes"), F.count("*").alias("contributors"), F.coalesce(F.max("active_days"), F.lit(0)).alias("most_days"), F.coalesce(F.sum("minutes") / F.sum("sessions"), F.lit(0.0)).alias("session_minutes"))
+
+
+def by_author(commits: DataFrame, most: int = 15) -> DataFrame:
+    """author, n, place: the `most` authors with most commits, and one row for the rest."""
+    counts = commits.groupBy("author").agg(F.count("*").alias("n"))
+    top = counts.orderBy(F.desc("n"), "author").limit(most)
+    rest = counts.join(F.broadcast(top.select("author")), "author", "left_anti").agg(F.count("*").alias("others"), F.sum("n").alias("n")).where("others > 0")
+    return top.unionByName(rest.select(F.concat(F.lit("+"), F.col("others").cast("string"), F.lit(" more")).alias("author"), "n"))
+
+
+def owners(ranges: DataFrame) -> DataFrame:
+    """(start_line, end_line, author_name, author_email, author_login) -> email, name, login (the first known), lines, pct."""
+    rows = ranges.select(F.coalesce("author_email", F.lit("unknown")).alias("email"), F.coalesce("author_name", F.lit("Unknown")).alias("name"), "author_login", "start_line", (F.col("end_line") - F.col("start_line") + 1).alias("n"))
+    by = rows.groupBy("email").agg(F.min_by("name", "start_line").alias("name"), F.min_by(F.col("author_login"), F.when(F.col("author_login").isNotNull(), F.col("start_line"))).alias("login"), F.sum("n").cast("long").alias("lines"))
+    return by.crossJoin(F.broadcast(by.agg(F.sum("lines").alias("all")))).select("email", "name", "login", "lines", round_half_up(F.col("lines") * 100.0 / F.col("all"), 1).alias("pct"))  # one row

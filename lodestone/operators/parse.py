@@ -8,17 +8,30 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import normalize_path, parent_path
 from lodestone.operators.search import to_lines
 
-# Fixed table: language by extension.
+# Fixed tables: language by extension, for parsing, for listings and for structural indexes; scans have their own
+# (structure.SCANNED_LANGUAGES). They differ and are kept apart.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
-    "py": "python", "go": "go", "rs": "rust", "php": "php", "java": "java", "kt": "kotlin", "rb": "ruby", "c": "c", "h": "c",
-    "cpp": "cpp", "cs": "csharp", "swift": "swift", "sql": "sql", "sh": "shell", "md": "markdown", "json": "json", "yml": "yaml", "yaml": "yaml",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript",
+    "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "pyw": "python", "go": "go", "rs": "rust", "php": "php", "rb": "ruby", "java": "java",
+    "kt": "kotlin", "kts": "kotlin", "cs": "csharp", "swift": "swift", "dart": "dart", "vue": "typescript", "svelte": "typescript",
+}
+LISTED = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "rb": "ruby", "go": "go",
+    "rs": "rust", "java": "java", "kt": "kotlin", "swift": "swift", "cs": "csharp", "cpp": "cpp", "c": "c", "h": "c", "hpp": "cpp",
+    "php": "php", "vue": "vue", "svelte": "svelte", "html": "html", "css": "css", "scss": "scss", "sass": "sass", "less": "less",
+    "json": "json", "yaml": "yaml", "yml": "yaml", "md": "markdown", "mdx": "markdown", "sql": "sql", "sh": "shell", "bash": "shell",
+    "zsh": "shell", "dockerfile": "dockerfile", "graphql": "graphql", "gql": "graphql",
+}
+INDEXED = {
+    "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "jsx", "py": "python", "rs": "rust", "go": "go", "java": "java",
+    "css": "css", "scss": "scss", "html": "html", "json": "json", "md": "markdown", "yaml": "yaml", "yml": "yaml",
 }
 SCRIPT = ("typescript", "javascript")
 #: Patterns whose first group is an import's source, by language.
 IMPORTS = {
     "typescript": (r"(?m)^\s*import\s+(?:[^'\";]*?\s+from\s+)?['\"]([^'\"]+)['\"]", r"\brequire\(\s*['\"]([^'\"]+)['\"]\s*\)", r"\bimport\(\s*['\"]([^'\"]+)['\"]\s*\)", r"(?m)^\s*export\s+[^'\";]*?\s+from\s+['\"]([^'\"]+)['\"]"),
-    "python": (r"(?m)^\s*from\s+([.\w]+)\s+import\b", r"(?m)^\s*import\s+([.\w]+)"),
+    "python": (r"(?m)^\s*from\s+([.\w]+)\s+import\b", r"(?m)^\s*import\s+([.\w]+(?:\s*,\s*[.\w]+)*)"),
     "go": (r"(?m)^\s*import\s+(?:\w+\s+)?\"([^\"]+)\"", r"(?m)^\t(?:\w+\s+)?\"([^\"]+)\"\s*$"),
     "rust": (r"(?m)^\s*(?:pub\s+)?use\s+([\w:]+)", r"(?m)^\s*(?:pub\s+)?mod\s+(\w+)\s*;"),
     "php": (r"(?m)^\s*use\s+([\w\\]+)", r"\b(?:require|include)(?:_once)?\s*\(?\s*['\"]([^'\"]+)['\"]"),
@@ -31,12 +44,14 @@ SYMBOLS = {
     "rust": (("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)"), ("struct", r"^\s*(?:pub\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub\s+)?enum\s+(\w+)"), ("trait", r"^\s*(?:pub\s+)?trait\s+(\w+)")),
     "php": (("class", r"^\s*(?:abstract\s+|final\s+)?class\s+(\w+)"), ("function", r"^\s*(?:public\s+|private\s+|protected\s+|static\s+)*function\s+(\w+)")),
 }
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".py", ".go", ".rs", ".php", "/index.ts", "/index.tsx", "/index.js", "/__init__.py")
+# Fixed list: extensions that imports leave out, in order; then the same for a folder's index.
+CODE_EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", ".py", ".go", ".rs", ".php")
+SUFFIXES = ("", *CODE_EXTENSIONS, *(f"/index{e}" for e in CODE_EXTENSIONS), "/__init__.py")
 
 
-def language_of(path: Column) -> Column:
-    table = F.create_map(*(F.lit(x) for kv in LANGUAGES.items() for x in kv))
-    return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.(\w+)$", 1)))
+def language_of(path: Column, table: dict[str, str] = LANGUAGES) -> Column:
+    """The language of a path by its extension (a name without a dot is one itself), or null."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.lower(F.regexp_extract(path, r"(?:^|[./])(\w+)$", 1)))
 
 
 def _by_language(language: Column, make, other: Column) -> Column:
@@ -50,7 +65,9 @@ def _by_language(language: Column, make, other: Column) -> Column:
 def imports(files: DataFrame) -> DataFrame:
     """path, source, external: distinct imports of each file; unknown languages are read as scripts."""
     every = lambda name: F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all("content", F.lit(p), 1) for p in IMPORTS[name]))))
-    rows = files.select("path", "language", F.explode(_by_language(F.col("language"), every, every("typescript"))).alias("source"))
+    found = _by_language(F.col("language"), every, every("typescript"))
+    found = F.when(F.col("language") == "python", F.flatten(F.transform(found, lambda s: F.split(s, r"\s*,\s*")))).otherwise(found)
+    rows = files.select("path", "language", F.explode(F.array_distinct(found)).alias("source"))
     inside = F.col("source").rlike(r"^(?:\.|/|@/|~/|#/)") | ((F.col("language") == "rust") & F.col("source").rlike("^(?:crate|self|super)\\b"))
     return rows.select("path", "source", (~inside | (F.col("language") == "php")).alias("external"))
 

@@ -153,3 +153,53 @@ def accuracy(expected: DataFrame, actual: DataFrame, key: list[str]) -> DataFram
     e, a = expected.withColumn("k", rn).withColumn("e", F.lit(1)), actual.withColumn("k", rn).withColumn("a", F.lit(1))
     c = lambda x: F.count(F.when(x, 1))
     return e.join(a, [*cols, "k"], "full").groupBy("rule_id").agg(c(F.col("e").isNotNull() & F.col("a").isNotNull()).alias("tp"), c(F.col("e").isNull()).alias("fp"), c(F.col("a").isNull()).alias("missed"))
+
+
+def project_score(issues: DataFrame, by: list[str]) -> DataFrame:
+    """by..., project_score: risk scores weighted by themselves, one decimal; 0 without a score."""
+    s = F.col("risk_score")
+    return issues.groupBy(*by).agg(F.coalesce(round_half_up(F.sum(s * s) / F.nullif(F.sum(s), F.lit(0.0)), 1), F.lit(0.0)).alias("project_score"))
+
+
+def security_grades(summaries: DataFrame) -> DataFrame:
+    """Summaries with security_points and security_grade, by the security findings alone (security_critical, security_warnings,
+    security_info)."""
+    points = F.greatest(F.lit(0), F.least(F.lit(100), 100 - 30 * F.col("security_critical") - 8 * F.col("security_warnings") - 2 * F.col("security_info")))
+    points = F.when(F.col("security_critical") > 0, F.least(points, F.lit(35))).otherwise(points)
+    points = F.when(F.col("security_warnings") > 0, F.least(points, F.lit(89))).otherwise(points)
+    return summaries.withColumn("security_points", points.cast("long")).withColumn("security_grade", letter(F.col("security_points")))
+
+
+def accuracy_rates(found: DataFrame, rules: DataFrame) -> DataFrame:
+    """accuracy with category (of rules: rule_id, category), fp_rate (false positives of all that fired, 3 decimals)."""
+    fired = F.col("tp") + F.col("fp")
+    return found.join(rules, "rule_id", "left").withColumn("fp_rate", F.when(fired > 0, round_half_up(F.col("fp") / fired, 3)).otherwise(0.0))
+
+
+def shown(issues: DataFrame, severity: str = "", category: str = "", hide_info: bool = False, hide_low: bool = False) -> DataFrame:
+    """Issues that pass a list's filters."""
+    out = issues
+    for column, value in (("severity", severity), ("category", category)):
+        out = out.where(F.col(column) == value) if value else out
+    out = out.where("severity <> 'info'") if hide_info else out
+    return out.where("confidence <> 'low'") if hide_low else out
+
+
+def merged_overflow(base: DataFrame, other: DataFrame) -> DataFrame:
+    """rule_id, overflow summed over two scans."""
+    return base.unionByName(other).groupBy("rule_id").agg(F.sum("overflow").cast("long").alias("overflow"))
+
+
+def merged_size(base_issues: DataFrame, base_per_kloc: DataFrame, files: DataFrame) -> DataFrame:
+    """One row: source lines estimated for a merged scan, from the base's issues and density, else 100 a file."""
+    n = base_issues.agg(F.count("*").alias("n")).crossJoin(base_per_kloc).crossJoin(files)  # one row each
+    return n.select(F.when(F.col("per_kloc") > 0, F.round(F.col("n") / F.col("per_kloc") * 1000)).otherwise(F.col("files") * 100).cast("long").alias("sloc"))
+
+
+def rules_evaluated(files: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row: how many rules apply to some file by its extension."""
+    from lodestone.functions.text import extension
+
+    flags = [(F.lit(True) if not r.extensions else F.col("ext").isin(*r.extensions)) for r in rules]
+    any_ = files.select(extension(F.col("path")).alias("ext")).distinct().agg(*(F.max(f).cast("int").alias(f"r{k}") for k, f in enumerate(flags)))
+    return any_.select(sum((F.coalesce(F.col(f"r{k}"), F.lit(0)) for k in range(len(rules))), F.lit(0)).cast("long").alias("rules"))
