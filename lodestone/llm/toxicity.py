@@ -1,11 +1,13 @@
 """Toxicity scores: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte runs of 4, 5 and 6 of the A-Z lower-cased text (white space runs count as one space each),
-hashed to FEATURES slots. Slots are scaled by r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), p and q being the
-numbers of toxic and other learning documents with the feature; logistic regression learns one weight for each.
-
-The classifier is fitted on SAMPLE learning rows at most (those with the smallest hash of doc_id); of their features the
-KEPT with the largest log-likelihood ratio are used, if that is above MIN_GAIN. Both bounds are parameters. Scoring covers every row.
+Features are runs of 4, 5 and 6 characters of the lower-cased text (white space counts as spaces), hashed to SLOTS slots; a
+text has the features "at least once", "at least twice" and "at least four times" of a slot. Features are scaled by
+r = log((p + 1) / |p + 1|) - log((q + 1) / |q + 1|), p and q being the numbers of toxic and other learning documents with the
+feature; logistic regression learns one weight for each.
+
+The classifier is fitted on SAMPLE learning rows at most (those with the smallest hash of doc_id among labelled rows whose
+document has a text), as long as their texts together have SAMPLE_CHARS characters at most; of the features the KEPT with the largest log-likelihood ratio are used, if that is above MIN_GAIN. These bounds are
+parameters. Scoring covers every row.
 """
 
 from __future__ import annotations
@@ -14,46 +16,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import only, ship
-from lodestone.llm.language import LOWER
-from lodestone.llm.textkit import blocks, lean, text_buffer
+from lodestone.llm.textkit import blocks, lean
 
-SIZES, FEATURES = (4, 5, 6), 1 << 22
-SAMPLE, KEPT = 20_000, 20_000
+SIZES, LEVELS, SLOTS = (4, 5, 6), (1, 2, 4), 1 << 21
+FEATURES = SLOTS * len(LEVELS)
+SAMPLE, SAMPLE_CHARS, KEPT = 20_000, 60_000_000, 20_000
 MIN_DOCS, MIN_GAIN = 4, 7.0
 L2 = 1.0
 THRESHOLD = 0.7
 
 
-def slots(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the lower-cased texts, white space as spaces, and row offsets; nulls are empty."""
+    low = pc.utf8_lower(pc.fill_null(texts, ""))
+    points = np.frombuffer("".join(low.to_pylist()).encode("utf-32-le"), np.uint32).copy()
+    points[(points >= 9) & (points <= 13)] = 32
+    return points, np.concatenate(([0], np.cumsum(pc.utf8_length(low).to_numpy(zero_copy_only=False), dtype=np.int64)))
+
+
+def slots(points: np.ndarray, offs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each n-gram size: slots of all positions, and rows of those positions (-1 where it crosses rows)."""
-    low = LOWER[data].astype(np.uint64)
-    n = len(low)
+    n = len(points)
     rows = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
-    for size in SIZES:
+    value = np.zeros(n, np.uint64)
+    for size in range(1, max(SIZES) + 1):
         if n < size:
-            continue
-        value = np.full(n - size + 1, size, np.uint64)
-        for k in range(size):
-            value = value << np.uint64(8) | low[k : n - size + 1 + k]
-        value *= np.uint64(0x9E3779B97F4A7C15)
-        first = rows[: n - size + 1]
-        yield (value >> np.uint64(42)).astype(np.int32), np.where(first == rows[size - 1 :], first, -1)
-
-
-def distinct_features(data: np.ndarray, offs: np.ndarray, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs, sorted; table maps slots to features (-1: none)."""
+            return
+        value = value[: n - size + 1] * np.uint64(0x100000001B3) + points[size - 1 :]
+        if size in SIZES:
+            mixed = (value + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+            mixed *= np.uint64(0xBF58476D1CE4E5B9)
+            first = rows[: n - size + 1]
+            yield (mixed >> np.uint64(43)).astype(np.int32), np.where(first == rows[size - 1 :], first, -1)
+
+
+def distinct_features(texts: pa.Array, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, feature) pairs, sorted; table (slot, level) maps slots and levels to features (-1: none)."""
+    used = None if table is None else (table >= 0).any(1)
     found = []
-    for slot, row in slots(data, offs):
-        if table is not None:
-            slot = table[slot]
-        ok = (row >= 0) & (slot >= 0)
-        found.append(np.unique(row[ok].astype(np.int64) << 32 | slot[ok]))
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    for slot, row in slots(*characters(texts)):
+        ok = row >= 0 if used is None else (row >= 0) & used[slot]
+        found.append(row[ok].astype(np.int64) << 32 | slot[ok])
+    pairs, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    out = []
+    for k, level in enumerate(LEVELS):
+        enough = pairs[times >= level]
+        slot = enough & 0xFFFFFFFF
+        feature = slot * len(LEVELS) + k if table is None else table[slot, k].astype(np.int64)
+        out.append((enough - slot | feature)[feature >= 0])
+    both = np.sort(np.concatenate(out))
+    return both >> 32, both & 0xFFFFFFFF
 
 
 def fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2: float = L2, steps: int = 200) -> tuple[np.ndarray, float]:
@@ -94,13 +112,17 @@ def fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1; a doc_id with several rows is toxic if one says so).
 
-    The sample is taken from the labels, so it can be broadcast and texts aren't shuffled. Without rows of both labels the
-    model is the share of toxic rows; null texts and null labels aren't learned from.
+    The sample is taken from the labels of documents with a text, so it can be broadcast and texts aren't shuffled. Without
+    rows of both labels the model is the share of toxic rows; null texts and null labels aren't learned from.
     """
     ship(spark)
     marks = only(labels, "doc_id", "toxic").where("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` rows at most
-    some = only(docs, "doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
+    texts = only(docs, "doc_id", "text").where("text is not null")
+    sizes = texts.groupBy("doc_id").agg(F.max(F.length("text")).alias("size"))
+    chosen = marks.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` rows at most
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = chosen.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS).select("doc_id", "toxic")
+    some = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, FEATURES), np.int32)
@@ -108,7 +130,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
         for batch in batches:
             for b in blocks(batch, "text"):
                 label = np.array(b.column(2).to_pylist(), bool)
-                row, col = distinct_features(*text_buffer(b.column(1)))
+                row, col = distinct_features(b.column(1))
                 for k in (0, 1):
                     total[k] += np.bincount(col[label[row] == bool(k)], minlength=FEATURES).astype(np.int32)
                     docs[k] += int((label == bool(k)).sum())
@@ -131,19 +153,19 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     best = best[gain[best] > MIN_GAIN]
     slot, p, q = slot[best], p[best], q[best]
     ratio = np.log((p + 1) / (p + 1).sum()) - np.log((q + 1) / (q + 1).sum())
-    lookup = np.full(FEATURES, -1, np.int32)
-    lookup[slot] = np.arange(len(slot))
+    lookup = np.full((SLOTS, len(LEVELS)), -1, np.int32)
+    lookup.reshape(-1)[slot] = np.arange(len(slot))
     shared = spark.sparkContext.broadcast(lookup)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch, "text"):
-                row, col = distinct_features(*text_buffer(b.column(1)), shared.value)
+                row, col = distinct_features(b.column(1), shared.value)
                 at = np.searchsorted(row, np.arange(b.num_rows + 1))
                 own = pa.LargeListArray.from_arrays(pa.array(at), pa.array(col.astype(np.int32))).cast(pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(2), own], ["toxic", "features"])
 
-    got = some.mapInArrow(lean(features), "toxic int, features array<int>").toArrow()  # `sample` rows at most
+    got = some.mapInArrow(lean(features), "toxic int, features array<int>").toArrow()  # rows of the sample
     y = got.column("toxic").to_numpy().astype(float)
     lists = got.column("features").combine_chunks()
     cols = lists.flatten().to_numpy()
@@ -155,8 +177,8 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
 def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, score for every row of `docs` (doc_id, text); null or empty texts have no features."""
     ship(spark)
-    lookup = np.full(FEATURES, -1, np.int32)
-    lookup[model["slots"]] = np.arange(len(model["slots"]))
+    lookup = np.full((SLOTS, len(LEVELS)), -1, np.int32)
+    lookup.reshape(-1)[model["slots"]] = np.arange(len(model["slots"]))
     shared = spark.sparkContext.broadcast((lookup, np.asarray(model["weights"], float)))
     bias = model["bias"]
 
@@ -164,7 +186,7 @@ def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
         table, weights = shared.value
         for batch in batches:
             for b in blocks(batch, "text"):
-                row, col = distinct_features(*text_buffer(b.column(1)), table)
+                row, col = distinct_features(b.column(1), table)
                 z = np.bincount(row, weights[col], b.num_rows) + bias if len(row) else np.full(b.num_rows, bias)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 

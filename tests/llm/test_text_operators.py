@@ -249,6 +249,63 @@ def test_toxicity(spark, odd, none):
     assert toxicity.toxicity_query(spark, none, labels).count() == 0
 
 
+def test_toxicity_against_brute_force(spark):
+    """Features, log-count ratios and scores of a small model, recomputed from sets and counts; the weights' gradient is zero."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = [("Älpha beta gammä " + ("schlimm schlimm " if k % 3 == 0 else "good ") + f"n{k % 7}") for k in range(60)]
+    y = np.array([k % 3 == 0 for k in range(60)])
+
+    def brute(text):
+        low = text.lower()
+        c = Counter(low[i : i + n] for n in toxicity.SIZES for i in range(len(low) - n + 1))
+        return {(g, level) for g, n in c.items() for level in toxicity.LEVELS if n >= level}
+
+    sets = list(map(brute, texts))
+    row, col = toxicity.distinct_features(pa.array(texts))
+    assert [int((row == k).sum()) for k in range(60)] == list(map(len, sets))
+    assert len(np.unique(col)) == len(set().union(*sets))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.learn(spark, docs, spark.createDataFrame([(k, int(t)) for k, t in enumerate(y)], "doc_id long, toxic int"))
+    # Ratios by counting documents.
+    names = {}
+    for k, s in enumerate(sets):
+        own = {int(c) for c in col[row == k]}
+        for f in own:
+            names.setdefault(f, set()).add(k)
+    p = {f: sum(y[k] for k in ks) for f, ks in names.items()}
+    q = {f: len(ks) - p[f] for f, ks in names.items()}
+    used = model["slots"].tolist()
+    a, b = sum(p[f] + 1 for f in used), sum(q[f] + 1 for f in used)
+    ratio = np.array([math.log((p[f] + 1) / a) - math.log((q[f] + 1) / b) for f in used])
+    x = np.array([[k in names[f] for f in used] for k in range(60)], float) * ratio
+    w = np.array(model["weights"]) / ratio
+    z = x @ w + model["bias"]
+    err = 1 / (1 + np.exp(-z)) - y
+    assert np.abs(x.T @ err + toxicity.L2 * w).max() < 1e-2 and abs(err.sum()) < 1e-2
+    got = {r.doc_id: r.score for r in toxicity.score(spark, docs, model).collect()}
+    assert [got[k] for k in range(60)] == pytest.approx((1 / (1 + np.exp(-z))).tolist())
+
+
+def test_language_counts_against_sets(spark):
+    """Filters hold what sets of n-grams say; scores are shares of counts less the filters' false positives."""
+    rows = [(k, t, x) for k, (t, x) in enumerate([("the cat and the dog and the cow", "en"), ("der hund und der fuchs und der", "de")] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language.learn(spark, docs)
+    grams = lambda t: [t.encode()[i : i + 4] for i in range(len(t.encode()) - 3)]
+    count = {x: Counter(g for _, t, y in rows if y == x for g in grams(t)) for x in langs}
+    total = {x: sum(c.values()) for x, c in count.items()}
+    best = {g: max(count[x][g] / total[x] for x in langs) for x in langs for g in count[x]}
+    own = {x: {g for g in count[x] if count[x][g] >= language.MIN_COUNT and count[x][g] / total[x] >= language.MIN_RATE * best[g]} for x in langs}
+    got = {r.doc_id: r for r in language.identify(spark, docs, langs, table).collect()}
+    for d, t, x in rows:
+        hits = {y: sum(g in own[y] for g in grams(t)) for y in langs}
+        assert got[d].lang_pred == max(langs, key=lambda y: hits[y]) == x
+        assert got[d].score == pytest.approx(hits[x] / sum(hits.values()), abs=1e-3)
+        assert got[d].coverage == pytest.approx(hits[x] / len(grams(t)), abs=1e-3)
+
+
 def test_many_languages(spark):
     """More languages than a word has bits."""
     rows = [(k, " ".join(f"{chr(97 + k // 26)}{chr(97 + k % 26)}{w}" for w in ("alpha", "omega", "delta") * 4), f"l{k:03d}") for k in range(70)]
