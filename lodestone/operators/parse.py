@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import normalize_path, parent_path
+from lodestone.functions.text import line_count, normalize_path, parent_path
 from lodestone.operators.search import to_lines
 
 # Fixed tables: language by extension, for parsing, for listings and for structural indexes; scans have their own
@@ -97,9 +97,8 @@ def symbols(files: DataFrame) -> DataFrame:
     def arms(name: str) -> Column:
         return F.coalesce(*(F.when(F.col("text").rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract("text", p, 1).alias("name"))) for kind, p in SYMBOLS[name]))
 
-    lines = to_lines(files).join(files.select("path", "language"), "path")
-    last = F.max("line_no").over(Window.partitionBy("path"))
-    marked = lines.withColumn("last", last).withColumn("s", _by_language(F.col("language"), arms, F.lit(None))).where("s is not null")
+    lines = to_lines(files.withColumn("last", line_count(F.col("content"))), keep=("language", "last"))
+    marked = lines.withColumn("s", _by_language(F.col("language"), arms, F.lit(None))).where("s is not null")
     after = F.lead("line_no").over(Window.partitionBy("path").orderBy("line_no"))
     exported = F.when(F.col("language").isin(*SCRIPT), F.col("text").rlike(r"^\s*export\b")).when(F.col("language") == "rust", F.col("text").rlike(r"^\s*pub\b")).when(F.col("language") == "go", F.col("s.name").rlike("^[A-Z]")).otherwise(~F.col("s.name").startswith("_"))
     return marked.select("path", "line_no", F.coalesce(after - 1, "last").alias("end_line"), "s.kind", "s.name", exported.alias("exported"))

@@ -6,12 +6,13 @@ combined pattern that drops texts no rule can match; rules are never joined with
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import ordinal, round_half_up
+from lodestone.functions.text import ordinal, round_half_up, split_lines
 from lodestone.operators.search import to_lines, whole_text
 
 SEVERITIES = ("critical", "warning", "info")
@@ -33,6 +34,8 @@ class Rule:
     cwe: str = ""
     exclude: str = ""
     extensions: tuple[str, ...] = field(default=())
+    #: Texts of which every match of the pattern holds one; they are looked for before the pattern is tried.
+    needs: tuple[str, ...] = ()
 
 
 def _map(of: Column, values: dict[str, float], other: float) -> Column:
@@ -42,21 +45,34 @@ def _map(of: Column, values: dict[str, float], other: float) -> Column:
     return out
 
 
-def scan_lines(files: DataFrame, rules: list[Rule], path: str = "path", content: str = "content") -> DataFrame:
-    """path, line_no, text, rule_id, severity, category, confidence, cwe: one row for a rule and line at most."""
-    any_ = "|".join(f"(?:{r.pattern})" for r in rules)
-    hit = files.where(F.col(content).rlike(any_)) if all(whole_text(r.pattern) for r in rules) else files
-    lines = to_lines(hit, path, content).where(F.col("text").rlike(any_))
+def may_match(text: Column, rules: list[Rule]) -> Column:
+    """A cheap test that holds wherever a rule matches: the texts that rules need, and one pattern of the rules without such."""
+    out = F.lit(False)
+    for t in dict.fromkeys(t for r in rules for t in r.needs):
+        out = out | text.contains(t)
+    rest = "|".join(f"(?:{r.pattern})" for r in rules if not r.needs)
+    return out | text.rlike(rest) if rest else out
+
+
+def scan_lines(files: DataFrame, rules: list[Rule], path: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, line_no, text, keep..., rule_id, severity, category, confidence, cwe: one row for a rule and line at most. `keep` are
+    columns of the files that stay with their findings, so they needn't be joined back."""
+    hit = files.where(may_match(F.col(content), rules)) if all(r.needs or whole_text(r.pattern) for r in rules) else files
+    lines = to_lines(hit, path, content, keep).where(may_match(F.col("text"), rules))
 
     def arm(r: Rule) -> Column:
         ok = F.col("text").rlike(r.pattern)
+        for k, t in enumerate(reversed(r.needs)):
+            has = F.col("text").contains(t) if k == 0 else has | F.col("text").contains(t)
+        if r.needs:
+            ok = has & ok
         if r.exclude:
             ok &= ~F.col("text").rlike(r.exclude)
         if r.extensions:
             ok &= F.regexp_extract(F.col("path").cast("string"), r"\.([A-Za-z0-9]+)$", 1).isin(*r.extensions)
         return F.when(ok, F.struct(*(F.lit(v).alias(k) for k, v in (("rule_id", r.id), ("severity", r.severity), ("category", r.category), ("confidence", r.confidence), ("cwe", r.cwe)))))
 
-    return lines.withColumn("m", F.explode(F.array_compact(F.array(*map(arm, rules))))).select("path", "line_no", "text", "m.*")
+    return lines.withColumn("m", F.explode(F.array_compact(F.array(*map(arm, rules))))).select("path", "line_no", "text", *keep, "m.*")
 
 
 def lower_confidence(issues: DataFrame, when: Column) -> DataFrame:
@@ -65,17 +81,26 @@ def lower_confidence(issues: DataFrame, when: Column) -> DataFrame:
     return issues.withColumn("confidence", F.when(when, step).otherwise(F.col("confidence")))
 
 
-def near_line(lines: DataFrame, flag: Column, before: int, after: int) -> DataFrame:
-    """Lines with `near`: another line within the distance has the flag."""
-    w = Window.partitionBy("path").orderBy("line_no")
-    around = F.greatest(F.coalesce(F.max(flag.cast("int")).over(w.rowsBetween(-before, -1)), F.lit(0)), F.coalesce(F.max(flag.cast("int")).over(w.rowsBetween(1, after)), F.lit(0)))
-    return lines.withColumn("near", around == 1)
+def near_line(files: DataFrame, flag: Callable[[Column], Column], before: int, after: int, path: str = "path", content: str = "content") -> DataFrame:
+    """path, line_no, text, near: another line within the distance has the flag. Taken from each file's array of lines."""
+    rows = files.select(F.col(path).alias("path"), split_lines(F.col(content)).alias("lines"))
+    rows = rows.select("path", "lines", F.transform("lines", flag).alias("flags"))
+
+    def near(i: Column) -> Column:
+        out = F.lit(False)
+        for d in (*range(-before, 0), *range(1, after + 1)):
+            out = out | F.coalesce(F.get("flags", i + d), F.lit(False))
+        return out
+
+    each = F.transform("lines", lambda t, i: F.struct(t.alias("text"), near(i).alias("near")))
+    return rows.select("path", F.posexplode(each).alias("i", "x")).select("path", (F.col("i") + 1).alias("line_no"), "x.text", "x.near")
 
 
-def suppressed(lines: DataFrame, same: str = "scan-ignore-line", following: str = "scan-ignore-next-line") -> DataFrame:
-    """Lines with `hidden`: the mark `same` is on the line itself, or `following` on the one before."""
-    before = F.lag("text").over(Window.partitionBy("path").orderBy("line_no"))
-    return lines.withColumn("hidden", F.col("text").contains(same) | F.coalesce(before.contains(following), F.lit(False)))
+def suppressed(files: DataFrame, same: str = "scan-ignore-line", following: str = "scan-ignore-next-line", path: str = "path", content: str = "content") -> DataFrame:
+    """path, line_no, text, hidden: the mark `same` is on the line itself, or `following` on the one before."""
+    rows = files.select(F.col(path).alias("path"), split_lines(F.col(content)).alias("lines"))
+    each = F.transform("lines", lambda t, i: F.struct(t.alias("text"), (t.contains(same) | F.coalesce(F.get("lines", i - 1).contains(following), F.lit(False))).alias("hidden")))
+    return rows.select("path", F.posexplode(each).alias("i", "x")).select("path", (F.col("i") + 1).alias("line_no"), "x.text", "x.hidden")
 
 
 def cap_rules(issues: DataFrame, cap: int = CAP) -> tuple[DataFrame, DataFrame]:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import line_count, search_pattern, split_lines
 
 
-def to_lines(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, line_no (from 1), text: one row for each line."""
-    return files.select(F.col(path).alias("path"), F.posexplode(split_lines(F.col(content))).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
+def to_lines(files: DataFrame, path: str = "path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, keep..., line_no (from 1), text: one row for each line."""
+    return files.select(F.col(path).alias("path"), *keep, F.posexplode(split_lines(F.col(content))).alias("line_no", "text")).withColumn("line_no", F.col("line_no") + 1)
 
 
 #: Escaped characters and character classes; what depends on where a line starts or ends, or on how far a part of a match
@@ -49,10 +49,18 @@ def search_partial(files: DataFrame, query: str, path: str = "path", content: st
     return search(files, query, path, content, **how), files.where(F.col(content).isNull() | (F.col(content) == "")).select(F.col(path).alias("path"))
 
 
-def line_context(lines: DataFrame, hits: DataFrame, before: int = 5, after: int = 5) -> DataFrame:
-    """path, hit_line, line_no, text: lines around hits (path, line_no). An equi-join on path and line."""
-    wanted = hits.select("path", F.col("line_no").alias("hit_line"), F.explode(F.sequence(F.col("line_no") - before, F.col("line_no") + after)).alias("line_no"))
-    return lines.join(wanted, ["path", "line_no"]).select("path", "hit_line", "line_no", "text")
+def line_context(files: DataFrame, query: str, before: int = 5, after: int = 5, path: str = "path", content: str = "content", **how) -> DataFrame:
+    """path, hit_line, line_no, text: lines around the lines that match, from each file's array of lines: nothing is joined."""
+    pattern = search_pattern(query, **how)
+    none = to_lines(files.limit(0), path, content).select("path", F.col("line_no").alias("hit_line"), "line_no", "text")
+    if pattern is None:
+        return none
+    hit = files.where(F.col(content).rlike(pattern)) if whole_text(pattern) else files
+    rows = hit.select(F.col(path).alias("path"), split_lines(F.col(content)).alias("lines"))
+    hits = F.array_compact(F.transform("lines", lambda t, i: F.when(t.rlike(pattern), i + 1)))
+    rows = rows.select("path", "lines", F.explode(hits).alias("hit_line"))
+    around = F.sequence(F.greatest(F.col("hit_line") - before, F.lit(1)), F.least(F.col("hit_line") + after, F.size("lines")))
+    return rows.select("path", "hit_line", "lines", F.explode(around).alias("line_no")).select("path", "hit_line", "line_no", F.get("lines", F.col("line_no") - 1).alias("text"))
 
 
 def index_totals(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -72,8 +72,7 @@ def search_rank_topk(spark, sf):
 
 @query(f"WITH {LINES}, h AS (SELECT path, line_no FROM lines WHERE regexp_matches(text, '(?i)license')) SELECT l.path, h.line_no::INT AS hit_line, l.line_no::INT AS line_no, l.text FROM lines l JOIN h ON l.path = h.path AND l.line_no BETWEEN h.line_no - 2 AND h.line_no + 2")
 def line_context(spark, sf):
-    files = docs(spark, sf)
-    return search.line_context(search.to_lines(files, "doc_id", "text"), search.search(files, "license", "doc_id", "text"), 2, 2)
+    return search.line_context(docs(spark, sf), "license", 2, 2, "doc_id", "text")
 
 
 @query("SELECT count(DISTINCT doc_id) AS files, sum(len(string_split(text, chr(10))))::BIGINT AS lines FROM documents")
@@ -81,7 +80,13 @@ def file_index_totals(spark, sf):
     return search.index_totals(docs(spark, sf), "doc_id", "text")
 
 
-@query()
+_STEP = "CASE WHEN {0} THEN 10 ELSE 1 END + CASE WHEN {1} = 1 OR substr(p_name, {1} - 1, 1) IN ('/', '.', '-', '_') THEN 5 ELSE 0 END + (substr(p_name, {1}, 1) = '{2}')::INT"
+
+
+@query(
+    "WITH a AS (SELECT p_partkey, p_name, lower(p_name) AS l, strpos(lower(p_name), 'p') AS i FROM part), b AS (SELECT *, CASE WHEN i > 0 AND strpos(substr(l, i + 1), 't') > 0 THEN i + strpos(substr(l, i + 1), 't') END AS j FROM a) "
+    f"SELECT p_partkey, p_name, ({_STEP.format('i = 1', 'i', 'p')} + {_STEP.format('j = i + 1', 'j', 't')} - length(p_name) // 20)::INT AS score FROM b WHERE j IS NOT NULL ORDER BY score DESC, p_partkey LIMIT 200"
+)
 def fuzzy_topk(spark, sf):
     parts = table(spark, sf, "part").select("p_partkey", "p_name", fuzzy_column("pt", F.col("p_name")).alias("score"))
     return parts.where("score is not null").orderBy(F.desc("score"), "p_partkey").limit(200)
@@ -158,19 +163,19 @@ SELECT source, points::BIGINT AS points, CASE WHEN points >= 90 THEN 'A' WHEN po
 )
 def health_grades(spark, sf):
     d = docs(spark, sf)
-    found = issues(spark, sf).join(d.select(F.col("doc_id").alias("path"), "source"), "path")
+    found = scan.scan_lines(d, RULES, "doc_id", "text", ("source",))
     sloc = d.groupBy("source").agg(F.sum(line_count(F.col("text"))).alias("sloc"))
     return scan.grades(scan.summary(found, ["source"]).join(sloc, "source"), F.col("sloc")).select("source", "points", "grade", "issues_per_kloc_milli", "quality")
 
 
 @query(f"WITH {ISSUES}, f AS (SELECT path, line_no, max(regexp_matches(text, '[|]')::INT) OVER w1 AS a, max(regexp_matches(text, '[|]')::INT) OVER w2 AS b FROM lines WINDOW w1 AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), w2 AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)) SELECT path, line_no::INT AS line_no FROM f WHERE greatest(coalesce(a, 0), coalesce(b, 0)) = 1")
 def sanitizer_window(spark, sf):
-    return scan.near_line(search.to_lines(docs(spark, sf), "doc_id", "text"), F.col("text").rlike("[|]"), 3, 3).where("near").select("path", "line_no")
+    return scan.near_line(docs(spark, sf), lambda t: t.rlike("[|]"), 3, 3, "doc_id", "text").where("near").select("path", "line_no")
 
 
 @query(f"WITH {LINES}, f AS (SELECT path, line_no, text, lag(text) OVER (PARTITION BY path ORDER BY line_no) AS before FROM lines) SELECT path, line_no::INT AS line_no FROM f WHERE contains(text, 'All rights') OR coalesce(contains(before, 'tion.'), false)")
 def suppression_context(spark, sf):
-    return scan.suppressed(search.to_lines(docs(spark, sf), "doc_id", "text"), "All rights", "tion.").where("hidden").select("path", "line_no")
+    return scan.suppressed(docs(spark, sf), "All rights", "tion.", "doc_id", "text").where("hidden").select("path", "line_no")
 
 
 @query(f"WITH {LINES}, g AS (SELECT path, min(CASE WHEN regexp_matches(text, '[Ll]icense') THEN line_no END) AS license, min(CASE WHEN regexp_matches(text, 'tion') THEN line_no END) AS word, bool_or(regexp_matches(text, '[#]{{3}}')) AS bad FROM lines GROUP BY path) SELECT path, license::INT AS license, word::INT AS word FROM g WHERE NOT bad AND license IS NOT NULL AND word IS NOT NULL AND abs(license - word) <= 10")
@@ -456,12 +461,25 @@ def sliding_windows(spark, sf):
     return streams.windowed(table(spark, sf, "events"), "60 minutes", "30 minutes").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query(
+    """WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS last_end, count(*) AS n FROM g GROUP BY user_id, s"""
+)
+def session_windows(spark, sf):
+    found = streams.session_windows(table(spark, sf, "events"), "user_id", "30 minutes")
+    return found.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("last_end").cast("timestamp_ntz").alias("last_end"), "n")
+
+
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def distinct_events(spark, sf):
     return streams.distinct_events(table(spark, sf, "events")).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS k, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events),
+w AS (SELECT k, rn, ts AS start, 1 AS n FROM e WHERE rn = 1 UNION ALL SELECT e.k, e.rn, CASE WHEN e.ts >= w.start + INTERVAL 3600 SECOND THEN e.ts ELSE w.start END, CASE WHEN e.ts >= w.start + INTERVAL 3600 SECOND THEN 1 ELSE w.n + 1 END FROM w JOIN e ON e.k = w.k AND e.rn = w.rn + 1)
+SELECT k::VARCHAR AS key, count(*) FILTER (WHERE n <= 2) AS allowed, count(*) AS n FROM w GROUP BY k"""
+)
 def rate_limit(spark, sf):
     return streams.rate_limited(table(spark, sf, "events"), "user_id", 2, 3600).groupBy("key").agg(F.count(F.when(F.col("allowed"), 1)).alias("allowed"), F.count("*").alias("n"))
 

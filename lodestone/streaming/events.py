@@ -30,6 +30,14 @@ def windowed(events: DataFrame, width: str, slide: str | None = None, late: str
     return ts.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def session_windows(events: DataFrame, key: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """key, start, last_end, n: events of a key no further apart than the gap; a stream drops what is later than `late`."""
+    ts = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if events.isStreaming:
+        ts = ts.withWatermark("ts", late)
+    return ts.groupBy(F.session_window("ts", gap).alias("w"), key).agg(F.count("*").alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("last_end"), "n")
+
+
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     ts = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return ts.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else ts.dropDuplicates([key])

@@ -2,7 +2,7 @@ import datetime as dt
 
 import zipfile
 
-from lodestone.functions.fuzzy import fuzzy_score
+from lodestone.functions.fuzzy import fuzzy_match
 from lodestone.functions.text import entropy, glob_filter, normalize_path, search_pattern, strip_version
 from lodestone.operators import compare, graph, history, report, scan, search
 from lodestone.sources import repo
@@ -26,7 +26,7 @@ def test_lines_and_context(spark):
     assert values(search.to_lines(f), "path", "line_no") == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1), ("c", 1)]
     hits = search.search(f, "T", case_sensitive=False)
     assert values(hits, "path", "line_no", "n") == [("a", 2, 1), ("a", 3, 1)]
-    assert values(search.line_context(search.to_lines(f), hits.where("line_no = 2"), 1, 1), "line_no") == [(1,), (2,), (3,)]
+    assert values(search.line_context(f, "w", 1, 1), "hit_line", "line_no", "text") == [(2, 1, "one"), (2, 2, "two"), (2, 3, "three")]
     assert values(search.search_partial(f, "one")[1], "path") == [("b",), ("c",)]
     assert search.search(f, " ").count() == 0
 
@@ -56,10 +56,16 @@ def test_text_functions(spark):
     assert [r[0] for r in d.select(glob_filter(F.col("p"), "*.x, ../*")).collect()] == [False, True]
 
 
-def test_fuzzy():
-    assert fuzzy_score("zz", "abc") is None
-    assert fuzzy_score("ab", "ab") == 10 + 5 + 1 + 10 + 1
-    assert fuzzy_score("b", "a/b") == 1 + 5 + 1
+def test_fuzzy(spark):
+    def of(query, text):
+        m = spark.range(1).select(fuzzy_match(query, F.lit(text)).alias("m")).first().m
+        return (m.score, m.places) if m.ok else None
+
+    assert of("zz", "abc") is None
+    assert of("ab", "ab") == (10 + 5 + 1 + 10 + 1, [0, 1])
+    assert of("b", "a/b") == (1 + 5 + 1, [2])
+    assert of("B", "a/b" + "x" * 20) == (1 + 5 - 1, [2])
+    assert of("", "abc") == (0, [])
 
 
 def test_scores_and_grades(spark):
