@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as fn
 from lodestone.functions.text import line_count
 from lodestone.operators import compare, context, fixes, graph, history, parse, report, scan, search, structure, supply, tools
-from lodestone.plans.catalogue import COMPOSITES, EXAMPLES, LINE_RULES
+from lodestone.plans.catalogue import COMPOSITES, EXAMPLES, LINE_RULES, SYNTAX_EXAMPLES, SYNTAX_RULES
 from lodestone.plans.queries import SQL, query
 from lodestone.sources import dumps, repo
 
@@ -426,8 +426,9 @@ _EXAMPLES = values("files", "ordinal int, path string, content string", EXAMPLES
 _LINES = "lines AS (SELECT path, regexp_extract(path, '[^.]*$') AS ext, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line_no FROM files)"
 
 
-def _arm(r) -> str:
-    out = f"SELECT path, line_no::INT AS line_no, {literal(r.id)} AS rule_id, {literal(r.severity)} AS severity, {literal(r.category)} AS category, {literal(r.confidence)} AS confidence, {literal(r.cwe)} AS cwe FROM lines WHERE regexp_matches(text, {literal(r.pattern)})"
+def _arm(r, table: str = "lines", kinds: bool = True) -> str:
+    more = f", {literal(r.severity)} AS severity, {literal(r.category)} AS category, {literal(r.confidence)} AS confidence, {literal(r.cwe)} AS cwe" if kinds else ""
+    out = f"SELECT path, line_no::INT AS line_no, {literal(r.id)} AS rule_id{more} FROM {table} WHERE regexp_matches(text, {literal(r.pattern)})"
     if r.exclude:
         out += f" AND NOT regexp_matches(text, {literal(r.exclude)})"
     return out + (f" AND ext IN ({', '.join(map(literal, r.extensions))})" if r.extensions else "")
@@ -450,6 +451,25 @@ def catalogue_self_test(spark, sf):
     return own.agg(F.lit(len(LINE_RULES)).cast("long").alias("rules"), c(1).alias("found"), c(2).alias("near_misses"))
 
 
+@query("SELECT 32::BIGINT AS rules, 32::BIGINT AS found, 0::BIGINT AS near_misses")
+def syntax_self_test(spark, sf):
+    """Every syntax rule finds its own line 1, and none finds its near miss on line 4."""
+    f = spark.createDataFrame(SYNTAX_EXAMPLES, "ordinal int, path string, content string")
+    own = context.findings(f, SYNTAX_RULES, over_lines=True, only=None).where(F.col("path").startswith(F.concat(F.lit("src/"), F.col("rule_id"), F.lit("."))))
+    c = lambda n: F.countDistinct(F.when(F.col("line_no") == n, F.col("rule_id")))
+    return own.agg(F.lit(len(SYNTAX_RULES)).cast("long").alias("rules"), c(1).alias("found"), c(4).alias("near_misses"))
+
+
+_SYNTAX = values("files", "ordinal int, path string, content string", SYNTAX_EXAMPLES)
+_JOINED = "j AS (SELECT path, ext, line_no, concat_ws(' ', text, lead(text) OVER w, lead(text, 2) OVER w) AS text FROM lines WINDOW w AS (PARTITION BY path ORDER BY line_no))"
+
+
+@query(f"WITH {_SYNTAX}, {_LINES}, {_JOINED} " + " UNION ALL ".join(_arm(r, "j", False) for r in SYNTAX_RULES))
+def syntax_rules(spark, sf):
+    f = spark.createDataFrame(SYNTAX_EXAMPLES, "ordinal int, path string, content string")
+    return context.findings(f, SYNTAX_RULES, over_lines=True, only=None).select("path", "line_no", "rule_id")
+
+
 CONTEXT_FILES = [
     ("src/one.js", "eval(a)\n// eval(b)\nconst s = 'eval(c)';\neval(d) // scanner-ignore\neval(e) // scanner-ignore: eval-usage\n// scanner-ignore-next-line: eval-usage\neval(f)\nel.innerHTML = x\nvalidator.check(x)\nconsole.log(1)\n// console.log(2)"),
     ("src/two.test.js", "console.log(1)\neval(a)"),

@@ -16,6 +16,12 @@ def test_imports_without_training_data_operators(tmp_path):
     assert got.stdout.strip() == "0"
 
 
+def test_the_rest_passes_without_them(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    got = subprocess.run([sys.executable, "-B", "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests/test_parse.py"], cwd=tmp_path / "r", capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(tmp_path / "r")})
+    assert got.returncode == 0, got.stdout[-2000:]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
