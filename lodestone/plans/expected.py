@@ -907,4 +907,29 @@ ROWS: dict[str, tuple[str, list]] = {
             ('r', 'pie title Files\n  "py" : 9\n  "ts" : 3'),
         ],
     ),
+    "scan_whole": (
+        "phase INT, path VARCHAR, rule_id VARCHAR, severity VARCHAR, confidence VARCHAR, risk_score DOUBLE, n BIGINT, first_line INT",
+        [
+            (0, 'src/a.js', 'eval-usage', 'critical', 'high', 10.0, 1, 3),
+            (0, 'src/c.py', 'python-assert-production', 'info', 'low', 1.0, 15, 1),
+            (2, 'src/a.js', 'ast-empty-catch', 'warning', 'high', 6.0, 1, 4),
+            (3, 'src/a.js', 'taint-eval', 'critical', 'high', 10.0, 1, 3),
+            (3, 'src/a.js', 'taint-sql', 'critical', 'high', 10.0, 1, 2),
+            (4, 'src/b.js', 'express-no-helmet', 'info', 'low', 2.5, 1, 1),
+            (4, 'src/b.js', 'express-no-rate-limit', 'info', 'medium', 3.1, 1, 2),
+        ],
+    ),
+    "scan_grades": (
+        "files BIGINT, sloc BIGINT, total BIGINT, critical BIGINT, warning BIGINT, info BIGINT, points BIGINT, grade VARCHAR, security_grade VARCHAR, quality VARCHAR, project_score DOUBLE",
+        [
+            (3, 28, 21, 3, 1, 17, 0, 'F', 'F', 'F', 6.5),
+        ],
+    ),
+    "scan_after_changes": (
+        "path VARCHAR, rule_id VARCHAR, n BIGINT",
+        [
+            ('src/a.js', 'var-usage', 1),
+            ('src/c.py', 'python-assert-production', 20),
+        ],
+    ),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as fn
 from lodestone.functions.text import line_count
-from lodestone.operators import compare, context, fixes, graph, history, parse, report, scan, search, structure, supply, tools
+from lodestone.operators import compare, context, fixes, full_scan, graph, history, parse, report, scan, search, structure, supply, tools
 from lodestone.plans.catalogue import COMPOSITES, EXAMPLES, LINE_RULES, SYNTAX_EXAMPLES, SYNTAX_RULES
 from lodestone.plans.queries import SQL, query
 from lodestone.sources import dumps, repo
@@ -485,6 +485,37 @@ def context_files(spark: SparkSession) -> DataFrame:
     return one(spark, "path string, content string", *CONTEXT_FILES)
 
 
+def _full(f: DataFrame) -> DataFrame:
+    return full_scan.full_scan(f, LINE_RULES, SYNTAX_RULES, COMPOSITES)
+
+
+SCAN_FILES = [
+    ("src/a.js", "const id = req.query.id\ndb.query(sql, id)\neval(id)\ntry { go() } catch (e) {}\n"),
+    ("src/b.js", "const app = express()\napp.get('/', h)\n"),
+    ("src/c.py", "\n".join(["assert value"] * 20)),
+]
+
+
+@known
+def scan_whole(spark, sf):
+    found = _full(one(spark, "path string, content string", *SCAN_FILES))
+    return found.groupBy("phase", "path", "rule_id", "severity", "confidence", "risk_score").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+
+
+@known
+def scan_grades(spark, sf):
+    f = one(spark, "path string, content string", *SCAN_FILES)
+    return full_scan.graded(_full(f), f)
+
+
+@known
+def scan_after_changes(spark, sf):
+    f = one(spark, "path string, content string", *SCAN_FILES)
+    scanner = lambda d: context.findings(d, LINE_RULES).select("path", "line_no", "rule_id")
+    now = one(spark, "path string, content string", ("src/a.js", "var x = 1"), *SCAN_FILES[1:])
+    return full_scan.rescan(scanner(f), now, one(spark, "path string", ("src/a.js",), ("src/c.py",)), scanner).groupBy("path", "rule_id").agg(F.count("*").alias("n"))
+
+
 @known
 def findings_in_context(spark, sf):
     return context.findings(context_files(spark), LINE_RULES).select("path", "line_no", "column_no", "rule_id", "severity", "confidence")
