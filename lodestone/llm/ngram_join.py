@@ -37,6 +37,8 @@ BITS = (64, 1 << 17)
 HOT_LOCAL, HOT_KEPT, CHUNK = 3, 200_000, 4_000_000
 #: Document ids up to which a semi-join is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_IDS = 2_000_000
+#: Further hubs of larger buckets, before all pairs that are left are compared. They only shrink what is left.
+OTHER_HUBS = 2
 #: Classes of sizes in a doubling.
 SIZE_CLASSES = 8
 LOWER = np.arange(256, dtype=np.uint8)
@@ -276,7 +278,8 @@ def _components(spark: SparkSession, rows: DataFrame, scratch: Scratch) -> DataF
     equal = members.where("node <> doc_id").select("doc_id", "node")
     links = equal.select(F.col("doc_id").alias("x"), F.col("node").alias("y"))
     comps = equal.select(F.col("doc_id").alias("node"), F.col("node").alias("component"))
-    for k, choose in enumerate((_hub_pairs("low"), _hub_pairs("high"), _all_pairs)):
+    rounds = (_hub_pairs("low"), _hub_pairs("high"), *map(_other_hub_pairs, range(OTHER_HUBS)), _all_pairs)
+    for k, choose in enumerate(rounds):
         links, comps = _grow(rows, choose(shared, comps), bits, links, hot, scratch, f"round-{k}")
         scratch.settle()
     return members.join(comps.select("node", "component"), members["doc_id"] == comps["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -325,6 +328,19 @@ def _hub_pairs(hub: str):
     return pairs
 
 
+def _other_hub_pairs(seed: int):
+    """Entries of larger buckets that hold several components, with a further hub, which a hash of the document chooses."""
+
+    def pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
+        large = _with_component(shared.where("entries > 3").select("gram", "x", "nx", "px"), comps, "x")
+        hub = F.min_by(F.struct(F.col("x").alias("y"), F.col("nx").alias("ny"), F.col("px").alias("py"), F.col("x_component").alias("y_component")), F.xxhash64("x", F.lit(seed)))
+        hubs = large.groupBy("gram").agg(F.min("x_component").alias("a"), F.max("x_component").alias("b"), hub.alias("hub")).where("a <> b").select("gram", "hub")
+        near = large.join(hubs, "gram").where((F.col("x_component") != F.col("hub.y_component")) & bounded(F.col("nx"), F.col("hub.ny"), F.col("px"), F.col("hub.py")))
+        return near.select("x", F.col("hub.y").alias("y"), "nx", F.col("hub.ny").alias("ny")).distinct()
+
+    return pairs
+
+
 def _all_pairs(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """All pairs in bounds of the larger buckets' entries that aren't connected yet.
 
