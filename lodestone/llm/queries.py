@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, line_rules, matroska, ngram_join, packing, piece_bpe, site_style, spelling, substring_dedup, token_files, toxicity
+from lodestone.llm import language, line_rules, matroska, ngram_join, packing, piece_bpe, site_style, spelling, substring_dedup, token_files, toxicity, warc
 from lodestone.llm.common import load
 
 WORD_BPE = "word_bpe_49k.json"
@@ -58,9 +58,13 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(spark, load(spark, sf_dir, "documents"))
 
 
+def op12_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.warc_roundtrip(spark, load(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op7_fm_index_dedup, op8_vertical_jaccard, op9_bitmask_language, op10_matroska, op11_spelling_variants)}
+    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op7_fm_index_dedup, op8_vertical_jaccard, op9_bitmask_language, op10_matroska, op11_spelling_variants, op12_warc_writer)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_frequency": line_rules.LINE_RULES_SQL, "op11_spelling_variants": spelling.SPELLING_SQL}
+    return {"op4_line_frequency": line_rules.LINE_RULES_SQL, "op11_spelling_variants": spelling.SPELLING_SQL, "op12_warc_writer": warc.WARC_SQL}
