@@ -7,11 +7,12 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import language, line_rules, matroska, ngram_join, packing, piece_bpe, site_style, spelling, substring_dedup, token_files, toxicity, warc
+from lodestone.llm import language, line_rules, matroska, ngram_join, packing, piece_bpe, site_style, spelling, substring_dedup, token_alignment, token_files, toxicity, warc
 from lodestone.llm.common import load
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,12 @@ def op12_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_roundtrip(spark, load(spark, sf_dir, "pages"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(spark, load(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECE_BPE))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op7_fm_index_dedup, op8_vertical_jaccard, op9_bitmask_language, op10_matroska, op11_spelling_variants, op12_warc_writer)}
+    return {f.__name__: f for f in (op1_site_style_tree, op2_nnls_packing, op3_zstd_token_files, op4_line_frequency, op5_nb_char_toxicity, op6_piece_bpe, op7_fm_index_dedup, op8_vertical_jaccard, op9_bitmask_language, op10_matroska, op11_spelling_variants, op12_warc_writer, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
