@@ -1,7 +1,7 @@
 """Main text of web pages by site style trees.
 
 Pages of one host are merged into one tree of all their elements, menus and adverts included. A node of the tree is an
-element path: tag and class from the root, equal siblings once. For every node two kinds of importance are taken from
+element path: tag and class from the root, equal siblings once; its block elements are judged. For every node two kinds of importance are taken from
 entropies over the host's pages:
 
 * presentation: how evenly the pages spread over the different child sequences below the node. Varied sequences mean
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,6 +37,8 @@ from lodestone.llm.common import Scratch, only, ship
 from lodestone.llm.textkit import blocks, lean
 
 MIN_IMPORTANCE, DAMPING, GAMMA = 0.2, 0.1, 0.9
+#: Key of the root, above all elements.
+ROOT = 0
 #: Removed branches up to which they are broadcast; beyond, Spark joins by host.
 BROADCAST_PATHS = 200_000
 
@@ -45,6 +48,7 @@ RAW = set("script style textarea title noscript iframe template xmp noframes noe
 SILENT = set("head svg canvas object button select input math audio video datalist".split()) | RAW
 AROUND = set("nav header footer aside menu dialog".split())
 BREAKS = {"hr"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -57,23 +61,35 @@ LIKELY = CLEAR | set("comment disclaimer discussion notice notices promo related
 # Fixed list: of an article element, these only.
 ASIDES = set("ad advert comment comments reply related promo teaser sponsored".split())
 TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.DOTALL)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: One attribute: its whole name, and its value. Matches follow one another, so a value is never searched for names.
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
 class Node:
-    """silent: in an element without text of its own; around: listed outright; likely: listed branches that go unless they
-    hold most of the page; gone: in a branch that the tree removes."""
-
-    __slots__ = ("tag", "path", "silent", "around", "likely", "gone", "kids")
-
-    def __init__(self, tag: str, path: str, silent: bool = False, around: bool = False, likely: tuple[Node, ...] = (), gone: bool = False):
-        self.tag, self.path, self.silent, self.around, self.likely, self.gone = tag, path, silent, around, likely, gone
-        self.kids: list[str] = []
-
-
-def listed(name: str, marks: list[str]) -> int:
-    """2: around the article for certain, 1: likely, 0: not listed."""
+    """key: hash of the labels from the root. above: the key of the nearest block element around it, if any; silent: in an element without text of its own; around: listed outright; likely: the
+    nearest listed branch that goes unless it holds most of the page (`outer`: the one around it); gone: in a branch that the
+    tree removes."""
+
+    __slots__ = ("tag", "key", "above", "silent", "around", "likely", "outer", "gone", "article", "kids", "block")
+
+    def __init__(self, tag: str, label: str = "", parent: Node | None = None, silent: bool = False, around: bool = False):
+        self.tag, self.kids = tag, []
+        self.above: int | None = parent.block if parent else None
+        self.key = child_key(parent.key, label) if parent else ROOT
+        self.block = self.key if tag in BLOCK else self.above
+        self.silent = silent or bool(parent and parent.silent)
+        self.around = around or bool(parent and parent.around)
+        self.likely: Node | None = parent.likely if parent else None
+        self.outer: Node | None = None
+        self.gone = bool(parent and parent.gone)
+        self.article = tag == "article" or bool(parent and parent.article)
+
+
+def listed(name: str, marks: list[str], in_article: bool = False) -> int:
+    """2: around the article for certain, 1: likely, 0: not listed. The header element of an article has its title."""
+    if name == "header" and in_article:
+        return 0
     if name in AROUND:
         return 2
     if name in ("html", "body", "main"):
@@ -82,6 +98,8 @@ def listed(name: str, marks: list[str]) -> int:
     for token in " ".join(marks).lower().split():
         if name == "article":
             found = max(found, 2 if token in ASIDES else int(not ASIDES.isdisjoint(re.split("[-_]", token))))
+        elif name in HEADINGS and token in ("header", "masthead"):
+            continue
         elif token in CLEAR:
             return 2
         elif token in LIKELY or not LIKELY.isdisjoint(re.split("[-_]", token)):
@@ -91,7 +109,7 @@ def listed(name: str, marks: list[str]) -> int:
 
 def walk(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[str, Node, str]]:
     """Events of a page: ("open", node, ""), ("text", node, raw text), ("break", node, "") and ("close", node, "")."""
-    stack, at = [Node("", "")], 0
+    stack, at, open_tags = [Node("")], 0, Counter()
     while m := TAG.search(page, at):
         if m.start() > at:
             yield "text", stack[-1], page[at : m.start()]
@@ -102,9 +120,10 @@ def walk(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterato
                 yield "text", stack[-1], html.escape(m[0][9:-3], quote=False)
             continue
         if m[1] or m[4]:
-            if any(n.tag == name for n in stack[1:]):
+            if open_tags[name]:
                 while True:
                     node = stack.pop()
+                    open_tags[node.tag] -= 1
                     yield "close", node, ""
                     if node.tag == name:
                         break
@@ -117,6 +136,7 @@ def walk(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterato
                 tag = stack[k].tag
                 if tag == "p" or (tag == name and name in ("li", "dt", "dd", "tr", "td", "th")):
                     while len(stack) > k:
+                        open_tags[stack[-1].tag] -= 1
                         yield "close", stack.pop(), ""
                     break
                 if tag in BLOCK:
@@ -126,16 +146,16 @@ def walk(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterato
             key, value = a[1].lower(), a[2] or a[3] or a[4] or ""
             if key in ("class", "id", "role"):
                 marks.append(value)
-            elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
+            elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN.search(value):
                 hidden = True
         parent = stack[-1]
         label = name + ("." + re.sub(r"\d+", "0", " ".join(marks)).lower() if marks else "")
-        found = listed(name, marks)
-        node = Node(name, f"{parent.path}/{label}", parent.silent or hidden or name in SILENT, parent.around or found == 2, parent.likely, parent.gone)
+        found = listed(name, marks, parent.article)
+        node = Node(name, label, parent, hidden or name in SILENT, found == 2)
         if found == 1:
-            node.likely = (*parent.likely, node)
+            node.likely, node.outer = node, parent.likely
         if removed and not node.gone:
-            node.gone = path_key(node.path) in removed
+            node.gone = node.key in removed
         if not parent.kids or parent.kids[-1] != label:
             parent.kids.append(label)
         yield "open", node, ""
@@ -152,14 +172,27 @@ def walk(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterato
             yield "close", node, ""
             continue
         stack.append(node)
+        open_tags[name] += 1
     if at < len(page):
         yield "text", stack[-1], page[at:]
     while len(stack) > 1:
         yield "close", stack.pop(), ""
 
 
+def text_key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+def child_key(parent: int, label: str) -> int:
+    return xxhash.xxh64_intdigest(label, parent & (1 << 64) - 1) - (1 << 63)
+
+
 def path_key(path: str) -> int:
-    return xxhash.xxh64_intdigest(path) - (1 << 63)
+    """Key of a node by its labels, each after a slash."""
+    key = ROOT
+    for label in path.split("/")[1:]:
+        key = child_key(key, label)
+    return key
 
 
 def blocks_of(page: str, removed: set[int] | frozenset[int] = frozenset()) -> Iterator[tuple[Node, bool, str]]:
@@ -167,7 +200,7 @@ def blocks_of(page: str, removed: set[int] | frozenset[int] = frozenset()) -> It
     stack: list[Node] = []
     parts: list[str] = []
     inside = 0
-    root = owner = Node("", "")
+    root = owner = Node("")
 
     def flush() -> Iterator[tuple[Node, bool, str]]:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -178,7 +211,7 @@ def blocks_of(page: str, removed: set[int] | frozenset[int] = frozenset()) -> It
     for event, node, text in walk(page, removed):
         if event == "text":
             # Listed elements inside a block go without splitting it.
-            if not node.silent and (node.around, node.likely) == (owner.around, owner.likely):
+            if not node.silent and node.around == owner.around and node.likely is owner.likely:
                 parts.append(text)
         elif event == "break":
             yield from flush()
@@ -200,40 +233,23 @@ def blocks_of(page: str, removed: set[int] | frozenset[int] = frozenset()) -> It
     yield from flush()
 
 
-def parent_of(path: str) -> str:
-    return path.rpartition("/")[0]
-
-
-def ancestry(path: str) -> list[int]:
-    """Keys of a node and its ancestors, the node first."""
-    keys = []
-    while path:
-        keys.append(path_key(path))
-        path = parent_of(path)
-    return keys
-
-
-def tree_rows(page: str) -> tuple[int, list[int], list[list[int]]]:
+def tree_rows(page: str) -> tuple[int, list[int]]:
     """Key of a page's text; path key, kind, feature, path key, ... of the page, each once: kind 0 child sequences, 1 texts, 2
-    the node itself; and the ancestry of each node."""
+    the node itself, with the key of the node above it (ROOT: none). Nodes are block elements, which alone own texts."""
     rows: dict[tuple[int, int, int], None] = {}
-    nodes: dict[int, list[int]] = {}
 
-    def add(path: str, kind: int, feature: int) -> None:
-        key = path_key(path)
-        if key not in nodes:
-            nodes[key] = ancestry(path)
-            rows[key, 2, 0] = None
-        rows[key, kind, feature] = None
+    def add(node: Node, kind: int, feature: int) -> None:
+        rows[node.key, 2, ROOT if node.above is None else node.above] = None
+        rows[node.key, kind, feature] = None
 
     for event, node, _ in walk(page):
         if event == "close" and node.tag in BLOCK and not node.silent:
-            add(node.path, 0, path_key("|".join(node.kids)))
+            add(node, 0, text_key("|".join(node.kids)))
     whole = xxhash.xxh64()
     for node, _, text in blocks_of(page):
         whole.update(text + "\n")
-        add(node.path, 1, path_key(text))
-    return whole.intdigest() - (1 << 63), [x for r in rows for x in r], list(nodes.values())
+        add(node, 1, text_key(text))
+    return whole.intdigest() - (1 << 63), [x for r in rows for x in r]
 
 
 def main_text(page: str | None, removed: set[int] | frozenset[int] = frozenset()) -> str:
@@ -242,12 +258,27 @@ def main_text(page: str | None, removed: set[int] | frozenset[int] = frozenset()
     if not page:
         return ""
     found = [x for x in blocks_of(page, removed) if not x[0].around]
+    # Branches in the order of their opening: outer ones first.
+    branches: dict[int, Node] = {}
     chars: dict[int, int] = {}
     for node, _, text in found:
-        for branch in node.likely:
-            chars[id(branch)] = chars.get(id(branch), 0) + len(text)
+        new, branch = [], node.likely
+        while branch is not None and id(branch) not in branches:
+            new.append(branch)
+            branches[id(branch)] = branch
+            branch = branch.outer
+        chars |= dict.fromkeys(map(id, reversed(new)), 0)
+        if node.likely is not None:
+            chars[id(node.likely)] += len(text)
+    inner = list(chars)
+    for at in reversed(inner):
+        if branches[at].outer is not None:
+            chars[id(branches[at].outer)] += chars[at]
     total = sum(len(text) for _, _, text in found)
-    found = [x for x in found if all(2 * chars[id(branch)] > total for branch in x[0].likely)]
+    stays: dict[int | None, bool] = {id(None): True}
+    for at in inner:
+        stays[at] = stays[id(branches[at].outer)] and 2 * chars[at] > total
+    found = [x for x in found if stays[id(x[0].likely)]]
     left = [x for x in found if not x[0].gone] or found
     inside = [t for _, own, t in left if own]
     most = 2 * sum(map(len, inside)) >= sum(len(t) for _, _, t in left)
@@ -262,30 +293,24 @@ def style_tree(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataF
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x for batch in batches for x in blocks(batch, "html")):
             found = [tree_rows(page or "") for page in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _, _ in found], pa.int64()), pa.array([r for _, r, _ in found], pa.list_(pa.int64())), pa.array([n for _, _, n in found], pa.list_(pa.list_(pa.int64())))], ["host", "key", "rows", "nodes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k for k, _ in found], pa.int64()), pa.array([r for _, r in found], pa.list_(pa.int64()))], ["host", "key", "rows"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sums: dict[tuple, int] = {}  # a page adds 1 to each of its features; summed here before the shuffle
-            up: dict[tuple, list[int]] = {}
-            for host, r, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for key in zip(r[::3], r[1::3], r[2::3], strict=True):
-                    key = (host, *key)
-                    sums[key] = sums.get(key, 0) + 1
-                for line in nodes:
-                    up[host, line[0]] = line
-            rows = [(*k, n, up[k[0], k[1]] if k[2] == 2 else None) for k, n in sums.items()]
-            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "path", "kind", "feature", "n", "up"])
+            sums: Counter[tuple] = Counter()  # a page adds 1 to each of its features; summed here before the shuffle
+            for host, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums.update((host, *key) for key in zip(r[::3], r[1::3], r[2::3], strict=True))
+            rows = [(*k, n) for k, n in sums.items()]
+            kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["host", "path", "kind", "feature", "n"])
 
     # One page for each text of a host: copies are no further evidence.
-    once = pages.select("host", "html").mapInArrow(lean(parse), "host string, key long, rows array<long>, nodes array<array<long>>").groupBy("host", "key").agg(F.min(F.struct("rows", "nodes")).alias("x"))
-    rows = once.select("host", "x.rows", "x.nodes").mapInArrow(lean(run), "host string, path long, kind int, feature long, n long, up array<long>")
-    counts = rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.min("up").alias("up"))
+    once = pages.select("host", "html").mapInArrow(lean(parse), "host string, key long, rows array<long>").groupBy("host", "key").agg(F.min("rows").alias("rows"))
+    counts = once.select("host", "rows").mapInArrow(lean(run), "host string, path long, kind int, feature long, n long").groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
     n = F.col("n").cast("double")
     per = counts.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == 2, F.col("n"))).alias("n_pages"),
-        F.min("up").alias("up"),
+        F.min(F.when(F.col("kind") == 2, F.col("feature"))).alias("parent"),
         F.sum(F.when(F.col("kind") == 0, n)).alias("sequences"),
         F.sum(F.when(F.col("kind") == 0, n * F.ln(n))).alias("sequence_logs"),
         F.count(F.when(F.col("kind") == 1, 1)).alias("texts"),
@@ -295,17 +320,41 @@ def style_tree(spark: SparkSession, pages: DataFrame, scratch: Scratch) -> DataF
     presentation = F.when(F.col("sequences") > 0, (F.ln("sequences") - F.col("sequence_logs") / F.col("sequences")) / m).otherwise(0.0)
     content = F.when(F.col("texts") > 0, F.greatest(1 - F.col("text_logs") / (F.col("texts") * m), F.lit(0.0)))
     shrunk = 1 - (1 - F.col("content")) * F.col("n_pages") / (F.col("n_pages") + 1)
-    nodes = per.select("host", "path", "up", "n_pages", content.alias("content"), presentation.alias("presentation")).withColumn(
+    nodes = per.select("host", "path", F.when(F.col("parent") != ROOT, F.col("parent")).alias("parent"), "n_pages", content.alias("content"), presentation.alias("presentation")).withColumn(
         "importance", F.when(F.col("content").isNull(), F.col("presentation")).otherwise((1 - DAMPING) * shrunk + DAMPING * F.col("presentation"))
     )
     nodes = scratch.write(nodes, "nodes")
-    # Every node counts for each of its ancestors: sums over branches without walking the tree.
-    weight = F.col("n_pages") * F.pow(F.lit(GAMMA), F.col("steps"))
-    above = nodes.select("host", F.posexplode("up").alias("steps", "path"), "n_pages", "importance")
-    composite = above.groupBy("host", "path").agg((F.sum(weight * F.col("importance")) / F.sum(weight)).alias("composite"))
-    nodes = scratch.write(nodes.join(composite, ["host", "path"]), "composite")
-    most = nodes.select("host", F.explode("up").alias("path"), "composite").groupBy("host", "path").agg(F.max("composite").alias("most"))
-    return nodes.join(most, ["host", "path"]).select("host", "path", F.get("up", F.lit(1)).alias("parent"), "n_pages", "content", "presentation", "importance", "composite", "most")
+    weight = F.col("n_pages").cast("double")
+    with_sums, ups = branch_totals(nodes.withColumn("sum", weight * F.col("importance")).withColumn("pages", weight), {"sum": GAMMA, "pages": GAMMA}, F.sum, scratch, "sums")
+    nodes = with_sums.withColumn("composite", F.col("sum") / F.col("pages")).drop("sum", "pages").withColumn("most", F.col("composite"))
+    nodes, _ = branch_totals(nodes, {"most": 1.0}, F.max, scratch, "most", ups)
+    return nodes.select("host", "path", "parent", "n_pages", "content", "presentation", "importance", "composite", "most")
+
+
+def branch_totals(nodes: DataFrame, columns: dict[str, float], total, scratch: Scratch, name: str, ups: list[DataFrame] | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """`nodes` (host, path, parent, ...) with each column's total over the branch below a node, a node d steps below counting factor^d.
+
+    After round k a node has the total of its branch to 2^k - 1 steps; it then adds those of the nodes 2^k steps below. The
+    ancestors 2^k steps above are made by joining those of the round before with themselves (`ups`, which may be given again): as many
+    rounds as the deepest page's depth has bits, and never more than a row a node.
+    """
+    known = ups is not None
+    ups = ups if known else [scratch.write(nodes.where("parent is not null").select("host", "path", F.col("parent").alias("up")), f"{name}-up-0")]
+    k = 0
+    while k < len(ups):
+        up = ups[k]
+        if not known:
+            if up.isEmpty():
+                ups.pop()
+                break
+            again = up.select("host", F.col("path").alias("up"), F.col("up").alias("far"))
+            ups.append(scratch.write(up.join(again, ["host", "up"]).select("host", "path", F.col("far").alias("up")), f"{name}-up-{k + 1}"))
+        below = nodes.join(up, ["host", "path"]).groupBy("host", F.col("up").alias("path")).agg(*(total(F.col(c) * F.lit(f ** (1 << k))).alias(f"_{c}") for c, f in columns.items()))
+        join = nodes.join(below, ["host", "path"], "left")
+        merge = {F.sum: lambda c: F.col(c) + F.coalesce(f"_{c}", F.lit(0.0)), F.max: lambda c: F.greatest(c, f"_{c}")}[total]
+        nodes = scratch.write(join.withColumns({c: merge(c) for c in columns}).drop(*(f"_{c}" for c in columns)), f"{name}-{k}")
+        k += 1
+    return nodes, ups
 
 
 def removed_branches(tree: DataFrame) -> DataFrame:
@@ -330,7 +379,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     rows = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host_of("url").alias("host"))
     scratch = Scratch(spark, "style-tree")
     removed = scratch.write(removed_branches(style_tree(spark, rows, scratch)), "removed")
-    scratch.drop("nodes", "composite")
+    scratch.drop("nodes")
     size = removed.agg(F.sum(F.size("removed"))).first()[0] or 0
     joined = rows.join(F.broadcast(removed) if size <= BROADCAST_PATHS else removed, "host", "left")
 

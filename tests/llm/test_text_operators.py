@@ -468,3 +468,27 @@ def test_components_of_long_chains(spark):
     for r in components(Scratch(spark, "t"), links, "c").collect():
         groups[r.component].add(r.node)
     assert {k: len(v) for k, v in groups.items()} == {0: 31, 100: 3}
+
+
+@pytest.mark.parametrize("part", ['See <a href="/hidden-gems">the famous list</a> of them', '<p title="a hidden valley">the famous list</p>', '<p data-class="ad">the famous list</p>', '<p data-role="banner" data-style="display:none">the famous list</p>', "<p data-x='class=\"ad\"'>the famous list</p>", "<p/data-id=nav title=hidden>the famous list</p>", '<header><h1>the famous list</h1></header>', '<h2 class="header">the famous list</h2>'])
+def test_attributes_are_whole_names(part):
+    assert "the famous list" in site_style.main_text(f"<body><article><p>First one of the story.</p>{part}<p>Last one.</p></article></body>")
+
+
+@pytest.mark.parametrize("part", ['<p class="ad">gone</p>', "<p CLASS=ad>gone</p>", "<div a=1 id='nav'>gone</div>", "<p hidden>gone</p>", '<p a="b"hidden>gone</p>', '<p style="color:red;display: none">gone</p>', "<p aria-hidden=TRUE>gone</p>"])
+def test_attributes_still_hide(part):
+    assert site_style.main_text(f"<body><article><p>First one of the story.</p>{part}<p>Last one.</p></article></body>") == "First one of the story.\n\nLast one."
+
+
+def test_deep_nesting(spark):
+    import time
+
+    for tags in (["<div>"] * 20_000, ['<div class="notice">'] * 20_000, ["<b>"] * 20_000):
+        began = time.time()
+        assert site_style.main_text("".join(tags) + "end" + "</div>" * 5) == "end"
+        key, rows = site_style.tree_rows("".join(tags) + "end")
+        assert time.time() - began < 2 and len(rows) < 200_000
+    deep = "<div>" * 700
+    df = spark.createDataFrame([(k, f"http://deep/{k}", f"{deep}<p>{'same' if k < 9 else k}</p><p>own {k}</p>") for k in range(12)], "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in site_style.extract(spark, df).collect()}
+    assert all(f"own {k}" in texts[k] for k in range(12))
