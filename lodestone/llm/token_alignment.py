@@ -22,6 +22,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ DOCUMENTS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, group
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """The group of each A and of each B token, and the number of groups, from the tokens' byte ends (ascending)."""
-    cuts = np.intersect1d(ends_a, ends_b)
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)  # no token is empty
     return np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), len(cuts)
 
 
@@ -66,6 +67,10 @@ def links(group_a: np.ndarray, group_b: np.ndarray, groups: int) -> tuple[np.nda
     return (np.cumsum(n_a) - n_a)[owner] + place // np.maximum(n_b[owner], 1), (np.cumsum(n_b) - n_b)[owner] + place % np.maximum(n_b[owner], 1)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(chain.from_iterable(lists), np.int64), np.fromiter(map(len, lists), np.int64, len(lists))
+
+
 class Units:
     """Aligned units of one worker: for each distinct unit its token counts, groups, link codes and digest text."""
 
@@ -91,21 +96,31 @@ class Units:
         self.text: list[bytes] = []
         self.n = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links
         self.flat, self.first = np.zeros(0, np.int64), np.zeros(1, np.int64)
-
-    def _b_ids(self, units: list[str]) -> list[list[int]]:
-        """Ids of B of units: of what follows the first space, as the library puts its own before that; but it gives nothing
-        for an empty text."""
-        return [x or [self.space_b] for x in self.b.encode([u[1:] for u in units], num_threads=1)]
+        self.uses = np.zeros(0, np.int64)
+
+    def _a_ids(self, units: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A of all units, and how many each has. Units that end with no white space are encoded in one text, where
+        they are cut as on their own."""
+        if not any(u[-1].isspace() for u in units):
+            flat = np.array(self.a.encode_batch_fast(["".join(units)], add_special_tokens=False)[0].ids, np.int64)
+            ends, want = np.cumsum(self.length_a[flat]), np.cumsum(sizes)
+            at = np.searchsorted(ends, want)
+            if len(ends) and at[-1] < len(ends) and (ends[at] == want).all():
+                return flat, np.diff(at + 1, prepend=0)
+        return _flat([e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)])
+
+    def _b_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of B of all units, and how many each has: of what follows the first space, as the library puts its own before
+        that; but it gives nothing for an empty text."""
+        return _flat([x or [self.space_b] for x in self.b.encode([u[1:] for u in units], num_threads=1)])
 
     def learn(self, units: list[str]) -> None:
         """Align units that aren't known yet. Those whose bytes either tokenizer doesn't give back have -1 A tokens."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        ids_b = self._b_ids(units)
         raw = [u.encode() for u in units]
-        sound = [b"".join(map(self.bytes_a.__getitem__, x)) == r == b"".join(map(self.bytes_b.__getitem__, y)) for x, y, r in zip(ids_a, ids_b, raw, strict=True)]
-        ids_a, ids_b = ([x if ok else [] for x, ok in zip(side, sound, strict=True)] for side in (ids_a, ids_b))
-        count_a, count_b = (np.array([len(x) for x in side], np.int64) for side in (ids_a, ids_b))
-        flat_a, flat_b = (np.array([i for x in side for i in x], np.int64) for side in (ids_a, ids_b))
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        sides = [(*self._a_ids(units, sizes), self.bytes_a, self.length_a), (*self._b_ids(units), self.bytes_b, self.length_b)]
+        sound = np.logical_and(*(self._given_back(*side, raw, sizes) for side in sides))
+        (flat_a, count_a), (flat_b, count_b) = ((flat[np.repeat(sound, count)], np.where(sound, count, 0)) for flat, count, *_ in sides)
         # Units stand one after another, so that all are aligned at once; the end of each is a common cut.
         group_a, group_b, groups = align(np.cumsum(self.length_a[flat_a]), np.cumsum(self.length_b[flat_b]))
         link_a, link_b = links(group_a, group_b, groups)
@@ -118,6 +133,13 @@ class Units:
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(per_link)])
         self.text += self._digest_texts(len(units), flat_a, flat_b, group_a, group_b, unit_a, unit_b)
 
+    def _given_back(self, flat: np.ndarray, count: np.ndarray, parts: list[bytes], length: np.ndarray, raw: list[bytes], sizes: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each unit give its bytes back."""
+        ends, ids = np.cumsum(count), flat.tolist()
+        if (np.concatenate([[0], np.cumsum(length[flat])])[ends] == np.cumsum(sizes)).all() and b"".join(map(parts.__getitem__, ids)) == b"".join(raw):
+            return np.ones(len(raw), bool)
+        return np.array([b"".join(map(parts.__getitem__, ids[z - k : z])) == r for z, k, r in zip(ends.tolist(), count.tolist(), raw, strict=True)])
+
     def _digest_texts(self, n_units: int, flat_a, flat_b, group_a, group_b, unit_a, unit_b) -> list[bytes]:
         """`a1,a2|b1;a3|b2,b3` of each unit. Each token is written with the sign that follows it."""
         side = np.concatenate([np.zeros(len(flat_a), np.int64), np.ones(len(flat_b), np.int64)])
@@ -136,14 +158,30 @@ class Units:
         new = list(dict.fromkeys(u for u in units if u not in self.index))
         if new:
             start = len(self.text)
+            new.sort(key=lambda u: u[-1].isspace())
             self.index |= {u: start + k for k, u in enumerate(new)}
-            self.learn(new)
-        return np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+            odd = sum(u[-1].isspace() for u in new)
+            for part in (new[: len(new) - odd], new[len(new) - odd :]):
+                if part:
+                    self.learn(part)
+        at = np.fromiter(map(self.index.__getitem__, units), np.int64, len(units))
+        self.uses = np.bincount(at, minlength=len(self.text)) + np.append(self.uses, np.zeros(len(self.text) - len(self.uses), np.int64))
+        return at
 
     def trim(self) -> None:
-        """Forget all units when they have become many; called between blocks."""
-        if len(self.index) > CACHE_UNITS or sum(map(len, self.text)) > CACHE_BYTES:
-            self.clear()
+        """Between blocks: when units have become many, keep the half that is used most, and no long ones."""
+        size = np.fromiter(map(len, self.text), np.int64, len(self.text))
+        if len(self.text) <= CACHE_UNITS and size.sum() <= CACHE_BYTES:
+            return
+        kept = np.flatnonzero(size <= 4 * CACHE_BYTES // CACHE_UNITS)
+        kept = np.sort(kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE_UNITS // 2]])
+        units, text = list(self.index), self.text
+        self.index = {units[i]: k for k, i in enumerate(kept.tolist())}
+        self.text = [text[i] for i in kept.tolist()]
+        owner, place = expand(self.n[kept, 3])
+        self.flat = self.flat[self.first[kept][owner] + place]
+        self.n, self.uses = self.n[kept], self.uses[kept] // 2
+        self.first = np.concatenate([[0], np.cumsum(self.n[:, 3])])
 
 
 _made: dict[tuple[str, str], Units] = {}

@@ -69,6 +69,19 @@ def test_random_texts(spark, few, monkeypatch):
     assert got(spark, spark.createDataFrame(rows, "doc_id long, text string"), broadcast_pairs=few) == brute(rows)
 
 
+def test_trimmed_cache(monkeypatch):
+    units = token_alignment.Units(A, B)
+    texts = [random_text(random.Random(k)) + " word" * (k % 50) for k in range(300)]
+    cut = [token_alignment.CUT.split(" " + t) for t in texts]
+    plain = lambda at: [(units.text[i], units.n[i].tolist(), units.flat[units.first[i] : units.first[i + 1]].tolist()) for i in at]
+    before = [plain(units.of(u)) for u in cut]
+    monkeypatch.setattr(token_alignment, "CACHE_UNITS", 40)
+    for u, want in zip(cut[::-1], before[::-1], strict=True):
+        units.trim()
+        assert len(units.text) == len(units.index) <= 20 or len(units.text) <= 40
+        assert plain(units.of(u)) == want
+
+
 def test_forgetful_cache(spark):
     rows = [(k, random_text(random.Random(k)) + " word" * (k % 50)) for k in range(300)]
     units = token_alignment.Units(A, B)
