@@ -2,9 +2,14 @@
 
 Documents are cut into pieces of at most `window` tokens. A global histogram of piece sizes (in steps of `grain`
 tokens) is a fixed number of integers whatever the input. All combinations of one to `depth` sizes that fill the window
-are enumerated; non-negative least squares finds how often to repeat each so that the histogram is matched. Every
-partition then takes its share of those counts (rounded down, limited by what it holds), and packs what is left
-greedily, best fit decreasing, cutting pieces freely to fill gaps.
+are enumerated; non-negative least squares finds how often to repeat each so that the histogram is matched, and the counts
+are rounded once, over the whole table, by largest remainders within the histogram.
+
+Then every piece gets its number among the pieces of its size: its place in its task, which was written with it, and the
+sum of what the tasks before have (a row for each task and size). The numbers of a size are dealt to the combinations in a few
+intervals, so a piece knows its sequence wherever it lies, at any number of partitions. Sequences and the pieces that are left
+go to blocks of bounded tokens, one shuffle of the pieces' ids; a block packs what is left greedily, best fit decreasing,
+and cuts pieces freely to fill gaps. Whole windows of long documents are sequences of their own and aren't shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import Scratch, ship, with_text
@@ -23,8 +28,10 @@ from lodestone.llm.textkit import blocks, lean
 from lodestone.llm.wordcache import encoder
 
 WINDOW, GRAIN, DEPTH = 2048, 16, 3
-#: Tokens that one partition packs at a time: bounds a task's memory.
-BLOCK_TOKENS = 6_000_000
+#: Tokens of the pieces that one task packs: bounds its memory.
+BLOCK_TOKENS = 3_000_000
+#: Rows of (task, size) up to which pieces' first numbers are broadcast; beyond, Spark joins by shuffling pieces.
+BROADCAST_TASKS = 2_000_000
 
 
 def combinations(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -90,26 +97,40 @@ def solve(histogram: np.ndarray, depth: int = DEPTH) -> list[tuple[tuple[int, ..
     return [(combos[j], float(x[j] * total)) for j in np.flatnonzero(x > 1e-9)]
 
 
-def pack_block(lengths: np.ndarray, mix: list[tuple[tuple[int, ...], float]], share: float, window: int = WINDOW, grain: int = GRAIN) -> list[list[tuple[int, int, int]]]:
-    """Sequences, each a list of (document index, start, length), for documents of these lengths (all above 0)."""
-    done: list[list[tuple[int, int, int]]] = []
-    stock: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for i, n in enumerate(lengths.tolist()):
-        whole = n // window * window
-        done += [[(i, at, window)] for at in range(0, whole, window)]
-        if n > whole:
-            stock[-(-(n - whole) // grain)].append((i, whole, n - whole))
-    open_: list[tuple[int, list[tuple[int, int, int]]]] = []
-    for combo, count in sorted(mix, key=lambda m: (len(m[0]), m[0])):
-        need = defaultdict(int)
+def rounded(mix: list[tuple[tuple[int, ...], float]], histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Whole repeat counts within the histogram: rounded down, then the largest remainders up while their pieces last."""
+    left = histogram.astype(np.int64).copy()
+
+    def take(combo: tuple[int, ...], times: int) -> int:
+        need = np.bincount(np.array(combo) - 1, minlength=len(left))
+        times = min(times, *(int(left[s - 1] // need[s - 1]) for s in combo))
+        left[:] -= need * times
+        return times
+
+    # What division has made a hair less than a whole number is that number.
+    counts = [take(combo, int(count + 1e-6)) for combo, count in mix]
+    for j in sorted(range(len(mix)), key=lambda j: (int(mix[j][1] + 1e-6) - mix[j][1], mix[j][0])):
+        counts[j] += take(mix[j][0], 1)
+    return [(combo, n) for (combo, _), n in zip(mix, counts, strict=True) if n]
+
+
+def slots(repeats: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int]]:
+    """(size, first, end, lane): pieces of a size with numbers from `first` to `end` go to sequences from `lane` on, one each."""
+    used: dict[int, int] = defaultdict(int)
+    out, lane = [], 0
+    for combo, times in repeats:
         for size in combo:
-            need[size] += 1
-        times = min([int(count * share + 1e-6), *(len(stock[s]) // k for s, k in need.items())])
-        for _ in range(times):
-            row = [stock[s].pop() for s in combo]
-            open_.append((window - sum(p[2] for p in row), row))
+            out.append((size, used[size], used[size] + times, lane))
+            used[size] += times
+        lane += times
+    return out
+
+
+def pack_rows(rows: list[list[tuple[int, int, int]]], left: list[tuple[int, int, int]], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
+    """Sequences of pieces (document index, start, length): those given, and what is left packed greedily; then gaps are filled."""
+    open_ = [(window - sum(p[2] for p in row), row) for row in rows]
     # Residual pieces: largest first, into new windows; then the smallest are cut up to fill every gap.
-    left = sorted((p for v in stock.values() for p in v), key=lambda p: (p[2], p[0], p[1]))
+    left = sorted(left, key=lambda p: (p[2], p[0], p[1]))
     low, high = 0, len(left) - 1
     while low <= high:
         row, room = [left[high]], window - left[high][2]
@@ -130,8 +151,7 @@ def pack_block(lengths: np.ndarray, mix: list[tuple[tuple[int, ...], float]], sh
             row.append(p)
             room -= p[2]
         open_.append((room, row))
-    done += _fill(open_, window)
-    return done
+    return _fill(open_, window)
 
 
 def _fill(rows: list[tuple[int, list[tuple[int, int, int]]]], window: int) -> list[list[tuple[int, int, int]]]:
@@ -164,66 +184,102 @@ def _fill(rows: list[tuple[int, list[tuple[int, int, int]]]], window: int) -> li
     return out + [row] * bool(row)
 
 
-def tokenized(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
-    """doc_id, n_tokens, ids binary (unsigned 16-bit, with the end id)."""
+PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, size int, task long, nth long"
+PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+
+
+def cut_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
+    """PIECES of all documents: whole windows (size 0) and one rest each, of `size` grains, the `nth` of its task with that size. ids are
+    unsigned 16-bit, with the end id."""
     ship(spark)
     end = np.array([end_id], "<u2").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = encoder(tokenizer_path)
-        for batch in batches:
-            for b in blocks(batch, "text"):
-                raws = [r + end for r in words.texts(b.column(1).to_pylist())]
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "n_tokens": pa.array([len(r) // 2 for r in raws], pa.int64()), "ids": pa.array(raws, pa.binary())})
+        from pyspark import TaskContext
+
+        words, task, seen = encoder(tokenizer_path), TaskContext.get().partitionId(), defaultdict(int)
+        for b in (x for batch in batches for x in blocks(batch, "text")):
+            cols: list[list] = [[] for _ in range(8)]
+            for doc_id, raw in zip(b.column(0).to_pylist(), words.texts(b.column(1).to_pylist()), strict=True):
+                raw += end
+                n = len(raw) // 2
+                for at in range(0, n, window):
+                    length = min(window, n - at)
+                    size = -(-length // grain) if length < window else 0
+                    for c, v in zip(cols, (doc_id, at, length, n, raw[2 * at : 2 * (at + length)], size, task, seen[size]), strict=True):
+                        c.append(v)
+                    seen[size] += 1
+            kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+
+    return with_text(docs).mapInArrow(lean(encode, "words"), PIECES)
+
 
-    return with_text(docs).mapInArrow(lean(encode, "words"), "doc_id long, n_tokens long, ids binary")
+def numbered(rests: DataFrame) -> DataFrame:
+    """Pieces with their `number` among those of their size, over all tasks."""
+    counts = rests.groupBy("size", "task").agg((F.max("nth") + 1).alias("n"))
+    before = Window.partitionBy("size").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("size", "task", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("first"))
+    few = counts.count() <= BROADCAST_TASKS
+    return rests.join(F.broadcast(first) if few else first, ["size", "task"]).withColumn("number", F.col("first") + F.col("nth"))
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
+def _packed(pieces: list[tuple[int, int, int]], doc_ids: list, raws: list[bytes], starts: list[int], totals: list[int], lane: int, cols: list[list]) -> None:
+    """Add a sequence's pieces (row, start within the row's piece, length) to the columns of PACKED."""
+    offset = 0
+    for i, at, n in pieces:
+        crc = zlib.crc32(np.frombuffer(raws[i], "<u2", n, 2 * at).astype("<u4").tobytes())
+        for c, v in zip(cols, (doc_ids[i], starts[i] + at, n, crc, totals[i], lane, offset), strict=True):
+            c.append(v)
+        offset += n
+
+
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN, scratch: Scratch | None = None) -> DataFrame:
     """Pack all documents: one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null or empty texts are one piece with the
-    end id; rows that repeat a doc_id, or have none (null), are packed each with the doc_id they have; an empty table gives no rows. Token ids are written once to the shared folder,
-    where the second pass reads them: nothing is shuffled but the histogram's counts.
+    end id; rows that repeat a doc_id, or have none (null), are packed each with the doc_id they have; further columns are ignored; an empty table
+    gives no rows. Token ids are written once to the shared folder; pieces shorter than a window are shuffled once.
     """
-    scratch = Scratch(spark, "packing")
-    ids = scratch.write(tokenized(spark, docs, tokenizer_path, end_id), "ids")
-    rest = F.col("n_tokens") % window
-    counted = ids.where(rest > 0).groupBy(F.ceil(rest / grain).cast("int").alias("bin")).count().collect()  # window / grain rows
+    scratch = scratch or Scratch(spark, "packing")
+    pieces = scratch.write(cut_pieces(spark, docs, tokenizer_path, end_id, window, grain), "pieces")
+    rests = pieces.where("size > 0")
+    counted = rests.groupBy("size").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()  # window / grain rows
     histogram = np.zeros(window // grain)
     for r in counted:
-        histogram[r.bin - 1] = r["count"]
-    mix, total = solve(histogram), float(histogram.sum())
+        histogram[r["size"] - 1] = r.n
+    repeats = rounded(solve(histogram), histogram)
+    n_blocks = max(1, -(-sum(r.tokens for r in counted) // BLOCK_TOKENS))
+    # A few intervals for each size: some hundred rows at any input size.
+    table = spark.createDataFrame(slots(repeats), "size int, low long, high long, lane long")
+    lane = F.col("lane") + F.col("number") - F.col("low")
+    dealt = numbered(rests).join(F.broadcast(table), "size", "left").where("low is null or (number >= low and number < high)").withColumn("lane", lane)
+    most = table.groupBy("size").agg(F.max("high").alias("most"))
+    spare = numbered(rests).join(F.broadcast(most), "size", "left").where("most is null or number >= most").withColumn("lane", F.lit(None).cast("long"))
+    columns = ("doc_id", "start", "length", "doc_tokens", "ids", "lane")
+    block = F.pmod(F.coalesce("lane", F.col("number") + F.col("size")), F.lit(n_blocks)).cast("int").alias("block")
+    together = dealt.where("lane is not null").select(*columns, block).unionByName(spare.select(*columns, block)).repartitionById(n_blocks, "block")
+    names = [x.split()[0] for x in PACKED.split(", ")]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        held, tokens, k = [], 0, [TaskContext.get().partitionId() << 40]
+        held = list(batches)  # BLOCK_TOKENS, but for chance
+        doc_ids, starts, lengths, totals, raws, lanes = ([x for b in held for x in b.column(c).to_pylist()] for c in ("doc_id", "start", "length", "doc_tokens", "ids", "lane"))
+        rows, left = defaultdict(list), []
+        for i, (n, at) in enumerate(zip(lengths, lanes, strict=True)):
+            (left if at is None else rows[at]).append((i, 0, n))
+        cols: list[list] = [[] for _ in names]
+        for k, row in enumerate(pack_rows([rows[at] for at in sorted(rows)], left, window)):
+            _packed(row, doc_ids, raws, starts, totals, TaskContext.get().partitionId() << 40 | k << 1, cols)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, b.num_rows, 200):
-                part = b.slice(i, 200)
-                held.append(part)
-                tokens += sum(part.column("n_tokens").to_pylist())
-                if tokens >= BLOCK_TOKENS:
-                    yield from emit(held, k)
-                    held, tokens = [], 0
-        if held:
-            yield from emit(held, k)
-
-    def emit(held: list[pa.RecordBatch], k: list[int]) -> Iterator[pa.RecordBatch]:
-        doc_ids = [d for b in held for d in b.column("doc_id").to_pylist()]
-        raws = [r for b in held for r in b.column("ids").to_pylist()]
-        lengths = np.array([len(r) // 2 for r in raws])
-        pieces = int(np.count_nonzero(lengths % window))
-        cols = [[] for _ in range(7)]
-        for row in pack_block(lengths, mix, pieces / total if total else 0.0, window, grain):
-            offset = 0
-            for i, start, n in row:
-                crc = zlib.crc32(np.frombuffer(raws[i], "<u2", n, 2 * start).astype("<u4").tobytes())
-                for c, v in zip(cols, (doc_ids[i], start, n, crc, int(lengths[i]), k[0], offset), strict=True):
-                    c.append(v)
-                offset += n
-            k[0] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-
-    return ids.select("doc_id", "n_tokens", "ids").mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+            doc_ids, starts, totals, raws, task, nth = (b.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids", "task", "nth"))
+            cols: list[list] = [[] for _ in names]
+            for i in range(b.num_rows):
+                _packed([(i, 0, window)], doc_ids, raws, starts, totals, task[i] << 40 | nth[i] << 1 | 1, cols)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    return together.mapInArrow(lean(fill), PACKED).unionByName(pieces.where("size = 0").mapInArrow(lean(whole), PACKED))

@@ -99,7 +99,17 @@ def test_packing_leaves_little_room():
     hist = np.zeros(packing.WINDOW // packing.GRAIN)
     rest = n % packing.WINDOW
     np.add.at(hist, -(-rest[rest > 0] // packing.GRAIN) - 1, 1)
-    rows = packing.pack_block(n, packing.solve(hist), 1.0)
+    repeats = packing.rounded(packing.solve(hist), hist)
+    stock, rows, left = defaultdict(list), [[(i, at, packing.WINDOW)] for i, k in enumerate(n) for at in range(0, k // packing.WINDOW * packing.WINDOW, packing.WINDOW)], []
+    for i, k in enumerate(rest.tolist()):
+        stock[-(-k // packing.GRAIN)].append((i, int(n[i]) - k, k))
+    lanes = defaultdict(list)
+    for size, low, high, lane in packing.slots(repeats):
+        for k, piece in enumerate(stock[size][low:high]):
+            lanes[lane + k].append(piece)
+    assert len(lanes) == sum(times for _, times in repeats)
+    high = {size: max(h for s, _, h, _ in packing.slots(repeats) if s == size) for size, *_ in packing.slots(repeats)}
+    rows += packing.pack_rows(list(lanes.values()), [p for size, x in stock.items() if size for p in x[high.get(size, 0) :]])
     assert n.sum() / (len(rows) * packing.WINDOW) > 0.995
     got = defaultdict(int)
     for row in rows:
@@ -154,3 +164,44 @@ def test_lacing_and_damage(spark):
     bad = spark.createDataFrame([(1, bytearray(whole[:900])), (2, None), (3, bytearray(b""))], "doc_id long, media binary")
     rows = matroska.packet_table(spark, bad).collect()
     assert [(r.key, r.packet) for r in rows] == [(1, -1)]
+
+
+def test_rounding_keeps_to_the_histogram():
+    r = np.random.RandomState(5)
+    for size, share in ((40, 0.4), (400, 0.85), (40_000, 0.98)):
+        hist = np.bincount(r.randint(0, 128, size), minlength=128).astype(float)
+        mix = packing.solve(hist)
+        repeats = packing.rounded(mix, hist)
+        used = np.zeros(128)
+        for combo, times in repeats:
+            for s in combo:
+                used[s - 1] += times
+        assert (used <= hist).all() and sum(t for _, t in repeats) >= share * sum(c for _, c in mix)
+    assert packing.rounded([], np.zeros(128)) == [] and packing.slots([]) == []
+
+
+@pytest.mark.parametrize("partitions", [1, 8, 32])
+def test_solved_rows_at_any_partitioning(spark, partitions):
+    from lodestone.llm.common import Scratch
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(partitions)
+    scratch = Scratch(spark, "test-packing")
+    packed = packing.pack(spark, docs, WORD, scratch=scratch).collect()
+    pieces = spark.read.parquet(scratch.path("pieces")).where("size > 0").collect()
+    hist = np.bincount([p["size"] - 1 for p in pieces], minlength=128).astype(float)
+    solved = [combo for combo, times in packing.rounded(packing.solve(hist), hist) for _ in range(times)]
+    assert len(solved) > 0.9 * sum(c for _, c in packing.solve(hist)) - 3
+    lanes = defaultdict(list)
+    for r in packed:
+        lanes[r.sequence_id].append(r)
+    # Of every solved row the first pieces, as many as its combination has, are of the combination's sizes.
+    found = defaultdict(int)
+    for lane in lanes.values():
+        first = sorted(lane, key=lambda r: r.offset)
+        for k in (1, 2, 3):
+            found[tuple(-(-r.length // packing.GRAIN) for r in first[:k])] += len(first) >= k
+    want = defaultdict(int)
+    for combo in solved:
+        want[combo] += 1
+    assert sum(min(n, found[c]) for c, n in want.items()) >= 0.9 * len(solved)
+    assert sum(r.length for r in packed) / (len(lanes) * packing.WINDOW) > 0.99
