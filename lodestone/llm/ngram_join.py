@@ -1,6 +1,6 @@
 """Self-join of documents by the Jaccard similarity of their word n-gram sets, vertically partitioned.
 
-All n-grams have one global order: those found to be frequent come last, by count; the rest go by hash. A pair at the
+All n-grams have one global order: the most frequent come last, by count; the rest go by hash. A pair at the
 threshold must share an n-gram in the first (1 - threshold) part of both sets, which gives candidates; lengths and the
 places of the shared n-gram bound the overlap of each. Sets also have parity bitmaps, of two to four bits for an n-gram: two
 bitmaps differ in no more places than the sets do, which rules out most candidates before their n-grams are fetched; of
@@ -32,9 +32,10 @@ WORDS, NUM, DEN = 5, 75, 100
 FRAGMENTS = 8
 #: Bits of the shortest and the longest bitmaps, powers of two. Larger sets have the longest, which bounds a batch.
 BITS = (64, 1 << 17)
-#: The order's tail: n-grams found HOT_LOCAL times or more in a chunk of CHUNK n-grams, the HOT_KEPT most frequent. They
-#: only decide the order, which any value leaves correct.
-HOT_LOCAL, HOT_KEPT, CHUNK = 3, 200_000, 4_000_000
+#: The order's tail: the HOT_KEPT most frequent n-grams. Those with hashes in the first FRONT of the hash range, where most prefixes
+#: lie, are counted over all documents; of the others, those found HOT_LOCAL times or more in a chunk of CHUNK n-grams. They only
+#: decide the order, which any value leaves correct.
+FRONT, HOT_LOCAL, HOT_KEPT, CHUNK = 0.3, 3, 400_000, 4_000_000
 #: Document ids up to which a semi-join is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_IDS = 2_000_000
 #: Further hubs of larger buckets, before all pairs that are left are compared. They only shrink what is left.
@@ -86,7 +87,7 @@ def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         def emit() -> pa.RecordBatch:
             u, c = np.unique(np.concatenate(held), return_counts=True)
-            ok = c >= HOT_LOCAL
+            ok = (c >= HOT_LOCAL) | (u < np.uint64(FRONT * 2**64))
             return pa.RecordBatch.from_arrays([signed(u[ok]), pa.array(c[ok])], ["gram", "n"])
 
         for batch in batches:
@@ -99,7 +100,7 @@ def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield emit()
 
-    found = rows.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
+    found = rows.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LOCAL).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
     grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
     o = np.argsort(grams)
     return grams[o], n[o]
