@@ -36,6 +36,8 @@ BITS = (64, 1 << 17)
 #: lie, are counted over all documents; of the others, those found HOT_LOCAL times or more in a chunk of CHUNK n-grams. They only
 #: decide the order, which any value leaves correct.
 FRONT, HOT_LOCAL, HOT_KEPT, CHUNK = 0.3, 3, 400_000, 4_000_000
+#: Rows of a batch of counts.
+EMITTED = 50_000
 #: Document ids up to which a semi-join is broadcast; beyond, Spark shuffles both sides.
 BROADCAST_IDS = 2_000_000
 #: Further hubs of larger buckets, before all pairs that are left are compared. They only shrink what is left.
@@ -85,20 +87,22 @@ def hot_grams(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def emit() -> pa.RecordBatch:
+        def emit() -> Iterator[pa.RecordBatch]:
             u, c = np.unique(np.concatenate(held), return_counts=True)
             ok = (c >= HOT_LOCAL) | (u < np.uint64(FRONT * 2**64))
-            return pa.RecordBatch.from_arrays([signed(u[ok]), pa.array(c[ok])], ["gram", "n"])
+            u, c = u[ok], c[ok]
+            for at in range(0, len(u), EMITTED):
+                yield pa.RecordBatch.from_arrays([signed(u[at : at + EMITTED]), pa.array(c[at : at + EMITTED])], ["gram", "n"])
 
         for batch in batches:
             for b in blocks(batch, "text"):
                 held.append(sets(b.column(1))[1])
                 n += len(held[-1])
                 if n >= CHUNK:
-                    yield emit()
+                    yield from emit()
                     held, n = [], 0
         if held:
-            yield emit()
+            yield from emit()
 
     found = rows.mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LOCAL).orderBy(F.desc("n"), "gram").limit(HOT_KEPT).toArrow()
     grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
