@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from lodestone.plans import code  # noqa: F401 - adds its queries
 from lodestone.plans import queries as plans
 from lodestone.plans import repository  # noqa: F401 - adds its queries
 
