@@ -251,21 +251,18 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int
     repeats = rounded(solve(histogram), histogram)
     n_blocks = max(1, -(-sum(r.tokens for r in counted) // BLOCK_TOKENS))
     # A few intervals for each size: some hundred rows at any input size.
-    table = spark.createDataFrame(slots(repeats), "size int, low long, high long, lane long")
-    lane = F.col("lane") + F.col("number") - F.col("low")
-    dealt = numbered(rests).join(F.broadcast(table), "size", "left").where("low is null or (number >= low and number < high)").withColumn("lane", lane)
-    most = table.groupBy("size").agg(F.max("high").alias("most"))
-    spare = numbered(rests).join(F.broadcast(most), "size", "left").where("most is null or number >= most").withColumn("lane", F.lit(None).cast("long"))
-    columns = ("doc_id", "start", "length", "doc_tokens", "ids", "lane")
-    block = F.pmod(F.coalesce("lane", F.col("number") + F.col("size")), F.lit(n_blocks)).cast("int").alias("block")
-    together = dealt.where("lane is not null").select(*columns, block).unionByName(spare.select(*columns, block)).repartitionById(n_blocks, "block")
+    table = spark.createDataFrame(slots(repeats), "of int, low long, high long, lane long")
+    inside = (F.col("size") == F.col("of")) & (F.col("number") >= F.col("low")) & (F.col("number") < F.col("high"))
+    dealt = numbered(rests).join(F.broadcast(table), inside, "left").withColumn("at", F.col("lane") + F.col("number") - F.col("low"))
+    block = F.pmod(F.coalesce("at", F.col("number") + F.col("size")), F.lit(n_blocks)).cast("int").alias("block")
+    together = dealt.select("doc_id", "start", "length", "doc_tokens", "ids", "at", block).repartitionById(n_blocks, "block")
     names = [x.split()[0] for x in PACKED.split(", ")]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held = list(batches)  # BLOCK_TOKENS, but for chance
-        doc_ids, starts, lengths, totals, raws, lanes = ([x for b in held for x in b.column(c).to_pylist()] for c in ("doc_id", "start", "length", "doc_tokens", "ids", "lane"))
+        doc_ids, starts, lengths, totals, raws, lanes = ([x for b in held for x in b.column(c).to_pylist()] for c in ("doc_id", "start", "length", "doc_tokens", "ids", "at"))
         rows, left = defaultdict(list), []
         for i, (n, at) in enumerate(zip(lengths, lanes, strict=True)):
             (left if at is None else rows[at]).append((i, 0, n))

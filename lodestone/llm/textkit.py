@@ -26,16 +26,19 @@ held: dict[str, Callable[[], None]] = {"powers": _powers.clear}
 
 def lean(run, keep: str = ""):
     """`run` for mapInArrow, in a worker that holds nothing of other operators' tasks (but for `keep`) while it works, and
-    returns freed memory to the system when it is done. Workers outlive their tasks, so that counts on small executors."""
+    returns freed memory to the system when it is done. Workers outlive their tasks, so that counts on small executors. Nothing
+    here makes cycles, so Python's search for them rests until then: it would walk through all words that are held."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             for name, clear in held.items():
                 if name != keep:
                     clear()
+            gc.disable()
             yield from run(batches)
         finally:
             _powers.clear()
+            gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
