@@ -190,7 +190,7 @@ def test_solved_rows_at_any_partitioning(spark, partitions):
     pieces = spark.read.parquet(scratch.path("pieces")).where("size > 0").collect()
     hist = np.bincount([p["size"] - 1 for p in pieces], minlength=128).astype(float)
     solved = [combo for combo, times in packing.rounded(packing.solve(hist), hist) for _ in range(times)]
-    assert len(solved) > 0.9 * sum(c for _, c in packing.solve(hist)) - 3
+    assert len(solved) > 0.85 * sum(c for _, c in packing.solve(hist))
     lanes = defaultdict(list)
     for r in packed:
         lanes[r.sequence_id].append(r)
