@@ -199,7 +199,7 @@ def test_solved_rows_at_any_partitioning(spark, partitions):
     for lane in lanes.values():
         first = sorted(lane, key=lambda r: r.offset)
         for k in (1, 2, 3):
-            found[tuple(-(-r.length // packing.GRAIN) for r in first[:k])] += len(first) >= k
+            found[tuple(sorted((-(-r.length // packing.GRAIN) for r in first[:k]), reverse=True))] += len(first) >= k
     want = defaultdict(int)
     for combo in solved:
         want[combo] += 1
