@@ -58,18 +58,32 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return labels if labels is not None else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
+#: Entries whose visits one word of bits tells.
+WORD_BITS = 64
+
+
 def depths(spark: SparkSession, edges: DataFrame, entries: DataFrame) -> DataFrame:
-    """node, depth: shortest hops from each entry (node), the largest of those over all entries; entries at 0 left out."""
-    e = edges.select("src", "dst").distinct()
-    seen = cut(spark, entries.select(F.col("node").alias("entry"), "node").distinct().withColumn("depth", F.lit(0)))
-    front = seen
-    for step in count(1):  # ends, as pairs that were seen don't come again
-        new = front.join(e, F.col("node") == F.col("src")).select("entry", F.col("dst").alias("node")).distinct().join(seen.select("entry", "node"), ["entry", "node"], "left_anti")
-        front = cut(spark, new.withColumn("depth", F.lit(step)))
+    """node, depth: shortest hops from each entry (node), the largest of those over all entries; entries at 0 left out.
+
+    Entries are bits of words, 64 of them searched as one: a row for a node and word holds the entries that have reached the node,
+    and the round in which the last of them did. A round sends the bits that are new at a node to its followers, ORs what meets there, and
+    keeps what hadn't been. Rows are at most nodes times entries / 64; a round costs a join of the new rows with the edges. Null nodes have no edges.
+    """
+    e = cut(spark, edges.select("src", "dst").distinct())
+    numbered = cut(spark, entries.select("node").distinct()).withColumn("number", F.monotonically_increasing_id())
+    bit = F.expr(f"shiftleft(1L, cast(number % {WORD_BITS} as int))")
+    seen = cut(spark, numbered.groupBy("node", F.floor(F.col("number") / WORD_BITS).alias("word")).agg(F.bit_or(bit).alias("bits")).withColumn("depth", F.lit(0).cast("long")))
+    front = seen.select("node", "word", "bits")
+    for step in count(1):  # ends, as bits that were seen don't come again
+        came = front.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "word").agg(F.bit_or("bits").alias("came"))
+        both = seen.join(came, ["node", "word"], "full")
+        new = F.coalesce("came", F.lit(0).cast("long")).bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long"))))
+        merged = both.select("node", "word", F.coalesce("bits", F.lit(0).cast("long")).bitwiseOR(F.coalesce("came", F.lit(0).cast("long"))).alias("bits"), F.when(new != 0, F.lit(step).cast("long")).otherwise(F.col("depth")).alias("depth"), new.alias("new"))
+        merged = cut(spark, merged)
+        seen, front = merged.drop("new"), merged.where("new <> 0").select("node", "word", F.col("new").alias("bits"))
         if front.isEmpty():
             break
-        seen = cut(spark, seen.unionAll(front))
-    return seen.where("depth > 0").groupBy("node").agg(F.max("depth").cast("long").alias("depth"))
+    return seen.where("depth > 0").groupBy("node").agg(F.max("depth").alias("depth"))
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, hops: int = 1) -> DataFrame:
@@ -98,42 +112,117 @@ def rollup_edges(edges: DataFrame, src_group, dst_group) -> DataFrame:
     return edges.select(src_group.alias("src"), dst_group.alias("dst")).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def strong_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def _ends(spark: SparkSession, ways: DataFrame) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Where one-way pointers (node, to) lead, by doubling: the pointers of 1, 2, 4, ... steps, (node, end) of those that leave the pointers, and
+    (node, least) of the nodes on closed ways, with the least node of each."""
+    far = cut(spark, ways.select("node", "to", F.least("node", "to").alias("least")))
+    levels, n, steps = [far], far.count(), 1
+    while True:
+        ahead = far.select(F.col("node").alias("to"), F.col("to").alias("beyond"), F.col("least").alias("more"))
+        moved = cut(spark, far.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("to"), F.least("least", "more").alias("least"), F.col("beyond").isNotNull().alias("moved")))
+        steps *= 2
+        far = moved.select("node", "to", "least")
+        if steps > n or moved.where("moved").isEmpty():
+            break
+        levels.append(far)
+    # After more steps than nodes, what still points at a pointer goes round.
+    inner = far.join(ways.select(F.col("node").alias("to")), "to", "left_semi")
+    rounds = cut(spark, far.join(inner.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select("node", "least"))
+    return levels, cut(spark, far.select("node", F.col("to").alias("end"))), rounds
+
+
+def _fold(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]] | None:
+    """Contract nodes with one follower into where their only ways end: (smaller edges, (node, root), pointers by doubling), or None if there
+    are no such nodes. A closed way of such nodes is contracted into its least node."""
+    single = edges.groupBy("src").agg(F.min("dst").alias("to"), F.count("*").alias("n")).where("n = 1").select(F.col("src").alias("node"), "to")
+    ways = cut(spark, single)
+    if ways.isEmpty():
+        return None
+    levels, ends, rounds = _ends(spark, ways)
+    if not rounds.isEmpty():
+        # The least node of a closed way becomes a root, and the others lead to it.
+        ways = cut(spark, ways.join(rounds.where("node = least").select("node"), "node", "left_anti"))
+        if not ways.isEmpty():
+            levels, ends, _ = _ends(spark, ways)
+        else:
+            ends = ways.select("node", F.col("to").alias("end"))
+    roots = cut(spark, ends.select("node", F.col("end").alias("root")))
+    at = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    # Edges of contracted nodes are their ways, which say nothing more; the others end at the roots.
+    smaller = edges.join(roots.select(F.col("node").alias("src")), "src", "left_anti").join(at("dst"), "dst", "left").select("src", F.coalesce("dst_root", "dst").alias("dst")).where("src <> dst").distinct()
+    return cut(spark, smaller), roots, levels
+
+
+def _unfold(spark: SparkSession, edges: DataFrame, roots: DataFrame, levels: list[DataFrame], found: DataFrame) -> DataFrame:
+    """(node, component) of the larger graph, from that of the smaller one: a contracted node belongs to its root's component if an edge from that
+    component comes in at it, or at a node whose way leads through it."""
+    of = found.select("node", "component")
+    whose = lambda c, name: of.select(F.col("node").alias(c), F.col("component").alias(name))
+    into = edges.join(roots.select(F.col("node").alias("dst"), "root"), "dst").join(whose("src", "a"), "src", "left").join(whose("root", "b"), "root", "left")
+    marked = cut(spark, into.where(F.coalesce("a", "src") == F.coalesce("b", "root")).select(F.col("dst").alias("node")).distinct())
+    for far in levels:
+        ahead = far.join(marked, "node", "left_semi").select(F.col("to").alias("node"))
+        marked = cut(spark, marked.union(ahead).distinct())
+    inner = roots.join(marked, "node", "left_semi").join(whose("root", "b"), "root", "left").select("node", F.coalesce("b", "root").alias("component"), "root")
+    # A root that was alone is now in company.
+    alone = inner.select(F.col("root").alias("node"), "component").distinct().join(of.select("node"), "node", "left_anti")
+    return cut(spark, of.unionByName(inner.select("node", "component")).unionByName(alone))
+
+
+def _furthest(spark: SparkSession, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, top): the largest node that reaches each. A node takes the largest of its predecessors' and, as what reaches its top
+    reaches it, of its top's; so along a way tops move by doubling."""
+    top = cut(spark, nodes.withColumn("top", F.col("node")))
+    while True:
+        came = edges.join(top.select(F.col("node").alias("src"), F.col("top").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
+        once = top.join(came, "node", "left").select("node", F.greatest("top", "c").alias("next"), "top")
+        again = top.select(F.col("node").alias("next"), F.col("top").alias("beyond"))
+        moved = cut(spark, once.join(again, "next", "left").select("node", F.greatest("next", "beyond").alias("next"), "top"))
+        top = moved.select("node", F.col("next").alias("top"))
+        if moved.where("next <> top").isEmpty():
+            return top
+
+
+def strong_components(spark: SparkSession, edges: DataFrame, rounds: list[str] | None = None) -> DataFrame:
     """node, component of nodes on directed cycles (the largest node of the cycle's strong component).
 
-    Nodes without a way in or out go first. Then every node takes the largest node that reaches it as its colour; what reaches
-    that node backwards inside the colour is its strong component, and goes. Rounds end when no edge is left.
+    Nodes with one follower are contracted into where their ways end, and those with one predecessor likewise on the reversed edges, by pointer doubling;
+    nodes without a way in or out go. When too little is contracted, each node takes the largest node that reaches it as its
+    colour; of a colour, what reaches its node is a strong component. Then contracted nodes are taken back in, last ones first. A chain or ring of n
+    nodes takes the logarithm of n; `rounds`, if given, collects what was done.
     """
+    rounds = rounds if rounds is not None else []
     left = cut(spark, edges.where("src <> dst").select("src", "dst").distinct())
-    found = None
+    folds: list[tuple[DataFrame, DataFrame, list[DataFrame]]] = []
+    found = cut(spark, left.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("component")))
+    turn = lambda d: d.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     while not left.isEmpty():
-        # An edge stays if something leads to its source and something follows its target.
-        kept = cut(spark, left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() < left.count():
-            left = kept
+        before = left.count()
+        for way, back in ((lambda d: d, lambda d: d), (turn, turn)):
+            folded = _fold(spark, way(left)) if not left.isEmpty() else None
+            if folded is not None:
+                folds.append((way(left), folded[1], folded[2]))
+                rounds += ["fold"] * len(folded[2])
+                left = back(folded[0])
+        left = cut(spark, left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        rounds.append("trim")
+        if left.isEmpty() or 2 * left.count() <= before:
             continue
-        colour = cut(spark, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("colour", F.col("node")))
-        while True:
-            reach = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("c")), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("c"))
-            moved = cut(spark, colour.join(reach, "node", "left").select("node", F.greatest("colour", "c").alias("new"), "colour"))
-            colour = moved.select("node", F.col("new").alias("colour"))
-            if moved.where("new <> colour").isEmpty():
-                break
-        inside = cut(spark, left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b").select("src", "dst", "a"))
-        own = cut(spark, colour.where("node = colour").select("node", F.col("colour").alias("component")))
-        front = own
-        while True:
-            front = cut(spark, front.join(inside, (F.col("node") == F.col("dst")) & (F.col("component") == F.col("a"))).select(F.col("src").alias("node"), "component").distinct().join(own, ["node", "component"], "left_anti"))
-            if front.isEmpty():
-                break
-            own = cut(spark, own.unionByName(front))
-        found = own if found is None else found.unionByName(own)
+        nodes = cut(spark, left.select(F.col("src").alias("node")).union(left.select("dst")).distinct())
+        colour = _furthest(spark, left, nodes)
+        of = lambda c, name: colour.select(F.col("node").alias(c), F.col("top").alias(name))  # noqa: E731, B023
+        inside = cut(spark, left.join(of("src", "a"), "src").join(of("dst", "b"), "dst").where("a = b").select("src", "dst"))
+        reached = _furthest(spark, turn(inside), nodes)
+        own = cut(spark, colour.join(reached.select("node", F.col("top").alias("reaches")), "node").where("top = reaches").select("node", F.col("top").alias("component")))
+        rounds.append("colour")
+        found = found.unionByName(own)
         gone = own.select("node")
         left = cut(spark, left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
-    if found is None:
-        return left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
-    sized = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return found.join(sized.select("component"), "component", "left_semi").select("node", "component")
+    for larger, roots, levels in reversed(folds):
+        found = _unfold(spark, larger, roots, levels, found)
+        rounds.append("unfold")
+    top = found.groupBy("component").agg(F.max("node").alias("top"), F.count("*").alias("n")).where("n > 1")
+    return found.join(top, "component").select("node", F.col("top").alias("component"))
 
 
 def cycle_edges(spark: SparkSession, edges: DataFrame) -> DataFrame:
