@@ -35,7 +35,7 @@ BITS = (64, 1 << 17)
 #: The order's tail: the HOT_KEPT most frequent n-grams. Those with hashes in the first FRONT of the hash range, where most prefixes
 #: lie, are counted over all documents; of the others, those found HOT_LOCAL times or more in a chunk of CHUNK n-grams. They only
 #: decide the order, which any value leaves correct.
-FRONT, HOT_LOCAL, HOT_KEPT, CHUNK = 0.3, 3, 400_000, 4_000_000
+FRONT, HOT_LOCAL, HOT_KEPT, CHUNK = 0.3, 3, 250_000, 2_000_000
 #: Rows of a batch of counts.
 EMITTED = 50_000
 #: Document ids up to which a semi-join is broadcast; beyond, Spark shuffles both sides.

@@ -18,7 +18,7 @@ from lodestone.llm.textkit import held
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of one generation of a worker's cache; there are two, and results don't depend on it.
-CACHE_WORDS, CACHE_RUNS = 150_000, 120_000
+CACHE_WORDS, CACHE_RUNS = 50_000, 40_000
 #: Longer words are encoded each time they occur.
 CACHE_WORD_BYTES = 64
 #: Words that are one run of letters, with or without one run of marks after it. Normalisation only lower-cases them, and
