@@ -13,12 +13,12 @@ import sys
 from array import array
 from collections.abc import Iterator
 
-from lodestone.llm.textkit import held
+from lodestone.llm.textkit import held, spare
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of one generation of a worker's cache; there are two, and results don't depend on it.
-CACHE_WORDS, CACHE_RUNS = 50_000, 40_000
+CACHE_WORDS, CACHE_RUNS = 100_000, 60_000
 #: Longer words are encoded each time they occur.
 CACHE_WORD_BYTES = 64
 #: Words that are one run of letters, with or without one run of marks after it. Normalisation only lower-cases them, and
@@ -104,7 +104,12 @@ def _forget() -> None:
         made.runs.clear()
 
 
-held["words"] = _forget
+def _forget_old() -> None:
+    for made in _made.values():
+        made.cache.old = {}
+
+
+held["words"], spare["words"] = _forget, _forget_old
 
 
 def encoder(path: str) -> WordIds:
