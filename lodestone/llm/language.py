@@ -26,6 +26,8 @@ SLOTS_A_GRAM, SLOTS = 8, (1 << 16, 1 << 24)
 #: An n-gram enters a language's filter if it is found this often there, and at this share of its highest rate anywhere.
 MIN_COUNT, MIN_RATE = 3, 0.1
 #: Language bits of a slot's word.
+#: Bytes of text that a worker looks at together: arrays of every byte's n-gram and slots are made of them.
+BLOCK = 1 << 19
 WORD = 63
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -66,7 +68,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             held[lang] = [(u, np.bincount(at, n, len(u)).astype(np.int64))]
 
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK):
                 data, offs = text_buffer(b.column(1))
                 g, first = grams(data, offs)
                 langs, which = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
@@ -134,7 +136,7 @@ def identify(spark: SparkSession, docs: DataFrame, langs: list[str], table: np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = shared.value
         for batch in batches:
-            for b in blocks(batch, "text"):
+            for b in blocks(batch, "text", BLOCK):
                 data, offs = text_buffer(b.column(1))
                 g, first = grams(data, offs)
                 places = list(slots_of(g, slots, hashes))
