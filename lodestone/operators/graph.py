@@ -233,48 +233,101 @@ def cycle_edges(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return e.join(a, "src").join(b, "dst").where("a = b").select("src", "dst").unionByName(e.where("src = dst"))
 
 
-def connectors(edges: DataFrame, group: str = "component") -> DataFrame:
-    """group, node: nodes whose removal splits their part of the graph. edges: (src, dst, group), where a group holds whole
-    components of one repository's import graph, whose size the limits of ingestion bound; each is walked once, in a task."""
-    import pandas as pd
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(frame["src"], frame["dst"], strict=True):
-            if a != b:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-        seen: dict[str, int] = {}
-        low: dict[str, int] = {}
-        split: set[str] = set()
-        for root in sorted(near):
-            if root in seen:
-                continue
-            seen[root] = low[root] = len(seen)
-            stack, branches = [(root, "", iter(sorted(near[root])))], 0
-            while stack:
-                node, parent, rest = stack[-1]
-                step = next((x for x in rest if x != parent), None)
-                if step is None:
-                    stack.pop()
-                    if stack:
-                        up = stack[-1][0]
-                        low[up] = min(low[up], low[node])
-                        if up == root:
-                            branches += 1
-                        elif low[node] >= seen[up]:
-                            split.add(up)
-                elif step in seen:
-                    low[node] = min(low[node], seen[step])
-                else:
-                    seen[step] = low[step] = len(seen)
-                    stack.append((step, node, iter(sorted(near[step]))))
-            if branches > 1:
-                split.add(root)
-        return pd.DataFrame({group: frame[group].iloc[0] if len(frame) else None, "node": sorted(split)})
-
-    kind = dict(edges.dtypes)[group]
-    return edges.select("src", "dst", group).groupBy(group).applyInPandas(run, f"{group} {kind}, node string")
+def spanning_forest(spark: SparkSession, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, dst) of the edges of a spanning forest of the undirected graph, each once, and (node, component) with the least node of each.
+
+    Each round every part points at its least neighbouring part by one original edge, which joins the forest: pointers go downwards, so they close no ring."""
+    one = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    links = cut(spark, one.select("a", "b", F.struct("a", "b").alias("by")))
+    nodes = cut(spark, links.select(F.col("a").alias("node")).union(links.select("b")).distinct())
+    forest, labels = links.select("by.a", "by.b").limit(0), nodes.withColumn("component", F.col("node"))
+    while not links.isEmpty():
+        # The larger part of a link may point at the smaller one; the least neighbour is the part's choice.
+        to = cut(spark, links.groupBy(F.col("b").alias("node")).agg(F.min(F.struct("a", "by")).alias("m")).select("node", F.col("m.a").alias("to"), "m.by"))
+        forest = forest.unionByName(to.select("by.a", "by.b"))
+        ends = _ends(spark, to.select("node", "to"))[1]
+        end = lambda c: ends.select(F.col("node").alias(c), F.col("end").alias(f"{c}_end"))  # noqa: E731, B023
+        moved = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_end", "a").alias("x"), F.coalesce("b_end", "b").alias("y"), "by").where("x <> y")
+        links = cut(spark, moved.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("by").alias("by")))
+        labels = cut(spark, labels.join(end("component"), "component", "left").select("node", F.coalesce("component_end", "component").alias("component")))
+    return cut(spark, forest.toDF("src", "dst")), labels
+
+
+#: Parts into which the neighbours of a node are dealt when the next one of each is looked for.
+FANS = 64
+
+
+def euler_tours(spark: SparkSession, forest: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, parent, pre, post, component: trees rooted at their least nodes; `pre` and `post` are the places in the tree's tour where a node is entered and
+    left, so a node's branch are the nodes entered from its `pre` on and before its `post`.
+
+    Each edge is walked both ways. After the way from u to v comes the way from v to the neighbour after u; places are found by
+    pointer doubling over the ways. Neighbours of a node are ordered within parts, and the parts after one another."""
+    from pyspark.sql import Window
+
+    ways = cut(spark, forest.unionByName(forest.select(F.col("dst").alias("src"), F.col("src").alias("dst")))).withColumn("fan", F.pmod(F.hash("dst"), F.lit(FANS)))
+    inside = Window.partitionBy("src", "fan").orderBy("dst")
+    fans = ways.groupBy("src", "fan").agg(F.min("dst").alias("first"))
+    around = Window.partitionBy("src").orderBy("fan")
+    start = F.first("first").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    fans = fans.select("src", "fan", F.lead("first").over(around).alias("on"), start.alias("start"))
+    after = ways.withColumn("next", F.lead("dst").over(inside)).join(fans, ["src", "fan"])
+    after = after.select(F.col("src").alias("at"), F.col("dst").alias("came"), F.coalesce("next", "on", "start").alias("leave"), (F.coalesce("next", "on").isNull()).alias("wraps"))
+    numbered = cut(spark, ways.select("src", "dst").withColumn("way", F.monotonically_increasing_id()))
+    pairs = numbered.join(after, (F.col("src") == F.col("came")) & (F.col("dst") == F.col("at"))).join(labels.select(F.col("node").alias("at"), "component"), "at")
+    # The tour ends where it would leave the root for its first neighbour again.
+    pairs = pairs.select("way", "src", "dst", "component", F.when(~(F.col("wraps") & (F.col("at") == F.col("component"))), F.col("leave")).alias("leave"))
+    onward = numbered.select(F.col("src").alias("dst"), F.col("dst").alias("leave"), F.col("way").alias("to"))
+    table = cut(spark, pairs.join(onward, ["dst", "leave"], "left").select("way", "src", "dst", "component", "to"))
+    far = cut(spark, table.select("way", "to", F.when(F.col("to").isNotNull(), 1).otherwise(0).cast("long").alias("left")))
+    while not far.where("to is not null").isEmpty():
+        ahead = far.select(F.col("way").alias("to"), F.col("to").alias("beyond"), F.col("left").alias("more"))
+        far = cut(spark, far.join(ahead, "to", "left").select("way", F.col("beyond").alias("to"), (F.col("left") + F.coalesce("more", F.lit(0).cast("long"))).alias("left")))
+    placed = table.join(far.select("way", (-F.col("left")).alias("place")), "way").select("src", "dst", "component", "place")
+    back = placed.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("place").alias("back"))
+    inner = placed.join(back, ["src", "dst"]).where("place < back").select(F.col("dst").alias("node"), F.col("src").alias("parent"), F.col("place").alias("pre"), F.col("back").alias("post"), "component")
+    low = F.lit(-(1 << 62)).cast("long")
+    roots = labels.where("node = component").select("node", F.lit(None).cast(dict(labels.dtypes)["node"]).alias("parent"), low.alias("pre"), F.lit(1).cast("long").alias("post"), "component")
+    return cut(spark, inner.unionByName(roots))
+
+
+def blocks(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, block: the biconnected parts of the undirected graph of `edges` (src, dst), and their nodes. A part is named by one of its nodes.
+
+    Any spanning forest will do. A tree edge is known by its lower node; two tree edges are in one part if an edge outside the forest joins
+    branches that don't hold each other, or if one leaves the branch of the node between them; parts are the components of that relation. What
+    leaves a branch is seen in the least and largest `pre` that its nodes' other edges reach, gathered over branches by doubling parents.
+    All steps take the logarithm of the number of nodes in joins; no node, part or component is walked in one task.
+    """
+    forest, labels = spanning_forest(spark, edges)
+    if forest.isEmpty():
+        return forest.select(F.col("src").alias("node"), F.col("dst").alias("block"))
+    tree = euler_tours(spark, forest, labels)
+    one = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    others = cut(spark, one.join(forest, ["src", "dst"], "left_anti"))
+    span = lambda c: tree.select(F.col("node").alias(c), F.col("pre").alias(f"{c}_pre"), F.col("post").alias(f"{c}_post"))
+    known = cut(spark, others.join(span("src"), "src").join(span("dst"), "dst"))
+    seen = known.select(F.col("src").alias("node"), F.col("dst_pre").alias("p")).unionByName(known.select(F.col("dst").alias("node"), F.col("src_pre").alias("p")))
+    reach = seen.groupBy("node").agg(F.min("p").alias("least"), F.max("p").alias("most"))
+    state = cut(spark, tree.join(reach, "node", "left").select("node", "parent", "pre", "post", F.least("pre", "least").alias("low"), F.greatest("pre", "most").alias("high")))
+    up = cut(spark, tree.where("parent is not null").select("node", F.col("parent").alias("up")))
+    while not up.isEmpty():
+        below = state.join(up, "node").groupBy(F.col("up").alias("node")).agg(F.min("low").alias("_low"), F.max("high").alias("_high"))
+        state = cut(spark, state.join(below, "node", "left").select("node", "parent", "pre", "post", F.least("low", "_low").alias("low"), F.greatest("high", "_high").alias("high")))
+        up = cut(spark, up.join(up.select(F.col("node").alias("up"), F.col("up").alias("far")), "up").select("node", F.col("far").alias("up")))
+    above = state.select(F.col("node").alias("parent"), F.col("parent").alias("top"), F.col("pre").alias("p_pre"), F.col("post").alias("p_post"))
+    leaves = state.join(above, "parent").where("top is not null and (low < p_pre or high > p_post)").select(F.col("node").alias("src"), F.col("parent").alias("dst"))
+    held = lambda a, b: (F.col(f"{a}_pre") <= F.col(f"{b}_pre")) & (F.col(f"{b}_pre") < F.col(f"{a}_post"))
+    apart = known.where(~held("src", "dst") & ~held("dst", "src")).select("src", "dst")
+    parts = components(spark, cut(spark, leaves.unionByName(apart)))
+    lower = state.where("parent is not null").join(parts, "node", "left").select("node", "parent", F.coalesce("component", "node").alias("block"))
+    lower = cut(spark, lower)
+    return lower.select("node", "block").unionByName(lower.select(F.col("parent").alias("node"), "block")).distinct()
+
+
+def connectors(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node: those whose removal splits their part of the undirected graph: nodes of several biconnected parts."""
+    return blocks(spark, edges).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
 
 
 def entry_tree(edges: DataFrame, entries: DataFrame, width: int = 10) -> DataFrame:

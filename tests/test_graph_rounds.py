@@ -84,3 +84,55 @@ def test_depths(spark, seed, n, m, k):
     entries = [draw.randrange(n + 5) for _ in range(k)]
     got = graph.depths(spark, frame(spark, edges), spark.createDataFrame([(e,) for e in entries], "node long").repartition(3))
     assert {r.node: r.depth for r in got.collect()} == brute_depths(edges, entries)
+
+
+def brute_blocks(edges):
+    """Biconnected parts by walking depth first, as sets of nodes."""
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    seen, low, stack, out = {}, {}, [], []
+
+    def walk(v, parent):
+        seen[v] = low[v] = len(seen)
+        for x in near[v]:
+            if x == parent:
+                continue
+            if x in seen:
+                if seen[x] < seen[v]:
+                    stack.append((v, x))
+                low[v] = min(low[v], seen[x])
+                continue
+            at = len(stack)
+            stack.append((v, x))
+            walk(x, v)
+            low[v] = min(low[v], low[x])
+            if low[x] >= seen[v]:
+                out.append(frozenset(n for e in stack[at:] for n in e))
+                del stack[at:]
+
+    for v in sorted(near):
+        if v not in seen:
+            walk(v, None)
+    return out
+
+
+@pytest.mark.parametrize("seed, n, m", [(1, 10, 11), (2, 30, 34), (3, 40, 44), (4, 25, 60), (5, 60, 62)])
+def test_blocks_and_connectors(spark, seed, n, m):
+    draw = random.Random(seed)
+    edges = [(draw.randrange(n), draw.randrange(n)) for _ in range(m)] + [(70, 70)] + [(80 + k, 81 + k) for k in range(6)] + [(100, 101 + k) for k in range(5)] + [(k, k + 3) for k in range(200, 212)]
+    want = brute_blocks(edges)
+    got = {}
+    for r in graph.blocks(spark, frame(spark, edges)).collect():
+        got.setdefault(r.block, set()).add(r.node)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    several = {v for b in want for v in b if sum(v in c for c in want) > 1}
+    assert {r.node for r in graph.connectors(spark, frame(spark, edges)).collect()} == several
+
+
+def test_connectors_of_named_nodes(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "src string, dst string")
+    assert sorted(r.node for r in graph.connectors(spark, edges).collect()) == ["c", "d"]
+    assert graph.connectors(spark, edges.where("src > 'z'")).count() == 0
