@@ -927,15 +927,15 @@ _UNDIRECTED = f"{values('e', 'src string, dst string', LOOPS)}, u AS (SELECT src
 SELECT 'all' AS component, node FROM n WHERE EXISTS (SELECT 1 FROM u x JOIN u y ON x.a = n.node AND y.a = n.node AND x.b < y.b WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.cut = n.node AND w.start = x.b AND w.node = y.b))"""
 )
 def connectors(spark, sf):
-    return graph.connectors(loops(spark).withColumn("component", F.lit("all")))
+    return graph.connectors(spark, loops(spark)).select(F.lit("all").alias("component"), "node")
 
 
 @query("SELECT 'c' || n_regionkey AS component, 'r' || n_regionkey AS node FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
 def connectors_of_regions(spark, sf):
     from lodestone.sources.tables import table
 
-    n = table(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"), F.concat(F.lit("c"), "n_regionkey").alias("component"))
-    return graph.connectors(n)
+    n = table(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    return graph.connectors(spark, n).select(F.regexp_replace("node", "r", "c").alias("component"), "node")
 
 
 @query(f"WITH {values('e', 'src string, dst string', LOOPS)} SELECT x.src AS entry, x.dst AS child, y.dst AS grandchild FROM e x LEFT JOIN e y ON y.src = x.dst AND y.src <> y.dst WHERE x.src = 'x'")
