@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators import literal_index
+from lodestone.operators import flows, graph, lexer, literal_index, parse, structure, symbols
 from lodestone.plans.catalogue import GROUPS, LINE_RULES, ROWS
 from lodestone.plans.queries import query
 from lodestone.sources.tables import table
@@ -85,3 +85,127 @@ _DOC_LINES = "lines AS (SELECT doc_id AS path, unnest(string_split(text, chr(10)
 @query(f"WITH {_DOC_LINES} SELECT path, line_no, len(regexp_extract_all(text, '(?i)license, version', 0))::BIGINT AS n FROM lines WHERE regexp_matches(text, '(?i)license, version')")
 def search_by_index(spark, sf):
     return literal_index.search_indexed(table(spark, sf, "documents"), _document_postings(spark, sf), "License, Version", "doc_id", "text").select("path", "line_no", "n")
+
+
+# Code rendered from parts ---------------------------------------------------------------------------------------------
+
+#: Each part is a TypeScript file: a class with p_size % 4 methods, a function `keep<key>` that gives back its first parameter, the same cleaned, its second
+#: one or a number (by p_partkey % 5), and `run<key>`, which sends a request's value through `keep` of another part's file into a query.
+_PARTS = "parts AS (SELECT p_partkey AS k, p_partkey % 5 AS t, p_size % 4 AS n, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS q, 'src/p' || p_partkey || '.ts' AS path FROM part)"
+
+
+def code_files(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content of the parts' files."""
+    part = table(spark, sf, "part")
+    total = part.count()
+    k, q = F.col("p_partkey").cast("string"), ((F.col("p_partkey") * 7 + F.col("p_size")) % total).cast("string")
+    t, n = F.col("p_partkey") % 5, (F.col("p_size") % 4).cast("int")
+    none = F.array().cast("array<string>")
+    methods = F.flatten(F.transform(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda m: F.array(F.concat(F.lit("  m"), m.cast("string"), F.lit("(tax) {")), F.concat(F.lit('    const total = [tax, "'), "p_type", F.lit(' ("]')), F.lit("  }"))))
+    held = F.when(t.isin(0, 1), "value").when(t == 2, "escape(value)").when(t == 3, "other").otherwise("1")
+    head = F.array(F.concat(F.lit("import { keep"), q, F.lit(" } from './p"), q, F.lit("'")), F.concat(F.lit("// "), "p_name", F.lit(" {{ not code")), F.concat(F.lit("export class Part"), k, F.lit(" {")))
+    tail = F.array(
+        F.lit("}"),
+        F.concat(F.lit("export function keep"), k, F.lit("(value, other) {")),
+        F.concat(F.lit("  const held = "), held),
+        F.lit("  return held"),
+        F.lit("}"),
+        F.concat(F.lit("function run"), k, F.lit("(req) {")),
+        F.lit("  const id = req.query.id"),
+        F.concat(F.lit("  const moved = keep"), q, F.lit("(id, 1)")),
+        F.lit("  const use = () => {"),
+        F.lit("    db.query(moved)"),
+        F.lit("  }"),
+        F.lit("  return use"),
+        F.lit("}"),
+    )
+    return part.select(F.concat(F.lit("src/p"), k, F.lit(".ts")).alias("path"), F.array_join(F.concat(head, F.coalesce(methods, none), tail), "\n").alias("content"))
+
+
+@query(f"WITH {_PARTS} SELECT path, (10 + 3 * n + CASE WHEN t = 2 THEN 1 ELSE 0 END)::BIGINT AS pairs, 3 AS deepest FROM parts")
+def code_brackets(spark, sf):
+    pairs = lexer.brackets(lexer.tokens(code_files(spark, sf)))
+    return pairs.where("end is not null").groupBy("path").agg(F.count("*").alias("pairs"), F.max("level").alias("deepest"))
+
+
+_FUNCTIONS = f"""{_PARTS}, functions AS (
+  SELECT path, 'm' || m AS name, 1 + 3 * m AS start_line, 3 + 3 * m AS end_line, NULL AS inside, 'Part' || k AS parent FROM (SELECT *, unnest(range(1, n + 1)) AS m FROM parts)
+  UNION ALL SELECT path, 'keep' || k, 5 + 3 * n, 8 + 3 * n, NULL, NULL FROM parts
+  UNION ALL SELECT path, 'run' || k, 9 + 3 * n, 16 + 3 * n, NULL, NULL FROM parts
+  UNION ALL SELECT path, 'use', 12 + 3 * n, 14 + 3 * n, 'run' || k, 'run' || k FROM parts)"""
+
+
+@query(f"WITH {_FUNCTIONS} SELECT path, name, start_line::INT AS start_line, end_line::INT AS end_line, inside FROM functions")
+def code_functions(spark, sf):
+    found = lexer.functions(lexer.tokens(code_files(spark, sf)))
+    outer = found.select("path", F.col("start").alias("inside"), F.col("name").alias("holder"))
+    return found.join(outer, ["path", "inside"], "left").select("path", "name", "start_line", "end_line", F.col("holder").alias("inside"))
+
+
+@query(f"WITH {_FUNCTIONS} SELECT path, 'function' AS kind, name, start_line::INT AS start_line, end_line::INT AS end_line, parent, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth FROM functions UNION ALL SELECT path, 'class', 'Part' || k, 3, (4 + 3 * n)::INT, NULL, 0 FROM parts")
+def code_symbols(spark, sf):
+    return symbols.nested_symbols(code_files(spark, sf))
+
+
+@query(f"WITH {_PARTS} SELECT a.path, (13 + 3 * a.n)::INT AS line_no, 'sql' AS kind, a.path AS source_path, (10 + 3 * a.n)::INT AS source_line FROM parts a JOIN parts b ON b.k = a.q WHERE b.t IN (0, 1)")
+def code_taint(spark, sf):
+    return flows.taint_paths(spark, code_files(spark, sf))
+
+
+def typescript(spark: SparkSession, sf: str) -> DataFrame:
+    return code_files(spark, sf).withColumn("language", F.lit("typescript"))
+
+
+@query(f"WITH {_PARTS} SELECT path, 'keep' || k AS name, 'function' AS kind, false AS is_default FROM parts UNION ALL SELECT path, 'Part' || k, 'class', false FROM parts")
+def exports_table(spark, sf):
+    return structure.exports(typescript(spark, sf)).select("path", "name", "kind", "is_default")
+
+
+@query(f"WITH {_PARTS} SELECT path, './p' || q AS source, false AS external FROM parts")
+def import_sources(spark, sf):
+    return parse.imports(typescript(spark, sf))
+
+
+@query(f"WITH {_PARTS} SELECT path AS src, 'src/p' || q || '.ts' AS dst FROM parts WHERE k <> q")
+def import_edges(spark, sf):
+    files = typescript(spark, sf)
+    return parse.resolve(parse.imports(files), files)
+
+
+@query(f"WITH {_PARTS} SELECT 'src/p' || q || '.ts' AS node, count(*) AS importers FROM parts WHERE k <> q GROUP BY q HAVING count(*) > 1")
+def imported_often(spark, sf):
+    files = typescript(spark, sf)
+    return graph.degrees(parse.resolve(parse.imports(files), files)).where("in_deg > 1").select("node", F.col("in_deg").alias("importers"))
+
+
+# Graphs of orders -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def order_part_connectors(spark, sf):
+    """Orders and parts whose removal would split the graph of who ordered what. The answer by brute force is in the tests."""
+    items = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return graph.connectors(spark, items)
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN supplier x ON x.s_suppkey = a.l_suppkey JOIN supplier y ON y.s_suppkey = b.l_suppkey WHERE x.s_nationkey = y.s_nationkey AND a.l_suppkey <> b.l_suppkey AND a.l_quantity < b.l_quantity AND a.l_extendedprice > b.l_extendedprice),"
+    " r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT x.src AS node, max(x.dst) AS component FROM r x JOIN r y ON y.src = x.dst AND y.dst = x.src GROUP BY x.src HAVING count(*) > 1"
+)
+def supplier_cycles(spark, sf):
+    """Suppliers of a nation that follow each other in orders, by more for less, round in circles."""
+    i = table(spark, sf, "lineitem").join(table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("l_orderkey", "l_linenumber", "l_suppkey", "s_nationkey", "l_quantity", "l_extendedprice")
+    after = i.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"), "s_nationkey", F.col("l_quantity").alias("more"), F.col("l_extendedprice").alias("less"))
+    pairs = i.join(after, ["l_orderkey", "l_linenumber", "s_nationkey"]).where("l_quantity < more and l_extendedprice > less")
+    return graph.strong_components(spark, pairs.select(F.col("l_suppkey").alias("src"), "dst"))
+
+
+@query(
+    "SELECT 'p' || l_partkey AS node, 1::BIGINT AS depth FROM lineitem GROUP BY l_partkey UNION ALL SELECT 's' || l_suppkey, 2 FROM lineitem GROUP BY l_suppkey UNION ALL SELECT DISTINCT 'n' || s_nationkey, 3 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey UNION ALL SELECT DISTINCT 'r' || n_regionkey, 4 FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey"
+)
+def depths_from_orders(spark, sf):
+    """How far parts, suppliers, nations and regions are from all orders at once."""
+    i, s, n = table(spark, sf, "lineitem"), table(spark, sf, "supplier"), table(spark, sf, "nation")
+    edge = lambda d, a, x, b, y: d.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
+    edges = edge(i, "o", "l_orderkey", "p", "l_partkey").unionByName(edge(i, "p", "l_partkey", "s", "l_suppkey")).unionByName(edge(s, "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(n, "n", "n_nationkey", "r", "n_regionkey"))
+    return graph.depths(spark, edges, i.select(F.concat(F.lit("o"), "l_orderkey").alias("node")))
