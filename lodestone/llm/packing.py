@@ -188,7 +188,7 @@ PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, siz
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
+def cut_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN, keep: str = "words") -> DataFrame:
     """PIECES of all documents: whole windows (size 0) and one rest each, of `size` grains, the `nth` of its task with that size. ids are
     unsigned 16-bit, with the end id."""
     ship(spark)
@@ -212,7 +212,7 @@ def cut_pieces(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id
             kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
 
-    return with_text(docs).mapInArrow(lean(encode, "words"), PIECES)
+    return with_text(docs).mapInArrow(lean(encode, keep), PIECES)
 
 
 def numbered(rests: DataFrame) -> DataFrame:
@@ -234,15 +234,16 @@ def _packed(pieces: list[tuple[int, int, int]], doc_ids: list, raws: list[bytes]
         offset += n
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN, scratch: Scratch | None = None) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = WINDOW, grain: int = GRAIN, scratch: Scratch | None = None, keep: str = "words") -> DataFrame:
     """Pack all documents: one row per piece.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null or empty texts are one piece with the
     end id; rows that repeat a doc_id, or have none (null), are packed each with the doc_id they have; further columns are ignored; an empty table
-    gives no rows. Token ids are written once to the shared folder; pieces shorter than a window are shuffled once.
+    gives no rows. Token ids are written once to the shared folder; pieces shorter than a window are shuffled once. Workers keep what they know of words
+    from task to task, unless `keep` is empty: then they hold less between the steps of a longer job.
     """
     scratch = scratch or Scratch(spark, "packing")
-    pieces = scratch.write(cut_pieces(spark, docs, tokenizer_path, end_id, window, grain), "pieces")
+    pieces = scratch.write(cut_pieces(spark, docs, tokenizer_path, end_id, window, grain, keep), "pieces")
     rests = pieces.where("size > 0")
     counted = rests.groupBy("size").agg(F.count("*").alias("n"), F.sum("length").alias("tokens")).collect()  # window / grain rows
     histogram = np.zeros(window // grain)

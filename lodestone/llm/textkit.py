@@ -42,6 +42,9 @@ def lean(run, keep: str = ""):
             _powers.clear()
             if keep in spare:
                 spare[keep]()
+            elif not keep:
+                for clear in held.values():
+                    clear()
             gc.enable()
             gc.collect()
             pa.default_memory_pool().release_unused()

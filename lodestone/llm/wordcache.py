@@ -98,10 +98,7 @@ _made: dict[str, WordIds] = {}
 
 
 def _forget() -> None:
-    for made in _made.values():
-        made.cache.clear()
-        made.cache.old = {}
-        made.runs.clear()
+    _made.clear()
 
 
 def _forget_old() -> None:
