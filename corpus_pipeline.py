@@ -84,7 +84,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Null and empty texts are a piece with the end id alone; long texts are cut; repeated rows are packed each; a null doc_id
     is kept; further columns don't matter; an empty table gives no rows.
     """
-    return packing.pack(spark, docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(spark, docs, public_tokenizers.path(TOKENIZER), keep="")
 
 
 STAGES = [
