@@ -6,13 +6,17 @@ finds in the rendered text is worked out in SQL from the tables' columns or by p
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import flows, graph, lexer, literal_index, parse, structure, symbols
 from lodestone.plans.catalogue import GROUPS, LINE_RULES, ROWS
 from lodestone.plans.queries import query
-from lodestone.sources.tables import table
+from lodestone.plans.rules import RULES
+from lodestone.sources.tables import shared_folder, table
+from lodestone.streaming import rescan
 
 # Documents as files ---------------------------------------------------------------------------------------------------
 
@@ -209,3 +213,24 @@ def depths_from_orders(spark, sf):
     edge = lambda d, a, x, b, y: d.select(F.concat(F.lit(a), x).alias("src"), F.concat(F.lit(b), y).alias("dst"))
     edges = edge(i, "o", "l_orderkey", "p", "l_partkey").unionByName(edge(i, "p", "l_partkey", "s", "l_suppkey")).unionByName(edge(s, "s", "s_suppkey", "n", "s_nationkey")).unionByName(edge(n, "n", "n_nationkey", "r", "n_regionkey"))
     return graph.depths(spark, edges, i.select(F.concat(F.lit("o"), "l_orderkey").alias("node")))
+
+
+# Changes that a stream follows ----------------------------------------------------------------------------------------
+
+_TEXT_RULES = " UNION ALL ".join(f"SELECT path, line_no, {_sql(r.id)} AS rule_id FROM lines WHERE regexp_matches(text, {_sql(r.pattern)})" + (f" AND NOT regexp_matches(text, {_sql(r.exclude)})" if r.exclude else "") for r in RULES)
+
+
+@query(
+    "WITH final AS (SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 5 = 0 THEN replace(text, '@', ' at ') || chr(10) || 'token = \"' || source || '\"' ELSE text END AS content FROM documents WHERE doc_id % 7 <> 0),"
+    f" lines AS (SELECT path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM final) {_TEXT_RULES}"
+)
+def rescan_followed(spark, sf):
+    """Documents as files of which some change and some go: a stream of the versions, with findings as state, run to its end."""
+    # As a pattern, since a stream takes a path without one for a folder.
+    docs = spark.readStream.schema(table(spark, sf, "documents").schema).parquet(f"{sf}/documents.parque[t]")
+    version = lambda n, content, when: F.when(when, F.struct(F.lit(n).cast("long").alias("version"), content.alias("content")))
+    changed = F.concat(F.replace("text", F.lit("@"), F.lit(" at ")), F.lit('\ntoken = "'), "source", F.lit('"'))
+    versions = F.array_compact(F.array(version(1, F.col("text"), F.lit(True)), version(2, changed, F.col("doc_id") % 5 == 0), version(3, F.lit(None).cast("string"), F.col("doc_id") % 7 == 0)))
+    changes = docs.select(F.col("doc_id").cast("string").alias("path"), F.explode(versions).alias("v")).select("path", "v.version", "v.content")
+    folder = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/rescan-{uuid.uuid4().hex}"
+    return rescan.net(rescan.run_to_end(spark, rescan.follow(changes, RULES), folder))

@@ -1,5 +1,5 @@
-"""Queries over a small fixed repository, for operators that need source files: each with the same in SQL, or with rows that were
-worked out by hand where SQL can't express it (patterns with state, JSON with nested arrays)."""
+"""Cases over a small fixed repository, for operators that need source files: each with the same in SQL, or with rows that were
+worked out by hand where SQL can't express it (patterns with state, JSON with nested arrays). Fixtures of tests, not queries."""
 
 from __future__ import annotations
 
@@ -10,9 +10,22 @@ from lodestone.functions import text as fn
 from lodestone.functions.text import line_count
 from lodestone.operators import compare, context, fixes, full_scan, graph, history, parse, report, scan, search, structure, supply, tools
 from lodestone.plans.catalogue import COMPOSITES, EXAMPLES, LINE_RULES, SYNTAX_EXAMPLES, SYNTAX_RULES
-from lodestone.plans.queries import SQL, query
 from lodestone.sources import dumps, repo
 
+QUERIES: dict = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
 APP = """import React, { useState } from 'react'
 import { api as client, Options } from './lib/api'
 import Button from '@/components/Button'
@@ -165,8 +178,8 @@ def edges(spark: SparkSession) -> DataFrame:
 
 
 def known(f):
-    """A query whose rows were worked out by hand (plans/expected.py)."""
-    from lodestone.plans.expected import ROWS
+    """A query whose rows were worked out by hand (small_answers.py)."""
+    from small_answers import ROWS
 
     return query(rows_are(*ROWS[f.__name__]) if f.__name__ in ROWS else None)(f)
 

@@ -5,9 +5,9 @@ import os
 
 import duckdb
 import pytest
+import small_repository
 from lodestone.plans import code  # noqa: F401 - adds its queries
 from lodestone.plans import queries as plans
-from lodestone.plans import repository  # noqa: F401 - adds its queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,15 @@ def rows(frame):
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_same_as_sql(spark, con, name):
-    got, want = plans.QUERIES[name](spark, SF).toPandas(), con.sql(plans.SQL[name]).df()
+    compare(plans.QUERIES[name](spark, SF).toPandas(), con.sql(plans.SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", sorted(small_repository.SQL))
+def test_small_repository(spark, con, name):
+    compare(small_repository.QUERIES[name](spark, SF).toPandas(), con.sql(small_repository.SQL[name]).df())
+
+
+def compare(got, want):
     assert sorted(got.columns) == sorted(want.columns)
     for c in got.columns:
         if str(want[c].dtype).startswith("datetime") or str(got[c].dtype).startswith("datetime"):
