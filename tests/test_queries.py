@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 import small_repository
-from lodestone.plans import code  # noqa: F401 - adds its queries
+from lodestone.plans import code, hosting  # noqa: F401 - add their queries
 from lodestone.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
