@@ -90,7 +90,7 @@ def _per_doc(rows: DataFrame) -> DataFrame:
 def frequent_lines(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """host, line (hash): normalised lines above the limits."""
     rows = _rows(docs)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("host_docs"))
+    hosts = rows.select(*KEYS).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))  # equal rows are one document, as in n_docs
     seen = _per_doc(rows).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > line_docs)
     return seen.join(hosts, "host").where(F.col("n_docs") > F.lit(line_share) * F.col("host_docs")).select("host", "line")
 
@@ -121,8 +121,8 @@ def line_rules(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float =
     """One row per row of `docs` (doc_id, source, text): n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, n_frequent_words, n_frequent_lines.
 
-    Null texts have no words and fail the base rules; a null source is a host of its own; rows that repeat a doc_id count
-    as one document of a line, and have the frequent words of their own text each; lines without a
+    Null texts have no words and fail the base rules; a null source is a host of its own; equal rows (doc_id, source, text) are
+    one document of their host and of its lines; rows that repeat a doc_id with another text are documents of their own, and all rows have the frequent words of their own text each; lines without a
     word are never counted; an empty table gives no rows; further columns are ignored.
     """
     out = judged(docs, frequent_lines(docs, line_docs, line_share), left_share)

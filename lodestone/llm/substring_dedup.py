@@ -46,10 +46,10 @@ def hashed_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marks(words: np.ndarray, woffs: np.ndarray) -> np.ndarray:
-    """32-bit keys of texts, which tell rows that repeat a doc_id apart."""
+    """64-bit keys of texts, which tell rows that repeat a doc_id, or have none, apart."""
     total = np.concatenate(([U(0)], np.cumsum(words * _power("up", len(words)), dtype=U)))
     own = (total[woffs[1:]] - total[woffs[:-1]]) * _power("down", len(words) + 1)[woffs[:-1]]
-    return (mix(own) >> U(33)).astype(np.int32)
+    return mix(own).view(np.int64)
 
 
 def runs_of(docs: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def runs_of(docs: DataFrame) -> DataFrame:
                     ["doc_id", "mark", "anchor", "content", "start", "n", "weight"],
                 )
 
-    return docs.mapInArrow(lean(run), "doc_id long, mark int, anchor long, content long, start int, n short, weight int")
+    return docs.mapInArrow(lean(run), "doc_id long, mark long, anchor long, content long, start int, n short, weight int")
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def marked(docs: DataFrame) -> DataFrame:
                 sha = [hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest() for t in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks(words, woffs)), pa.array(np.diff(woffs)), pa.array(sha)], ["doc_id", "mark", "n_words", "kept_sha256"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, mark int, n_words long, kept_sha256 string")
+    return docs.mapInArrow(lean(run), "doc_id long, mark long, n_words long, kept_sha256 string")
 
 
 def with_mark(docs: DataFrame) -> DataFrame:
@@ -107,7 +107,7 @@ def with_mark(docs: DataFrame) -> DataFrame:
             for b in blocks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks(*hashed_words(b.column(1)))), b.column(1)], ["doc_id", "mark", "text"])
 
-    return docs.mapInArrow(lean(run), "doc_id long, mark int, text string")
+    return docs.mapInArrow(lean(run), "doc_id long, mark long, text string")
 
 
 def known(rows: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def drop_spans(spark: SparkSession, docs: DataFrame, spans: DataFrame) -> DataFr
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     rows = docs.withColumn("_known", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    touched = rows.join(ids, "_known", "left_semi").select(*docs.columns).mapInArrow(lean(mark), f"{schema}, mark int")
+    touched = rows.join(ids, "_known", "left_semi").select(*docs.columns).mapInArrow(lean(mark), f"{schema}, mark long")
     touched = touched.withColumn("_known", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).join(spans, ["_known", "mark"], "left")
     out = rows.join(ids, "_known", "left_anti").select(*docs.columns).unionByName(touched.select(*docs.columns, "spans").mapInArrow(lean(cut), schema))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
@@ -281,7 +281,7 @@ def without_spans(found: DataFrame) -> DataFrame:
                 removed.append(n)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("mark"), pa.array(kept, pa.string()), pa.array(removed, pa.int64())], ["doc_id", "mark", "kept", "n_removed"])
 
-    return found.select("doc_id", "mark", "text", "spans").mapInArrow(lean(run), "doc_id long, mark int, kept string, n_removed long")
+    return found.select("doc_id", "mark", "text", "spans").mapInArrow(lean(run), "doc_id long, mark long, kept string, n_removed long")
 
 
 def dedup_texts(spark: SparkSession, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -112,7 +112,8 @@ def fit(rows: np.ndarray, cols: np.ndarray, scale: np.ndarray, y: np.ndarray, l2
 def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1; a doc_id with several rows is toxic if one says so).
 
-    The sample is taken from the labels of documents with a text, so it can be broadcast and texts aren't shuffled. Without
+    The sample is taken from the labels of documents with a text, so it can be broadcast, and only the sample's texts are shuffled; of a
+    doc_id with several texts the first in order is learned from, so rows are bounded too. Without
     rows of both labels the model is the share of toxic rows; null texts and null labels aren't learned from.
     """
     ship(spark)
@@ -122,7 +123,7 @@ def learn(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int =
     chosen = marks.join(sizes, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # `sample` rows at most
     so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     chosen = chosen.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_CHARS).select("doc_id", "toxic")
-    some = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("text").cast("string").alias("text"), "toxic")
+    some = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.col("text").cast("string")).alias("text")).select("doc_id", "text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, FEATURES), np.int32)
@@ -195,6 +196,6 @@ def score(spark: SparkSession, docs: DataFrame, model: dict) -> DataFrame:
 
 
 def toxicity_query(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
     model = learn(spark, docs, labels.where(~held_out))
     return score(spark, docs, model).select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -492,3 +492,31 @@ def test_deep_nesting(spark):
     df = spark.createDataFrame([(k, f"http://deep/{k}", f"{deep}<p>{'same' if k < 9 else k}</p><p>own {k}</p>") for k in range(12)], "page_id long, url string, html string")
     texts = {r.page_id: r.text for r in site_style.extract(spark, df).collect()}
     assert all(f"own {k}" in texts[k] for k in range(12))
+
+
+def test_many_rows_without_an_id_keep_their_own_words(spark):
+    """70,000 documents without an id: with keys of 31 bits some would take each other's spans."""
+    from pyspark.sql import functions as F
+
+    passage = " ".join(f"p{k}" for k in range(35))
+    rows = spark.range(70_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("own"), F.col("id").cast("string")), F.when(F.col("id") % 1000 == 0, F.lit(passage)).otherwise(F.lit("short text"))).alias("text"))
+    got = substring_dedup.dedup_digest(spark, rows).groupBy("n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(3, 0, 69_930), (36, 35, 70)]
+
+
+def test_equal_rows_are_one_document_of_their_host(spark):
+    line = "the same line of words everywhere on this host"
+    letters = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    body = lambda k: " ".join(f"w{letters(k)}x{letters(j)}" for j in range(80))
+    rows = [(k, f"{body(k)}\n{line}" if k < 25 else body(k), "h") for k in range(100)]
+    schema = "doc_id long, text string, source string"
+    frequent = lambda r: line_rules.frequent_lines(spark.createDataFrame(r, schema)).count()
+    assert frequent(rows) == 1
+    assert frequent(rows + [rows[-1]] * 5000) == 1
+
+
+def test_a_repeated_document_is_learned_from_once(spark):
+    rows = [(1, "bad words here"), (1, "bad words here"), (2, "good day"), (None, "good day")] * 50
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity_query(spark, docs, labels)
+    assert got.count() == 200 and got.where("held_out is null or score is null").count() == 0
