@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import node_id, normalize_path, repository, short_path, strip_version, top_folder
-from lodestone.operators import compare, history, parse, supply, tools
-from lodestone.plans.code import _FILES, _sql, document_files
+from lodestone.functions.text import glob_filter, node_id, normalize_path, register, repository, short_path, strip_version, top_folder
+from lodestone.operators import compare, graph, history, parse, search, structure, supply, tools
+from lodestone.plans.code import _FILES, _PARTS, _sql, code_files, document_files, typescript
 from lodestone.plans.queries import query
 from lodestone.sources import dumps, repo
 from lodestone.sources.tables import table
@@ -251,3 +251,121 @@ def relative_times(spark, sf):
     o = table(spark, sf, "orders")
     now = F.to_date(F.lit(o.agg(F.max("o_orderdate")).first()[0]))
     return o.select(history.since(F.to_date("o_orderdate"), now).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+# Tables as they are --------------------------------------------------------------------------------------------------
+
+
+@query("SELECT 'demo' AS repo, lang AS language, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, min(doc_id) LIMIT 1")
+def primary_language_documents(spark, sf):
+    return structure.primary_language(table(spark, sf, "documents").select(F.lit("demo").alias("repo"), F.col("lang").alias("language"), F.col("doc_id").alias("ordinal")), ["repo"])
+
+
+@query("SELECT lang AS repo, count(*) AS n FROM documents GROUP BY lang")
+def unit_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy(F.col("lang").alias("repo")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'c' || n_regionkey AS component, 'r' || n_regionkey AS node FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
+def connectors_of_regions(spark, sf):
+    n = table(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
+    return graph.connectors(spark, n).select(F.regexp_replace("node", "r", "c").alias("component"), "node")
+
+
+@query("SELECT 'c' || n_regionkey AS component, count(*) AS size, string_agg('n' || n_nationkey, ',' ORDER BY 'n' || n_nationkey) AS nodes FROM nation GROUP BY n_regionkey HAVING count(*) >= 2")
+def graph_clusters(spark, sf):
+    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("c"), "n_regionkey").alias("component"))
+    return graph.clusters(n).withColumn("nodes", F.array_join("nodes", ","))
+
+
+@query("WITH c AS (SELECT o_custkey::VARCHAR AS author, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, author LIMIT 15) SELECT * FROM t UNION ALL SELECT '+' || count(*) || ' more', sum(n)::BIGINT FROM c WHERE author NOT IN (SELECT author FROM t)")
+def commits_by_author(spark, sf):
+    return history.by_author(table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("author")))
+
+
+@query("SELECT p_type, s_nationkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_type, s_nationkey")
+def join_dim_star(spark, sf):
+    li, p, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("p_type", "s_nationkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@query("WITH d AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n FROM d WHERE n >= (SELECT avg(n) FROM d)")
+def sql_facade(spark, sf):
+    table(spark, sf, "documents").createOrReplaceTempView("lodestone_documents")
+    return spark.sql("WITH d AS (SELECT source, count(*) AS n FROM lodestone_documents GROUP BY source) SELECT source, n FROM d WHERE n >= (SELECT avg(n) FROM d)")
+
+
+@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines FROM documents")
+def sql_registered_functions(spark, sf):
+    register(spark)
+    table(spark, sf, "documents").createOrReplaceTempView("lodestone_documents")
+    return spark.sql("SELECT doc_id, lodestone_line_count(text) AS lines FROM lodestone_documents")
+
+
+# Code ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {_PARTS} SELECT path, 'Part' || k AS name, NULL::VARCHAR AS base FROM parts")
+def classes_table(spark, sf):
+    return structure.classes(typescript(spark, sf)).select("path", "name", "base")
+
+
+@query(f"WITH {_PARTS} SELECT path, './p' || q AS source, 'keep' || q AS names FROM parts")
+def import_specifiers(spark, sf):
+    return structure.specifiers(typescript(spark, sf)).select("path", "source", F.array_join("names", ",").alias("names"))
+
+
+@query(f"WITH {_PARTS} SELECT path FROM parts WHERE contains(path, '7')")
+def path_matches(spark, sf):
+    return tools.path_matches(code_files(spark, sf), "7").select("path")
+
+
+@query(f"WITH {_PARTS}, m AS (SELECT q FROM parts WHERE k <> q GROUP BY q ORDER BY count(*) DESC, 'src/p' || q || '.ts' LIMIT 1) SELECT path FROM parts WHERE q = (SELECT q FROM m) AND k <> q ORDER BY path LIMIT 30")
+def importers_of(spark, sf):
+    """The first importers of the file that is imported most."""
+    files = typescript(spark, sf)
+    edges = parse.resolve(parse.imports(files), files)
+    target = edges.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()
+    return tools.importers_of(edges, target["dst"])
+
+
+@query(f"WITH {_FILES} SELECT DISTINCT split_part(path, '/', 2) AS name, 'blob' AS type FROM files WHERE split_part(path, '/', 1) = 'src1'")
+def folder_listing(spark, sf):
+    return tools.listing(document_files(spark, sf).select("path", F.lit("blob").alias("type")), "src1")
+
+
+@query(f"WITH {_FILES} SELECT path, 'blob' AS type, split_part(path, '/', 1) AS parent, 2 AS depth FROM files")
+def tree_order(spark, sf):
+    return repo.hierarchy(document_files(spark, sf).select("path", F.lit("blob").alias("type")))
+
+
+@query(f"WITH {_FILES} SELECT path FROM files WHERE path LIKE '%.py' OR path LIKE 'src1/%' OR contains(path, '99')")
+def glob_filtered(spark, sf):
+    return document_files(spark, sf).where(glob_filter(F.col("path"), "*.py, src1/*, 99")).select("path")
+
+
+@query("SELECT doc_id AS path, CASE WHEN doc_id % 6 = 0 THEN 'new ' || lang ELSE text END AS content FROM documents WHERE doc_id % 6 <> 1 UNION ALL SELECT -1 - doc_id, 'added' FROM documents WHERE doc_id % 50 = 0")
+def index_upserted(spark, sf):
+    d = table(spark, sf, "documents")
+    base = d.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    changes = d.where("doc_id % 6 < 2").select(F.col("doc_id").alias("path"), F.concat(F.lit("new "), "lang").alias("content"), (F.col("doc_id") % 6 == 1).alias("removed"))
+    added = d.where("doc_id % 50 = 0").select((-1 - F.col("doc_id")).alias("path"), F.lit("added").alias("content"), F.lit(False).alias("removed"))
+    return search.upsert(base, changes.unionByName(added))
+
+
+@query("SELECT doc_id, replace(text, 'License', 'Licence') AS text FROM documents")
+def replaced_everywhere(spark, sf):
+    return search.replace_all(table(spark, sf, "documents").select("doc_id", "text"), "License", "Licence", content="text", case_sensitive=True)
+
+
+@query(f"WITH {_PARTS}, e AS (SELECT path AS src, 'src/p' || q || '.ts' AS dst FROM parts WHERE k <> q) SELECT a.src AS entry, a.dst AS child, CASE WHEN b.dst <> a.src THEN b.dst END AS grandchild FROM e a LEFT JOIN e b ON b.src = a.dst WHERE a.src LIKE 'src/p1%'")
+def entry_tree(spark, sf):
+    files = typescript(spark, sf)
+    return graph.entry_tree(parse.resolve(parse.imports(files), files), files.where("path like 'src/p1%'").select(F.col("path").alias("node")))
+
+
+@query(f"WITH RECURSIVE {_PARTS}, w AS (SELECT k AS start, k, q, 1 AS steps FROM parts WHERE k <> q UNION SELECT w.start, p.k, p.q, steps + 1 FROM w JOIN parts p ON p.k = w.q WHERE steps < 400 AND p.k <> w.start), c AS (SELECT DISTINCT start AS k FROM w WHERE q = start) SELECT path AS src, 'src/p' || q || '.ts' AS dst FROM parts WHERE k IN (SELECT k FROM c) OR (k = q AND false)")
+def cycle_edges(spark, sf):
+    """Imports that lie on circles of imports."""
+    files = typescript(spark, sf)
+    return graph.cycle_edges(spark, parse.resolve(parse.imports(files), files))

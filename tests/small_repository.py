@@ -283,13 +283,6 @@ def primary_language(spark, sf):
     return structure.primary_language(files(spark), [])
 
 
-@query("SELECT 'demo' AS repo, lang AS language, count(*) AS n FROM documents GROUP BY lang ORDER BY n DESC, min(doc_id) LIMIT 1")
-def primary_language_documents(spark, sf):
-    from lodestone.plans.queries import docs
-
-    return structure.primary_language(docs(spark, sf).select(F.lit("demo").alias("repo"), F.col("lang").alias("language"), F.col("doc_id").alias("ordinal")), ["repo"])
-
-
 _SCANNED = values("langs", "language string, ext string", [(k, e) for k, v in structure.SCANNED_LANGUAGES.items() for e in v.split()])
 
 
@@ -905,13 +898,6 @@ def folders_adaptive(spark, sf):
     return report.folders(files(spark).withColumn("line_count", line_count(F.col("content"))))
 
 
-@query("SELECT lang AS repo, count(*) AS n FROM documents GROUP BY lang")
-def unit_counts(spark, sf):
-    from lodestone.plans.queries import docs
-
-    return docs(spark, sf).groupBy(F.col("lang").alias("repo")).agg(F.count("*").alias("n"))
-
-
 # Graphs --------------------------------------------------------------------------------------------------------------
 
 LOOPS = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("e", "f"), ("f", "g"), ("h", "h"), ("x", "a")]
@@ -943,27 +929,11 @@ def connectors(spark, sf):
     return graph.connectors(spark, loops(spark)).select(F.lit("all").alias("component"), "node")
 
 
-@query("SELECT 'c' || n_regionkey AS component, 'r' || n_regionkey AS node FROM nation GROUP BY n_regionkey HAVING count(*) > 1")
-def connectors_of_regions(spark, sf):
-    from lodestone.sources.tables import table
-
-    n = table(spark, sf, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst"))
-    return graph.connectors(spark, n).select(F.regexp_replace("node", "r", "c").alias("component"), "node")
-
-
 @query(f"WITH {values('e', 'src string, dst string', LOOPS)} SELECT x.src AS entry, x.dst AS child, y.dst AS grandchild FROM e x LEFT JOIN e y ON y.src = x.dst AND y.src <> y.dst WHERE x.src = 'x'")
 def entry_tree(spark, sf):
     return graph.entry_tree(loops(spark), one(spark, "node string", ("x",)))
 
 
-@query("SELECT 'c' || n_regionkey AS component, count(*) AS size, string_agg('n' || n_nationkey, ',' ORDER BY 'n' || n_nationkey) AS nodes FROM nation GROUP BY n_regionkey HAVING count(*) >= 2")
-def graph_clusters(spark, sf):
-    from lodestone.sources.tables import table
-
-    n = table(spark, sf, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("node"), F.concat(F.lit("c"), "n_regionkey").alias("component"))
-    return graph.clusters(n).withColumn("nodes", F.array_join("nodes", ","))
-
-
 @known
 def graph_common_stats(spark, sf):
     return graph.common_stats(files(spark), edges(spark))
@@ -1013,13 +983,6 @@ def weighted_similarity(spark, sf):
     return p.select("a", F.round(total, 6).alias("score"), compare.label(F.round(total, 6)).alias("label"), (F.col("files") < 10).alias("low_confidence"))
 
 
-@query("WITH c AS (SELECT o_custkey::VARCHAR AS author, count(*) AS n FROM orders GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, author LIMIT 15) SELECT * FROM t UNION ALL SELECT '+' || count(*) || ' more', sum(n)::BIGINT FROM c WHERE author NOT IN (SELECT author FROM t)")
-def commits_by_author(spark, sf):
-    from lodestone.sources.tables import table
-
-    return history.by_author(table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("author")))
-
-
 @known
 def author_estimates(spark, sf):
     c = one(spark, "author string, ts string", ("a", "2024-01-01 10:00:00"), ("a", "2024-01-01 11:59:00"), ("a", "2024-01-01 13:59:00"), ("a", "2024-01-02 09:00:00"), ("b", "2024-01-07 08:00:00"), ("b", "2024-01-09 08:00:00"))
@@ -1077,28 +1040,3 @@ def repository_urls(spark, sf):
 @known
 def version_prefixes(spark, sf):
     return one(spark, "v string", ("^1.2.3",), ("~2.0",), (">=3",), ("=4",), ("5.0",)).select("v", fn.strip_version(F.col("v")).alias("bare"))
-
-
-@query("SELECT doc_id, len(string_split(text, chr(10)))::INT AS lines FROM documents")
-def sql_registered_functions(spark, sf):
-    from lodestone.plans.queries import docs
-
-    fn.register(spark)
-    docs(spark, sf).createOrReplaceTempView("lodestone_documents")
-    return spark.sql("SELECT doc_id, lodestone_line_count(text) AS lines FROM lodestone_documents")
-
-
-@query("SELECT p_type, s_nationkey, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY p_type, s_nationkey")
-def join_dim_star(spark, sf):
-    from lodestone.sources.tables import table
-
-    li, p, s = (table(spark, sf, t) for t in ("lineitem", "part", "supplier"))
-    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("p_type", "s_nationkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
-
-
-@query("WITH d AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT source, n FROM d WHERE n > (SELECT avg(n) FROM d)")
-def sql_facade(spark, sf):
-    from lodestone.plans.queries import docs
-
-    docs(spark, sf).createOrReplaceTempView("lodestone_documents")
-    return spark.sql("WITH d AS (SELECT source, count(*) AS n FROM lodestone_documents GROUP BY source) SELECT source, n FROM d WHERE n > (SELECT avg(n) FROM d)")
