@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import glob_filter, node_id, normalize_path, register, repository, short_path, strip_version, top_folder
-from lodestone.operators import compare, graph, history, parse, search, structure, supply, tools
+from lodestone.operators import compare, context, fixes, graph, history, parse, report, search, structure, supply, tools
 from lodestone.plans.code import _FILES, _PARTS, _sql, code_files, document_files, typescript
 from lodestone.plans.queries import query
 from lodestone.sources import dumps, repo
@@ -369,3 +369,113 @@ def cycle_edges(spark, sf):
     """Imports that lie on circles of imports."""
     files = typescript(spark, sf)
     return graph.cycle_edges(spark, parse.resolve(parse.imports(files), files))
+
+
+@query(f"WITH {_PARTS}, e AS (SELECT path AS src, 'src/p' || q || '.ts' AS dst FROM parts WHERE k <> q) SELECT (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM parts) AS files, floor((SELECT count(*) FROM e) / (SELECT count(*) FROM parts) * 10 + 0.5) / 10 AS avg_deps, (SELECT dst FROM e GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1) AS most_imported, (SELECT src FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1) AS most_dependent")
+def graph_common_stats(spark, sf):
+    files = typescript(spark, sf)
+    return graph.common_stats(files, parse.resolve(parse.imports(files), files))
+
+
+@query("SELECT source AS folder, count(*) AS files, list_extract(['entry', 'hub', 'connector', 'regular', 'leaf', 'orphan'], 1 + min(doc_id % 6)::INT) AS role FROM documents GROUP BY source")
+def folder_roles(spark, sf):
+    d = table(spark, sf, "documents")
+    return graph.folder_roles(d.select(F.concat("source", F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), F.get(F.array(*map(F.lit, graph.ROLE_ORDER)), (F.col("doc_id") % 6).cast("int")).alias("role")))
+
+
+@query("SELECT s_suppkey AS project, n || ' circular dependency pair' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' detected' AS note FROM (SELECT s_suppkey, s_suppkey % 4 AS n FROM supplier) WHERE n > 0 UNION ALL SELECT s_suppkey, s_suppkey % 13 || ' orphan files may be dead code' FROM supplier WHERE s_suppkey % 13 > 5 UNION ALL SELECT s_suppkey, 'deepest dependency chain is ' || s_nationkey || ' levels' FROM supplier WHERE s_nationkey > 8")
+def graph_health(spark, sf):
+    k, none = F.col("s_suppkey"), F.lit(0).cast("long")
+    return graph.health_issues(table(spark, sf, "supplier").select(k.alias("project"), F.lit(50).alias("files"), (k % 4).alias("cycles"), (k % 13).alias("orphans"), F.col("s_nationkey").alias("depth"), none.alias("split"), none.alias("coupled")))
+
+
+_REPORT = f"{_DEPS}, r AS (SELECT DISTINCT pkg, size || '.2.0' AS version, t = 2 AS is_dev, CASE t WHEN 0 THEN (size + 1) || '.0.0' WHEN 1 THEN size || '.3.0' ELSE size || '.2.0' END AS latest, CASE WHEN size % 5 = 0 THEN 2 ELSE 0 END::BIGINT AS cves, CASE t WHEN 0 THEN 'major' WHEN 1 THEN 'minor' END AS behind FROM v)"
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    deps = repo.manifest_deps(_manifests(spark, sf)).select("pkg", "version", "is_dev").distinct()
+    p, t, size = table(spark, sf, "part"), F.col("p_partkey") % 3, F.col("p_size")
+    pkg = text("pkg-", "p_partkey").alias("pkg")
+    latest = F.concat(F.when(t == 0, size + 1).otherwise(size).cast("string"), F.when(t == 0, ".0.0").when(t == 1, ".3.0").otherwise(".2.0"))
+    registry = p.select(pkg, latest.alias("latest"), size.alias("downloads"))
+    cves = p.where(size % 5 == 0).select(pkg, F.explode(F.array(F.lit("high"), F.lit("low"))).alias("severity"))
+    return supply.dependency_report(deps, registry, cves)
+
+
+@query(f"WITH {_REPORT} SELECT pkg, version, is_dev, latest, cves, behind FROM r")
+def dependency_report(spark, sf):
+    return _report(spark, sf).select("pkg", "version", "is_dev", "latest", "cves", "behind")
+
+
+@query(f"WITH {_REPORT} SELECT count(*) AS total, sum(cves)::BIGINT AS cves, count(*) FILTER (WHERE cves > 0) AS vulnerable, count(*) FILTER (WHERE behind = 'major') AS major, count(*) FILTER (WHERE behind = 'minor') AS minor, 0::BIGINT AS patch, count(behind) AS outdated FROM r")
+def dependency_summary(spark, sf):
+    return supply.dependency_summary(_report(spark, sf))
+
+
+@query("SELECT p_partkey, p_partkey % 4 < 3 AS boilerplate FROM part")
+def boilerplate_paths(spark, sf):
+    k = F.col("p_partkey") % 4
+    path = F.when(k == 0, text(".github/x", "p_partkey", ".yml")).when(k == 1, F.lit("pkg/LICENSE")).when(k == 2, text("tsconfig.", "p_partkey", ".json")).otherwise(text("src/a", "p_partkey", ".ts"))
+    return table(spark, sf, "part").select("p_partkey", compare.boilerplate(path).alias("boilerplate"))
+
+
+_SAID = "CASE o_orderstatus WHEN 'F' THEN 'true-positive' WHEN 'O' THEN 'false-positive' ELSE 'uncertain' END"
+
+
+def _answers(spark: SparkSession, sf: str) -> DataFrame:
+    s, k = F.col("o_orderstatus"), F.col("o_orderkey")
+    word = F.when(s == "F", "True-Positive").when(s == "O", "false-positive").otherwise("maybe")
+    body = answer(verdict=word, confidence=F.lit("high"), reasoning=text("order ", "o_orderkey"))
+    plain = F.when(s == "F", "This is a true positive.").when(s == "O", "I call it a false-positive").otherwise("no idea")
+    return table(spark, sf, "orders").select(k.alias("issue_id"), F.when(k % 3 == 0, F.concat(F.lit("Sure: "), body, F.lit(" done"))).when(k % 3 == 1, body).otherwise(plain).alias("response"))
+
+
+@query(f"SELECT o_orderkey AS issue_id, {_SAID} AS verdict, CASE WHEN o_orderkey % 3 < 2 THEN 'high' ELSE 'low' END AS confidence FROM orders")
+def ai_verdicts(spark, sf):
+    return fixes.verdicts(_answers(spark, sf)).select("issue_id", "verdict", "confidence")
+
+
+@query(f"SELECT {_SAID} AS verdict, count(*) AS n FROM orders GROUP BY 1")
+def verdict_counts(spark, sf):
+    return fixes.verdicts(_answers(spark, sf)).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'k = \"[REDACTED]\"' WHEN 1 THEN 'Authorization: Bearer [REDACTED] end' WHEN 2 THEN 'postgres://u:[REDACTED]@h/db' WHEN 3 THEN 'api_key=[REDACTED];' ELSE 'x = \"' || p_name || '\"' END AS text FROM part")
+def scrubbed_secrets(spark, sf):
+    k = F.col("p_partkey") % 5
+    raw = F.when(k == 0, text('k = "sk_live_abcd', "p_partkey", 'efgh12"')).when(k == 1, text("Authorization: Bearer abc.def-ghi_", "p_partkey", " end")).when(k == 2, text("postgres://u:long", "p_partkey", "password@h/db"))
+    raw = raw.when(k == 3, text("api_key = qwertyui", "p_partkey", ";")).otherwise(text('x = "', "p_name", '"'))
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), fixes.scrub(raw).alias("text"))
+
+
+@query(f"WITH {_PARTS} SELECT path, '    ' || lpad((12 + 3 * n)::VARCHAR, 4, ' ') || ' |   const use = () => {{' || chr(10) || '>>> ' || lpad((13 + 3 * n)::VARCHAR, 4, ' ') || ' |     db.query(moved)' || chr(10) || '    ' || lpad((14 + 3 * n)::VARCHAR, 4, ' ') || ' |   }}' AS excerpt FROM parts")
+def finding_excerpts(spark, sf):
+    files = code_files(spark, sf)
+    hits = search.search(files, "db.query", case_sensitive=True).select("path", "line_no")
+    return fixes.excerpt(hits, files, 1).select("path", "excerpt")
+
+
+@query(f"WITH {_PARTS} SELECT path, 2 AS line_no FROM parts")
+def comment_lines(spark, sf):
+    return context.lines_in_context(code_files(spark, sf)).where("is_comment").select("path", "line_no")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '/' || p_brand WHEN 1 THEN '/shop/:id' WHEN 2 THEN '/api/x' || p_partkey ELSE '/docs/:slug*' END AS route, CASE WHEN p_partkey % 4 = 2 THEN 'api' ELSE 'page' END AS kind FROM part")
+def file_routes(spark, sf):
+    k = F.col("p_partkey") % 4
+    inner = F.when(k == 0, text("(main)/", "p_brand", "/page.tsx")).when(k == 1, F.lit("shop/@side/[id]/page.jsx")).when(k == 2, text("api/x", "p_partkey", "/route.ts")).otherwise(F.lit("docs/[[...slug]]/page.tsx"))
+    paths = table(spark, sf, "part").select(F.concat(text("r", "p_partkey"), F.lit("/app/"), inner).alias("path"))
+    found = structure.file_routes(paths)
+    return found.select(F.regexp_extract("path", "^r([0-9]+)/", 1).cast("long").alias("p_partkey"), "route", "kind")
+
+
+@query("SELECT s_suppkey || '.js' AS path, upper(m.m) AS method, '/v' || s_suppkey || '/' || m.m AS route FROM supplier, (VALUES ('get'), ('post')) m(m)")
+def web_routes(spark, sf):
+    line = lambda m: text(f"router.{m}('/v", "s_suppkey", f"/{m}', (req, res) => res.end())")
+    return parse.routes(table(spark, sf, "supplier").select(text("s_suppkey", ".js").alias("path"), F.concat_ws("\n", line("get"), line("post"), line("get")).alias("content")))
+
+
+@query("WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL) SELECT p_brand, 'pie title Parts' || chr(10) || string_agg('  \"' || p_type || '\" : ' || n, chr(10) ORDER BY n DESC, '  \"' || p_type || '\" : ' || n) AS text FROM c GROUP BY p_brand")
+def diagram_pie(spark, sf):
+    counts = table(spark, sf, "part").groupBy("p_brand", F.col("p_type").alias("key")).agg(F.count("*").alias("n"))
+    return report.pie_chart(counts, ["p_brand"], "Parts")
