@@ -22,8 +22,6 @@ _powers: dict[str, np.ndarray] = {}
 
 #: What modules keep in a worker between tasks: name -> a function that lets go of it.
 held: dict[str, Callable[[], None]] = {"powers": _powers.clear}
-#: What they let go of when a task ends, though the next one may be theirs: idle workers count, too.
-spare: dict[str, Callable[[], None]] = {}
 
 
 def lean(run, keep: str = ""):
@@ -40,9 +38,7 @@ def lean(run, keep: str = ""):
             yield from run(batches)
         finally:
             _powers.clear()
-            if keep in spare:
-                spare[keep]()
-            elif not keep:
+            if not keep:
                 for clear in held.values():
                     clear()
             gc.enable()

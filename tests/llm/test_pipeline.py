@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 def test_queries_are_named_by_number():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5
 
 
