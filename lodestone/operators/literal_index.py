@@ -240,7 +240,10 @@ def files_with(index: DataFrame, literal: str) -> DataFrame:
 
 
 def search_indexed(files: DataFrame, index: DataFrame, literal: str, path: str = "path", content: str = "content", **options) -> DataFrame:
-    """What `search` finds for a literal, reading only the contents of files that the index names."""
+    """What `search` finds for a literal, reading only the contents of files that the index names. One shorter than a trigram is looked
+    for in all files, as the shortest files have no trigrams."""
+    if len(literal) < 3:
+        return search(files, literal, path, content, **options)
     named = files_with(index, literal).withColumnRenamed("path", "_named")
     kept = files.join(named, F.col(path).cast("string") == F.col("_named"), "left_semi")
     return search(kept, literal, path, content, **options)
