@@ -160,14 +160,39 @@ def typescript(spark: SparkSession, sf: str) -> DataFrame:
     return code_files(spark, sf).withColumn("language", F.lit("typescript"))
 
 
-@query(f"WITH {_PARTS} SELECT path, 'keep' || k AS name, 'function' AS kind, false AS is_default FROM parts UNION ALL SELECT path, 'Part' || k, 'class', false FROM parts")
+#: Each part also has a file in Python, Go, Rust or TSX, by p_partkey % 4: with packages and files of its own imported, classes with bases and interfaces, and things that are exported by default or not at all.
+_MORE = """more AS (SELECT p_partkey AS k, p_partkey % 4 AS t, 'more/p' || p_partkey || ['.py', '.go', '.rs', '.tsx'][1 + p_partkey % 4] AS path FROM part)"""
+_TEXTS = (
+    ("python", ".py", "import os\nfrom flask import Flask, g as G\nfrom .m@ import Base\n\nclass Part@(Base):\n    pass\n\ndef make@():\n    return 1\n\ndef _own():\n    return 2"),
+    ("go", ".go", 'package main\n\nimport "fmt"\n\nfunc Run@() {\n}\n\nfunc own() {\n}'),
+    ("rust", ".rs", "use crate::p@;\n\npub fn area@() {}\npub struct Shape@ {}\nfn own() {}"),
+    ("typescript", ".tsx", "import React, { useState as S } from 'react'\nimport type { Q } from './q'\nabstract class Box@ extends Base implements Closable, Open {\n}\nexport default function Page@() {\n}\nexport const Button@ = 1\nexport type T@ = string"),
+)
+
+
+def several_languages(spark: SparkSession, sf: str) -> DataFrame:
+    """path, content, language: the parts' TypeScript files and their files in four languages."""
+    k = F.col("p_partkey")
+    which = lambda j: F.get(F.array(*(F.lit(x[j]) for x in _TEXTS)), (k % 4).cast("int"))
+    name = k.cast("string")
+    more = table(spark, sf, "part").select(F.concat(F.lit("more/p"), name, which(1)).alias("path"), F.replace(which(2), F.lit("@"), name).alias("content"), which(0).alias("language"))
+    return typescript(spark, sf).unionByName(more)
+
+
+@query(
+    f"WITH {_PARTS}, {_MORE} SELECT path, 'keep' || k AS name, 'function' AS kind, false AS is_default FROM parts UNION ALL SELECT path, 'Part' || k, 'class', false FROM parts"
+    " UNION ALL SELECT path, x.name || k, x.kind, x.is_default FROM more JOIN (VALUES (0, 'make', 'function', false), (0, 'Part', 'class', false), (1, 'Run', 'function', false), (2, 'area', 'function', false), (2, 'Shape', 'function', false), (3, 'Page', 'component', true), (3, 'Button', 'component', false), (3, 'T', 'type', false)) x(m, name, kind, is_default) ON m = t"
+)
 def exports_table(spark, sf):
-    return structure.exports(typescript(spark, sf)).select("path", "name", "kind", "is_default")
+    return structure.exports(several_languages(spark, sf)).select("path", "name", "kind", "is_default")
 
 
-@query(f"WITH {_PARTS} SELECT path, './p' || q AS source, false AS external FROM parts")
+@query(
+    f"WITH {_PARTS}, {_MORE} SELECT path, './p' || q AS source, false AS external FROM parts"
+    " UNION ALL SELECT path, CASE WHEN own THEN source || k ELSE source END, external FROM more JOIN (VALUES (0, 'os', false, true), (0, 'flask', false, true), (0, '.m', true, false), (1, 'fmt', false, true), (2, 'crate::p', true, false), (3, 'react', false, true), (3, './q', false, false)) x(m, source, own, external) ON m = t"
+)
 def import_sources(spark, sf):
-    return parse.imports(typescript(spark, sf))
+    return parse.imports(several_languages(spark, sf))
 
 
 @query(f"WITH {_PARTS} SELECT path AS src, 'src/p' || q || '.ts' AS dst FROM parts WHERE k <> q")
