@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import glob_filter, node_id, normalize_path, register, repository, short_path, strip_version, top_folder
 from lodestone.operators import compare, context, fixes, graph, history, parse, report, search, structure, supply, tools
-from lodestone.plans.code import _FILES, _PARTS, _sql, code_files, document_files, typescript
+from lodestone.plans.code import _FILES, _MORE, _PARTS, _sql, code_files, document_files, several_languages, typescript
 from lodestone.plans.queries import query
 from lodestone.sources import dumps, repo
 from lodestone.sources.tables import table
@@ -305,14 +305,20 @@ def sql_registered_functions(spark, sf):
 # Code ----------------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {_PARTS} SELECT path, 'Part' || k AS name, NULL::VARCHAR AS base FROM parts")
+@query(
+    f"WITH {_PARTS}, {_MORE} SELECT path, 'Part' || k AS name, NULL::VARCHAR AS base, '' AS interfaces, false AS is_abstract FROM parts"
+    " UNION ALL SELECT path, x.name || k, 'Base', interfaces, is_abstract FROM more JOIN (VALUES (0, 'Part', '', false), (3, 'Box', 'Closable|Open', true)) x(m, name, interfaces, is_abstract) ON m = t"
+)
 def classes_table(spark, sf):
-    return structure.classes(typescript(spark, sf)).select("path", "name", "base")
+    return structure.classes(several_languages(spark, sf)).select("path", "name", "base", F.array_join("interfaces", "|").alias("interfaces"), "is_abstract")
 
 
-@query(f"WITH {_PARTS} SELECT path, './p' || q AS source, 'keep' || q AS names FROM parts")
+@query(
+    f"WITH {_PARTS}, {_MORE} SELECT path, './p' || q AS source, 'keep' || q AS names, false AS is_default FROM parts"
+    " UNION ALL SELECT path, CASE WHEN source = '.m' THEN source || k ELSE source END, names, is_default FROM more JOIN (VALUES (0, 'os', 'os', false), (0, 'flask', 'Flask,g', false), (0, '.m', 'Base', false), (3, 'react', 'React,useState', true), (3, './q', 'Q', false)) x(m, source, names, is_default) ON m = t"
+)
 def import_specifiers(spark, sf):
-    return structure.specifiers(typescript(spark, sf)).select("path", "source", F.array_join("names", ",").alias("names"))
+    return structure.specifiers(several_languages(spark, sf)).select("path", "source", F.array_join("names", ",").alias("names"), "is_default")
 
 
 @query(f"WITH {_PARTS} SELECT path FROM parts WHERE contains(path, '7')")

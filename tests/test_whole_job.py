@@ -10,6 +10,9 @@ CASES = [
     ("exports_table", "kind", {"function", "class", "component", "type"}),
     ("exports_table", "is_default", {True, False}),
     ("import_sources", "external", {True, False}),
+    ("classes_table", "interfaces", {"", "Closable|Open"}),
+    ("classes_table", "is_abstract", {True, False}),
+    ("import_specifiers", "is_default", {True, False}),
 ]
 
 
