@@ -63,9 +63,9 @@ def tree_dump(spark, sf):
     return dumps.trees(answers, ["id"]).select("id", "tree_sha", "ordinal", "path", "type", "size")
 
 
-@query("SELECT o_custkey AS repo, 'c' || o_orderkey AS sha, CASE WHEN o_orderkey % 9 = 0 THEN 'Merge pull request #' || o_orderkey ELSE 'order ' || o_orderpriority END AS message, 'cust ' || o_custkey AS author_name, o_orderdate AS author_date FROM orders")
+@query("SELECT o_custkey AS repo, 'c' || o_orderkey AS sha, CASE WHEN o_orderkey % 9 = 0 THEN 'Merge pull request #' || o_orderkey ELSE 'order ' || o_orderpriority END AS message, 'cust ' || o_custkey AS author_name, o_orderdate AS author_date, CASE WHEN o_custkey % 3 > 0 THEN 'u' || o_custkey END AS author_login, CASE WHEN o_orderkey % 9 = 0 THEN 2 ELSE 1 END AS n_parents FROM orders")
 def commit_dump(spark, sf):
-    return _commits(spark, sf).select("repo", "sha", "message", "author_name", F.col("author_date").cast("timestamp_ntz").alias("author_date"))
+    return _commits(spark, sf).select("repo", "sha", "message", "author_name", F.col("author_date").cast("timestamp_ntz").alias("author_date"), "author_login", "n_parents")
 
 
 def _commits(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +74,7 @@ def _commits(spark: SparkSession, sf: str) -> DataFrame:
     person = F.struct(F.concat(F.when(F.col("o_orderkey") % 11 == 0, "dependabot[bot] ").otherwise("cust "), F.col("o_custkey").cast("string")).alias("bot"), text("cust ", "o_custkey").alias("name"), date.alias("date"))
     merge = F.col("o_orderkey") % 9 == 0
     parents = F.transform(F.sequence(F.lit(1), F.when(merge, 2).otherwise(1)), lambda k: F.struct(k.cast("string").alias("sha")))
-    one = F.struct(text("c", "o_orderkey").alias("sha"), F.struct(F.when(merge, text("Merge pull request #", "o_orderkey")).otherwise(text("order ", "o_orderpriority")).alias("message"), person.alias("author"), person.alias("committer")).alias("commit"), parents.alias("parents"))
+    one = F.struct(text("c", "o_orderkey").alias("sha"), F.struct(F.when(merge, text("Merge pull request #", "o_orderkey")).otherwise(text("order ", "o_orderpriority")).alias("message"), person.alias("author"), person.alias("committer")).alias("commit"), F.when(F.col("o_custkey") % 3 > 0, F.struct(text("u", "o_custkey").alias("login"))).alias("author"), parents.alias("parents"))
     # One answer for a customer's orders of a year: pages of an answer, as services give them.
     answers = o.groupBy(F.col("o_custkey").alias("repo"), F.year("o_orderdate").alias("year")).agg(F.to_json(F.collect_list(one)).alias("content"))
     return dumps.commits(answers, ["repo"])

@@ -13,6 +13,8 @@ CASES = [
     ("classes_table", "interfaces", {"", "Closable|Open"}),
     ("classes_table", "is_abstract", {True, False}),
     ("import_specifiers", "is_default", {True, False}),
+    ("commit_dump", "n_parents", {1, 2}),
+    ("commit_dump", "author_login", {None}),
 ]
 
 
