@@ -102,18 +102,19 @@ def ref_dump(spark, sf):
 _BLAME = "b AS (SELECT l_suppkey AS file, (l_orderkey * 10)::INT AS start_line, (l_orderkey * 10 + l_quantity::INT % 10)::INT AS end_line, 'u' || l_partkey % 7 || '@h' AS email FROM lineitem)"
 
 
-def _blames(spark: SparkSession, sf: str) -> DataFrame:
+def _blames(spark: SparkSession, sf: str, users: bool = False) -> DataFrame:
+    """Blame answers; with `users`, some authors have an account."""
     start = (F.col("l_orderkey") * 10).cast("int")
-    author = F.struct(F.concat(F.lit("User "), (F.col("l_partkey") % 7).cast("string")).alias("name"), F.concat(F.lit("u"), (F.col("l_partkey") % 7).cast("string"), F.lit("@h")).alias("email"))
+    author = F.struct(F.concat(F.lit("User "), (F.col("l_partkey") % 7).cast("string")).alias("name"), F.concat(F.lit("u"), (F.col("l_partkey") % 7).cast("string"), F.lit("@h")).alias("email"), F.when(F.lit(users) & (F.col("l_partkey") % 3 > 0), F.struct(F.concat(F.lit("user"), (F.col("l_partkey") % 7).cast("string")).alias("login"))).alias("user"))
     one = F.struct(start.alias("startingLine"), (start + F.col("l_quantity").cast("int") % 10).alias("endingLine"), F.lit(1).alias("age"), F.struct(text("c", "l_orderkey").alias("oid"), author.alias("author")).alias("commit"))
     # An answer for a few orders of a supplier, so that none grows with the table.
     answers = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("file"), F.floor(F.col("l_orderkey") / 512).alias("page")).agg(F.to_json(F.collect_list(one)).alias("content"))
     return dumps.blame(answers, ["file"])
 
 
-@query(f"WITH {_BLAME} SELECT file, start_line, end_line, email AS author_email FROM b")
+@query("SELECT l_suppkey AS file, (l_orderkey * 10)::INT AS start_line, (l_orderkey * 10 + l_quantity::INT % 10)::INT AS end_line, 'c' || l_orderkey AS sha, 'u' || l_partkey % 7 || '@h' AS author_email, CASE WHEN l_partkey % 3 > 0 THEN 'user' || l_partkey % 7 END AS author_login FROM lineitem")
 def blame_dump(spark, sf):
-    return _blames(spark, sf).select("file", "start_line", "end_line", "author_email")
+    return _blames(spark, sf, users=True).select("file", "start_line", "end_line", "sha", "author_email", "author_login")
 
 
 @query(f"WITH {_BLAME}, s AS (SELECT email, sum(end_line - start_line + 1)::BIGINT AS lines FROM b GROUP BY email) SELECT email, 'User ' || substr(email, 2, 1) AS name, NULL::VARCHAR AS login, lines, floor(lines * 100.0 / sum(lines) OVER () * 10 + 0.5) / 10 AS pct FROM s")

@@ -15,6 +15,8 @@ CASES = [
     ("import_specifiers", "is_default", {True, False}),
     ("commit_dump", "n_parents", {1, 2}),
     ("commit_dump", "author_login", {None}),
+    ("blame_dump", "author_login", {None, "user1"}),
+    ("blame_dump", "sha", {"c1"}),
 ]
 
 
