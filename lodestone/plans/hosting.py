@@ -208,10 +208,10 @@ def fork_relations(spark, sf):
     return compare.fork_relations(table(spark, sf, "supplier").select(text("s", "s_suppkey").alias("full_name"), (k % 3 > 0).alias("is_fork"), F.when(k % 3 > 0, F.concat(F.lit("s"), (k - k % 3).cast("string"))).alias("parent_full_name")))
 
 
-@query("SELECT p_brand AS repo, count(*) AS files, sum(floor(p_size * 10 / 25.0 + 0.5))::BIGINT AS lines FROM part GROUP BY p_brand")
+@query("SELECT repo, sum(n)::BIGINT AS files, sum(lines)::BIGINT AS lines, '{' || string_agg('\"' || p_type || '\":' || n, ',' ORDER BY p_type) || '}' AS languages FROM (SELECT p_brand AS repo, p_type, count(*) AS n, sum(floor(p_size * 10 / 25.0 + 0.5)) AS lines FROM part GROUP BY p_brand, p_type) GROUP BY repo")
 def repository_metrics(spark, sf):
     p = table(spark, sf, "part")
-    return compare.repository_metrics(p.select(F.col("p_brand").alias("repo"), text("src/", "p_partkey").alias("path"), (F.col("p_size") * 10).alias("size"), F.col("p_type").alias("language"))).select("repo", "files", "lines")
+    return compare.repository_metrics(p.select(F.col("p_brand").alias("repo"), text("src/", "p_partkey").alias("path"), (F.col("p_size") * 10).alias("size"), F.col("p_type").alias("language"))).select("repo", "files", "lines", F.to_json("languages").alias("languages"))
 
 
 @query("SELECT s_suppkey AS id, 'n' || s_nationkey AS owner, 'r' || s_suppkey AS repo, CASE WHEN s_suppkey % 3 > 0 THEN 'main' END AS branch, CASE WHEN s_suppkey % 3 = 2 THEN 'src/a.ts' END AS path FROM supplier")

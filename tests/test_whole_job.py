@@ -17,6 +17,7 @@ CASES = [
     ("commit_dump", "author_login", {None}),
     ("blame_dump", "author_login", {None, "user1"}),
     ("blame_dump", "sha", {"c1"}),
+    ("repository_metrics", "languages", set()),
 ]
 
 
