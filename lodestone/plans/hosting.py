@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import glob_filter, node_id, normalize_path, register, repository, short_path, strip_version, top_folder
+from lodestone.functions.text import glob_filter, node_id, normalize_path, register, repository, resolve_path, share_link, short_path, strip_version, top_folder
 from lodestone.operators import compare, context, fixes, graph, history, parse, report, search, structure, supply, tools
 from lodestone.plans.code import _FILES, _MORE, _PARTS, _sql, code_files, document_files, several_languages, typescript
 from lodestone.plans.queries import query
@@ -214,11 +214,12 @@ def repository_metrics(spark, sf):
     return compare.repository_metrics(p.select(F.col("p_brand").alias("repo"), text("src/", "p_partkey").alias("path"), (F.col("p_size") * 10).alias("size"), F.col("p_type").alias("language"))).select("repo", "files", "lines", F.to_json("languages").alias("languages"))
 
 
-@query("SELECT s_suppkey AS id, 'n' || s_nationkey AS owner, 'r' || s_suppkey AS repo, CASE WHEN s_suppkey % 3 > 0 THEN 'main' END AS branch, CASE WHEN s_suppkey % 3 = 2 THEN 'src/a.ts' END AS path FROM supplier")
+@query("SELECT s_suppkey AS id, CASE WHEN k < 4 THEN 'n' || s_nationkey END AS owner, CASE WHEN k < 4 THEN 'r' || s_suppkey END AS repo, CASE WHEN k IN (1, 2) THEN 'main' END AS branch, CASE WHEN k = 2 THEN 'src/a.ts' END AS path, CASE WHEN k < 4 THEN '/n' || s_nationkey || '/r' || s_suppkey || '?view=issues' END AS link FROM (SELECT *, s_suppkey % 5 AS k FROM supplier)")
 def repository_urls(spark, sf):
-    k = F.col("s_suppkey") % 3
-    url = F.concat(F.when(k == 0, "").otherwise("https://github.com/"), text("n", "s_nationkey", "/r", "s_suppkey"), F.when(k == 1, "/tree/main").when(k == 2, "/blob/main/src/a.ts?x=1").otherwise(""))
-    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), repository(url).alias("r")).select("id", "r.owner", "r.repo", "r.branch", "r.path")
+    k = F.col("s_suppkey") % 5
+    url = F.concat(F.when(k == 0, "").when(k == 4, "https://example.com/").otherwise("https://github.com/"), text("n", "s_nationkey", "/r", "s_suppkey"), F.when(k == 1, "/tree/main").when(k == 2, "/blob/main/src/a.ts?x=1").when(k == 3, ".git").otherwise(""))
+    r = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), repository(url).alias("r"))
+    return r.select("id", "r.owner", "r.repo", "r.branch", "r.path", share_link(F.col("r.owner"), F.col("r.repo"), F.lit("issues")).alias("link"))
 
 
 _PATH = "regexp_replace(url, '^https?://', '')"

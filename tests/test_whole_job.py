@@ -18,6 +18,8 @@ CASES = [
     ("blame_dump", "author_login", {None, "user1"}),
     ("blame_dump", "sha", {"c1"}),
     ("repository_metrics", "languages", set()),
+    ("repository_urls", "owner", {None}),
+    ("repository_urls", "link", {None}),
 ]
 
 
