@@ -225,10 +225,11 @@ def repository_urls(spark, sf):
 _PATH = "regexp_replace(url, '^https?://', '')"
 
 
-@query(f"SELECT page_id, rtrim({_PATH}, '/') AS normal, trim(regexp_replace({_PATH}, '[^a-zA-Z0-9]+', '_', 'g'), '_') AS id, CASE WHEN len(string_split({_PATH}, '/')) <= 2 THEN {_PATH} ELSE split_part({_PATH}, '/', 1) || '/.../' || list_extract(string_split({_PATH}, '/'), -1) END AS short, split_part({_PATH}, '/', 1) AS top FROM pages")
+@query(f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a/' || rtrim({_PATH}, '/') END AS resolved, rtrim({_PATH}, '/') AS normal, trim(regexp_replace({_PATH}, '[^a-zA-Z0-9]+', '_', 'g'), '_') AS id, CASE WHEN len(string_split({_PATH}, '/')) <= 2 THEN {_PATH} ELSE split_part({_PATH}, '/', 1) || '/.../' || list_extract(string_split({_PATH}, '/'), -1) END AS short, split_part({_PATH}, '/', 1) AS top FROM pages")
 def path_functions(spark, sf):
     p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
-    return p.select("page_id", normalize_path(F.concat(F.lit("./x/../"), F.col("path"))).alias("normal"), node_id(F.col("path")).alias("id"), short_path(F.col("path")).alias("short"), top_folder(F.col("path")).alias("top"))
+    up = F.concat(F.when(F.col("page_id") % 2 == 0, "../").otherwise("../../../"), F.col("path"))
+    return p.select("page_id", resolve_path(F.lit("a/b"), up).alias("resolved"), normalize_path(F.concat(F.lit("./x/../"), F.col("path"))).alias("normal"), node_id(F.col("path")).alias("id"), short_path(F.col("path")).alias("short"), top_folder(F.col("path")).alias("top"))
 
 
 def _listed(values) -> str:

@@ -20,6 +20,7 @@ CASES = [
     ("repository_metrics", "languages", set()),
     ("repository_urls", "owner", {None}),
     ("repository_urls", "link", {None}),
+    ("path_functions", "resolved", {None}),
 ]
 
 
