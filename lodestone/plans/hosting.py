@@ -392,10 +392,10 @@ def folder_roles(spark, sf):
     return graph.folder_roles(d.select(F.concat("source", F.lit("/d"), F.col("doc_id").cast("string")).alias("path"), F.get(F.array(*map(F.lit, graph.ROLE_ORDER)), (F.col("doc_id") % 6).cast("int")).alias("role")))
 
 
-@query("SELECT s_suppkey AS project, n || ' circular dependency pair' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' detected' AS note FROM (SELECT s_suppkey, s_suppkey % 4 AS n FROM supplier) WHERE n > 0 UNION ALL SELECT s_suppkey, s_suppkey % 13 || ' orphan files may be dead code' FROM supplier WHERE s_suppkey % 13 > 5 UNION ALL SELECT s_suppkey, 'deepest dependency chain is ' || s_nationkey || ' levels' FROM supplier WHERE s_nationkey > 8")
+@query("SELECT s_suppkey AS project, n || ' circular dependency pair' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' detected' AS note FROM (SELECT s_suppkey, s_suppkey % 4 AS n FROM supplier) WHERE n > 0 UNION ALL SELECT s_suppkey, s_suppkey % 13 || ' orphan files may be dead code' FROM supplier WHERE s_suppkey % 13 > 5 UNION ALL SELECT s_suppkey, 'deepest dependency chain is ' || s_nationkey || ' levels' FROM supplier WHERE s_nationkey > 8 UNION ALL SELECT s_suppkey, n || ' file' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' imported by more than 30% of the project' FROM (SELECT s_suppkey, s_suppkey % 3 AS n FROM supplier) WHERE n > 0 UNION ALL SELECT s_suppkey, n || ' connector file' || CASE WHEN n > 1 THEN 's' ELSE '' END || ' would split the graph' FROM (SELECT s_suppkey, s_suppkey % 5 AS n FROM supplier) WHERE n > 0")
 def graph_health(spark, sf):
-    k, none = F.col("s_suppkey"), F.lit(0).cast("long")
-    return graph.health_issues(table(spark, sf, "supplier").select(k.alias("project"), F.lit(50).alias("files"), (k % 4).alias("cycles"), (k % 13).alias("orphans"), F.col("s_nationkey").alias("depth"), none.alias("split"), none.alias("coupled")))
+    k = F.col("s_suppkey")
+    return graph.health_issues(table(spark, sf, "supplier").select(k.alias("project"), F.lit(50).alias("files"), (k % 4).alias("cycles"), (k % 13).alias("orphans"), F.col("s_nationkey").alias("depth"), (k % 5).alias("split"), (k % 3).alias("coupled")))
 
 
 _REPORT = f"{_DEPS}, r AS (SELECT DISTINCT pkg, size || '.2.0' AS version, t = 2 AS is_dev, CASE t WHEN 0 THEN (size + 1) || '.0.0' WHEN 1 THEN size || '.3.0' ELSE size || '.2.0' END AS latest, CASE WHEN size % 5 = 0 THEN 2 ELSE 0 END::BIGINT AS cves, CASE t WHEN 0 THEN 'major' WHEN 1 THEN 'minor' END AS behind FROM v)"
