@@ -434,14 +434,14 @@ _SAID = "CASE o_orderstatus WHEN 'F' THEN 'true-positive' WHEN 'O' THEN 'false-p
 def _answers(spark: SparkSession, sf: str) -> DataFrame:
     s, k = F.col("o_orderstatus"), F.col("o_orderkey")
     word = F.when(s == "F", "True-Positive").when(s == "O", "false-positive").otherwise("maybe")
-    body = answer(verdict=word, confidence=F.lit("high"), reasoning=text("order ", "o_orderkey"))
+    body = answer(verdict=word, confidence=F.lit("high"), reasoning=text("order ", "o_orderkey"), suggestedSeverity=F.when(k % 2 == 0, "critical").when(k % 5 == 0, "huge"))
     plain = F.when(s == "F", "This is a true positive.").when(s == "O", "I call it a false-positive").otherwise("no idea")
     return table(spark, sf, "orders").select(k.alias("issue_id"), F.when(k % 3 == 0, F.concat(F.lit("Sure: "), body, F.lit(" done"))).when(k % 3 == 1, body).otherwise(plain).alias("response"))
 
 
-@query(f"SELECT o_orderkey AS issue_id, {_SAID} AS verdict, CASE WHEN o_orderkey % 3 < 2 THEN 'high' ELSE 'low' END AS confidence FROM orders")
+@query(f"SELECT o_orderkey AS issue_id, {_SAID} AS verdict, CASE WHEN o_orderkey % 3 < 2 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN o_orderkey % 3 < 2 THEN 'order ' || o_orderkey WHEN o_orderstatus = 'F' THEN 'This is a true positive.' WHEN o_orderstatus = 'O' THEN 'I call it a false-positive' ELSE 'no idea' END AS reasoning, CASE WHEN o_orderkey % 3 < 2 AND o_orderkey % 2 = 0 THEN 'critical' END AS suggested_severity FROM orders")
 def ai_verdicts(spark, sf):
-    return fixes.verdicts(_answers(spark, sf)).select("issue_id", "verdict", "confidence")
+    return fixes.verdicts(_answers(spark, sf)).select("issue_id", "verdict", "confidence", "reasoning", "suggested_severity")
 
 
 @query(f"SELECT {_SAID} AS verdict, count(*) AS n FROM orders GROUP BY 1")

@@ -22,6 +22,8 @@ CASES = [
     ("repository_urls", "link", {None}),
     ("path_functions", "resolved", {None}),
     ("graph_health", "note", {"1 connector file would split the graph", "2 files imported by more than 30% of the project"}),
+    ("ai_verdicts", "reasoning", {"no idea"}),
+    ("ai_verdicts", "suggested_severity", {"critical", None}),
 ]
 
 
