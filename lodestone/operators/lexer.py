@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.tables import cut
+
 #: Kinds of tokens in the order in which they are tried; the last takes any character.
 TOKENS = {
     "space": r"\s++",
@@ -72,8 +74,11 @@ def brackets(tokens_: DataFrame) -> DataFrame:
 def functions(tokens_: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """path, name, first, params, params_end, start, end, start_line, end_line, inside: functions, methods and arrow functions with a body in braces, by the
     numbers of their tokens: where the head begins, its brackets, and the body's. `inside` is the body's brace of the function around it. Names of arrows are those they are assigned to; others
-    without a name have an empty one."""
-    pairs = brackets(tokens_) if pairs is None else pairs
+    without a name have an empty one. Tokens, pairs and functions are written, as each is read several times, and no join broadcasts them."""
+    spark = tokens_.sparkSession
+    if pairs is None:
+        tokens_ = cut(spark, tokens_, apart=True)
+        pairs = cut(spark, brackets(tokens_), apart=True)
     w = Window.partitionBy("path").orderBy("i")
     back = lambda k: F.lag("text", k).over(w)
     near = tokens_.select("path", "i", "text", "kind", "line_no", *(back(k).alias(f"b{k}") for k in (1, 2, 3, 4)), F.lag("kind", 1).over(w).alias("k1"))
@@ -90,7 +95,7 @@ def functions(tokens_: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     given = F.when(F.col("name").isin("=", ":"), F.col("word")).when((F.col("name") == "async") & F.col("word").isin("=", ":"), F.col("b3"))
     name = F.when(F.col("arrow"), F.coalesce(given, F.lit(""))).when(F.col("name") == "function", "").when(named, F.col("name"))
     found = found.withColumn("name", name).where("name is not null and (arrow or name <> '' or b3 is not null or word is not null or name = '')")
-    found = found.select("path", "name", "params", "params_end", "start", "end", "start_line", "end_line")
+    found = cut(spark, found.select("path", "name", "params", "params_end", "start", "end", "start_line", "end_line"), apart=True)
     return found.join(holders(pairs, found), ["path", "start"], "left").select("path", "name", "params", "params_end", "start", "end", "start_line", "end_line", "inside")
 
 

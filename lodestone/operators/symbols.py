@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import extension, split_lines
 from lodestone.operators import lexer
+from lodestone.sources.tables import cut
 
 # Extensions of languages with braces, and the words that declare.
 BRACES = ("js", "jsx", "ts", "tsx", "mjs", "cjs", "java", "kt", "kts", "go", "rs", "c", "h", "cpp", "cc", "hpp", "cs", "php", "swift", "scala")
@@ -22,8 +23,9 @@ FUNCS = ("func", "fn", "fun", "function", "def")
 
 def brace_symbols(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, kind, name, start_line, end_line, first, last: declarations with a body in braces, by the numbers of their tokens."""
-    t = lexer.tokens(files.where(extension(F.col(path)).isin(*BRACES)), path, content)
-    pairs = lexer.brackets(t)
+    spark = files.sparkSession
+    t = cut(spark, lexer.tokens(files.where(extension(F.col(path)).isin(*BRACES)), path, content), apart=True)
+    pairs = cut(spark, lexer.brackets(t), apart=True)
     w = Window.partitionBy("path").orderBy("i")
     near = t.select("*", *(F.lead("text", k).over(w).alias(f"n{k}") for k in (1, 2)), F.lead("kind", 1).over(w).alias("k1"), F.lag("text", 1).over(w).alias("p1"))
     # Go names a method after its receiver, in brackets.
@@ -41,7 +43,7 @@ def brace_symbols(files: DataFrame, path: str = "path", content: str = "content"
     turn = Window.partitionBy("path", "level").orderBy("i")
     bodies = marks.withColumn("next", F.lead(F.struct("mark", "i", "last")).over(turn)).where("mark = 'head' and next.mark = 'body'").select("path", F.col("i").alias("first"), F.col("next.i").alias("start"), F.col("next.last").alias("last"))
     lines = t.select("path", F.col("i").alias("last"), F.col("line_no").alias("end_line"))
-    declared = heads.join(bodies, ["path", "first"]).join(lines, ["path", "last"], "left").select("path", "kind", "name", F.col("line_no").alias("start_line"), "end_line", "start", "last")
+    declared = cut(spark, heads.join(bodies, ["path", "first"]).join(lines, ["path", "last"], "left").select("path", "kind", "name", F.col("line_no").alias("start_line"), "end_line", "start", "last"), apart=True)
     methods = lexer.functions(t, pairs).where((F.col("name") != "") & ~F.col("name").isin(*FUNCS)).select("path", F.lit("function").alias("kind"), "name", "start_line", "end_line", "start", F.col("end").alias("last"))
     found = declared.unionByName(methods.join(declared.select("path", "start"), ["path", "start"], "left_anti"))
     return found.select("path", "kind", "name", "start_line", "end_line", F.col("start").alias("first"), "last")
@@ -57,10 +59,10 @@ def indented_symbols(files: DataFrame, path: str = "path", content: str = "conte
     rows = solid.select("path", "line_no", indent.alias("indent"), F.regexp_extract("text", r"^\s*(?:async\s+)?(class|def)\s+(\w+)", 1).alias("word"), F.regexp_extract("text", r"^\s*(?:async\s+)?(class|def)\s+(\w+)", 2).alias("name"))
     rows = rows.withColumn("before", F.lag("line_no").over(Window.partitionBy("path").orderBy("line_no")))
     levels = rows.where("word <> ''").select("path", F.col("indent").alias("level")).distinct()
-    ends = rows.join(levels, "path").where("indent <= level").select("path", "level", "line_no", "before", "indent", "word", "name")
+    ends = rows.join(levels.hint("merge"), "path").where("indent <= level").select("path", "level", "line_no", "before", "indent", "word", "name")
     turn = Window.partitionBy("path", "level").orderBy("line_no")
     final = rows.groupBy("path").agg(F.max("line_no").alias("final"))
-    found = ends.withColumn("end_line", F.lead("before").over(turn)).where("word <> '' and indent = level").join(final, "path")
+    found = ends.withColumn("end_line", F.lead("before").over(turn)).where("word <> '' and indent = level").join(final.hint("merge"), "path")
     end = F.coalesce("end_line", "final")
     return found.select("path", F.when(F.col("word") == "class", "class").otherwise("function").alias("kind"), "name", F.col("line_no").cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.col("line_no").cast("int").alias("first"), (end + 1).cast("int").alias("last"))
 
@@ -69,7 +71,7 @@ def nested_symbols(files: DataFrame, path: str = "path", content: str = "content
     """path, kind, name, start_line, end_line, parent, depth: all symbols; `parent` is the innermost symbol around, by name (null: none), depth 0 outside all.
 
     Symbols of a file nest, so one opens after those around it and closes before them: the parent is the last one opened that is on the level above."""
-    found = brace_symbols(files, path, content).unionByName(indented_symbols(files, path, content))
+    found = cut(files.sparkSession, brace_symbols(files, path, content).unionByName(indented_symbols(files, path, content)))
     ends = found.select("path", F.col("first").alias("i"), F.lit(1).alias("step"), F.struct("first", "name", "kind", "start_line", "end_line").alias("x")).unionByName(
         found.where("last is not null").select("path", F.col("last").alias("i"), F.lit(-1).alias("step"), F.lit(None).cast("struct<first:int,name:string,kind:string,start_line:int,end_line:int>").alias("x"))
     )

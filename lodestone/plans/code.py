@@ -6,6 +6,7 @@ finds in the rendered text is worked out in SQL from the tables' columns or by p
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from lodestone.operators import flows, graph, lexer, literal_index, parse, struc
 from lodestone.plans.catalogue import GROUPS, LINE_RULES, ROWS
 from lodestone.plans.queries import query
 from lodestone.plans.rules import RULES
-from lodestone.sources.tables import shared_folder, table
+from lodestone.sources.tables import cut, shared_folder, table
 from lodestone.streaming import rescan
 
 # Documents as files ---------------------------------------------------------------------------------------------------
@@ -98,10 +99,16 @@ def search_by_index(spark, sf):
 _PARTS = "parts AS (SELECT p_partkey AS k, p_partkey % 5 AS t, p_size % 4 AS n, (p_partkey * 7 + p_size) % (SELECT count(*) FROM part) AS q, 'src/p' || p_partkey || '.ts' AS path FROM part)"
 
 
+#: Files for a task. A part's row is a few bytes in its table and makes some hundred tokens, so splits by size of the table are much too large.
+FILES = 5_000
+
+
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
-    """path, content of the parts' files."""
+    """path, content of the parts' files, dealt by path."""
     part = table(spark, sf, "part")
     total = part.count()
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total / FILES))
+    part = part.withColumn("path", F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(".ts"))).repartition(tasks, "path")
     k, q = F.col("p_partkey").cast("string"), ((F.col("p_partkey") * 7 + F.col("p_size")) % total).cast("string")
     t, n = F.col("p_partkey") % 5, (F.col("p_size") % 4).cast("int")
     none = F.array().cast("array<string>")
@@ -123,7 +130,7 @@ def code_files(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("  return use"),
         F.lit("}"),
     )
-    return part.select(F.concat(F.lit("src/p"), k, F.lit(".ts")).alias("path"), F.array_join(F.concat(head, F.coalesce(methods, none), tail), "\n").alias("content"))
+    return part.select("path", F.array_join(F.concat(head, F.coalesce(methods, none), tail), "\n").alias("content"))
 
 
 @query(f"WITH {_PARTS} SELECT path, (10 + 3 * n + CASE WHEN t = 2 THEN 1 ELSE 0 END)::BIGINT AS pairs, 3 AS deepest FROM parts")
@@ -141,7 +148,7 @@ _FUNCTIONS = f"""{_PARTS}, functions AS (
 
 @query(f"WITH {_FUNCTIONS} SELECT path, name, start_line::INT AS start_line, end_line::INT AS end_line, inside FROM functions")
 def code_functions(spark, sf):
-    found = lexer.functions(lexer.tokens(code_files(spark, sf)))
+    found = cut(spark, lexer.functions(lexer.tokens(code_files(spark, sf))), apart=True)
     outer = found.select("path", F.col("start").alias("inside"), F.col("name").alias("holder"))
     return found.join(outer, ["path", "inside"], "left").select("path", "name", "start_line", "end_line", F.col("holder").alias("inside"))
 

@@ -23,8 +23,10 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """The table as written to the shared folder and read back: lineage ends there, each row is made once, and a lost executor costs tasks only."""
+def cut(spark: SparkSession, df: DataFrame, apart: bool = False) -> DataFrame:
+    """The table as written to the shared folder and read back: lineage ends there, each row is made once, and a lost executor costs tasks only.
+    `apart`: joins with it broadcast nothing. Tokens pack so well that the size of their files, from which Spark judges, is a small part of what a broadcast would hold."""
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    return back.hint("merge") if apart else back
