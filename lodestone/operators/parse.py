@@ -79,15 +79,20 @@ def package_of(source: Column) -> Column:
 
 def resolve(found: DataFrame, paths: DataFrame) -> DataFrame:
     """src, dst: imports (path, source, external) as edges between files. Candidates stand in order (as written, with
-    extensions, as folders, below src/ and app/ for aliases); the first that exists wins. An equi-join on candidates."""
+    extensions, as folders, below src/ and app/ for aliases); the first that exists wins.
+
+    An equi-join on bases: a file is what a base and a suffix make if it ends with the suffix after the base, so each file has a row for each of the few suffixes it ends with, and an import
+    one for each base. It never broadcasts: paths may be made from tables that are far smaller."""
     own = found.where("not external")
     alias = F.regexp_replace("source", "^(?:@|~|#)/", "")
     relative = normalize_path(F.concat_ws("/", parent_path(F.col("path")), F.col("source")))
     dotted = normalize_path(F.concat_ws("/", parent_path(F.col("path")), F.replace(F.regexp_replace("source", r"^\.", ""), F.lit("."), F.lit("/"))))
     bases = F.when(F.col("source").rlike("^(?:@|~|#)/"), F.array(alias, F.concat(F.lit("src/"), alias), F.concat(F.lit("app/"), alias))).when(F.col("path").endswith(".py"), F.array(dotted)).otherwise(F.array(relative))
-    candidates = F.flatten(F.transform(bases, lambda b: F.array(*(F.concat(b, F.lit(s)) for s in SUFFIXES))))
-    tried = own.select("path", "source", F.posexplode(candidates).alias("rank", "dst"))
-    hit = tried.join(paths.select(F.col("path").alias("dst")).distinct(), "dst")
+    tried = own.select("path", "source", F.posexplode(bases).alias("place", "base"))
+    dst = F.col("dst")
+    ends = F.array_compact(F.array(*(F.when(dst.endswith(s), F.struct(F.lit(k).alias("suffix"), F.substring(dst, F.lit(1), F.length(dst) - len(s)).alias("base"))) for k, s in enumerate(SUFFIXES))))
+    there = paths.select(F.col("path").alias("dst")).distinct().select("dst", F.explode(ends).alias("e")).select("dst", "e.suffix", "e.base")
+    hit = tried.join(there.hint("merge"), "base").withColumn("rank", F.col("place") * len(SUFFIXES) + F.col("suffix"))
     return hit.groupBy("path", "source").agg(F.min_by("dst", "rank").alias("dst")).select(F.col("path").alias("src"), "dst").where("src <> dst").distinct()
 
 

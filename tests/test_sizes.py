@@ -24,3 +24,17 @@ def test_symbols_and_functions_read_tokens_once(spark):
     files = code.code_files(spark, SF)
     for text in (plan(symbols.nested_symbols(files)), plan(lexer.functions(lexer.tokens(files)))):
         assert "regexp_extract_all" not in text and "Broadcast" not in text
+
+
+def test_resolution_broadcasts_nothing_and_joins_on_bases(spark):
+    files = code.typescript(spark, SF)
+    text = plan(parse.resolve(parse.imports(files), files))
+    assert "Broadcast" not in text and "SortMergeJoin" in text
+
+
+@pytest.mark.parametrize("suffix", ["", ".ts", ".php", "/index.ts", "/index.php", "/__init__.py"])
+def test_every_suffix_resolves_and_the_first_wins(spark, suffix):
+    paths = spark.createDataFrame([(f"a/b{suffix}",), ("a/b/index.php",), ("a/b/__init__.py",)], "path string")
+    found = spark.createDataFrame([("a/x.ts", "./b", False), ("a/x.ts", "./none", False)], "path string, source string, external boolean")
+    want = [f"a/b{suffix}"] if suffix != "/__init__.py" else ["a/b/index.php"]
+    assert [r.dst for r in parse.resolve(found, paths).collect()] == want
