@@ -227,6 +227,7 @@ def strong_components(spark: SparkSession, edges: DataFrame, rounds: list[str] |
 
 def cycle_edges(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """src, dst: edges that lie on a directed cycle, and self-loops: all of them, whatever order files come in."""
+    edges = cut(spark, edges)
     strong = strong_components(spark, edges)
     a, b = strong.select(F.col("node").alias("src"), F.col("component").alias("a")), strong.select(F.col("node").alias("dst"), F.col("component").alias("b"))
     e = edges.select("src", "dst").distinct()
@@ -331,14 +332,14 @@ def connectors(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def entry_tree(edges: DataFrame, entries: DataFrame, width: int = 10) -> DataFrame:
-    """entry, child, grandchild: what entries (node) import and what that imports, `width` of each in order."""
+    """entry, child, grandchild: what entries (node) import and what that imports, `width` of each in order. No side is small, whatever the tables are made from, so none is broadcast."""
     from pyspark.sql import Window
 
     e = edges.where("src <> dst").select("src", "dst").distinct()
     first = lambda rows, by: rows.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy("dst"))).where(F.col("rn") <= width).drop("rn")
-    one = first(e.join(entries.select(F.col("node").alias("src")).distinct(), "src", "left_semi"), "src").toDF("entry", "child")
-    two = first(e.join(one.select(F.col("child").alias("src")).distinct(), "src", "left_semi"), "src").toDF("child", "grandchild")
-    return one.join(two, "child", "left").select("entry", "child", F.when(F.col("grandchild") != F.col("entry"), F.col("grandchild")).alias("grandchild"))
+    one = first(e.join(entries.select(F.col("node").alias("src")).distinct().hint("merge"), "src", "left_semi"), "src").toDF("entry", "child")
+    two = first(e.join(one.select(F.col("child").alias("src")).distinct().hint("merge"), "src", "left_semi"), "src").toDF("child", "grandchild")
+    return one.join(two.hint("merge"), "child", "left").select("entry", "child", F.when(F.col("grandchild") != F.col("entry"), F.col("grandchild")).alias("grandchild"))
 
 
 def clusters(components_: DataFrame, least: int = 2) -> DataFrame:

@@ -38,3 +38,8 @@ def test_every_suffix_resolves_and_the_first_wins(spark, suffix):
     found = spark.createDataFrame([("a/x.ts", "./b", False), ("a/x.ts", "./none", False)], "path string, source string, external boolean")
     want = [f"a/b{suffix}"] if suffix != "/__init__.py" else ["a/b/index.php"]
     assert [r.dst for r in parse.resolve(found, paths).collect()] == want
+
+
+def test_entry_tree_broadcasts_nothing(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    assert "Broadcast" not in plan(graph.entry_tree(e, spark.createDataFrame([("a",)], "node string")))
