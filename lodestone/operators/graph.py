@@ -65,10 +65,45 @@ WORD_BITS = 64
 def depths(spark: SparkSession, edges: DataFrame, entries: DataFrame) -> DataFrame:
     """node, depth: shortest hops from each entry (node), the largest of those over all entries; entries at 0 left out.
 
+    Where all ways from entries to a node are as long, their length is the answer, and one search from all entries at once finds it: a node is left to the search by
+    entries only if an edge comes in from a node that is as far or farther, or from a node that is left. That search goes over the edges that lead to such nodes.
+
     Entries are bits of words, 64 of them searched as one: a row for a node and word holds the entries that have reached the node,
     and the round in which the last of them did. A round sends the bits that are new at a node to its followers, ORs what meets there, and
-    keeps what hadn't been. Rows are at most nodes times entries / 64; a round costs a join of the new rows with the edges. Null nodes have no edges.
+    keeps what hadn't been. Rows are at most nodes left and before them times entries / 64; a round costs a join of the new rows with the edges. Null nodes have no edges.
     """
+    e = cut(spark, edges.select("src", "dst").where("src is not null and dst is not null"))
+    starts = cut(spark, entries.select("node").where("node is not null").distinct())
+    near, mixed = _least_depths(spark, e, starts)
+    if mixed.isEmpty():
+        return near.where("depth > 0").select("node", "depth")
+    turned = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    left = _least_depths(spark, e, mixed)[0].select("node")
+    before = _least_depths(spark, turned, left)[0].select("node")
+    e = e.join(before.withColumnRenamed("node", "src"), "src", "left_semi").join(before.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    found = _depths_by_entry(spark, e, starts.join(before, "node", "left_semi")).join(left, "node", "left_semi")
+    return cut(spark, near.join(left, "node", "left_anti").where("depth > 0").select("node", "depth").unionByName(found))
+
+
+def _least_depths(spark: SparkSession, edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, depth) of all nodes that `starts` (node) reach, with the hops from the nearest of them, and (node) of those into which an edge leads from a node that
+    isn't nearer. An edge is looked at once, in the round that reaches its source."""
+    front = starts.withColumn("depth", F.lit(0).cast("long"))
+    seen, mixed, rest = front, starts.limit(0), edges
+    for step in count(1):
+        went = rest.join(front.select(F.col("node").alias("src"), F.lit(True).alias("there")), "src", "left")
+        went = cut(spark, went)
+        came = went.where("there").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left")
+        came = cut(spark, came)
+        front = came.where("depth is null").select("node", F.lit(step).cast("long").alias("depth"))
+        mixed = mixed.unionByName(came.where("depth is not null").select("node"))
+        if front.isEmpty():
+            return cut(spark, seen), cut(spark, mixed.distinct())
+        seen, rest = seen.unionByName(front), went.where("there is null").select("src", "dst")
+
+
+def _depths_by_entry(spark: SparkSession, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """node, depth: the largest of the hops from each entry, by words of bits."""
     e = cut(spark, edges.select("src", "dst").distinct())
     numbered = cut(spark, entries.select("node").distinct()).withColumn("number", F.monotonically_increasing_id())
     bit = F.expr(f"shiftleft(1L, cast(number % {WORD_BITS} as int))")

@@ -43,3 +43,16 @@ def test_every_suffix_resolves_and_the_first_wins(spark, suffix):
 def test_entry_tree_broadcasts_nothing(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
     assert "Broadcast" not in plan(graph.entry_tree(e, spark.createDataFrame([("a",)], "node string")))
+
+
+def test_depths_of_layers_need_no_search_by_entry(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_depths_by_entry", None)
+    e = spark.createDataFrame([(k, 100 + k % 3) for k in range(50)] + [(100, 200), (101, 200), (102, 201)], "src long, dst long")
+    got = graph.depths(spark, e, e.where("src < 100").select(e.src.alias("node")))
+    assert sorted((r.node, r.depth) for r in got.collect()) == [(100, 1), (101, 1), (102, 1), (200, 2), (201, 2)]
+
+
+def test_depths_of_mixed_ways_and_nulls(spark):
+    e = spark.createDataFrame([(1, 2), (2, 3), (5, 3), (3, 4), (4, 3), (6, 7), (None, 7), (7, None)], "src long, dst long")
+    got = graph.depths(spark, e, spark.createDataFrame([(1,), (5,), (6,), (None,)], "node long"))
+    assert sorted((r.node, r.depth) for r in got.collect()) == [(2, 1), (3, 2), (4, 3), (7, 1)]
