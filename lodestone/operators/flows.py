@@ -35,15 +35,13 @@ def innermost(tokens_: DataFrame, regions: DataFrame) -> DataFrame:
     """Tokens with `region`: the `id` of the innermost of the nested regions (path, first, last, id) that holds them, both ends left out; a missing end is the file's. Regions are
     brackets of their own: the last one opened on the level where a token stands, by a window over (file, level)."""
     ends = regions.select("path", F.col("first").alias("i"), F.lit(1).alias("step"), F.col("id")).unionByName(regions.where("last is not null").select("path", F.col("last").alias("i"), F.lit(-1).alias("step"), F.lit(None).cast("int").alias("id")))
-    marks = ends.groupBy("path", "i").agg(F.sum("step").alias("step"), F.max("id").alias("id"))
-    joined = tokens_.join(marks, ["path", "i"], "left")
-    run = Window.partitionBy("path").orderBy("i")
-    upto = run.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    level = F.sum(F.coalesce("step", F.lit(0))).over(upto)
-    joined = joined.withColumn("level", level).withColumn("at", F.when(F.col("id").isNotNull(), F.col("level") - 1).otherwise(F.col("level")))
-    opened = joined.where("id is not null").select("path", "i", F.col("level").alias("key"), "id")
-    asked = joined.select(*tokens_.columns, F.col("at").alias("key"), F.lit(None).cast("int").alias("id"))
-    both = asked.unionByName(opened.select(*(F.col(c) if c in ("path", "i") else F.lit(None).cast(dict(tokens_.dtypes)[c]).alias(c) for c in tokens_.columns), "key", "id").withColumn("opens", F.lit(True)), allowMissingColumns=True)
+    marks = ends.groupBy("path", "i").agg(F.sum("step").alias("step"), F.max("id").alias("id")).withColumn("opens", F.lit(True))
+    # Marks stand before their tokens in one table, so files are dealt once and no join moves tokens.
+    rows = tokens_.unionByName(marks, allowMissingColumns=True)
+    run = Window.partitionBy("path").orderBy("i", F.col("opens").isNull())
+    level = F.sum(F.coalesce("step", F.lit(0))).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    begins = F.col("opens").isNull() & (F.lag("i").over(run) == F.col("i")) & F.lag("id").over(run).isNotNull()
+    both = rows.withColumn("key", level - F.coalesce(begins, F.lit(False)).cast("int")).where("opens is null or id is not null")
     last = Window.partitionBy("path", "key").orderBy("i", F.col("opens").isNull().desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("region", F.when(F.col("key") > 0, F.last("id", ignorenulls=True).over(last))).where("opens is null").select(*tokens_.columns, "region")
 
@@ -57,35 +55,36 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     `path|line|!kind` (a sink) and `path|line|?` (a source). Kinds: within (a function), out (into a variable of a scope around), up (a function's result into a call), down (an argument of
     `call` into a parameter)."""
     sinks = SINKS if sinks is None else sinks
+    kept = lambda d: cut(spark, d, apart=True)
     w = Window.partitionBy("path").orderBy("i")
-    raw = cut(spark, lexer.tokens(files))
-    pairs = cut(spark, lexer.brackets(raw))
-    made = cut(spark, lexer.functions(raw, pairs))
+    raw = kept(lexer.tokens(files))
+    pairs = kept(lexer.brackets(raw))
+    made = kept(lexer.functions(raw, pairs))
     ahead, back = (lambda k: F.lead("text", k).over(w)), (lambda k: F.lag("text", k).over(w))
     t = raw.select("path", "i", "line_no", "kind", "text", "depth", ahead(1).alias("n1"), ahead(2).alias("n2"), back(1).alias("p1"), back(2).alias("p2"))
     new = (F.col("text") == ";") | (F.lag("line_no").over(w) != F.col("line_no"))
     t = t.withColumn("statement", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     t = innermost(t, made.select("path", F.col("params").alias("first"), F.col("end").alias("last"), F.col("start").alias("id"))).withColumn("scope", F.coalesce("region", F.lit(FILE))).drop("region")
-    t = cut(spark, t)
+    t = kept(t)
 
     # Names: where they are declared, and what they mean where they are used.
     head = made.select("path", "params", "params_end", F.col("start").alias("scope"))
     name = (F.col("kind") == "name") & ~F.col("text").isin(*KEYWORDS)
     commas = F.sum((F.col("text") == ",").cast("int")).over(Window.partitionBy("path", "scope").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inside = t.join(head, ["path", "scope"]).where((F.col("i") > F.col("params")) & (F.col("i") < F.col("params_end")))
-    params = cut(spark, inside.withColumn("place", commas).where(name & F.col("p1").isin("(", ",")).select("path", "scope", "text", "place"))
-    declared = cut(spark, t.where(name & F.col("p1").isin(*DECLARES)).select("path", "scope", "text").unionByName(params.select("path", "scope", "text")).distinct())
+    params = kept(inside.withColumn("place", commas).where(name & F.col("p1").isin("(", ",")).select("path", "scope", "text", "place"))
+    declared = kept(t.where(name & F.col("p1").isin(*DECLARES)).select("path", "scope", "text").unionByName(params.select("path", "scope", "text")).distinct())
     outer = made.select("path", F.col("start").alias("scope"), F.coalesce("inside", F.lit(FILE)).alias("above"))
-    chain = cut(spark, t.select("path", "scope").distinct().select("path", "scope", F.col("scope").alias("holder"), F.lit(0).alias("steps")))
+    chain = kept(t.select("path", "scope").distinct().select("path", "scope", F.col("scope").alias("holder"), F.lit(0).alias("steps")))
     all_, k = chain, 0
     while True:
         k += 1
-        chain = cut(spark, chain.join(outer.select("path", F.col("scope").alias("holder"), "above"), ["path", "holder"]).select("path", "scope", F.col("above").alias("holder"), F.lit(k).alias("steps")))
+        chain = kept(chain.join(outer.select("path", F.col("scope").alias("holder"), "above"), ["path", "holder"]).select("path", "scope", F.col("above").alias("holder"), F.lit(k).alias("steps")))
         if chain.isEmpty():
             break
         all_ = all_.unionByName(chain)
     meant = declared.withColumnRenamed("scope", "holder").join(all_, ["path", "holder"]).groupBy("path", "scope", "text").agg(F.min_by("holder", "steps").alias("holder"))
-    meant = cut(spark, meant)
+    meant = kept(meant)
 
     # Functions by name: those of the file, by the scope that holds them, and those imported from others.
     own = made.where("name <> ''").select("path", F.col("name").alias("text"), F.coalesce("inside", F.lit(FILE)).alias("holder"), F.col("start").alias("body"))
@@ -100,7 +99,7 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     far = imported.join(own.where(F.col("holder") == FILE).select(F.col("path").alias("from"), "text", "body"), ["from", "text"]).select("path", "text", F.lit(FILE).alias("holder"), F.col("from").alias("in"), "body")
     callable_ = own.select("path", "text", "holder", F.col("path").alias("in"), "body").unionByName(far)
     reach = callable_.join(all_, ["path", "holder"]).groupBy("path", "scope", "text").agg(F.min_by(F.struct("in", "body"), "steps").alias("to"))
-    reach = cut(spark, reach.select("path", "scope", "text", "to.*"))
+    reach = kept(reach.select("path", "scope", "text", "to.*"))
 
     # Calls that matter, and which of them stands innermost around each token.
     call = t.where((F.col("kind") == "name") & (F.col("n1") == "(") & (F.coalesce("p1", F.lit("")) != "function")).join(made.select("path", (F.col("params") - 1).alias("i"), F.lit(True).alias("defines")), ["path", "i"], "left").where("defines is null")
@@ -109,10 +108,10 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
         harm = F.when(F.col("text").isin(*names), kind).otherwise(harm)
     call = call.join(reach, ["path", "scope", "text"], "left").withColumn("body", F.when(F.coalesce("p1", F.lit("")) != ".", F.col("body")))
     call = call.select("path", F.col("i").alias("called"), (F.col("i") + 1).alias("start"), "in", "body", "line_no", F.when(F.col("body").isNull() & F.col("text").isin(*cleaners), "clean").when(F.col("body").isNull(), harm).alias("harm"))
-    call = cut(spark, call.where("body is not null or harm is not null").join(pairs.select("path", "start", "end"), ["path", "start"]))
+    call = kept(call.where("body is not null or harm is not null").join(pairs.select("path", "start", "end"), ["path", "start"]))
     t = innermost(t, call.select("path", F.col("start").alias("first"), F.col("end").alias("last"), F.col("start").alias("id")))
     place = F.sum((F.col("text") == ",").cast("int")).over(Window.partitionBy("path", "region", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = cut(spark, t.withColumn("commas", place))
+    t = kept(t.withColumn("commas", place))
     # The argument's number: commas of the call's own depth before the token.
     marks = t.where("region is not null and text = ','").select("path", "region", "depth", F.col("i").alias("comma"))
 
@@ -120,7 +119,7 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     plain = ~F.coalesce("p1", F.lit("")).isin("=", "!", "<", ">", "+", "-", "*", "/", "|", "&", "?") & ~F.coalesce("n2", F.lit("")).isin("=") & (F.col("n1") == "=")
     sets = t.where(name & plain & (F.coalesce("p1", F.lit("")) != ".")).join(meant, ["path", "scope", "text"], "left").select("path", "statement", (F.col("i") + 1).alias("after"), _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("target"), F.when(F.coalesce("holder", F.lit(FILE)) == F.col("scope"), "within").otherwise("out").alias("way"))
     returns = t.where("text = 'return'").select("path", "statement", F.col("i").alias("after"), _node(F.col("path"), F.col("scope").cast("string"), "->").alias("target"), F.lit("within").alias("way"))
-    targets = cut(spark, sets.unionByName(returns).groupBy("path", "statement").agg(F.min(F.struct("after", "target", "way")).alias("x")).select("path", "statement", "x.*"))
+    targets = kept(sets.unionByName(returns).groupBy("path", "statement").agg(F.min(F.struct("after", "target", "way")).alias("x")).select("path", "statement", "x.*"))
 
     # The things of a statement: variables, sources, results of calls.
     owners, members = sources
@@ -133,7 +132,7 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     known = call.where("body is not null").withColumn("site", site)
     results = t.join(known.select("path", F.col("called").alias("i"), "site"), ["path", "i"]).select("path", "i", "statement", "region", "depth", F.col("site").alias("thing"))
     up = known.select(F.lit("up").alias("kind"), _node(F.col("in"), F.col("body").cast("string"), "->").alias("src"), F.col("site").alias("dst"), F.lit(None).cast("string").alias("call"))
-    things = cut(spark, from_source.unionByName(variables).unionByName(results))
+    things = kept(from_source.unionByName(variables).unionByName(results))
 
     around = call.select("path", F.col("start").alias("region"), "in", "body", "harm", "line_no", site.alias("call")).join(raw.select("path", F.col("i").alias("region"), F.col("depth").alias("own")), ["path", "region"])
     held = things.where("region is not null").join(around, ["path", "region"])
@@ -143,7 +142,7 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     down = counted.join(places, ["in", "body", "place"]).select(F.lit("down").alias("kind"), F.col("thing").alias("src"), _node(F.col("in"), F.col("body").cast("string"), F.col("text")).alias("dst"), "call")
     harmed = held.where("harm is not null and harm <> 'clean'").select(F.lit("within").alias("kind"), F.col("thing").alias("src"), _node(F.col("path"), F.col("line_no").cast("string"), F.concat(F.lit("!"), "harm")).alias("dst"), none)
     free = things.where("region is null").join(targets, ["path", "statement"]).where("i > after").select(F.col("way").alias("kind"), F.col("thing").alias("src"), F.col("target").alias("dst"), none)
-    return cut(spark, down.unionByName(harmed).unionByName(free).unionByName(up).where("src <> dst").distinct())
+    return kept(down.unionByName(harmed).unionByName(free).unionByName(up).where("src <> dst").distinct())
 
 
 def summaries(spark: SparkSession, graph: DataFrame) -> DataFrame:
