@@ -1,7 +1,7 @@
 """Rendered files and graphs: plans that fit tables far larger than those they are made from."""
 
 import pytest
-from lodestone.operators import context, fixes, graph, lexer, parse, symbols
+from lodestone.operators import context, fixes, flows, graph, lexer, parse, symbols
 from lodestone.plans import code
 from pyspark.sql import functions as F
 
@@ -67,3 +67,13 @@ def test_openings_of_block_comments(spark):
 def test_excerpts_broadcast_no_texts(spark):
     files = code.code_files(spark, SF)
     assert "Broadcast" not in plan(fixes.excerpt(files.selectExpr("path", "2 as line_no"), files, 1))
+
+
+def test_regions_deal_tokens_once(spark):
+    t = spark.createDataFrame([("a", i, x) for i, x in enumerate("({x}y)z")], "path string, i int, text string")
+    regions = spark.createDataFrame([("a", 0, 5, 10), ("a", 1, 3, 11)], "path string, first int, last int, id int")
+    got = flows.innermost(t, regions)
+    text = plan(got)
+    # One for the marks' sums, one for tokens and marks together.
+    assert text.count("Exchange hashpartitioning") == 2 and "Join" not in text
+    assert [r.region for r in got.orderBy("i").collect()] == [None, 10, 11, 10, 10, None, None]
