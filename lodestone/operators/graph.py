@@ -32,24 +32,29 @@ def roles(nodes: DataFrame, edges: DataFrame, entries: int = 20, hub_share: floa
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node): each round points every node at its smallest neighbour, follows the pointers to
-    their ends, and links those; tables between rounds are written."""
+    """node, component (the smallest node) of all nodes with an edge to another."""
+    moved = _components_of_others(spark, edges)
+    return moved.unionByName(moved.select(F.col("component").alias("node"), "component").distinct())
+
+
+def _components_of_others(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """node, component without the smallest nodes themselves: each round points every node at its smallest neighbour, if that is smaller, follows the
+    pointers to their ends, and links those; tables between rounds are written."""
     links = cut(spark, edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
     labels = None
     while not links.isEmpty():
-        both = links.unionAll(links.select("b", "a"))
-        to = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("to"))
-        to = cut(spark, to)
+        to = cut(spark, links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
         while True:
             ahead = to.select(F.col("node").alias("to"), F.col("to").alias("beyond"))
             moved = cut(spark, to.join(ahead, "to", "left").select("node", F.coalesce("beyond", "to").alias("end"), "to"))
             to = moved.select("node", F.col("end").alias("to"))
             if moved.where("end <> to").isEmpty():
                 break
+        ended = to.select("node", F.col("to").alias("component"))
         if labels is None:
-            labels = to.select("node", F.col("to").alias("component"))
+            labels = ended
         else:
-            labels = cut(spark, labels.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            labels = cut(spark, labels.join(to.select(F.col("node").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(ended))
         move = lambda c: to.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
         links = cut(
             spark,
@@ -361,9 +366,98 @@ def blocks(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return lower.select("node", "block").unionByName(lower.select(F.col("parent").alias("node"), "block")).distinct()
 
 
-def connectors(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """node: those whose removal splits their part of the undirected graph: nodes of several biconnected parts."""
-    return blocks(spark, edges).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+#: Nodes, or sets of nodes, of a round of a search that are broadcast, after they were counted; more are joined by shuffle.
+FEW = 100_000
+#: Rounds of a search after which connectors are found by biconnected parts, which take the logarithm of any distance.
+MOST_LAYERS = 24
+
+
+def connectors(spark: SparkSession, edges: DataFrame, apart: bool = False) -> DataFrame:
+    """node: those whose removal splits their part of the undirected graph. `apart`: no node is both a src and a dst.
+
+    Nodes are told in stars: a src and its neighbours, or an edge as a star of its own and its two ends. A search from the smallest node of each component deals stars to layers:
+    a star of a round has members that the search has reached (up) and others that it reaches now (down). From the last layer
+    back, what lies below a layer and holds together has one label. What hangs on one star only, or with its stars on one node only, is split off by it: all else has a way to
+    the start that goes up only, past any other node. An edge is looked at in the round that reaches it and in its layer; nothing is doubled over nodes or edges.
+    """
+    layers = _layers(spark, *_stars(spark, edges, apart))
+    if layers is None:
+        return blocks(spark, edges).groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    found = edges.select(F.col("src").alias("node")).limit(0)
+    label = None
+    for depth in reversed(range(len(layers))):
+        layer = layers[depth]
+        # Stars that nothing hangs on are alone.
+        alone = layer.where("size(down) = 0").select("star", "up")
+        below = layer.where("size(down) > 0").select("star", F.explode("down").alias("node"))
+        if label is not None:
+            below = below.join(label, "node", "left").select("star", F.coalesce("component", "node").alias("node"))
+        below = cut(spark, below.repartition("star").groupBy("star").agg(F.sort_array(F.collect_set("node")).alias("below")))
+        if apart:
+            found = found.unionByName(below.select("star", F.explode("below").alias("held")).groupBy("held").agg(F.min("star").alias("node"), F.max("star").alias("last")).where("node = last").select("node"))
+        joined = _components_of_others(spark, _fans(below, "below"))
+        held = below.select("star", F.col("below")[0].alias("first")).join(joined.select(F.col("node").alias("first"), "component"), "first", "left").select("star", F.coalesce("component", "first").alias("held"))
+        pairs = cut(spark, held.join(layer.select("star", "up"), "star").select("held", F.explode("up").alias("node")).distinct())
+        if depth == 0:
+            parts = pairs.select("node").unionByName(alone.select(F.col("up")[0].alias("node")))
+            found = found.unionByName(parts.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node"))
+            break
+        found = found.unionByName(pairs.groupBy("held").agg(F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").select("node"))
+        found = found.unionByName(alone.where("size(up) = 1").select(F.col("up")[0].alias("node")))
+        label = _components_of_others(spark, pairs.select(F.col("held").alias("src"), F.col("node").alias("dst")).unionByName(_fans(alone, "up")))
+    return found.distinct()
+
+
+def _fans(sets: DataFrame, name: str) -> DataFrame:
+    """src, dst: links of the first of each set with its others."""
+    return sets.where(F.size(name) > 1).select(F.col(name)[0].alias("src"), F.explode(F.slice(name, 2, F.size(name))).alias("dst"))
+
+
+def _stars(spark: SparkSession, edges: DataFrame, apart: bool) -> tuple[DataFrame, DataFrame]:
+    """(star, nodes) with distinct nodes in order, and (node) of the smallest node of each component of them."""
+    e = edges.where("src <> dst")
+    if apart:
+        stars = e.select("src", "dst").repartition("src").groupBy(F.col("src").alias("star")).agg(F.sort_array(F.collect_set("dst")).alias("nodes"))
+    else:
+        stars = e.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().select(F.monotonically_increasing_id().alias("star"), F.array("a", "b").alias("nodes"))
+    stars = cut(spark, stars)
+    labels = _components_of_others(spark, _fans(stars, "nodes"))
+    least = stars.where("size(nodes) = 1").select(F.col("nodes")[0].alias("node")).unionByName(labels.select(F.col("component").alias("node"))).distinct()
+    return stars, cut(spark, least.join(labels.select("node"), "node", "left_anti"))
+
+
+def _layers(spark: SparkSession, stars: DataFrame, front: DataFrame) -> list[DataFrame] | None:
+    """(star, up, down) of each round of a search from `front` (node), which has a node of each component; None if there are more than MOST_LAYERS.
+
+    All members of a star that a round reaches are of this round or new, so none has to be looked up among those that were seen."""
+    layers: list[DataFrame] = []
+    n = front.count()
+    while n:
+        if len(layers) == MOST_LAYERS:
+            return None
+        ways = stars.select("star", F.explode("nodes").alias("node"))
+        near, touched = front.select("node", F.lit(True).alias("near")), None
+        if n <= FEW:
+            touched = cut(spark, ways.join(F.broadcast(front), "node", "left_semi").select("star").distinct())
+            if touched.count() > FEW:
+                touched = None
+        if touched is not None:
+            reached = stars.join(F.broadcast(touched), "star", "left_semi").select("star", F.explode("nodes").alias("node"))
+            layer = cut(spark, _dealt(reached.join(F.broadcast(near), "node", "left")))
+            stars = stars.join(F.broadcast(touched), "star", "left_anti")
+        else:
+            dealt = cut(spark, _dealt(ways.join(near.hint("merge"), "node", "left")))
+            layer = dealt.where("size(up) > 0")
+            stars = dealt.where("size(up) = 0").select("star", F.col("down").alias("nodes"))
+        layers.append(layer)
+        front = cut(spark, layer.select(F.explode("down").alias("node")).distinct())
+        n = front.count()
+    return layers
+
+
+def _dealt(ways: DataFrame) -> DataFrame:
+    """(star, node, near) -> star, up (the near ones), down."""
+    return ways.repartition("star").groupBy("star").agg(F.collect_list(F.when(F.col("near"), F.col("node"))).alias("up"), F.collect_list(F.when(F.col("near").isNull(), F.col("node"))).alias("down"))
 
 
 def entry_tree(edges: DataFrame, entries: DataFrame, width: int = 10) -> DataFrame:

@@ -221,7 +221,7 @@ def imported_often(spark, sf):
 def order_part_connectors(spark, sf):
     """Orders and parts whose removal would split the graph of who ordered what. The answer by brute force is in the tests."""
     items = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
-    return graph.connectors(spark, items)
+    return graph.connectors(spark, items, apart=True)
 
 
 @query(

@@ -136,3 +136,34 @@ def test_connectors_of_named_nodes(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "src string, dst string")
     assert sorted(r.node for r in graph.connectors(spark, edges).collect()) == ["c", "d"]
     assert graph.connectors(spark, edges.where("src > 'z'")).count() == 0
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+@pytest.mark.parametrize("seed, n, m", [(1, 12, 16), (3, 60, 64)])
+def test_connectors_by_layers(spark, monkeypatch, seed, n, m, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    draw = random.Random(seed)
+    pairs = [(draw.randrange(n), draw.randrange(n)) for _ in range(m)] + [(90, 90), (91, 90), (92, 92), (93, 94), (93, 95)]
+    pairs += [(None, 3), (3, None), pairs[0]]
+    whole = [e for e in pairs if None not in e]
+
+    def several(edges):
+        parts = brute_blocks(edges)
+        return {v for b in parts for v in b if sum(v in c for c in parts) > 1}
+
+    def refuse(*_):
+        raise AssertionError("biconnected parts were looked for")
+
+    monkeypatch.setattr(graph, "blocks", refuse)
+    sides = [(a * 2, b * 2 + 1) for a, b in whole]
+    assert {r.node for r in graph.connectors(spark, frame(spark, sides), apart=True).collect()} == several(sides)
+    if m < 64:
+        assert {r.node for r in graph.connectors(spark, frame(spark, pairs)).collect()} == several(whole)
+
+
+def test_far_connectors_go_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MOST_LAYERS", 3)
+    chain = [(k, k + 1) for k in range(12)]
+    parts = spark.createDataFrame([(x, k) for k in range(12) for x in (k, k + 1)], "node long, block long")
+    monkeypatch.setattr(graph, "blocks", lambda *_: parts)
+    assert {r.node for r in graph.connectors(spark, frame(spark, chain)).collect()} == set(range(1, 12))
