@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,20 +135,37 @@ def automaton(rules: list[Rule]) -> tuple[ahocorasick.Automaton | None, list[int
     return out, free
 
 
+#: Characters of texts whose lines are looked at together, if there are several texts.
+TOGETHER = 1_000_000
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in order, in parts of TOGETHER bytes of the column's texts, or of one row that has more."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = total = 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > start and total + size > TOGETHER:
+            yield batch.slice(start, i - start)
+            start, total = i, 0
+        total += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 CANDIDATES = "path string, line_no int, text string, ext string, rules array<int>"
 
 
 def candidate_lines(files: DataFrame, rules: list[Rule], path: str = "path", content: str = "content") -> DataFrame:
     """path, line_no, text, ext, rules: the lines on which a rule may match, and the numbers of those rules, which are for the file's extension.
 
-    Null contents have no lines. Texts are taken whole, batch by batch; memory is that of a batch and its lines.
+    Null contents have no lines. Texts are taken whole; memory is that of a batch as it comes, and of the lines of TOGETHER bytes of texts or of one text.
     """
     allowed = [set(r.extensions) for r in rules]
     patterns = [r for r in rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         search_, free = automaton(patterns)
-        for b in batches:
+        for b in (x for whole in batches for x in _slices(whole, 1)):
             cols: list[list] = [[] for _ in range(5)]
             for where, text, ext in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if text is None:

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from lodestone.operators import literal_index, scan, search
 from lodestone.operators.scan import Rule
@@ -61,6 +62,14 @@ def test_odd_files(spark):
     assert literal_index.scan_indexed(files.limit(0), rules).count() == 0
 
 
+def test_texts_are_taken_in_parts():
+    texts = ["a" * 400_000, None, "é" * 300_000, "b", "c" * 3_000_000, "", "d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["content"])
+    parts = [p.column(0).to_pylist() for p in literal_index._slices(batch, 0)]
+    assert [t for p in parts for t in p] == texts and [len(p) for p in parts] == [3, 1, 1, 2]
+    assert list(literal_index._slices(batch.slice(0, 0), 0)) == []
+
+
 def grams(text):
     return Counter(text[i : i + 3] for i in range(len(text) - 2))
 
