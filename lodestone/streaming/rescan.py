@@ -10,10 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.text import split_lines
 from lodestone.operators.scan import Rule
@@ -36,32 +37,26 @@ def line_findings(content: Column, rules: list[Rule]) -> Column:
     return F.coalesce(F.flatten(F.transform(split_lines(content), on_line)), F.array().cast("array<string>"))
 
 
-class Follow(StatefulProcessor):
-    """State of one path: its last version, hash and findings."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("file", STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802 - Spark's name
-        came = sorted(((int(v), int(h), f) for x in rows for v, h, f in zip(x["version"], x["hash"], x["findings"], strict=True)), key=lambda r: r[:2])
-        version, hash_, old = self.state.get() if self.state.exists() else (None, None, "")
-        out = []
-        for v, h, f in came:
-            if version is not None and v <= version:
-                continue
-            version = v
-            if h == hash_:
-                continue
-            before, now = set(filter(None, old.split("\n"))), set(filter(None, f.split("\n")))
-            out += [(key[0], v, action, *x.rsplit(":", 1)) for action, part in (("drop", before - now), ("add", now - before)) for x in sorted(part)]
-            hash_, old = h, f
-        if version is not None:
-            self.state.update((version, hash_, old))
-        frame = pd.DataFrame(out, columns=["path", "version", "action", "rule_id", "line_no"])
-        yield frame.astype({"version": "int64", "line_no": "int32"})
-
-    def close(self) -> None:
-        pass
+def _followed(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """CHANGES of one path, with its last version, hash and findings as state. States come and go with the rows of many paths, so none is asked for by itself."""
+    came = sorted(((int(v), int(h), f) for x in frames for v, h, f in zip(x["version"], x["hash"], x["findings"], strict=True)), key=lambda r: r[:2])
+    version, hash_, old = state.get if state.exists else (None, None, "")
+    out = []
+    for v, h, f in came:
+        if version is not None and v <= version:
+            continue
+        version = v
+        if h == hash_:
+            continue
+        before, now = set(filter(None, old.split("\n"))), set(filter(None, f.split("\n")))
+        out += [(key[0], v, action, *x.rsplit(":", 1)) for action, part in (("drop", before - now), ("add", now - before)) for x in sorted(part)]
+        hash_, old = h, f
+    if version is not None:
+        state.update((version, hash_, old))
+    if out:
+        # Columns with their types: a frame for each path is most of what a path costs.
+        path, v, action, rule, line = zip(*out, strict=True)
+        yield pd.DataFrame({"path": path, "version": np.array(v, np.int64), "action": action, "rule_id": rule, "line_no": np.array(line).astype(np.int32)})
 
 
 def follow(changes: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -69,7 +64,7 @@ def follow(changes: DataFrame, rules: list[Rule]) -> DataFrame:
     with the smaller hash counts)."""
     known = changes.where("path is not null and version is not null")
     rows = known.select(F.col("path").cast("string").alias("path"), F.col("version").cast("long").alias("version"), F.when(F.col("content").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("content")).alias("hash"), F.array_join(line_findings(F.col("content"), rules), "\n").alias("findings"))
-    return rows.groupBy("path").transformWithStateInPandas(Follow(), CHANGES, "update", "none")
+    return rows.groupBy("path").applyInPandasWithState(_followed, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def net(changes: DataFrame) -> DataFrame:

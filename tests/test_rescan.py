@@ -31,3 +31,10 @@ def test_any_split_gives_one_scan(spark, tmp_path, batches):
     rows = rescan.run_to_end(spark, rescan.follow(stream, RULES), f"file://{tmp_path}/out")
     assert sorted(map(tuple, rescan.net(rows).select("path", "rule_id", "line_no").collect())) == brute(changes)
     assert rows.where("path = 'same'").count() == 1
+
+
+def test_states_come_with_rows(spark, tmp_path):
+    stream = spark.readStream.schema("path string, version long, content string").parquet(f"file://{tmp_path}")
+    text = rescan.follow(stream, RULES)._jdf.queryExecution().analyzed().toString()
+    # Each call for a state of its own is a round trip from Python for every path.
+    assert "FlatMapGroupsInPandasWithState" in text and "TransformWithState" not in text
