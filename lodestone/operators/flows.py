@@ -59,7 +59,7 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     w = Window.partitionBy("path").orderBy("i")
     raw = kept(lexer.tokens(files))
     pairs = kept(lexer.brackets(raw))
-    made = kept(lexer.functions(raw, pairs))
+    made = lexer.functions(raw)
     ahead, back = (lambda k: F.lead("text", k).over(w)), (lambda k: F.lag("text", k).over(w))
     t = raw.select("path", "i", "line_no", "kind", "text", "depth", ahead(1).alias("n1"), ahead(2).alias("n2"), back(1).alias("p1"), back(2).alias("p2"))
     new = (F.col("text") == ";") | (F.lag("line_no").over(w) != F.col("line_no"))

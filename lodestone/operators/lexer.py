@@ -34,27 +34,28 @@ CONTROL = ("if", "for", "while", "switch", "catch", "with", "return", "typeof",
 
 def kind_of(text: Column) -> Column:
     first = F.substring(text, 1, 1)
-    out = F.when(first.isin("(", "[", "{"), "open").when(first.isin(")", "]", "}"), "close").when(text.rlike(r"\A\s"), "space").when(text.startswith("//") | text.startswith("/*"), "comment")
-    return out.when(first.isin('"', "'", "`"), "string").when(text.rlike(r"\A[\p{L}_$]"), "name").when(text.rlike(r"\A\d"), "number").otherwise("sign")
+    out = F.when(first.isin("(", "[", "{"), "open").when(first.isin(")", "]", "}"), "close").when(first.isin(" ", "\t", "\n", "\x0b", "\f", "\r"), "space").when(text.startswith("//") | text.startswith("/*"), "comment")
+    letter = first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$") | ((first > "\x7f") & text.rlike(r"\A\p{L}"))
+    return out.when(first.isin('"', "'", "`"), "string").when(letter, "name").when(first.between("0", "9"), "number").otherwise("sign")
 
 
 def tokens(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, i, line_no, kind, text, depth: the tokens that aren't white space or comments, numbered from 0; depth is that inside an opening bracket,
+    """path, at, i, line_no, kind, text, depth: the tokens that aren't white space or comments, numbered from 0 (`at`: with those); depth is that inside an opening bracket,
     and before a closing one is closed. `lone`: a closing bracket that nothing was open for.
 
     Null and empty texts have none. Very long texts are one row's array of tokens; windows spill.
     """
     each = files.select(F.col(path).alias("path"), F.posexplode(F.regexp_extract_all(F.col(content), F.lit(TOKEN), F.lit(0))).alias("at", "text"))
     order = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    known = each.withColumn("kind", kind_of(F.col("text"))).withColumn("line_no", (F.sum(lines).over(order) - lines + 1).cast("int")).where("kind not in ('space', 'comment')")
+    lines = F.when(F.col("text").contains("\n"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).otherwise(0)
+    known = each.withColumn("kind", kind_of(F.col("text"))).where("kind not in ('space', 'comment') or contains(text, '\\n')").withColumn("line_no", (F.sum(lines).over(order) - lines + 1).cast("int")).where("kind not in ('space', 'comment')")
     known = known.withColumn("i", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).cast("int"))
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     summed = known.withColumn("sum", F.sum(step).over(order)).withColumn("least", F.least(F.min("sum").over(order), F.lit(0)))
     before = F.coalesce(F.lag("least").over(Window.partitionBy("path").orderBy("at")), F.lit(0))
     lone = (F.col("kind") == "close") & (F.col("least") < before)
     depth = F.col("sum") - F.col("least") + F.when((F.col("kind") == "close") & ~lone, 1).otherwise(0)
-    return summed.select("path", "i", "line_no", "kind", "text", depth.cast("int").alias("depth"), lone.alias("lone"))
+    return summed.select("path", "at", "i", "line_no", "kind", "text", depth.cast("int").alias("depth"), lone.alias("lone"))
 
 
 def brackets(tokens_: DataFrame) -> DataFrame:
@@ -64,46 +65,62 @@ def brackets(tokens_: DataFrame) -> DataFrame:
     turn = Window.partitionBy("path", "level").orderBy("i")
     pairs = signs.withColumn("end", F.lead("i").over(turn)).withColumn("end_line", F.lead("line_no").over(turn)).where("kind = 'open'")
     inner = pairs.select("path", F.col("text").alias("sign"), F.col("i").alias("start"), "end", "level", F.col("line_no").alias("start_line"), "end_line")
-    both = inner.select("*", (F.col("level") - 1).alias("key"), F.lit(None).cast("int").alias("outer")).unionByName(
-        inner.select("path", "sign", "start", "end", "level", "start_line", "end_line", F.col("level").alias("key"), F.col("start").alias("outer"))
-    )
+    # Each stands twice in one table, on its own level and on the one above, so that the tokens are cut once.
+    both = inner.select("*", F.explode(F.array(F.struct((F.col("level") - 1).alias("key"), F.lit(None).cast("int").alias("outer")), F.struct(F.col("level").alias("key"), F.col("start").alias("outer")))).alias("x")).select("*", "x.*")
     last = Window.partitionBy("path", "key").orderBy("start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("around", F.last("outer", ignorenulls=True).over(last)).where("outer is null").select("path", "sign", "start", "end", "level", "around", "start_line", "end_line")
 
 
-def functions(tokens_: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """path, name, first, params, params_end, start, end, start_line, end_line, inside: functions, methods and arrow functions with a body in braces, by the
-    numbers of their tokens: where the head begins, its brackets, and the body's. `inside` is the body's brace of the function around it. Names of arrows are those they are assigned to; others
-    without a name have an empty one. Tokens, pairs and functions are written, as each is read several times, and no join broadcasts them."""
-    spark = tokens_.sparkSession
-    if pairs is None:
-        tokens_ = cut(spark, tokens_, apart=True)
-        pairs = cut(spark, brackets(tokens_), apart=True)
-    w = Window.partitionBy("path").orderBy("i")
-    back = lambda k: F.lag("text", k).over(w)
-    near = tokens_.select("path", "i", "text", "kind", "line_no", *(back(k).alias(f"b{k}") for k in (1, 2, 3, 4)), F.lag("kind", 1).over(w).alias("k1"))
-    heads = pairs.where("sign = '('").select("path", F.col("start").alias("params"), F.col("end").alias("params_end"))
-    opened = near.where("text = '('").select("path", F.col("i").alias("params"), F.col("b1").alias("name"), F.col("k1").alias("name_kind"), F.col("b2").alias("word"), "b3", "b4")
-    heads = heads.join(opened, ["path", "params"])
+def neighbours(tokens_: DataFrame) -> DataFrame:
+    """Tokens with the texts before and after them (b1 to b4, n1 and n2) and the kinds of those next to them (kb1, kn1)."""
+    w = Window.partitionBy("path").orderBy("at")
+    back = (F.lag("text", k).over(w).alias(f"b{k}") for k in (1, 2, 3, 4))
+    return tokens_.select("*", *back, F.lead("text", 1).over(w).alias("n1"), F.lead("text", 2).over(w).alias("n2"), F.lag("kind", 1).over(w).alias("kb1"), F.lead("kind", 1).over(w).alias("kn1"))
+
+
+def matched(near: DataFrame) -> DataFrame:
+    """`neighbours` with what brackets know of each other. `end`, `end_line`, `after`: where an opening one is closed, and the token behind that.
+    `opener`: the bracket that a closing one closes, with its neighbours. `head`, at the brace of a function's body: name, params, params_end. All of it is windows over one file's tokens, so
+    tables dealt by path are neither written nor shuffled for it; tokens other than brackets may be left out before."""
+    sign = (F.col("kind") == "open") | ((F.col("kind") == "close") & ~F.col("lone"))
+    turn, w = Window.partitionBy("path", "level").orderBy("i"), Window.partitionBy("path").orderBy("i")
+    opens, closes = F.col("kind") == "open", sign & (F.col("kind") == "close")
+    t = near.withColumn("level", F.when(sign, F.col("depth")))
+    next_ = lambda c: F.when(opens, F.lead(c).over(turn))
+    opener = F.struct("i", "text", "b1", "b2", "b3", "kb1")
+    t = t.select("*", next_("i").alias("end"), next_("line_no").alias("end_line"), next_(F.struct("n1", "kn1")).alias("after"), F.when(closes, F.lag(opener).over(turn)).alias("opener"))
     # What stands between the closing bracket and the brace: nothing, an arrow, or a type after a colon.
-    bodies = pairs.where("sign = '{'").join(near.where("text = '{'").select("path", F.col("i").alias("start"), "b1", "b2", "b3"), ["path", "start"])
     arrow = F.col("b1") == "=>"
-    ends = F.when(~arrow & (F.col("b1") == ")"), F.col("start") - 1).when(arrow & (F.col("b2") == ")"), F.col("start") - 2).when(~arrow & (F.col("b3") == ")") & (F.col("b2") == ":"), F.col("start") - 3)
-    found = bodies.withColumn("arrow", arrow).withColumn("params_end", ends).drop("b1", "b2", "b3").join(heads, ["path", "params_end"])
-    named = (F.col("name_kind") == "name") & ~F.col("name").isin(*CONTROL)
+    ends = F.when(~arrow & (F.col("b1") == ")"), F.col("i") - 1).when(arrow & (F.col("b2") == ")"), F.col("i") - 2).when(~arrow & (F.col("b3") == ")") & (F.col("b2") == ":"), F.col("i") - 3)
+    t = t.withColumn("params_end", F.when(F.col("text") == "{", ends))
+    before = [F.lag(F.struct("i", "opener"), k).over(w) for k in (1, 2, 3)]
+    t = t.withColumn("o", F.coalesce(*(F.when(b["i"] == F.col("params_end"), b["opener"]) for b in before)))
+    named = (F.col("o.kb1") == "name") & ~F.col("o.b1").isin(*CONTROL)
     # name = (x) => {, name = async (x) => {, name: (x) => {
-    given = F.when(F.col("name").isin("=", ":"), F.col("word")).when((F.col("name") == "async") & F.col("word").isin("=", ":"), F.col("b3"))
-    name = F.when(F.col("arrow"), F.coalesce(given, F.lit(""))).when(F.col("name") == "function", "").when(named, F.col("name"))
-    found = found.withColumn("name", name).where("name is not null and (arrow or name <> '' or b3 is not null or word is not null or name = '')")
-    found = cut(spark, found.select("path", "name", "params", "params_end", "start", "end", "start_line", "end_line"), apart=True)
-    return found.join(holders(pairs, found), ["path", "start"], "left").select("path", "name", "params", "params_end", "start", "end", "start_line", "end_line", "inside")
-
-
-def holders(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """path, start, inside: for each bracket, the innermost body (path, start, end) that holds it. As bodies nest, that is the last one opened
-    before it that isn't closed yet: the deepest of those by a window over openings and closings."""
-    level = pairs.select("path", "start", "level").join(found.select("path", "start", "end"), ["path", "start"])
-    # Bodies around a place are at most as many as brackets around it; each bracket asks those of its file that open before and close after.
-    asked = pairs.select("path", F.col("start").alias("at"))
-    held = asked.join(level, "path").where("start < at and (end is null or end > at)")
-    return held.groupBy("path", F.col("at").alias("start")).agg(F.max("start").alias("inside"))
+    given = F.when(F.col("o.b1").isin("=", ":"), F.col("o.b2")).when((F.col("o.b1") == "async") & F.col("o.b2").isin("=", ":"), F.col("o.b3"))
+    name = F.when(arrow, F.coalesce(given, F.lit(""))).when(F.col("o.b1") == "function", "").when(named, F.col("o.b1"))
+    head = F.when((F.col("o.text") == "(") & name.isNotNull(), F.struct(name.alias("name"), F.col("o.i").alias("params"), "params_end"))
+    return t.withColumn("head", head).drop("o", "params_end")
+
+
+def nested(ranges: DataFrame, value: Column) -> DataFrame:
+    """Ranges (path, first, last: null for the file's end) that nest, with `depth` (0: outside all others) and `around`: `value` of the innermost one that holds each (null: none).
+
+    One opens after those around it and closes before them, and where one ends as the next begins, the end comes first: what is around it is the last one opened on the level above."""
+    columns = ranges.columns
+    ends = F.explode(F.array_compact(F.array(F.struct(F.col("first").alias("at"), F.lit(1).alias("step")), F.when(F.col("last").isNotNull(), F.struct(F.col("last").alias("at"), F.lit(-1).alias("step"))))))
+    run = Window.partitionBy("path").orderBy("at", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = ranges.select("*", value.alias("value"), ends.alias("e")).withColumns({"at": F.col("e.at"), "step": F.col("e.step")}).withColumn("depth", (F.sum("step").over(run) - 1).cast("int")).where("step = 1")
+    both = levels.select(*columns, "depth", "value", F.explode(F.array(F.struct(F.lit(False).alias("opens"), F.col("depth").alias("key")), F.struct(F.lit(True).alias("opens"), (F.col("depth") + 1).alias("key")))).alias("x")).select("*", "x.*")
+    last = Window.partitionBy("path", "key").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    around = F.when(F.col("key") > 0, F.last(F.when(F.col("opens"), F.col("value")), ignorenulls=True).over(last))
+    return both.withColumn("around", around).where("not opens").select(*columns, "depth", "around")
+
+
+def functions(tokens_: DataFrame) -> DataFrame:
+    """path, name, params, params_end, start, end, start_line, end_line, inside: functions, methods and arrow functions with a body in braces, by the
+    numbers of their tokens: where the head's brackets are, and the body's. `inside` is the body's brace of the function around it. Names of arrows are those they are assigned to; others
+    without a name have an empty one. They are written, as they are much fewer than the tokens they are found in."""
+    found = matched(neighbours(tokens_).where("kind in ('open', 'close')")).where("head is not null").select("path", "head.*", F.col("i").alias("first"), F.col("end").alias("last"), F.col("line_no").alias("start_line"), "end_line")
+    held = nested(found, F.col("first")).select("path", "name", "params", "params_end", F.col("first").alias("start"), F.col("last").alias("end"), "start_line", "end_line", F.col("around").alias("inside"))
+    return cut(tokens_.sparkSession, held, apart=True)

@@ -22,31 +22,22 @@ FUNCS = ("func", "fn", "fun", "function", "def")
 
 
 def brace_symbols(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """path, kind, name, start_line, end_line, first, last: declarations with a body in braces, by the numbers of their tokens."""
-    spark = files.sparkSession
-    t = cut(spark, lexer.tokens(files.where(extension(F.col(path)).isin(*BRACES)), path, content), apart=True)
-    pairs = cut(spark, lexer.brackets(t), apart=True)
-    w = Window.partitionBy("path").orderBy("i")
-    near = t.select("*", *(F.lead("text", k).over(w).alias(f"n{k}") for k in (1, 2)), F.lead("kind", 1).over(w).alias("k1"), F.lag("text", 1).over(w).alias("p1"))
-    # Go names a method after its receiver, in brackets.
-    receivers = pairs.where("sign = '('").select("path", (F.col("start") - 1).alias("i"), (F.col("end") + 1).alias("named"))
-    word = near.where((F.col("kind") == "name") & F.col("text").isin(*TYPES, *FUNCS) & (F.coalesce("p1", F.lit("")) != "."))
-    word = word.join(receivers, ["path", "i"], "left").join(t.select("path", F.col("i").alias("named"), F.col("text").alias("after"), F.col("kind").alias("after_kind")), ["path", "named"], "left")
-    name = F.when((F.col("n1") == "(") & (F.col("text") == "func") & (F.col("after_kind") == "name"), F.col("after")).when(F.col("k1") == "name", F.col("n1"))
-    heads = word.select("path", F.col("i").alias("first"), F.col("depth").alias("level"), "line_no", F.when(F.col("text").isin(*FUNCS), "function").otherwise(F.col("text")).alias("kind"), name.alias("name")).where("name is not null")
+    """path, kind, name, start_line, end_line, first, last: declarations with a body in braces, by the numbers of their tokens. Windows over a file's tokens find them, without a join: files dealt by path
+    stay where they are."""
+    t = lexer.neighbours(lexer.tokens(files.where(extension(F.col(path)).isin(*BRACES)), path, content))
+    word = (F.col("kind") == "name") & F.col("text").isin(*TYPES, *FUNCS) & (F.coalesce("b1", F.lit("")) != ".")
+    t = lexer.matched(t.withColumn("word", word).where("word or kind in ('open', 'close') or text = ';'"))
+    # Go names a method after its receiver, in brackets: those are the next row after its word then.
+    behind = F.lead(F.when((F.col("text") == "(") & F.col("end").isNotNull(), F.col("after"))).over(Window.partitionBy("path").orderBy("i"))
+    t = t.withColumn("behind", behind)
+    name = F.when((F.col("n1") == "(") & (F.col("text") == "func") & (F.col("behind.kn1") == "name"), F.col("behind.n1")).when(F.col("kn1") == "name", F.col("n1"))
+    declares = F.struct(F.when(F.col("text").isin(*FUNCS), "function").otherwise(F.col("text")).alias("kind"), name.alias("name"), F.col("line_no").alias("start_line"))
+    marks = t.withColumn("declares", F.when(F.col("word") & name.isNotNull(), declares)).where("declares is not null or text in ('{', ';')")
     # On each level: heads, braces and ends of statements in order; a head's body is what comes next, if that is a brace.
-    marks = (
-        heads.select("path", "level", F.col("first").alias("i"), F.lit(None).cast("int").alias("last"), F.lit("head").alias("mark"))
-        .unionByName(pairs.where("sign = '{'").select("path", (F.col("level") - 1).alias("level"), F.col("start").alias("i"), F.col("end").alias("last"), F.lit("body").alias("mark")))
-        .unionByName(t.where("text = ';'").select("path", F.col("depth").alias("level"), "i", F.lit(None).cast("int").alias("last"), F.lit("stop").alias("mark")))
-    )
     turn = Window.partitionBy("path", "level").orderBy("i")
-    bodies = marks.withColumn("next", F.lead(F.struct("mark", "i", "last")).over(turn)).where("mark = 'head' and next.mark = 'body'").select("path", F.col("i").alias("first"), F.col("next.i").alias("start"), F.col("next.last").alias("last"))
-    lines = t.select("path", F.col("i").alias("last"), F.col("line_no").alias("end_line"))
-    declared = cut(spark, heads.join(bodies, ["path", "first"]).join(lines, ["path", "last"], "left").select("path", "kind", "name", F.col("line_no").alias("start_line"), "end_line", "start", "last"), apart=True)
-    methods = lexer.functions(t, pairs).where((F.col("name") != "") & ~F.col("name").isin(*FUNCS)).select("path", F.lit("function").alias("kind"), "name", "start_line", "end_line", "start", F.col("end").alias("last"))
-    found = declared.unionByName(methods.join(declared.select("path", "start"), ["path", "start"], "left_anti"))
-    return found.select("path", "kind", "name", "start_line", "end_line", F.col("start").alias("first"), "last")
+    marks = marks.withColumn("level", F.col("depth") - (F.col("text") == "{").cast("int")).withColumn("declared", F.lag("declares").over(turn)).where("text = '{'")
+    method = F.when((F.col("head.name") != "") & ~F.col("head.name").isin(*FUNCS), F.struct(F.lit("function").alias("kind"), F.col("head.name").alias("name"), F.col("line_no").alias("start_line")))
+    return marks.withColumn("x", F.coalesce("declared", method)).where("x is not null").select("path", "x.*", "end_line", F.col("i").alias("first"), F.col("end").alias("last"))
 
 
 def indented_symbols(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -70,14 +61,7 @@ def indented_symbols(files: DataFrame, path: str = "path", content: str = "conte
 def nested_symbols(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """path, kind, name, start_line, end_line, parent, depth: all symbols; `parent` is the innermost symbol around, by name (null: none), depth 0 outside all.
 
-    Symbols of a file nest, so one opens after those around it and closes before them: the parent is the last one opened that is on the level above."""
-    found = cut(files.sparkSession, brace_symbols(files, path, content).unionByName(indented_symbols(files, path, content)))
-    ends = found.select("path", F.col("first").alias("i"), F.lit(1).alias("step"), F.struct("first", "name", "kind", "start_line", "end_line").alias("x")).unionByName(
-        found.where("last is not null").select("path", F.col("last").alias("i"), F.lit(-1).alias("step"), F.lit(None).cast("struct<first:int,name:string,kind:string,start_line:int,end_line:int>").alias("x"))
-    )
-    # Where one ends as the next begins, the end comes first.
-    run = Window.partitionBy("path").orderBy("i", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = ends.withColumn("depth", F.sum("step").over(run)).where("x is not null").withColumn("depth", F.col("depth") - 1)
-    both = levels.select("path", "i", "depth", "x", F.col("depth").alias("key"), F.lit(None).cast("string").alias("name")).unionByName(levels.select("path", "i", "depth", F.lit(None).cast("struct<first:int,name:string,kind:string,start_line:int,end_line:int>").alias("x"), (F.col("depth") + 1).alias("key"), F.col("x.name").alias("name")))
-    last = Window.partitionBy("path", "key").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("parent", F.when(F.col("key") > 0, F.last("name", ignorenulls=True).over(last))).where("x is not null").select("path", "x.kind", "x.name", "x.start_line", "x.end_line", "parent", F.col("depth").cast("int").alias("depth"))
+    Symbols are written once, at the end: nothing of the tokens is."""
+    found = [lexer.nested(d, F.col("name")) for d in (brace_symbols(files, path, content), indented_symbols(files, path, content))]
+    both = found[0].unionByName(found[1]).select("path", "kind", "name", "start_line", "end_line", F.col("around").alias("parent"), "depth")
+    return cut(files.sparkSession, both)

@@ -26,6 +26,12 @@ def test_symbols_and_functions_read_tokens_once(spark):
         assert "regexp_extract_all" not in text and "Broadcast" not in text
 
 
+def test_symbols_shuffle_no_tokens(spark):
+    text = plan(symbols.brace_symbols(code.code_files(spark, SF)))
+    # The one exchange deals the rows that files are rendered from.
+    assert text.count("Exchange") == 1 and "Exchange hashpartitioning(path" in text and "Join" not in text
+
+
 def test_resolution_broadcasts_nothing_and_joins_on_bases(spark):
     files = code.typescript(spark, SF)
     text = plan(parse.resolve(parse.imports(files), files))
