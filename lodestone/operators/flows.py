@@ -1,6 +1,6 @@
 """Where input from outside goes: variables, functions and files as one graph of flows, walked to a fixpoint.
 
-All of it comes from the token table. A statement is what stands on a line between semicolons. Names are resolved to the innermost scope around
+All of it comes from the token table, of which only the few tokens that matter (`facts`) are written. A statement is what stands on a line between semicolons. Names are resolved to the innermost scope around
 their use that declares them, else to the file's. What a statement's value holds (a variable, a source, the result of a call)
 flows to what stands innermost around it: into the parameter of a function that is known, in this file or by an import; into a sink; nowhere, if it is a cleaner's argument;
 else to the variable that is assigned, or to the result of the function that returns it.
@@ -33,8 +33,8 @@ FILE = -1
 
 def innermost(tokens_: DataFrame, regions: DataFrame) -> DataFrame:
     """Tokens with `region`: the `id` of the innermost of the nested regions (path, first, last, id) that holds them, both ends left out; a missing end is the file's. Regions are
-    brackets of their own: the last one opened on the level where a token stands, by a window over (file, level)."""
-    ends = regions.select("path", F.col("first").alias("i"), F.lit(1).alias("step"), F.col("id")).unionByName(regions.where("last is not null").select("path", F.col("last").alias("i"), F.lit(-1).alias("step"), F.lit(None).cast("int").alias("id")))
+    brackets of their own: the last one opened on the level where a token stands, by a window over (file, level). An `id` may be of any type that has an order."""
+    ends = regions.select("path", F.col("first").alias("i"), F.lit(1).alias("step"), F.col("id")).unionByName(regions.where("last is not null").select("path", F.col("last").alias("i"), F.lit(-1).alias("step"), F.lit(None).cast(regions.schema["id"].dataType).alias("id")))
     marks = ends.groupBy("path", "i").agg(F.sum("step").alias("step"), F.max("id").alias("id")).withColumn("opens", F.lit(True))
     # Marks stand before their tokens in one table, so files are dealt once and no join moves tokens.
     rows = tokens_.unionByName(marks, allowMissingColumns=True)
@@ -50,30 +50,66 @@ def _node(*parts) -> Column:
     return F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+def facts(files: DataFrame, sources: tuple = SOURCES) -> DataFrame:
+    """The tokens that flows are made of, by windows over one file's tokens: names that declare, are declared, set, used or called, sources, `return`, what imports say, commas
+    in brackets, and the braces of functions' bodies (`head`: name, params, params_end). `target`: the token that sets what the statement's values go to; `end`: where a body or a call's brackets end."""
+    owners, members = sources
+    w = Window.partitionBy("path").orderBy("at")
+    so_far = Window.unboundedPreceding, Window.currentRow
+    t = lexer.neighbours(lexer.tokens(files))
+    text, p1, n1, n2 = (F.coalesce(c, F.lit("")) for c in ("text", "b1", "n1", "n2"))
+    new = (text == ";") | (F.lag("line_no").over(w) != F.col("line_no"))
+    t = t.withColumn("statement", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(*so_far)))
+    word = F.col("kind") == "name"
+    name = word & ~text.isin(*KEYWORDS)
+    is_source = text.isin(*owners) & (n1 == ".") & n2.isin(*members) & (p1 != ".")
+    flags = {
+        "sets": name & ~p1.isin("=", "!", "<", ">", "+", "-", "*", "/", "|", "&", "?", ".") & (n1 == "=") & (n2 != "="),
+        "returns": text == "return",
+        "declares": name & p1.isin(*DECLARES),
+        "listed": name & p1.isin("(", ","),
+        "used": name & (p1 != ".") & ~n1.isin("(", ":") & ~is_source,
+        "source": is_source,
+        "called": word & (n1 == "(") & (p1 != "function"),
+        "member": p1 == ".",
+        "comma": text == ",",
+        "imports": text == "import",
+        "origin": (F.col("kind") == "string") & (p1 == "from"),
+        "brought": word & p1.isin("{", ",") & n1.isin("}", ","),
+    }
+    t = t.withColumns(flags)
+    # The first thing of a statement that takes a value: what is set, or the function's result.
+    aims = F.col("sets") | F.col("returns")
+    earlier = F.max(F.when(aims, F.col("statement"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("aims", aims & F.coalesce(earlier < F.col("statement"), F.lit(True)))
+    t = t.withColumn("aim", F.last(F.when(F.col("aims"), F.struct("statement", "i", (F.col("i") + F.col("sets").cast("int")).alias("after"))), ignorenulls=True).over(w.rowsBetween(*so_far)))
+    t = t.withColumn("target", F.when((F.col("aim.statement") == F.col("statement")) & (F.col("i") > F.col("aim.after")), F.col("aim.i"))).drop("aim")
+    thing = F.col("used") | F.col("source")
+    other = F.col("aims") | F.col("declares") | F.col("called") | F.col("imports") | F.col("origin") | F.col("brought")
+    t = lexer.matched(t.where(thing | other | F.col("listed") | F.col("comma") | F.col("kind").isin("open", "close")))
+    by = Window.partitionBy("path").orderBy("i")
+    step = F.when(text == "(", 1).when(F.col("opener.text") == "(", -1).otherwise(0)
+    t = t.withColumn("inside", F.sum(step).over(by.rowsBetween(*so_far)) > 0).withColumn("end", F.when(F.col("called"), F.lead("end").over(by)).otherwise(F.col("end")))
+    t = t.where(other | (thing & F.col("target").isNotNull()) | (F.col("inside") & (thing | F.col("listed") | F.col("comma"))) | F.col("head").isNotNull())
+    return t.select("path", "i", "line_no", "statement", "text", "depth", *(f for f in flags if f != "returns"), "aims", "target", "end", "head")
+
+
 def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES, sinks: dict[str, tuple[str, ...]] | None = None, cleaners: tuple[str, ...] = CLEANERS) -> DataFrame:
     """kind, src, dst, call: flows between things named `path|scope|name`, `path|body|->` (a function's result), `path|token|()` (a call's result),
     `path|line|!kind` (a sink) and `path|line|?` (a source). Kinds: within (a function), out (into a variable of a scope around), up (a function's result into a call), down (an argument of
     `call` into a parameter)."""
     sinks = SINKS if sinks is None else sinks
     kept = lambda d: cut(spark, d, apart=True)
-    w = Window.partitionBy("path").orderBy("i")
-    raw = kept(lexer.tokens(files))
-    pairs = kept(lexer.brackets(raw))
-    made = lexer.functions(raw)
-    ahead, back = (lambda k: F.lead("text", k).over(w)), (lambda k: F.lag("text", k).over(w))
-    t = raw.select("path", "i", "line_no", "kind", "text", "depth", ahead(1).alias("n1"), ahead(2).alias("n2"), back(1).alias("p1"), back(2).alias("p2"))
-    new = (F.col("text") == ";") | (F.lag("line_no").over(w) != F.col("line_no"))
-    t = t.withColumn("statement", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    t = innermost(t, made.select("path", F.col("params").alias("first"), F.col("end").alias("last"), F.col("start").alias("id"))).withColumn("scope", F.coalesce("region", F.lit(FILE))).drop("region")
-    t = kept(t)
-
-    # Names: where they are declared, and what they mean where they are used.
-    head = made.select("path", "params", "params_end", F.col("start").alias("scope"))
-    name = (F.col("kind") == "name") & ~F.col("text").isin(*KEYWORDS)
-    commas = F.sum((F.col("text") == ",").cast("int")).over(Window.partitionBy("path", "scope").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = t.join(head, ["path", "scope"]).where((F.col("i") > F.col("params")) & (F.col("i") < F.col("params_end")))
-    params = kept(inside.withColumn("place", commas).where(name & F.col("p1").isin("(", ",")).select("path", "scope", "text", "place"))
-    declared = kept(t.where(name & F.col("p1").isin(*DECLARES)).select("path", "scope", "text").unionByName(params.select("path", "scope", "text")).distinct())
+    found = kept(facts(files, sources))
+    made = found.where("head is not null").select("path", "head.*", F.col("i").alias("first"), F.col("end").alias("last"))
+    made = kept(lexer.nested(made, F.col("first")).select("path", "name", "params", "params_end", F.col("first").alias("start"), F.col("last").alias("end"), F.col("around").alias("inside")))
+    t = innermost(found.where("head is null").drop("head"), made.select("path", F.col("params").alias("first"), F.col("end").alias("last"), F.struct("start", "params", "params_end").alias("id")))
+    # Names: where they are declared, and what they mean where they are used. A parameter's place is the number of commas before it in its function's brackets.
+    t = t.withColumn("scope", F.coalesce("region.start", F.lit(FILE))).withColumn("listing", F.coalesce((F.col("i") > F.col("region.params")) & (F.col("i") < F.col("region.params_end")), F.lit(False)))
+    commas = F.sum((F.col("comma") & F.col("listing")).cast("int")).over(Window.partitionBy("path", "scope").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    t = kept(t.withColumn("place", commas.cast("int")).drop("region"))
+    params = t.where("listed and listing").select("path", "scope", "text", "place")
+    declared = t.where("declares or (listed and listing)").select("path", "scope", "text").distinct()
     outer = made.select("path", F.col("start").alias("scope"), F.coalesce("inside", F.lit(FILE)).alias("above"))
     chain = kept(t.select("path", "scope").distinct().select("path", "scope", F.col("scope").alias("holder"), F.lit(0).alias("steps")))
     all_, k = chain, 0
@@ -89,59 +125,48 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     # Functions by name: those of the file, by the scope that holds them, and those imported from others.
     own = made.where("name <> ''").select("path", F.col("name").alias("text"), F.coalesce("inside", F.lit(FILE)).alias("holder"), F.col("start").alias("body"))
     spec = F.regexp_extract("text", "^.(.*).$", 1)
-    line = t.select("path", "statement", "text", "kind", "p1", "n1")
-    start = line.where("text = 'import'").select("path", "statement")
-    brought = line.join(start, ["path", "statement"], "left_semi")
-    where = brought.where("kind = 'string' and p1 = 'from'").select("path", "statement", spec.alias("spec"))
+    start = t.where("imports").select("path", "statement").distinct()
+    where = t.where("origin").select("path", "statement", spec.alias("spec")).where("spec like './%'")
     folder = F.regexp_replace("path", "[^/]*$", "")
-    where = where.where("spec like './%'").select("path", "statement", F.concat(folder, F.substring("spec", 3, 1000), F.lit("."), F.regexp_extract("path", "[^.]*$", 0)).alias("from"))
-    imported = brought.where("kind = 'name' and p1 in ('{', ',') and n1 in ('}', ',')").join(where, ["path", "statement"]).select("path", "text", "from")
+    where = where.select("path", "statement", F.concat(folder, F.substring("spec", 3, 1000), F.lit("."), F.regexp_extract("path", "[^.]*$", 0)).alias("from"))
+    imported = t.where("brought").join(start, ["path", "statement"]).join(where, ["path", "statement"]).select("path", "text", "from")
     far = imported.join(own.where(F.col("holder") == FILE).select(F.col("path").alias("from"), "text", "body"), ["from", "text"]).select("path", "text", F.lit(FILE).alias("holder"), F.col("from").alias("in"), "body")
     callable_ = own.select("path", "text", "holder", F.col("path").alias("in"), "body").unionByName(far)
-    reach = callable_.join(all_, ["path", "holder"]).groupBy("path", "scope", "text").agg(F.min_by(F.struct("in", "body"), "steps").alias("to"))
-    reach = kept(reach.select("path", "scope", "text", "to.*"))
 
-    # Calls that matter, and which of them stands innermost around each token.
-    call = t.where((F.col("kind") == "name") & (F.col("n1") == "(") & (F.coalesce("p1", F.lit("")) != "function")).join(made.select("path", (F.col("params") - 1).alias("i"), F.lit(True).alias("defines")), ["path", "i"], "left").where("defines is null")
+    # Calls that matter, and which of them stands innermost around each thing.
+    call = t.where("called").join(made.select("path", (F.col("params") - 1).alias("i")), ["path", "i"], "left_anti")
     harm = F.lit(None).cast("string")
     for kind, names in sinks.items():
         harm = F.when(F.col("text").isin(*names), kind).otherwise(harm)
-    call = call.join(reach, ["path", "scope", "text"], "left").withColumn("body", F.when(F.coalesce("p1", F.lit("")) != ".", F.col("body")))
-    call = call.select("path", F.col("i").alias("called"), (F.col("i") + 1).alias("start"), "in", "body", "line_no", F.when(F.col("body").isNull() & F.col("text").isin(*cleaners), "clean").when(F.col("body").isNull(), harm).alias("harm"))
-    call = kept(call.where("body is not null or harm is not null").join(pairs.select("path", "start", "end"), ["path", "start"]))
-    t = innermost(t, call.select("path", F.col("start").alias("first"), F.col("end").alias("last"), F.col("start").alias("id")))
-    place = F.sum((F.col("text") == ",").cast("int")).over(Window.partitionBy("path", "region", "depth").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    t = kept(t.withColumn("commas", place))
-    # The argument's number: commas of the call's own depth before the token.
-    marks = t.where("region is not null and text = ','").select("path", "region", "depth", F.col("i").alias("comma"))
+    call = call.select("path", "i", "scope", "text", "member", "line_no", "depth", "target", "end", F.when(F.col("text").isin(*cleaners), "clean").otherwise(harm).alias("harm"))
+    reach = call.where("not member").select("path", "i", "scope", "text").join(all_, ["path", "scope"]).join(callable_, ["path", "holder", "text"]).groupBy("path", "i").agg(F.min(F.struct("steps", "in", "body")).alias("to"))
+    call = call.join(reach, ["path", "i"], "left").select("path", F.col("i").alias("called"), "line_no", "depth", "target", "end", "to.in", "to.body", F.when(F.col("to").isNull(), F.col("harm")).alias("harm"))
+    site = _node(F.col("path"), F.col("called").cast("string"), "()")
+    call = kept(call.where("body is not null or harm is not null").withColumn("call", site))
 
     # What a statement's value goes to.
-    plain = ~F.coalesce("p1", F.lit("")).isin("=", "!", "<", ">", "+", "-", "*", "/", "|", "&", "?") & ~F.coalesce("n2", F.lit("")).isin("=") & (F.col("n1") == "=")
-    sets = t.where(name & plain & (F.coalesce("p1", F.lit("")) != ".")).join(meant, ["path", "scope", "text"], "left").select("path", "statement", (F.col("i") + 1).alias("after"), _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("target"), F.when(F.coalesce("holder", F.lit(FILE)) == F.col("scope"), "within").otherwise("out").alias("way"))
-    returns = t.where("text = 'return'").select("path", "statement", F.col("i").alias("after"), _node(F.col("path"), F.col("scope").cast("string"), "->").alias("target"), F.lit("within").alias("way"))
-    targets = kept(sets.unionByName(returns).groupBy("path", "statement").agg(F.min(F.struct("after", "target", "way")).alias("x")).select("path", "statement", "x.*"))
+    sets = t.where("aims and sets").join(meant, ["path", "scope", "text"], "left").select("path", F.col("i").alias("target"), _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("dst"), F.when(F.coalesce("holder", F.lit(FILE)) == F.col("scope"), "within").otherwise("out").alias("kind"))
+    returns = t.where("aims and not sets").select("path", F.col("i").alias("target"), _node(F.col("path"), F.col("scope").cast("string"), "->").alias("dst"), F.lit("within").alias("kind"))
+    targets = sets.unionByName(returns)
+
+    # The things of a statement: variables, sources, results of calls. With them the commas, which number the arguments: those of the call's own depth before a thing.
+    from_source = t.where("source").select("path", "i", "depth", "target", _node(F.col("path"), F.col("line_no").cast("string"), "?").alias("thing"))
+    variables = t.where("used").join(meant, ["path", "scope", "text"], "left").select("path", "i", "depth", "target", _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("thing"))
+    known = call.where("body is not null")
+    results = known.select("path", F.col("called").alias("i"), "depth", "target", F.col("call").alias("thing"))
+    up = known.select(F.lit("up").alias("kind"), _node(F.col("in"), F.col("body").cast("string"), "->").alias("src"), F.col("call").alias("dst"), F.lit(None).cast("string").alias("call"))
+    marks = t.where("comma").select("path", "i", "depth", "target", F.lit(None).cast("string").alias("thing"))
+    things = from_source.unionByName(variables).unionByName(results).unionByName(marks)
+    things = innermost(things, call.select("path", (F.col("called") + 1).alias("first"), F.col("end").alias("last"), F.struct((F.col("called") + 1).alias("start"), (F.col("depth") + 1).alias("own"), "in", "body", "harm", "line_no", "call").alias("id")))
+    place = F.sum((F.col("thing").isNull() & (F.col("depth") == F.col("region.own"))).cast("int")).over(Window.partitionBy("path", "region.start").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    things = kept(things.withColumn("place", place.cast("int")).where("thing is not null and (region is not null or target is not null)").select("path", "thing", "target", "place", "region"))
 
-    # The things of a statement: variables, sources, results of calls.
-    owners, members = sources
-    is_source = F.col("text").isin(*owners) & (F.col("n1") == ".") & F.col("n2").isin(*members) & (F.coalesce("p1", F.lit("")) != ".")
-    from_source = t.where(is_source).select("path", "i", "statement", "region", "depth", _node(F.col("path"), F.col("line_no").cast("string"), "?").alias("thing"))
-    used = name & (F.coalesce("p1", F.lit("")) != ".") & (F.coalesce("n1", F.lit("")) != "(") & ~is_source & ~(F.coalesce("n1", F.lit("")) == ":")
-    variables = t.where(used).join(params.select("path", "scope", "text").distinct(), ["path", "scope", "text"], "left").join(meant, ["path", "scope", "text"], "left")
-    variables = variables.select("path", "i", "statement", "region", "depth", _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("thing"))
-    site = _node(F.col("path"), F.col("called").cast("string"), "()")
-    known = call.where("body is not null").withColumn("site", site)
-    results = t.join(known.select("path", F.col("called").alias("i"), "site"), ["path", "i"]).select("path", "i", "statement", "region", "depth", F.col("site").alias("thing"))
-    up = known.select(F.lit("up").alias("kind"), _node(F.col("in"), F.col("body").cast("string"), "->").alias("src"), F.col("site").alias("dst"), F.lit(None).cast("string").alias("call"))
-    things = kept(from_source.unionByName(variables).unionByName(results))
-
-    around = call.select("path", F.col("start").alias("region"), "in", "body", "harm", "line_no", site.alias("call")).join(raw.select("path", F.col("i").alias("region"), F.col("depth").alias("own")), ["path", "region"])
-    held = things.where("region is not null").join(around, ["path", "region"])
-    counted = held.where("body is not null").join(marks.withColumnRenamed("depth", "own"), ["path", "region", "own"], "left").groupBy("path", "i", "thing", "in", "body", "call").agg(F.count(F.when(F.col("comma") < F.col("i"), 1)).cast("int").alias("place"))
     none = F.lit(None).cast("string").alias("call")
-    places = params.select(F.col("path").alias("in"), F.col("scope").alias("body"), F.col("place").cast("int").alias("place"), "text")
-    down = counted.join(places, ["in", "body", "place"]).select(F.lit("down").alias("kind"), F.col("thing").alias("src"), _node(F.col("in"), F.col("body").cast("string"), F.col("text")).alias("dst"), "call")
-    harmed = held.where("harm is not null and harm <> 'clean'").select(F.lit("within").alias("kind"), F.col("thing").alias("src"), _node(F.col("path"), F.col("line_no").cast("string"), F.concat(F.lit("!"), "harm")).alias("dst"), none)
-    free = things.where("region is null").join(targets, ["path", "statement"]).where("i > after").select(F.col("way").alias("kind"), F.col("thing").alias("src"), F.col("target").alias("dst"), none)
+    places = params.select(F.col("path").alias("in"), F.col("scope").alias("body"), "place", "text")
+    down = things.where("region.body is not null").select("thing", "place", "region.in", "region.body", "region.call").join(places, ["in", "body", "place"])
+    down = down.select(F.lit("down").alias("kind"), F.col("thing").alias("src"), _node(F.col("in"), F.col("body").cast("string"), F.col("text")).alias("dst"), "call")
+    harmed = things.where("region.harm <> 'clean'").select(F.lit("within").alias("kind"), F.col("thing").alias("src"), _node(F.col("path"), F.col("region.line_no").cast("string"), F.concat(F.lit("!"), F.col("region.harm"))).alias("dst"), none)
+    free = things.where("region is null").select("path", "target", "thing").join(targets, ["path", "target"]).select("kind", F.col("thing").alias("src"), "dst", none)
     return kept(down.unionByName(harmed).unionByName(free).unionByName(up).where("src <> dst").distinct())
 
 

@@ -32,6 +32,22 @@ def test_symbols_shuffle_no_tokens(spark):
     assert text.count("Exchange") == 1 and "Exchange hashpartitioning(path" in text and "Join" not in text
 
 
+def test_flows_write_few_tokens(spark, monkeypatch):
+    rows, cut = [], flows.cut
+
+    def counted(spark, frame, apart=False):
+        out = cut(spark, frame, apart)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(flows, "cut", counted)
+    files = code.code_files(spark, SF)
+    flows.flow_graph(spark, files)
+    assert max(rows) < lexer.tokens(files).count() / 2
+    text = plan(flows.facts(files))
+    assert text.count("Exchange") == 1 and "Join" not in text
+
+
 def test_resolution_broadcasts_nothing_and_joins_on_bases(spark):
     files = code.typescript(spark, SF)
     text = plan(parse.resolve(parse.imports(files), files))
