@@ -50,6 +50,14 @@ def _node(*parts) -> Column:
     return F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts))
 
 
+#: What a token may be, each a bit of its `flags`.
+FLAGS = ("sets", "returns", "declares", "listed", "used", "source", "called", "member", "comma", "imports", "origin", "brought")
+
+
+def is_any(*names: str) -> Column:
+    return F.col("flags").bitwiseAND(sum(1 << FLAGS.index(n) for n in names)) != 0
+
+
 def facts(files: DataFrame, sources: tuple = SOURCES) -> DataFrame:
     """The tokens that flows are made of, by windows over one file's tokens: names that declare, are declared, set, used or called, sources, `return`, what imports say, commas
     in brackets, and the braces of functions' bodies (`head`: name, params, params_end). `target`: the token that sets what the statement's values go to; `end`: where a body or a call's brackets end."""
@@ -58,10 +66,9 @@ def facts(files: DataFrame, sources: tuple = SOURCES) -> DataFrame:
     so_far = Window.unboundedPreceding, Window.currentRow
     t = lexer.neighbours(lexer.tokens(files))
     text, p1, n1, n2 = (F.coalesce(c, F.lit("")) for c in ("text", "b1", "n1", "n2"))
-    new = (text == ";") | (F.lag("line_no").over(w) != F.col("line_no"))
-    t = t.withColumn("statement", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(*so_far)))
-    word = F.col("kind") == "name"
-    name = word & ~text.isin(*KEYWORDS)
+    word, bracket = F.col("kind") == "name", F.col("kind").isin("open", "close")
+    t = t.withColumn("name", word & ~text.isin(*KEYWORDS))
+    name = F.col("name")
     is_source = text.isin(*owners) & (n1 == ".") & n2.isin(*members) & (p1 != ".")
     flags = {
         "sets": name & ~p1.isin("=", "!", "<", ">", "+", "-", "*", "/", "|", "&", "?", ".") & (n1 == "=") & (n2 != "="),
@@ -77,21 +84,28 @@ def facts(files: DataFrame, sources: tuple = SOURCES) -> DataFrame:
         "origin": (F.col("kind") == "string") & (p1 == "from"),
         "brought": word & p1.isin("{", ",") & n1.isin("}", ","),
     }
-    t = t.withColumns(flags)
+    assert tuple(flags) == FLAGS
+    packed = F.lit(0)
+    for k, f in enumerate(flags.values()):
+        packed = packed + F.when(f, 1 << k).otherwise(0)
+    # Only brackets are asked later what stood before them.
+    t = t.select("path", "at", "i", "line_no", "kind", "text", "depth", "lone", packed.alias("flags"), *(F.when(bracket, F.col(b)).alias(b) for b in ("b1", "b2", "b3", "kb1")), F.lit(None).cast("string").alias("n1"), F.lit(None).cast("string").alias("kn1"))
+    t = t.where(is_any(*(f for f in FLAGS if f != "member")) | F.col("kind").isin("open", "close") | (F.col("text") == ";"))
+    new = (F.col("text") == ";") | (F.lag("line_no").over(w) != F.col("line_no"))
+    t = t.withColumn("statement", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(w.rowsBetween(*so_far)).cast("int"))
     # The first thing of a statement that takes a value: what is set, or the function's result.
-    aims = F.col("sets") | F.col("returns")
-    earlier = F.max(F.when(aims, F.col("statement"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    t = t.withColumn("aims", aims & F.coalesce(earlier < F.col("statement"), F.lit(True)))
-    t = t.withColumn("aim", F.last(F.when(F.col("aims"), F.struct("statement", "i", (F.col("i") + F.col("sets").cast("int")).alias("after"))), ignorenulls=True).over(w.rowsBetween(*so_far)))
-    t = t.withColumn("target", F.when((F.col("aim.statement") == F.col("statement")) & (F.col("i") > F.col("aim.after")), F.col("aim.i"))).drop("aim")
-    thing = F.col("used") | F.col("source")
-    other = F.col("aims") | F.col("declares") | F.col("called") | F.col("imports") | F.col("origin") | F.col("brought")
-    t = lexer.matched(t.where(thing | other | F.col("listed") | F.col("comma") | F.col("kind").isin("open", "close")))
+    earlier = F.max(F.when(is_any("sets", "returns"), F.col("statement"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    t = t.withColumn("aims", is_any("sets", "returns") & F.coalesce(earlier < F.col("statement"), F.lit(True)))
+    t = t.withColumn("aim", F.last(F.when(F.col("aims"), F.struct("statement", "i", (F.col("i") + is_any("sets").cast("int")).alias("after"))), ignorenulls=True).over(w.rowsBetween(*so_far)))
+    t = t.withColumn("target", F.when((F.col("aim.statement") == F.col("statement")) & (F.col("i") > F.col("aim.after")), F.col("aim.i"))).drop("aim").where("text <> ';'")
+    t = lexer.matched(t)
     by = Window.partitionBy("path").orderBy("i")
-    step = F.when(text == "(", 1).when(F.col("opener.text") == "(", -1).otherwise(0)
-    t = t.withColumn("inside", F.sum(step).over(by.rowsBetween(*so_far)) > 0).withColumn("end", F.when(F.col("called"), F.lead("end").over(by)).otherwise(F.col("end")))
-    t = t.where(other | (thing & F.col("target").isNotNull()) | (F.col("inside") & (thing | F.col("listed") | F.col("comma"))) | F.col("head").isNotNull())
-    return t.select("path", "i", "line_no", "statement", "text", "depth", *(f for f in flags if f != "returns"), "aims", "target", "end", "head")
+    step = F.when(F.col("text") == "(", 1).when(F.col("opener.text") == "(", -1).otherwise(0)
+    t = t.withColumn("inside", F.sum(step).over(by.rowsBetween(*so_far)) > 0).withColumn("end", F.when(is_any("called"), F.lead("end").over(by)).otherwise(F.col("end")))
+    other = F.col("aims") | is_any("declares", "called", "imports", "origin", "brought")
+    thing = is_any("used", "source")
+    t = t.where(other | (thing & F.col("target").isNotNull()) | (F.col("inside") & is_any("used", "source", "listed", "comma")) | F.col("head").isNotNull())
+    return t.select("path", "i", "line_no", "statement", "text", "depth", "flags", "aims", "target", "end", "head")
 
 
 def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES, sinks: dict[str, tuple[str, ...]] | None = None, cleaners: tuple[str, ...] = CLEANERS) -> DataFrame:
@@ -106,10 +120,10 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     t = innermost(found.where("head is null").drop("head"), made.select("path", F.col("params").alias("first"), F.col("end").alias("last"), F.struct("start", "params", "params_end").alias("id")))
     # Names: where they are declared, and what they mean where they are used. A parameter's place is the number of commas before it in its function's brackets.
     t = t.withColumn("scope", F.coalesce("region.start", F.lit(FILE))).withColumn("listing", F.coalesce((F.col("i") > F.col("region.params")) & (F.col("i") < F.col("region.params_end")), F.lit(False)))
-    commas = F.sum((F.col("comma") & F.col("listing")).cast("int")).over(Window.partitionBy("path", "scope").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    commas = F.sum((is_any("comma") & F.col("listing")).cast("int")).over(Window.partitionBy("path", "scope").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     t = kept(t.withColumn("place", commas.cast("int")).drop("region"))
-    params = t.where("listed and listing").select("path", "scope", "text", "place")
-    declared = t.where("declares or (listed and listing)").select("path", "scope", "text").distinct()
+    params = t.where(is_any("listed") & F.col("listing")).select("path", "scope", "text", "place")
+    declared = t.where(is_any("declares") | (is_any("listed") & F.col("listing"))).select("path", "scope", "text").distinct()
     outer = made.select("path", F.col("start").alias("scope"), F.coalesce("inside", F.lit(FILE)).alias("above"))
     chain = kept(t.select("path", "scope").distinct().select("path", "scope", F.col("scope").alias("holder"), F.lit(0).alias("steps")))
     all_, k = chain, 0
@@ -125,55 +139,59 @@ def flow_graph(spark: SparkSession, files: DataFrame, sources: tuple = SOURCES,
     # Functions by name: those of the file, by the scope that holds them, and those imported from others.
     own = made.where("name <> ''").select("path", F.col("name").alias("text"), F.coalesce("inside", F.lit(FILE)).alias("holder"), F.col("start").alias("body"))
     spec = F.regexp_extract("text", "^.(.*).$", 1)
-    start = t.where("imports").select("path", "statement").distinct()
-    where = t.where("origin").select("path", "statement", spec.alias("spec")).where("spec like './%'")
+    start = t.where(is_any("imports")).select("path", "statement").distinct()
+    where = t.where(is_any("origin")).select("path", "statement", spec.alias("spec")).where("spec like './%'")
     folder = F.regexp_replace("path", "[^/]*$", "")
     where = where.select("path", "statement", F.concat(folder, F.substring("spec", 3, 1000), F.lit("."), F.regexp_extract("path", "[^.]*$", 0)).alias("from"))
-    imported = t.where("brought").join(start, ["path", "statement"]).join(where, ["path", "statement"]).select("path", "text", "from")
+    imported = t.where(is_any("brought")).join(start, ["path", "statement"]).join(where, ["path", "statement"]).select("path", "text", "from")
     far = imported.join(own.where(F.col("holder") == FILE).select(F.col("path").alias("from"), "text", "body"), ["from", "text"]).select("path", "text", F.lit(FILE).alias("holder"), F.col("from").alias("in"), "body")
     callable_ = own.select("path", "text", "holder", F.col("path").alias("in"), "body").unionByName(far)
 
     # Calls that matter, and which of them stands innermost around each thing.
-    call = t.where("called").join(made.select("path", (F.col("params") - 1).alias("i")), ["path", "i"], "left_anti")
+    call = t.where(is_any("called")).join(made.select("path", (F.col("params") - 1).alias("i")), ["path", "i"], "left_anti")
     harm = F.lit(None).cast("string")
     for kind, names in sinks.items():
         harm = F.when(F.col("text").isin(*names), kind).otherwise(harm)
-    call = call.select("path", "i", "scope", "text", "member", "line_no", "depth", "target", "end", F.when(F.col("text").isin(*cleaners), "clean").otherwise(harm).alias("harm"))
+    call = call.select("path", "i", "scope", "text", is_any("member").alias("member"), "line_no", "depth", "target", "end", F.when(F.col("text").isin(*cleaners), "clean").otherwise(harm).alias("harm"))
     reach = call.where("not member").select("path", "i", "scope", "text").join(all_, ["path", "scope"]).join(callable_, ["path", "holder", "text"]).groupBy("path", "i").agg(F.min(F.struct("steps", "in", "body")).alias("to"))
     call = call.join(reach, ["path", "i"], "left").select("path", F.col("i").alias("called"), "line_no", "depth", "target", "end", "to.in", "to.body", F.when(F.col("to").isNull(), F.col("harm")).alias("harm"))
-    site = _node(F.col("path"), F.col("called").cast("string"), "()")
-    call = kept(call.where("body is not null or harm is not null").withColumn("call", site))
+    call = kept(call.where("body is not null or harm is not null"))
 
     # What a statement's value goes to.
-    sets = t.where("aims and sets").join(meant, ["path", "scope", "text"], "left").select("path", F.col("i").alias("target"), _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("dst"), F.when(F.coalesce("holder", F.lit(FILE)) == F.col("scope"), "within").otherwise("out").alias("kind"))
-    returns = t.where("aims and not sets").select("path", F.col("i").alias("target"), _node(F.col("path"), F.col("scope").cast("string"), "->").alias("dst"), F.lit("within").alias("kind"))
+    named = kept(t.where(is_any("used", "sets")).select("path", "i", "depth", "scope", "text", "flags", "aims", "target").join(meant, ["path", "scope", "text"], "left").withColumn("holder", F.coalesce("holder", F.lit(FILE))))
+    sets = named.where(F.col("aims") & is_any("sets")).select("path", F.col("i").alias("target"), _node(F.col("holder").cast("string"), F.col("text")).alias("dst"), F.when(F.col("holder") == F.col("scope"), "within").otherwise("out").alias("kind"))
+    returns = t.where(F.col("aims") & ~is_any("sets")).select("path", F.col("i").alias("target"), _node(F.col("scope").cast("string"), "->").alias("dst"), F.lit("within").alias("kind"))
     targets = sets.unionByName(returns)
 
     # The things of a statement: variables, sources, results of calls. With them the commas, which number the arguments: those of the call's own depth before a thing.
-    from_source = t.where("source").select("path", "i", "depth", "target", _node(F.col("path"), F.col("line_no").cast("string"), "?").alias("thing"))
-    variables = t.where("used").join(meant, ["path", "scope", "text"], "left").select("path", "i", "depth", "target", _node(F.col("path"), F.coalesce("holder", F.lit(FILE)).cast("string"), F.col("text")).alias("thing"))
+    result = lambda i: _node(i.cast("string"), "()")
+    from_source = t.where(is_any("source")).select("path", "i", "depth", "target", _node(F.col("line_no").cast("string"), "?").alias("thing"))
+    variables = named.where(is_any("used")).select("path", "i", "depth", "target", _node(F.col("holder").cast("string"), F.col("text")).alias("thing"))
     known = call.where("body is not null")
-    results = known.select("path", F.col("called").alias("i"), "depth", "target", F.col("call").alias("thing"))
-    up = known.select(F.lit("up").alias("kind"), _node(F.col("in"), F.col("body").cast("string"), "->").alias("src"), F.col("call").alias("dst"), F.lit(None).cast("string").alias("call"))
-    marks = t.where("comma").select("path", "i", "depth", "target", F.lit(None).cast("string").alias("thing"))
+    results = known.select("path", F.col("called").alias("i"), "depth", "target", result(F.col("called")).alias("thing"))
+    up = known.select(F.lit("up").alias("kind"), _node(F.col("in"), F.col("body").cast("string"), "->").alias("src"), _node(F.col("path"), result(F.col("called"))).alias("dst"), F.lit(None).cast("string").alias("call"))
+    marks = t.where(is_any("comma")).select("path", "i", "depth", "target", F.lit(None).cast("string").alias("thing"))
     things = from_source.unionByName(variables).unionByName(results).unionByName(marks)
-    things = innermost(things, call.select("path", (F.col("called") + 1).alias("first"), F.col("end").alias("last"), F.struct((F.col("called") + 1).alias("start"), (F.col("depth") + 1).alias("own"), "in", "body", "harm", "line_no", "call").alias("id")))
-    place = F.sum((F.col("thing").isNull() & (F.col("depth") == F.col("region.own"))).cast("int")).over(Window.partitionBy("path", "region.start").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    things = innermost(things, call.select("path", (F.col("called") + 1).alias("first"), F.col("end").alias("last"), F.struct("called", (F.col("depth") + 1).alias("own"), "in", "body", "harm", "line_no").alias("id")))
+    place = F.sum((F.col("thing").isNull() & (F.col("depth") == F.col("region.own"))).cast("int")).over(Window.partitionBy("path", "region.called").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     things = kept(things.withColumn("place", place.cast("int")).where("thing is not null and (region is not null or target is not null)").select("path", "thing", "target", "place", "region"))
 
     none = F.lit(None).cast("string").alias("call")
     places = params.select(F.col("path").alias("in"), F.col("scope").alias("body"), "place", "text")
-    down = things.where("region.body is not null").select("thing", "place", "region.in", "region.body", "region.call").join(places, ["in", "body", "place"])
-    down = down.select(F.lit("down").alias("kind"), F.col("thing").alias("src"), _node(F.col("in"), F.col("body").cast("string"), F.col("text")).alias("dst"), "call")
-    harmed = things.where("region.harm <> 'clean'").select(F.lit("within").alias("kind"), F.col("thing").alias("src"), _node(F.col("path"), F.col("region.line_no").cast("string"), F.concat(F.lit("!"), F.col("region.harm"))).alias("dst"), none)
-    free = things.where("region is null").select("path", "target", "thing").join(targets, ["path", "target"]).select("kind", F.col("thing").alias("src"), "dst", none)
+    thing = _node(F.col("path"), F.col("thing")).alias("src")
+    down = things.where("region.body is not null").select(thing, "place", "region.in", "region.body", _node(F.col("path"), result(F.col("region.called"))).alias("call")).join(places, ["in", "body", "place"])
+    down = down.select(F.lit("down").alias("kind"), "src", _node(F.col("in"), F.col("body").cast("string"), F.col("text")).alias("dst"), "call")
+    harmed = things.where("region.harm <> 'clean'").select(F.lit("within").alias("kind"), thing, _node(F.col("path"), F.col("region.line_no").cast("string"), F.concat(F.lit("!"), F.col("region.harm"))).alias("dst"), none)
+    free = things.where("region is null").select("path", "target", "thing").join(targets, ["path", "target"]).select("kind", thing, _node(F.col("path"), F.col("dst")).alias("dst"), none)
     return kept(down.unionByName(harmed).unionByName(free).unionByName(up).where("src <> dst").distinct())
 
 
 def summaries(spark: SparkSession, graph: DataFrame) -> DataFrame:
     """src, dst: from what a call is given to its result, where the parameter reaches the function's result without leaving the function, by what is known of the functions
     it calls. Pairs of a parameter and what it reaches grow by joins of the new ones, with edges and with summaries found so far."""
-    within = graph.where("kind = 'within'").select("src", "dst")
+    # No parameter leads to a source, and no sink to a result.
+    last = lambda c: F.substring_index(c, "|", -1)
+    within = graph.where("kind = 'within'").where((last("src") != "?") & ~last("dst").startswith("!")).select("src", "dst")
     down = cut(spark, graph.where("kind = 'down'").select("src", F.col("dst").alias("param"), "call"))
     results = graph.where("kind = 'up'").select(F.col("src").alias("result"), F.col("dst").alias("call"))
     of = cut(spark, down.join(results, "call").select("src", "param", "call", "result"))
@@ -201,19 +219,15 @@ def taint_paths(spark: SparkSession, files: DataFrame, **options) -> DataFrame:
     graph = flow_graph(spark, files, **options)
     cuts = F.split("node", "[|]")
     # Each thing is two: reached from within or below (up), or through a parameter (not up).
-    within = graph.where("kind = 'within'").select("src", "dst").unionByName(summaries(spark, graph))
-    both = F.explode(F.array(F.lit(True), F.lit(False)))
-    step = lambda d, a, b: d.select("src", a.alias("from_up"), "dst", b.alias("to_up"))
-    yes, no = F.lit(True), F.lit(False)
-    edges = within.withColumn("up", both)
-    edges = step(edges, F.col("up"), F.col("up"))
-    edges = edges.unionByName(step(graph.where("kind = 'out'").withColumn("up", both), F.col("up"), yes)).unionByName(step(graph.where("kind = 'up'"), yes, yes))
-    edges = cut(spark, edges.unionByName(step(graph.where("kind = 'down'").withColumn("up", both), F.col("up"), no)).distinct())
+    ways = graph.select("src", "dst", "kind").unionByName(summaries(spark, graph).withColumn("kind", F.lit("within")))
+    edges = cut(spark, ways)
     start = graph.where("src like '%|?'").select(F.col("src").alias("node")).distinct()
-    reached = cut(spark, start.select("node", yes.alias("up"), F.struct(cuts[0].alias("path"), cuts[1].cast("int").alias("line")).alias("source")))
+    reached = cut(spark, start.select("node", F.lit(True).alias("up"), F.struct(cuts[0].alias("path"), cuts[1].cast("int").alias("line")).alias("source")))
     front = reached
+    # Results go up only from below; into a variable of a scope around is up again, down into a parameter no more.
+    to_up = F.when(F.col("kind") == "within", F.col("up")).otherwise(F.col("kind") != "down")
     while not front.isEmpty():
-        came = front.join(edges, (F.col("node") == F.col("src")) & (F.col("up") == F.col("from_up"))).groupBy(F.col("dst").alias("node"), F.col("to_up").alias("up")).agg(F.min("source").alias("came"))
+        came = front.join(edges, F.col("node") == F.col("src")).where("kind <> 'up' or up").select(F.col("dst").alias("node"), to_up.alias("up"), "source").groupBy("node", "up").agg(F.min("source").alias("came"))
         merged = cut(spark, reached.join(came, ["node", "up"], "full").select("node", "up", F.least("source", "came").alias("source"), (F.col("source").isNull() | (F.col("came") < F.col("source"))).alias("new")))
         reached = merged.select("node", "up", "source")
         front = merged.where("new").select("node", "up", "source")

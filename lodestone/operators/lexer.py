@@ -33,10 +33,10 @@ CONTROL = ("if", "for", "while", "switch", "catch", "with", "return", "typeof",
 
 
 def kind_of(text: Column) -> Column:
+    """The kind of a token that isn't white space or a comment."""
     first = F.substring(text, 1, 1)
-    out = F.when(first.isin("(", "[", "{"), "open").when(first.isin(")", "]", "}"), "close").when(first.isin(" ", "\t", "\n", "\x0b", "\f", "\r"), "space").when(text.startswith("//") | text.startswith("/*"), "comment")
     letter = first.between("a", "z") | first.between("A", "Z") | first.isin("_", "$") | ((first > "\x7f") & text.rlike(r"\A\p{L}"))
-    return out.when(first.isin('"', "'", "`"), "string").when(letter, "name").when(first.between("0", "9"), "number").otherwise("sign")
+    return F.when(letter, "name").when(first.isin(*"([{"), "open").when(first.isin(*")]}"), "close").when(first.isin(*"\"'`"), "string").when(first.between("0", "9"), "number").otherwise("sign")
 
 
 def tokens(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -46,16 +46,20 @@ def tokens(files: DataFrame, path: str = "path", content: str = "content") -> Da
     Null and empty texts have none. Very long texts are one row's array of tokens; windows spill.
     """
     each = files.select(F.col(path).alias("path"), F.posexplode(F.regexp_extract_all(F.col(content), F.lit(TOKEN), F.lit(0))).alias("at", "text"))
-    order = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lines = F.when(F.col("text").contains("\n"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).otherwise(0)
-    known = each.withColumn("kind", kind_of(F.col("text"))).where("kind not in ('space', 'comment') or contains(text, '\\n')").withColumn("line_no", (F.sum(lines).over(order) - lines + 1).cast("int")).where("kind not in ('space', 'comment')")
-    known = known.withColumn("i", (F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).cast("int"))
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    summed = known.withColumn("sum", F.sum(step).over(order)).withColumn("least", F.least(F.min("sum").over(order), F.lit(0)))
-    before = F.coalesce(F.lag("least").over(Window.partitionBy("path").orderBy("at")), F.lit(0))
-    lone = (F.col("kind") == "close") & (F.col("least") < before)
-    depth = F.col("sum") - F.col("least") + F.when((F.col("kind") == "close") & ~lone, 1).otherwise(0)
-    return summed.select("path", "at", "i", "line_no", "kind", "text", depth.cast("int").alias("depth"), lone.alias("lone"))
+    order = Window.partitionBy("path").orderBy("at")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first, text = F.substring("text", 1, 1), F.col("text")
+    blank = first.isin(*" \t\n\x0b\f\r") | text.startswith("//") | text.startswith("/*")
+    lines = F.when(text.contains("\n"), F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).otherwise(0)
+    step = F.when(first.isin(*"([{"), 1).when(first.isin(*")]}"), -1).otherwise(0)
+    # White space without a line's end says nothing; the other counts lines only.
+    solid = each.where(~blank | text.contains("\n")).select("path", "at", "text", lines.alias("lines"), step.alias("step"), F.when(blank, 0).otherwise(1).alias("solid"))
+    solid = solid.select("*", F.sum("lines").over(so_far).alias("past"), F.sum("solid").over(so_far).alias("n"), F.sum("step").over(so_far).alias("sum")).where("solid = 1")
+    before = F.least(F.min("sum").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = solid.select("path", "at", (F.col("n") - 1).cast("int").alias("i"), (F.col("past") - F.col("lines") + 1).cast("int").alias("line_no"), kind_of(text).alias("kind"), "text", "sum", before.alias("before"))
+    lone = (F.col("kind") == "close") & (F.col("sum") < F.col("before"))
+    depth = F.col("sum") - F.least("sum", "before") + F.when((F.col("kind") == "close") & ~lone, 1).otherwise(0)
+    return known.select("path", "at", "i", "line_no", "kind", "text", depth.cast("int").alias("depth"), lone.alias("lone"))
 
 
 def brackets(tokens_: DataFrame) -> DataFrame:
